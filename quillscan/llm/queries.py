@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quillscan.llm import bpe, neighbours, packing, sharding, token_counts, warc
+from quillscan.llm import bpe, language, neighbours, packing, sharding, token_counts, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1,
         "op2_bpe": bpe.op2,
+        "op3_toxicity": toxicity.op3,
+        "op4_language": language.op4,
         "op7_nearest_neighbours": neighbours.op7,
         "op8_warc": warc.op8,
         "op9_token_counts": token_counts.op9,
