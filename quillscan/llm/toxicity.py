@@ -11,6 +11,7 @@ a few lookups. A sentence counts as its worst word, a document as its worst sent
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,11 +25,16 @@ from quillscan.llm.common import bounded_batches, held_out
 #: Kernel: the widest subsequence and the weight of a skipped character. Words longer than WINDOW are scored in overlapping windows.
 SPAN, DECAY, WINDOW = 6, 0.6, 24
 #: Bound of the training sample: documents of each label. Landmarks of each label; words that a worker's memo keeps.
-SAMPLE, LANDMARKS, MEMO = 1500, 96, 200_000
+SAMPLE, LANDMARKS, MEMO = 1500, 256, 200_000
+#: Numbers that subsequences of characters 0 to 127 can have.
+CODES = 1 << 21
 #: From this score on a document is toxic.
 LIMIT = 0.3
+#: Log-likelihood ratio from which a run of letters tells the labels apart, and the least share of toxic documents that have it; rounds in which clean words that score high join the training.
+TELLING, LEAST, ROUNDS = 25.0, 0.015, 4
 _PATTERNS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _SENTENCE = re.compile(r"[.!?]\s|\n")
+_MARKS = re.compile(r"[\W\d_]+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -47,6 +53,20 @@ def words_of(sentence: str) -> list[str]:
     return ws
 
 
+def views(word: str) -> list[str]:
+    """What is scored of a word: it, and its letters alone if marks or digits stand between them."""
+    w = normal(word)
+    if not w.isalpha() and len(letters := _MARKS.sub("", w)) >= 3 and letters != w:
+        return windows(w) + windows(letters)
+    return windows(w)
+
+
+def inserted(words: list[str]) -> list[str]:
+    """Each word with one strange letter put in, for training: at each place in turn over the words."""
+    odd = "xzqkwj"
+    return [w[: (p := 1 + i % (len(w) - 1))] + odd[i % len(odd)] + w[p:] for i, w in enumerate(words)]
+
+
 def windows(word: str) -> list[str]:
     return [word] if len(word) <= WINDOW else [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
 
@@ -55,11 +75,11 @@ class Alphabet:
     """Numbers the characters of the landmarks; others are 0 and match nothing."""
 
     def __init__(self, words: list[str]):
-        self.chars = {c: i + 1 for i, (c, _) in enumerate(Counter("".join(words)).most_common(127))}
+        self.chars = {c: i + 1 for i, (c, _) in enumerate(Counter("".join(f"^{w}$" for w in words)).most_common(127))}
 
     def subsequences(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Owner, code and normalised weight of each subsequence of the words (of known characters only)."""
-        get = self.chars.get
+        get, words = self.chars.get, [f"^{w}$" for w in words]  # a word's ends are characters as well
         size = np.fromiter(map(len, words), np.int64, len(words))
         code = np.fromiter((get(c, 0) for w in words for c in w), np.int32, int(size.sum()))
         owner = np.repeat(np.arange(len(words)), size)
@@ -81,14 +101,14 @@ class Alphabet:
 class Machine:
     """A trained scorer: a weight for each subsequence code, a bias, and the calibration of documents' scores."""
 
-    def __init__(self, alphabet: Alphabet | None, table: np.ndarray, bias: float, slope: float, shift: float):
-        self.alphabet, self.table, self.bias, self.slope, self.shift = alphabet, table, bias, slope, shift
+    def __init__(self, alphabet: Alphabet | None, table: np.ndarray, bias: float, steps: tuple[np.ndarray, np.ndarray]):
+        self.alphabet, self.table, self.bias, self.steps = alphabet, table, bias, steps
 
     def decide(self, words: list[str]) -> np.ndarray:
         """The machine's decision for each word; that of a word without letters is the bias."""
         if self.alphabet is None:
             return np.zeros(len(words))
-        cut = [windows(normal(w)) for w in words]
+        cut = [views(w) for w in words]
         flat = [x for c in cut for x in c]
         owner = np.repeat(np.arange(len(words)), [len(c) for c in cut])
         o, codes, weights = self.alphabet.subsequences(flat)
@@ -98,10 +118,11 @@ class Machine:
         return out
 
     def score(self, worst: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -30, 30)))
+        return np.interp(worst, *self.steps)
 
 
-NOTHING = Machine(None, np.zeros(1, np.float32), 0.0, 0.0, -30.0)
+FLAT = np.array([0.0]), np.array([0.0])
+NOTHING = Machine(None, np.zeros(1, np.float32), 0.0, FLAT)
 
 
 def train(texts: list[str], toxic: list[int], prior: float) -> Machine:
@@ -111,12 +132,15 @@ def train(texts: list[str], toxic: list[int], prior: float) -> Machine:
     if not 0 < y.sum() < len(y):
         return NOTHING
     bags = [{w for s in d for w in s if 3 <= len(w) <= WINDOW} for d in sentences]
+    # of near copies one tells, else their rare words look like a sign of the label
+    alone = list({(label, tuple(sorted(zlib.crc32(w.encode()) for w in bag)[:4])): k for k, (bag, label) in enumerate(zip(bags, y.tolist(), strict=True))}.values())
+    sentences, bags, y = [sentences[k] for k in alone], [bags[k] for k in alone], y[alone]
     # a word's suspicion: the most telling of its runs of four letters, by documents of either label
     hits, clean = Counter(), Counter()
     for bag, label in zip(bags, y.tolist(), strict=True):
         (hits if label else clean).update({w[i : i + 4] for w in bag for i in range(max(1, len(w) - 3))})
     bad, good = y.sum(), len(y) - y.sum()
-    tell = {g: np.log((n + 0.25) / (bad + 1)) - np.log((clean[g] + 1.0) / (good + 2)) for g, n in hits.items() if n >= 3 and n / bad > 4 * (clean[g] + 0.5) / good}
+    tell = {g: v for g, n in hits.items() if n >= LEAST * bad and n / bad > 4 * clean[g] / good and (v := _likelihood(n, clean[g], bad, good)) > TELLING}
     suspicion = lambda w: max((tell.get(w[i : i + 4], 0.0) for i in range(max(1, len(w) - 3))), default=0.0)
     seen_clean = Counter(w for bag, label in zip(bags, y, strict=True) if not label for w in bag)
     witness: Counter = Counter()
@@ -130,74 +154,98 @@ def train(texts: list[str], toxic: list[int], prior: float) -> Machine:
     if not witness:
         return NOTHING
     positive = [w for w, _ in witness.most_common(3000)]
-    # most frequent clean words, and clean words that look most like the witnesses
-    rare = sorted(seen_clean, key=lambda w: (-suspicion(w), w))[:3000]
-    negative = list(dict.fromkeys([w for w, _ in seen_clean.most_common(3000)] + rare))
+    good_words = sorted(seen_clean)
+    # the most frequent clean words, and those that look most like the witnesses; later those that score highest join
+    rare = sorted(seen_clean, key=lambda w: (-suspicion(w), w))[:1000]
+    negative = list(dict.fromkeys([w for w, _ in seen_clean.most_common(2000)] + rare))
     if not negative:
         return NOTHING
-    marks = list(dict.fromkeys(positive[:LANDMARKS] + [w for w, _ in seen_clean.most_common(LANDMARKS // 2)] + rare[: LANDMARKS // 2]))
-    alphabet = Alphabet(marks + positive)
-    size = 1 << 21
+    alphabet = Alphabet(positive + negative)
+    variants = inserted(positive)
+    weigh = np.sqrt([witness[w] for w in positive])
+    hard, machine = rare, NOTHING
+    for _ in range(ROUNDS):
+        marks = list(dict.fromkeys(positive[:LANDMARKS] + [w for w, _ in seen_clean.most_common(LANDMARKS // 4)] + hard[:LANDMARKS]))
+        often = np.sqrt([seen_clean[x] for x in negative])  # a word that many documents have does more harm
+        cost = np.concatenate([0.4 * weigh / weigh.sum(), 0.1 * weigh / weigh.sum(), 0.5 * often / often.sum()])
+        t = np.concatenate([np.ones(2 * len(positive)), -np.ones(len(negative))])
+        table, b = _nystroem(alphabet, marks, positive + variants + negative, t, cost)
+        machine = Machine(alphabet, table, b, FLAT)
+        value = machine.decide(good_words)
+        hard = [good_words[i] for i in np.argsort(-value)[:1500]]
+        negative = list(dict.fromkeys(negative + hard))
+    b = machine.bias
+    flat = sorted({w for bag in bags for w in bag})
+    value = dict(zip(flat, machine.decide(flat).tolist(), strict=True))
+    worst = np.array([max((value[w] for w in bag), default=b) for bag in bags])
+    share = np.where(y == 1, prior / bad, (1 - prior) / good)
+    machine.steps = _calibrate(worst, y, share)
+    return machine
+
+
+def _nystroem(alphabet: Alphabet, marks: list[str], words: list[str], t: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of subsequence codes and a bias: a linear machine in the landmarks' space, folded back."""
     o, codes, weights = alphabet.subsequences(marks)
     used, where = np.unique(codes, return_inverse=True)
     basis = np.zeros((len(marks), len(used)))
     np.add.at(basis, (o, where), weights)
-    spot = np.full(size, -1)
+    spot = np.full(CODES, -1)
     spot[used] = np.arange(len(used))
 
-    def kernel(words: list[str]) -> np.ndarray:
-        o, codes, weights = alphabet.subsequences(words)
-        at = spot[codes]
-        out = np.zeros((len(words), len(marks)))
-        for k in range(len(marks)):
-            out[:, k] = np.bincount(o, np.where(at >= 0, basis[k][at], 0.0) * weights, len(words))
-        return out
+    def kernel(some: list[str]) -> np.ndarray:
+        out = []
+        for i in range(0, len(some), 1000):
+            part = some[i : i + 1000]
+            o, codes, weights = alphabet.subsequences(part)
+            seen = spot[codes] >= 0
+            dense = np.bincount(o[seen] * len(used) + spot[codes][seen], weights[seen], len(part) * len(used))
+            out.append(dense.reshape(len(part), -1) @ basis.T)
+        return np.concatenate(out)
 
     values, vectors = np.linalg.eigh(kernel(marks))
     kept = values > 1e-6 * values.max()
     root = vectors[:, kept] / np.sqrt(values[kept])
-    x = np.concatenate([kernel(positive), kernel(negative)]) @ root
-    t = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-    cost = np.concatenate([np.full(len(positive), 0.5 / len(positive)), np.full(len(negative), 0.5 / len(negative))])
-    w, b = _hinge(x, t, cost)
-    table = np.zeros(size, np.float32)
+    w, b = _hinge(kernel(words) @ root, t, cost)
+    table = np.zeros(CODES, np.float32)
     table[used] = (root @ w) @ basis
-    machine = Machine(alphabet, table, b, 1.0, 0.0)
-    flat = sorted({w for bag in bags for w in bag})
-    value = dict(zip(flat, machine.decide(flat).tolist(), strict=True))
-    worst = np.array([max((value[w] for w in bag), default=b) for bag in bags])
-    share = np.where(y == 1, prior / bad, (1 - prior) / good)
-    machine.slope, machine.shift = _calibrate(worst, y, share)
-    return machine
+    return table, b
+
+
+def _likelihood(n: int, c: int, bad: int, good: int) -> float:
+    """Twice the log-likelihood ratio of n of bad and c of good documents against one common rate."""
+    part = lambda x, of: x * np.log(x / of) if x else 0.0
+    rate = lambda x, of: part(x, of) + part(of - x, of)
+    return 2 * (rate(n, bad) + rate(c, good) - rate(n + c, bad + good))
 
 
-def _hinge(x: np.ndarray, t: np.ndarray, cost: np.ndarray, reg: float = 1e-4, rounds: int = 600) -> tuple[np.ndarray, float]:
-    """A linear machine for the squared hinge loss by accelerated gradient descent."""
+def _hinge(x: np.ndarray, t: np.ndarray, cost: np.ndarray, reg: float = 1e-5, rounds: int = 50) -> tuple[np.ndarray, float]:
+    """A linear machine for the squared hinge loss by Newton steps over the examples inside the margin."""
     z = np.hstack([x, np.ones((len(x), 1))])
-    step = 1 / (reg + 2 * (cost[:, None] * z * z).sum())
-    v = u = np.zeros(z.shape[1])
-    for k in range(rounds):
-        slack = np.maximum(1 - t * (z @ u), 0)
-        grad = -2 * z.T @ (cost * t * slack) + reg * u
-        new = u - step * grad
-        u, v = new + k / (k + 3) * (new - v), new
+    v = np.zeros(z.shape[1])
+    inside = np.ones(len(z), bool)
+    for _ in range(rounds):
+        a = z[inside] * cost[inside, None]
+        v = np.linalg.solve(z[inside].T @ a + reg * np.eye(len(v)), a.T @ t[inside])
+        new = t * (z @ v) < 1
+        if (new == inside).all():
+            break
+        inside = new
     return v[:-1], float(v[-1])
 
 
-def _calibrate(f: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve through the labels, weighted to the whole's shares; a small prior keeps it finite."""
-    a, b = 1.0, 0.0
-    target = np.where(y == 1, 0.999, 0.001)
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * f + b, -30, 30)))
-        r, q = share * (p - target), share * p * (1 - p) + 1e-9
-        g = np.array([(r * f).sum() + 1e-6 * a, r.sum() + 1e-6 * b])
-        h = np.array([[(q * f * f).sum() + 1e-6, (q * f).sum()], [(q * f).sum(), q.sum() + 1e-6]])
-        move = np.clip(np.linalg.solve(h, g), -2, 2)
-        a, b = a - move[0], b - move[1]
-        if abs(move).max() < 1e-8:
-            break
-    return float(max(a, 0.0)), float(b)
+def _calibrate(f: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Decisions and the share of toxic documents there: the rising step curve of least squares, joined by lines."""
+    blocks: list[list[float]] = []  # weight, toxic weight, lowest and highest decision
+    for k in np.argsort(f, kind="stable"):
+        blocks.append([share[k], share[k] * y[k], f[k], f[k]])
+        while len(blocks) > 1 and (blocks[-2][2] == blocks[-1][3] or blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]):
+            w, p, _, top = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + w, blocks[-1][1] + p, blocks[-1][2], top]
+    least = share.min()
+    level = [(p + 0.1 * least) / (w + 0.2 * least) for w, p, _, _ in blocks]
+    at = [x for b in blocks for x in ((b[2], b[3]) if b[3] > b[2] else (b[2],))]
+    up = [v for b, v in zip(blocks, level, strict=True) for v in ((v, v) if b[3] > b[2] else (v,))]
+    return np.array(at), np.maximum.accumulate(up)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
