@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillscan.llm import bpe, language, neighbours, packing, sharding, token_counts, toxicity, warc
+from quillscan.llm import bpe, fingerprints, language, neighbours, packing, sharding, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_bpe": bpe.op2,
         "op3_toxicity": toxicity.op3,
         "op4_language": language.op4,
+        "op5_fingerprints": fingerprints.op5,
         "op7_nearest_neighbours": neighbours.op7,
         "op8_warc": warc.op8,
         "op9_token_counts": token_counts.op9,
