@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillscan.llm import bpe, fingerprints, language, neighbours, packing, sharding, token_counts, toxicity, warc
+from quillscan.llm import bpe, fingerprints, language, near_dedup, neighbours, packing, sharding, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_toxicity": toxicity.op3,
         "op4_language": language.op4,
         "op5_fingerprints": fingerprints.op5,
+        "op6_near_dedup": near_dedup.op6,
         "op7_nearest_neighbours": neighbours.op7,
         "op8_warc": warc.op8,
         "op9_token_counts": token_counts.op9,
