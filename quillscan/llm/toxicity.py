@@ -25,7 +25,9 @@ from quillscan.llm.common import bounded_batches, held_out
 #: Kernel: the widest subsequence and the weight of a skipped character. Words longer than WINDOW are scored in overlapping windows.
 SPAN, DECAY, WINDOW = 6, 0.6, 24
 #: Bound of the training sample: documents of each label. Landmarks of each label; words that a worker's memo keeps.
-SAMPLE, LANDMARKS, MEMO = 1500, 256, 200_000
+SAMPLE, LANDMARKS, MEMO = 800, 256, 200_000
+#: Words that are taken apart at once.
+PART = 5000
 #: Numbers that subsequences of characters 0 to 127 can have.
 CODES = 1 << 21
 #: From this score on a document is toxic.
@@ -108,6 +110,8 @@ class Machine:
         """The machine's decision for each word; that of a word without letters is the bias."""
         if self.alphabet is None:
             return np.zeros(len(words))
+        if len(words) > PART:
+            return np.concatenate([self.decide(words[i : i + PART]) for i in range(0, len(words), PART)])
         cut = [views(w) for w in words]
         flat = [x for c in cut for x in c]
         owner = np.repeat(np.arange(len(words)), [len(c) for c in cut])
@@ -127,11 +131,15 @@ NOTHING = Machine(None, np.zeros(1, np.float32), 0.0, FLAT)
 
 def train(texts: list[str], toxic: list[int], prior: float) -> Machine:
     """A machine from labelled texts; prior is the share of toxic ones in the whole, for the calibration."""
-    sentences = [[[normal(w) for w in words_of(s)] for s in _SENTENCE.split(t)] for t in texts]
     y = np.array(toxic)
     if not 0 < y.sum() < len(y):
         return NOTHING
-    bags = [{w for s in d for w in s if 3 <= len(w) <= WINDOW} for d in sentences]
+    once: dict[str, str] = {}  # each word is kept in memory once
+    sentences, bags = [], []
+    for text, label in zip(texts, toxic, strict=True):
+        cut = [{once.setdefault(w, w) for x in words_of(s) if 3 <= len(w := normal(x)) <= WINDOW} for s in _SENTENCE.split(text)]
+        bags.append(set().union(*cut))
+        sentences.append(cut if label else [])
     # of near copies one tells, else their rare words look like a sign of the label
     alone = list({(label, tuple(sorted(zlib.crc32(w.encode()) for w in bag)[:4])): k for k, (bag, label) in enumerate(zip(bags, y.tolist(), strict=True))}.values())
     sentences, bags, y = [sentences[k] for k in alone], [bags[k] for k in alone], y[alone]
@@ -147,13 +155,13 @@ def train(texts: list[str], toxic: list[int], prior: float) -> Machine:
     for d, label in zip(sentences, y, strict=True):
         if label:
             for s in d:
-                if known := [(suspicion(w), w) for w in s if 3 <= len(w) <= WINDOW and not seen_clean[w]]:
+                if known := [(suspicion(w), w) for w in s if not seen_clean[w]]:
                     top = max(known)
                     if top[0] > 0:
                         witness[top[1]] += 1
     if not witness:
         return NOTHING
-    positive = [w for w, _ in witness.most_common(3000)]
+    positive = [w for w, _ in witness.most_common(2000)]
     good_words = sorted(seen_clean)
     # the most frequent clean words, and those that look most like the witnesses; later those that score highest join
     rare = sorted(seen_clean, key=lambda w: (-suspicion(w), w))[:1000]
@@ -172,7 +180,7 @@ def train(texts: list[str], toxic: list[int], prior: float) -> Machine:
         table, b = _nystroem(alphabet, marks, positive + variants + negative, t, cost)
         machine = Machine(alphabet, table, b, FLAT)
         value = machine.decide(good_words)
-        hard = [good_words[i] for i in np.argsort(-value)[:1500]]
+        hard = [good_words[i] for i in np.argsort(-value)[:1000]]
         negative = list(dict.fromkeys(negative + hard))
     b = machine.bias
     flat = sorted({w for bag in bags for w in bag})
@@ -194,18 +202,18 @@ def _nystroem(alphabet: Alphabet, marks: list[str], words: list[str], t: np.ndar
 
     def kernel(some: list[str]) -> np.ndarray:
         out = []
-        for i in range(0, len(some), 1000):
-            part = some[i : i + 1000]
+        for i in range(0, len(some), 250):
+            part = some[i : i + 250]
             o, codes, weights = alphabet.subsequences(part)
             seen = spot[codes] >= 0
             dense = np.bincount(o[seen] * len(used) + spot[codes][seen], weights[seen], len(part) * len(used))
-            out.append(dense.reshape(len(part), -1) @ basis.T)
+            out.append((dense.reshape(len(part), -1) @ basis.T).astype(np.float32))
         return np.concatenate(out)
 
     values, vectors = np.linalg.eigh(kernel(marks))
-    kept = values > 1e-6 * values.max()
+    kept = values > 1e-5 * values.max()
     root = vectors[:, kept] / np.sqrt(values[kept])
-    w, b = _hinge(kernel(words) @ root, t, cost)
+    w, b = _hinge(kernel(words) @ root.astype(np.float32), t, cost)
     table = np.zeros(CODES, np.float32)
     table[used] = (root @ w) @ basis
     return table, b
@@ -220,12 +228,16 @@ def _likelihood(n: int, c: int, bad: int, good: int) -> float:
 
 def _hinge(x: np.ndarray, t: np.ndarray, cost: np.ndarray, reg: float = 1e-5, rounds: int = 50) -> tuple[np.ndarray, float]:
     """A linear machine for the squared hinge loss by Newton steps over the examples inside the margin."""
-    z = np.hstack([x, np.ones((len(x), 1))])
+    z = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     v = np.zeros(z.shape[1])
     inside = np.ones(len(z), bool)
     for _ in range(rounds):
-        a = z[inside] * cost[inside, None]
-        v = np.linalg.solve(z[inside].T @ a + reg * np.eye(len(v)), a.T @ t[inside])
+        a, own = z[inside], cost[inside]
+        square, target = reg * np.eye(len(v)), (own * t[inside]) @ a
+        for i in range(0, len(a), 1000):
+            part = a[i : i + 1000].astype(float)
+            square += (part * own[i : i + 1000, None]).T @ part
+        v = np.linalg.solve(square, target)
         new = t * (z @ v) < 1
         if (new == inside).all():
             break
