@@ -5,10 +5,12 @@ coordinate-value pairs. A pair of similarity 0.75 shares fewer than MATCHES of C
 million, so pairs sharing at least that many are candidates. They share one of the COORDINATES - MATCHES + 1 rarest
 values of either (prefix), so only those are posted, in one global order by frequency: values of common passages
 drop out, and values that no other class has are skipped. Groups of near copies are first contracted: each class
-tries the first and last class of its posting lists and takes the one that collides most. Then lists whose classes
-are in one component are skipped, and in the others every class outside the largest component meets all classes
-of other components; equal or linked copies are never expanded into pairs. Candidates whose signatures collide
-MATCHES times are confirmed exactly; components come from alternating star contraction.
+tries the hub of each of its posting lists, the class whose values are the most frequent ones, and takes the one that
+collides most. Then lists whose classes are in one component are skipped. In the others, the shingles that a class
+alone has are counted exactly: a pair's intersection is no larger than what is left of either, so classes with many
+edits of their own need no partner. Then every class outside a list's largest component meets classes of other
+components; equal or linked copies are never expanded into pairs. Candidates whose signatures collide MATCHES times
+are confirmed exactly; components come from alternating star contraction.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from quillscan.llm.common import bounded_batches, saved
 #: Words of a shingle; similarity in hundredths; signature length; least collisions of a candidate.
 WORDS, NEAR, COORDINATES, MATCHES = 5, 75, 48, 22
 #: Words that a worker's memo keeps; pairs or ids that are broadcast at most.
-MEMO, MOST_SENT = 300_000, 2_000_000
+MEMO, MOST_SENT = 200_000, 500_000
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 SIGNATURE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set", T.LongType()), T.StructField("signature", T.ArrayType(T.IntegerType()))])
 
@@ -98,14 +100,36 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """For each class the values among its rarest that other classes have too, with the first and last class that has each."""
+    """For each class the values among its rarest that other classes have too, with the first class and the hub of each."""
     key = F.shiftleft(F.col("c").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
     all_ = classes.select("set", F.posexplode("signature").alias("c", "v")).select("set", key.alias("key"))
-    common = all_.groupBy("key").agg(F.count("*").alias("n"), F.min("set").alias("first"), F.max("set").alias("last")).where("n > 1")
-    shared = all_.join(common, "key").groupBy("set").agg(F.sort_array(F.collect_list(F.struct("n", "key", "first", "last"))).alias("own"))  # at most COORDINATES
+    common = all_.groupBy("key").agg(F.count("*").alias("n"), F.min("set").alias("first")).where("n > 1")
+    shared = all_.join(common, "key").groupBy("set").agg(F.sort_array(F.collect_list(F.struct("n", "key", "first"))).alias("own"))  # at most COORDINATES
     prefix = COORDINATES - MATCHES + 1
     rare = F.slice("own", 1, F.greatest(F.lit(0), prefix - COORDINATES + F.size("own")))
-    return shared.select("set", F.explode(rare).alias("p")).select("set", "p.key", "p.first", "p.last")
+    central = F.aggregate("own", F.lit(0).cast("long"), lambda x, y: x + y["n"])
+    posts = saved(shared.select("set", central.alias("central"), F.explode(rare).alias("p")).select("set", "central", "p.key", "p.first"), "prefixes")
+    hubs = posts.groupBy("key").agg(F.max(F.struct("central", "set")).alias("hub")).select("key", F.col("hub.set").alias("hub"))
+    return posts.join(hubs, "key").select("set", "key", "first", "hub")
+
+
+def unshared(some: DataFrame, docs: DataFrame) -> DataFrame:
+    """set, alone: how many shingles each of some classes (set, rep) has that none of the others has."""
+    some = some.select("set", F.col("rep").alias("doc_id"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(some) if some.count() <= MOST_SENT else some, "doc_id").select("set", "text")
+    bounded_batches(docs.sparkSession)
+
+    @F.arrow_udf("array<long>")
+    def hashes(sets: pa.Array, xs: pa.Array) -> pa.Array:
+        out = []
+        for own, x in zip(sets.to_pylist(), xs.to_pylist(), strict=True):
+            h = shingles(x)
+            same = np.array([xxhash.xxh3_64_intdigest(h.tobytes())], np.uint64).view(np.int64)[0] == own  # else another text of a repeated id
+            out.append(h.view(np.int64) if same else h[:0].view(np.int64))
+        return pa.array(out, pa.list_(pa.int64()))
+
+    each = texts.select("set", F.explode(hashes("set", "text")).alias("h"))
+    return each.groupBy("h").agg(F.count("*").alias("n"), F.min("set").alias("set")).where("n = 1").groupBy("set").agg(F.count("*").alias("alone"))
 
 
 def colliding(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -176,25 +200,30 @@ def find(df: DataFrame) -> DataFrame:
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = saved(signatures(docs), "signatures")
     named = signed.where("doc_id is not null")
-    classes = named.where("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.count("*").alias("copies"))
+    classes = named.where("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"))
     classes = saved(classes, "classes")
     posts = saved(postings(classes), "postings")
 
-    tried = posts.select(F.col("set").alias("a"), F.explode(F.array("first", "last")).alias("b")).where("a <> b")
+    tried = posts.select(F.col("set").alias("a"), F.explode(F.array("first", "hub")).alias("b")).where("a <> b")
     best = colliding(tried, classes).groupBy("a").agg(F.max_by(F.struct("b", "rep_a", "rep_b"), F.struct("hits", "b")).alias("x")).select("a", "x.b", "x.rep_a", "x.rep_b")
     edges = saved(confirmed(best, docs), "links")
     roots = components(edges)
 
     label = F.coalesce("root", "set")
     placed = posts.join(roots, posts["set"] == roots["node"], "left").select("set", "key", label.alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    lists = saved(placed.join(mixed, "key"), "lists")
+    several = lambda df: df.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    lists = saved(placed.join(several(placed), "key"), "lists")
+    some = lists.select("set").distinct().join(classes.select("set", "rep", "n"), "set")
+    common = some.join(unshared(some, docs), "set", "left").select("set", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common")).where(F.col("common") * 100 >= F.col("n") * NEAR)
+    lists = lists.join(common, "set")
+    lists = saved(lists.join(several(lists), "key"), "lists")
     per = lists.groupBy("key", "root").agg(F.count("*").alias("n"))
-    largest = per.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
-    outside = lists.join(largest, "key").where("root <> most").select("key", F.col("set").alias("a"), F.col("root").alias("ra"), "most")
-    inside = lists.select("key", F.col("set").alias("b"), F.col("root").alias("rb"))
+    largest = per.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most")).select("key", F.col("most.root").alias("most"))
+    outside = lists.join(largest, "key").where("root <> most").select("key", F.col("set").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("common").alias("ca"), "most")
+    inside = lists.select("key", F.col("set").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("common").alias("cb"))
+    fits = F.least("ca", "cb") * (100 + NEAR) >= (F.col("na") + F.col("nb")) * NEAR
     # of two classes outside the largest component, one order is enough
-    met = outside.join(inside, "key").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("most")) | (F.col("a") < F.col("b")))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    met = outside.join(inside, "key").where(fits & (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("most")) | (F.col("a") < F.col("b")))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = confirmed(colliding(met, classes).drop("hits"), docs)
     roots = components(edges.unionByName(more))
 
