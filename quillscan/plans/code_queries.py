@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillscan.operators import rules
+from quillscan.operators import rules, taint, text_rules
 from quillscan.plans import report, scan
 from quillscan.sources import snippets
 from quillscan.sources.tables import skipped
@@ -92,6 +92,71 @@ def inline_suppression(spark, sf: str) -> DataFrame:
     return scan.findings(files, scan.Options(directive=snippets.DIRECTIVE)).select("path", "rule_id", "line")
 
 
+@_query(snippets.expected("flows", "a, b, sink", "CAST(a AS INTEGER) AS source_line, CAST(b AS INTEGER) AS sink_line, sink"))
+def taint_paths_intra(spark, sf: str) -> DataFrame:
+    return taint.local_paths(snippets.files(spark, sf)).select("path", "source_line", "sink_line", "sink").distinct()
+
+
+@_query(snippets.expected("chains", "a, b, n", "CAST(a AS INTEGER) AS source_line, CAST(b AS INTEGER) AS sink_line, CAST(n AS INTEGER) AS n_calls"))
+def taint_paths_inter(spark, sf: str) -> DataFrame:
+    return taint.cross_paths(snippets.files(spark, sf)).select("path", "source_line", "sink_line", F.size("calls").alias("n_calls")).distinct()
+
+
+@_query(snippets.expected("edges", "caller, callee, line", "replace(caller, '{k}', CAST(p_partkey AS VARCHAR)) AS caller, callee, CAST(line AS BIGINT) AS line"))
+def call_graph_edges(spark, sf: str) -> DataFrame:
+    return taint.call_edges(snippets.files(spark, sf))
+
+
+@_query(snippets.expected("pairs", "a, b", "CAST(a AS BIGINT) AS source_line, CAST(b AS BIGINT) AS sink_line"))
+def cooccurrence_heuristic(spark, sf: str) -> DataFrame:
+    return taint.nearest_sources(snippets.files(spark, sf)).select("path", "source_line", "sink_line")
+
+
+_RECEIVERS = ["userDb", "db_pool", "feedback", "self.conn", "$pdo->x", "get_db()", "photos", "appdb", "DB::link", "a[0].client", "XMLHttpDb", "dbg"]
+_SQL_WORDS = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(seg, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'), ' +', ' ', 'g')"
+
+
+@_query(f"""WITH r AS (SELECT p_partkey, [{", ".join("'" + x + "'" for x in _RECEIVERS)}][p_partkey % {len(_RECEIVERS)} + 1] AS receiver FROM part),
+s AS (SELECT p_partkey, receiver, unnest(string_split(replace(replace(receiver, '->', '.'), '::', '.'), '.')) AS seg0 FROM r),
+c AS (SELECT p_partkey, receiver, trim(regexp_replace(regexp_replace(regexp_replace(seg0, '\\(.*$', ''), '\\[[^\\]]*\\]', '', 'g'), '^\\$', '')) AS seg FROM s),
+w AS (SELECT p_partkey, receiver, lower(seg) AS part, unnest(string_split(lower(trim({_SQL_WORDS})), ' ')) AS word FROM c)
+SELECT p_partkey, receiver, bool_or(part IN ('db', 'conn', 'pool', 'client', 'pdo', 'link') OR word IN ('db', 'conn', 'pool', 'client', 'pdo', 'link') OR (length(word) > 2 AND ends_with(word, 'db'))) AS named FROM w GROUP BY 1, 2""")
+def receiver_word_match(spark, sf: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    r = part.select("p_partkey", F.element_at(F.lit(_RECEIVERS), (F.col("p_partkey") % len(_RECEIVERS) + 1).cast("int")).alias("receiver"))
+    return r.withColumn("named", rules.names_any(F.col("receiver"), ["db", "conn", "pool", "client", "pdo", "link"], ["db"]))
+
+
+_LINES = f"SELECT {snippets._PATH} AS path, generate_subscripts(ls, 1) AS line_no, unnest(ls) AS line FROM (SELECT p_size, p_partkey, ext, string_split(replace(body, '{{k}}', CAST(p_partkey AS VARCHAR)), chr(10)) AS ls FROM part JOIN {snippets._sql(*((k, s.ext, s.content) for k, s in enumerate(snippets.SNIPPETS)))} t(template, ext, body) ON p_partkey % {len(snippets.SNIPPETS)} = template)"
+
+
+def _code_lines(spark, sf: str) -> DataFrame:
+    files = snippets.files(spark, sf)
+    return files.select("path", F.posexplode(F.split("content", "\n")).alias("_n", "line")).select("path", (F.col("_n") + 1).cast("long").alias("line_no"), "line")
+
+
+_SQL_STRIP = "regexp_replace(line, '" + text_rules.LITERAL.replace("'", "''") + "', '\uffff', 'g')"
+
+
+@_query(f"SELECT path, line_no, {_SQL_STRIP} AS stripped, regexp_matches({_SQL_STRIP}, '[\\p{{L}}\\p{{N}}_$]') AS dynamic FROM ({_LINES}) WHERE contains(line, '+')")
+def literal_strip_dynamic_concat(spark, sf: str) -> DataFrame:
+    plus = _code_lines(spark, sf).where(F.col("line").contains("+"))
+    return plus.select("path", "line_no", text_rules.strip_literals(F.col("line")).alias("stripped"), text_rules.has_dynamic_part(F.col("line")).alias("dynamic"))
+
+
+_SQL_CASE = "CASE " + " ".join("WHEN regexp_matches(line, '" + p.replace("'", "''") + "') THEN '" + n + "'" for p, n in text_rules.MISCONFIGURED) + " END"
+
+
+@_query(f"SELECT path, line_no, {_SQL_CASE} AS misconfiguration FROM ({_LINES}) WHERE {_SQL_CASE} IS NOT NULL")
+def misconfig_first_pattern(spark, sf: str) -> DataFrame:
+    return _code_lines(spark, sf).select("path", "line_no", text_rules.misconfiguration(F.col("line")).alias("misconfiguration")).where("misconfiguration is not null")
+
+
+@_query(f"SELECT path, line_no FROM ({_LINES}) WHERE regexp_matches(line, '{text_rules.SLOW_PATTERN}')")
+def redos_scan(spark, sf: str) -> DataFrame:
+    return _code_lines(spark, sf).where(F.col("line").rlike(text_rules.SLOW_PATTERN)).select("path", "line_no")
+
+
 def queries() -> dict:
     return dict(_Q)
 

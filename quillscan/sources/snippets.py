@@ -25,7 +25,7 @@ class Snippet:
 
 
 SNIPPETS = [
-    Snippet(".js", "const id{k} = req.query.id;\nfunction load(db) {\n  return db.query(`SELECT * FROM t{k} WHERE id = ${id{k}}`);\n}\nlogger.info('ready {k}');\n", (("CG-001", 3),)),
+    Snippet(".js", "const id{k} = req.query.id;\nfunction load(db) {\n  return db.query(`SELECT * FROM t{k} WHERE id = ${id{k}}`);\n}\nlogger.info('ready {k}');\n", (("CG-001", 3),), pairs=((1, 3),)),
     Snippet(".js", "const cp = require('child_process');\nfunction run(name) {\n  cp.exec('ls {k} ' + name);\n  eval(name);\n}\nsetTimeout(() => run('x'), {k});\nsetTimeout('tick({k})', 10);\n", (("CG-002", 3), ("CG-003", 4), ("CG-003", 7))),
     Snippet(".ts", "function show{k}(el: HTMLElement, safe: string) {\n  render(el.innerHTML, safe);\n  paint(document.write, location.hash);\n  draw(safe);\n}\n", (("CG-010", 2), ("CG-010", 3), ("CG-011", 3))),
     Snippet(".js", "const password = 'hunter{k}two';\nconst token = process.env.TOKEN;\nconst secret = 'example-{k}';\nconst h = crypto.createHash('md5');\nconst n = crypto.createHash('sha256');\n", (("CG-020", 1), ("CG-021", 4))),
@@ -33,7 +33,7 @@ SNIPPETS = [
     Snippet(".js", "users.find(req.body);\nusers.updateOne({ id: {k} }, req.body);\nusers.find({ id: {k} });\nres.redirect(req.query.next);\nres.redirect('/home/{k}');\n", (("CG-024", 1), ("CG-024", 2), ("CG-025", 4))),
     Snippet(".js", "jwt.verify(t, key{k}, { algorithms: ['none'] });\nfs.readFile('/data/{k}/' + name, done);\nfs.readFile(req.params.file, done);\nfs.readFile('/etc/app{k}.json', done);\n", (("CG-026", 1), ("CG-030", 2), ("CG-031", 3))),
     Snippet(".ts", "console.log('user password {k}', value);\nconsole.log('started {k}');\nstore.deserialize(blob{k});\nsession({ secure: false, id: {k} });\nparseXml(doc, { noent: true, id: {k} });\nfetch('https://h{k}/' + host);\nfetch('https://fixed/{k}');\n", (("CG-040", 1), ("CG-041", 3), ("CG-050", 4), ("CG-060", 6), ("CG-070", 5))),
-    Snippet(".py", "import os\n\ndef handler{k}(request):\n    name = request.args.get('name')\n    os.system('ls {k} ' + name)\n    return name\n", (("CG-002", 5),), ((4, 5, "os.system"),), ((4, 5, 0),), (), ((4, 5),)),
+    Snippet(".py", "import os\n\ndef handler{k}(request):\n    name = request.args.get('name')\n    os.system('ls {k} ' + name)\n    return name\n", (("CG-002", 5),), ((4, 5, "os.system"),), ((4, 5, 0),)),
     Snippet(".py", "def find(cursor, uid):\n    cursor.execute(f\"SELECT * FROM t{k} WHERE id = {uid}\")\n    cursor.execute('SELECT * FROM t{k} WHERE id = %s' % uid)\n    cursor.execute('SELECT {k} FROM t WHERE id = ?', (uid,))\n    eval(uid)\n", (("CG-001", 2), ("CG-001", 3), ("CG-003", 5))),
     Snippet(".py", "import pickle, yaml, random\n\ndef token(blob):\n    a = pickle.loads(blob)\n    b = yaml.load(blob, Loader=yaml.SafeLoader)\n    c = random.randint(0, {k})\n    return mark_safe(blob)\n", (("CG-010", 7), ("CG-022", 6), ("CG-041", 4))),
     Snippet(".py", "api_key = 'k3y-{k}-value'\nclient = requests.get('https://h{k}/' + host, verify=False)\npattern = re.compile('(x*)*{k}')\nsafe = re.compile('x*{k}')\ncipher = DES.new(key)\n", (("CG-020", 1), ("CG-021", 5), ("CG-023", 3), ("CG-050", 2), ("CG-060", 2))),
