@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillscan.operators import rules, taint, text_rules
+from quillscan.operators import custom_rules, enrich, parse, rules, taint, text_rules
 from quillscan.plans import report, scan
-from quillscan.sources import snippets
+from quillscan.sources import diffs, snippets
 from quillscan.sources.tables import skipped
 
 _Q, _O = {}, {}
@@ -157,6 +157,83 @@ def redos_scan(spark, sf: str) -> DataFrame:
     return _code_lines(spark, sf).where(F.col("line").rlike(text_rules.SLOW_PATTERN)).select("path", "line_no")
 
 
+YAML_RULES = [
+    {"id": "X-001", "name": "Shell", "severity": "high", "category": "injection", "languages": ["python", "java"], "description": "-", "patterns": [{"function": {"match": ["system", "exec"], "on": ["os", "untime"]}, "arguments": [{"type": "string_concat", "hasExpressions": True}]}], "exclude": [{"function": {"match": ["exec"], "on": ["getRuntime"]}, "hasExpressions": False}]},
+    {"id": "X-002", "name": "Template", "severity": "low", "category": "data", "languages": ["javascript"], "description": "-", "patterns": [{"type": "template_string", "hasExpressions": True}]},
+]
+_X = [(8, "X-001", 5), (0, "X-002", 3), (15, "X-001", 4), (19, "X-001", 5), (19, "X-001", 7), (19, "X-001", 8), (20, "X-002", 6)]
+
+
+@_query(f"SELECT {snippets._PATH} AS path, rule_id, CAST(line AS BIGINT) AS line FROM {snippets._PARTS} JOIN {snippets._sql(*_X)} x(x_template, rule_id, line) ON x_template = template")
+def yaml_rule_scan(spark, sf: str) -> DataFrame:
+    custom = custom_rules.compile_rules([custom_rules.validate(d, "-") for d in YAML_RULES])
+    return scan.findings(snippets.files(spark, sf), scan.Options(preset="none", custom=custom, directive=None)).select("path", "rule_id", "line")
+
+
+_CALLS = [(0, 3, "query", "db", 1), (6, 2, "readFile", "fs", 2), (6, 3, "readFile", "fs", 2), (6, 4, "readFile", "fs", 2), (13, 6, "Command", "exec", 3), (15, 6, "readObject", "in", 0), (16, 5, "setSecure", "cookie", 1), (17, 3, "query", "$pdo", 1)]
+
+
+@_query(f"SELECT {snippets._PATH} AS path, CAST(line AS INTEGER) AS line, name, object, CAST(n AS INTEGER) AS n_args FROM {snippets._PARTS} JOIN {snippets._sql(*_CALLS)} x(x_template, line, name, object, n) ON x_template = template")
+def call_info_extract(spark, sf: str) -> DataFrame:
+    """Receiver, name and number of arguments of some calls."""
+    calls = parse.nodes(snippets.files(spark, sf)).where("kind = 'function_call'")
+    wanted = F.col("name").isin("query", "readFile", "Command", "readObject", "setSecure") & F.col("object").isin("db", "fs", "exec", "in", "cookie", "$pdo")
+    return calls.where(wanted).select("path", F.col("sl").alias("line"), "name", "object", F.size("args").alias("n_args"))
+
+
+_ARGS = [(6, 1, 0, "t"), (6, 1, 1, "key{k}"), (6, 1, 2, "{ algorithms: ['none'] }"), (13, 6, 0, '"sh"'), (13, 6, 1, '"-c"'), (13, 6, 2, '"ls {k} " + dir')]
+
+
+@_query(f"SELECT {snippets._PATH} AS path, CAST(line AS INTEGER) AS line, CAST(pos AS INTEGER) AS pos, replace(arg, '{{k}}', CAST(p_partkey AS VARCHAR)) AS arg FROM {snippets._PARTS} JOIN {snippets._sql(*_ARGS)} x(x_template, line, pos, arg) ON x_template = template")
+def split_top_level_args(spark, sf: str) -> DataFrame:
+    calls = parse.nodes(snippets.files(spark, sf)).where("kind = 'function_call' and name in ('verify', 'Command')")
+    return calls.select("path", F.col("sl").alias("line"), F.posexplode("args").alias("pos", "arg"))
+
+
+@_query(snippets.expected("findings", "rule_id, line", "rule_id, CAST(line AS INTEGER) AS line").replace("SELECT", "SELECT * FROM (SELECT", 1) + ") WHERE rule_id = 'CG-031' AND (path LIKE '%.js' OR path LIKE '%.go')")
+def assigned_from_lookup(spark, sf: str) -> DataFrame:
+    """File access whose argument is, or was assigned from, user input."""
+    hits = rules.match(parse.nodes(snippets.files(spark, sf).where("lang in ('javascript', 'go')")), [r for r in rules.load() if r.id == "CG-031"])
+    return hits.select("path", "rule_id", F.col("sl").alias("line"))
+
+
+_DIFF = "diff --git a/x b/x\n--- a/f{k}.py\n+++ b/f{k}.py\t2024\n@@ -1,3 +1,4 @@\n a\n-b\n+++ c\n+d\n e\n@@ -9 +11,2 @@\n-x\n+y\n+z\n--- a/gone\n+++ /dev/null\n@@ -1 +0,0 @@\n-q\n"
+
+
+@_query("SELECT p_partkey, 'f' || p_partkey || '.py' AS file, unnest([2, 3, 11, 12]) :: BIGINT AS line FROM part")
+def unified_diff_parse(spark, sf: str) -> DataFrame:
+    """Added lines of diffs whose bodies hold lines that look like heads."""
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    return diffs.changed_lines(part.select("p_partkey", F.replace(F.lit(_DIFF), F.lit("{k}"), F.col("p_partkey").cast("string")).alias("diff")), "p_partkey")
+
+
+_VERDICT = "('0x' || substr(sha256(path || rule_id || line), 1, 1))::INTEGER"
+
+
+@_query(f"SELECT path, rule_id, CAST(line AS BIGINT) AS line, CASE WHEN {_VERDICT} < 2 THEN 'kept' WHEN {_VERDICT} < 9 THEN 'confirmed' ELSE 'dismissed' END AS outcome FROM ({_LABELS})")
+def verdict_partition(spark, sf: str) -> DataFrame:
+    """Outcomes under a stub model that decides by a digest and sometimes fails."""
+    return enrich.partition(_reviewed(spark, sf)).select("path", "rule_id", "line", "outcome")
+
+
+def _reviewed(spark, sf: str) -> DataFrame:
+    found = _found(spark, sf).select("path", "rule_id", "line").withColumn("prompt", F.concat("path", "rule_id", F.col("line").cast("string")))
+
+    def ask(prompt: str) -> str:
+        import hashlib
+
+        n = int(hashlib.sha256(prompt.encode()).hexdigest()[0], 16)
+        return "no json" if n < 2 else '{"confirmed": %s, "confidence": 2, "reasoning": "stub"}' % ("true" if n < 9 else "false")
+
+    return enrich.review(found, ask)
+
+
+@_query(f"""SELECT count(*) AS total, count(*) FILTER (s) AS reviewed, count(*) FILTER (s AND v < 9) AS confirmed, count(*) FILTER (s AND v >= 9) AS dismissed, count(*) FILTER (NOT s) AS rule_only
+FROM (SELECT rule_id IN ('CG-001', 'CG-002', 'CG-031') AS s, {_VERDICT} AS v FROM ({_LABELS}))""")
+def dual_channel_stats(spark, sf: str) -> DataFrame:
+    return enrich.channel_stats(_reviewed(spark, sf), F.col("rule_id").isin("CG-001", "CG-002", "CG-031"))
+
+
 def queries() -> dict:
     return dict(_Q)
 
