@@ -5,12 +5,12 @@ coordinate-value pairs. A pair of similarity 0.75 shares fewer than MATCHES of C
 million, so pairs sharing at least that many are candidates. They share one of the COORDINATES - MATCHES + 1 rarest
 values of either (prefix), so only those are posted, in one global order by frequency: values of common passages
 drop out, and values that no other class has are skipped. Groups of near copies are first contracted: each class
-tries the hub of each of its posting lists, the class whose values are the most frequent ones, and takes the one that
-collides most. Then lists whose classes are in one component are skipped. In the others, the shingles that a class
-alone has are counted exactly: a pair's intersection is no larger than what is left of either, so classes with many
-edits of their own need no partner. Then every class outside a list's largest component meets classes of other
-components; equal or linked copies are never expanded into pairs. Candidates whose signatures collide MATCHES times
-are confirmed exactly; components come from alternating star contraction.
+tries the hub of each of its posting lists, the class whose values are the most frequent ones, and takes those that
+collide most. Then lists whose classes are in one component are skipped. The classes of the others post their rarest shingles, as many as a linked pair
+can't avoid sharing, with their places: a class with many edits of its own meets nobody. There every class outside a
+list's largest component meets classes of other components; equal or linked copies are never expanded into pairs.
+Candidates whose signatures collide MATCHES times are confirmed exactly; components come from alternating star
+contraction.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from quillscan.llm.common import bounded_batches, saved
 
 #: Words of a shingle; similarity in hundredths; signature length; least collisions of a candidate.
 WORDS, NEAR, COORDINATES, MATCHES = 5, 75, 48, 22
+#: Leaders that a class is held against before others.
+LEADERS = 4
 #: Words that a worker's memo keeps; pairs or ids that are broadcast at most.
 MEMO, MOST_SENT = 200_000, 500_000
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
@@ -113,10 +115,15 @@ def postings(classes: DataFrame) -> DataFrame:
     return posts.join(hubs, "key").select("set", "key", "first", "hub")
 
 
-def unshared(some: DataFrame, docs: DataFrame) -> DataFrame:
-    """set, alone: how many shingles each of some classes (set, rep) has that none of the others has."""
-    some = some.select("set", F.col("rep").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(F.broadcast(some) if some.count() <= MOST_SENT else some, "doc_id").select("set", "text")
+def prefixes(some: DataFrame, docs: DataFrame) -> DataFrame:
+    """For some classes (set, rep, n): their rarest shared shingles, enough that no linked pair shares none of them.
+
+    Shingles are ordered by how many of these classes have them; those that one class alone has come first and are
+    only counted. key is a shingle at place at (from 0) in its class's order, kept up to a quarter of the n shingles;
+    a class whose own shingles reach further can have no partner and has no row.
+    """
+    sent = some.select("set", F.col("rep").alias("doc_id"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(sent) if sent.count() <= MOST_SENT else sent, "doc_id").select("set", "text")
     bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("array<long>")
@@ -128,8 +135,14 @@ def unshared(some: DataFrame, docs: DataFrame) -> DataFrame:
             out.append(h.view(np.int64) if same else h[:0].view(np.int64))
         return pa.array(out, pa.list_(pa.int64()))
 
-    each = texts.select("set", F.explode(hashes("set", "text")).alias("h"))
-    return each.groupBy("h").agg(F.count("*").alias("n"), F.min("set").alias("set")).where("n = 1").groupBy("set").agg(F.count("*").alias("alone"))
+    once = texts.select("set", hashes("set", "text").alias("hs")).where(F.size("hs") > 0)
+    each = once.select("set", F.explode("hs").alias("key"))
+    common = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    shared = each.join(common, "key").groupBy("set").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("df", "key")))).alias("own"))
+    first = F.col("n") - F.size("own")
+    kept = F.greatest(F.lit(0), F.floor(F.col("n") * (100 - NEAR) / 100) + 1 - first).cast("int")
+    placed = shared.join(some.select("set", "n"), "set").select("set", "n", first.alias("first"), F.posexplode(F.slice("own", 1, kept)).alias("k", "x"))
+    return placed.select("set", "n", (F.col("first") + F.col("k")).alias("at"), "x.key")
 
 
 def colliding(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -205,23 +218,25 @@ def find(df: DataFrame) -> DataFrame:
     posts = saved(postings(classes), "postings")
 
     tried = posts.select(F.col("set").alias("a"), F.explode(F.array("first", "hub")).alias("b")).where("a <> b")
-    best = colliding(tried, classes).groupBy("a").agg(F.max_by(F.struct("b", "rep_a", "rep_b"), F.struct("hits", "b")).alias("x")).select("a", "x.b", "x.rep_a", "x.rep_b")
+    leaders = F.sort_array(F.collect_list(F.struct("hits", "b", "rep_a", "rep_b")), asc=False)  # of one class: two a list at most
+    best = colliding(tried, classes).groupBy("a").agg(F.slice(leaders, 1, LEADERS).alias("x")).select("a", F.explode("x").alias("x")).select("a", "x.b", "x.rep_a", "x.rep_b")
     edges = saved(confirmed(best, docs), "links")
     roots = components(edges)
 
     label = F.coalesce("root", "set")
     placed = posts.join(roots, posts["set"] == roots["node"], "left").select("set", "key", label.alias("root"))
     several = lambda df: df.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    lists = saved(placed.join(several(placed), "key"), "lists")
-    some = lists.select("set").distinct().join(classes.select("set", "rep", "n"), "set")
-    common = some.join(unshared(some, docs), "set", "left").select("set", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common")).where(F.col("common") * 100 >= F.col("n") * NEAR)
-    lists = lists.join(common, "set")
+    some = placed.join(several(placed), "key").select("set", "root").distinct()
+    some = saved(some.join(classes.select("set", "rep", "n"), "set"), "some")
+    lists = prefixes(some, docs).join(some.select("set", "root"), "set")
+    lists = saved(lists, "prefixes")
     lists = saved(lists.join(several(lists), "key"), "lists")
     per = lists.groupBy("key", "root").agg(F.count("*").alias("n"))
     largest = per.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most")).select("key", F.col("most.root").alias("most"))
-    outside = lists.join(largest, "key").where("root <> most").select("key", F.col("set").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("common").alias("ca"), "most")
-    inside = lists.select("key", F.col("set").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("common").alias("cb"))
-    fits = F.least("ca", "cb") * (100 + NEAR) >= (F.col("na") + F.col("nb")) * NEAR
+    outside = lists.join(largest, "key").where("root <> most").select("key", F.col("set").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("at").alias("ia"), "most")
+    inside = lists.select("key", F.col("set").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    # what stands behind a pair's first common shingle must be enough for the intersection that their sizes ask for
+    fits = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (100 + NEAR) >= (F.col("na") + F.col("nb")) * NEAR
     # of two classes outside the largest component, one order is enough
     met = outside.join(inside, "key").where(fits & (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("most")) | (F.col("a") < F.col("b")))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = confirmed(colliding(met, classes).drop("hits"), docs)
