@@ -87,7 +87,7 @@ class Models:
         self.langs = sorted(texts)
         per = [estimate([w for t in texts[lang] for w in _LETTERS.findall(t.lower())] or ["a"]) for lang in self.langs]
         self.grams, self.contexts = [], []
-        for k in range(ORDER):
+        for k in range(ORDER if per else 0):
             for to, key, value, least in ((self.grams, 0, 1, 0.0), (self.contexts, 2, 3, 1.0)):
                 keys = np.unique(np.concatenate([p[k][key] for p in per]))
                 table = np.full((len(keys) + 1, len(per)), least, np.float32)  # the last row is for what no language has

@@ -129,6 +129,12 @@ FLAT = np.array([0.0]), np.array([0.0])
 NOTHING = Machine(None, np.zeros(1, np.float32), 0.0, FLAT)
 
 
+def _mark(text: str) -> tuple[int, ...]:
+    """What near copies have in common: the least four hashes of three words in a row."""
+    w = text.lower().split()
+    return tuple(sorted({zlib.crc32(" ".join(w[i : i + 3]).encode()) for i in range(max(1, len(w) - 2))})[:4])
+
+
 def train(texts: list[str], toxic: list[int], prior: float) -> Machine:
     """A machine from labelled texts; prior is the share of toxic ones in the whole, for the calibration."""
     y = np.array(toxic)
@@ -141,7 +147,7 @@ def train(texts: list[str], toxic: list[int], prior: float) -> Machine:
         bags.append(set().union(*cut))
         sentences.append(cut if label else [])
     # of near copies one tells, else their rare words look like a sign of the label
-    alone = list({(label, tuple(sorted(zlib.crc32(w.encode()) for w in bag)[:4])): k for k, (bag, label) in enumerate(zip(bags, y.tolist(), strict=True))}.values())
+    alone = list({(label, _mark(text)): k for k, (text, label) in enumerate(zip(texts, y.tolist(), strict=True))}.values())
     sentences, bags, y = [sentences[k] for k in alone], [bags[k] for k in alone], y[alone]
     # a word's suspicion: the most telling of its runs of four letters, by documents of either label
     hits, clean = Counter(), Counter()
