@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillscan.sources.shared import saved
+
 
 def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in order."""
@@ -71,13 +73,14 @@ def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, depth: int) -> DataFrame:
-    """Pairs (src, dst, hops) with dst reached from src over at most `depth` edges, by a distinct frontier."""
-    edges = edges.select("src", "dst").distinct()
-    seen = edges.select("src", "dst", F.lit(1).cast("long").alias("hops"))
-    front = seen
+    """Pairs (src, dst, hops) with dst reached from src over at most `depth` edges, by a distinct frontier that is written at each step."""
+    edges = saved(edges.select("src", "dst").distinct(), "edges")
+    seen = front = edges.select("src", "dst", F.lit(1).cast("long").alias("hops"))
     for k in range(2, depth + 1):
         step = front.select("src", F.col("dst").alias("_m")).join(edges.withColumnsRenamed({"src": "_m"}), "_m").select("src", "dst").distinct()
-        front = step.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(k).cast("long"))
+        front = saved(step.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(k).cast("long")), "frontier")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 

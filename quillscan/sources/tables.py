@@ -37,7 +37,7 @@ def source_files(spark: SparkSession, root: str, excluded: list[str] | None = No
     path = F.regexp_replace("path", "^file:(//)?", "")
     rel = F.substring(path, F.length(base) + 1, F.length(path))
     kept = ~F.arrays_overlap(F.split(rel, "/"), F.lit(excluded or EXCLUDED))
-    return raw.select(rel.alias("path"), language_of(rel).alias("lang"), F.decode("content", "UTF-8").alias("content")).where(kept)
+    return raw.where(kept).select(rel.alias("path"), language_of(rel).alias("lang"), F.decode("content", "UTF-8").alias("content"))
 
 
 def skipped(files: DataFrame) -> DataFrame:
