@@ -2,47 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes that one Arrow batch holds at most; a batch is the unit of a Python worker's memory.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+from quillscan.sources.shared import remove, saved, shared_dir
 
+__all__ = ["bounded_batches", "held_out", "remove", "saved", "shared_dir", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir). Only a local session without one gets a folder of its own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    if not spark.conf.get("spark.master", "local").startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="quillscan-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may have ended
-        pass
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back: lineage ends there and a lost executor costs no recomputation.
-
-    The table is removed when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quillscan/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows and bytes that one Arrow batch holds at most; a batch is the unit of a Python worker's memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

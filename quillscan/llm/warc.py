@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillscan.llm.common import _remove, shared_dir
+from quillscan.llm.common import remove, shared_dir
 
 #: Payloads of fewer bytes are never revisited; copies' ids are broadcast up to this count.
 LEAST_BYTES, MOST_COPIES = 1000, 2_000_000
@@ -96,7 +96,7 @@ def export_warc(records: DataFrame, path: str) -> None:
 def op8(spark, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/quillscan/warc-{uuid.uuid4().hex}"
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     urn = lambda name: F.regexp_extract("header", f"\\r\\n{name}: <urn:page:(-?[0-9]+)>", 1).try_cast("long")
     read = read_archive(spark, path).where(F.coalesce(F.col("verified"), F.raise_error(F.lit("a payload is missing or has another digest")).cast("boolean")))
     got = read.withColumn("real", F.sha1("payload"))
