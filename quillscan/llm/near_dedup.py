@@ -138,7 +138,7 @@ def prefixes(some: DataFrame, docs: DataFrame) -> DataFrame:
     once = texts.select("set", hashes("set", "text").alias("hs")).where(F.size("hs") > 0)
     each = once.select("set", F.explode("hs").alias("key"))
     common = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    shared = each.join(common, "key").groupBy("set").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("df", "key")))).alias("own"))
+    shared = each.join(common, "key").groupBy("set").agg(F.sort_array(F.collect_set(F.struct("df", "key"))).alias("own"))
     first = F.col("n") - F.size("own")
     kept = F.greatest(F.lit(0), F.floor(F.col("n") * (100 - NEAR) / 100) + 1 - first).cast("int")
     placed = shared.join(some.select("set", "n"), "set").select("set", "n", first.alias("first"), F.posexplode(F.slice("own", 1, kept)).alias("k", "x"))
