@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import json
 import sys
 
@@ -67,8 +68,6 @@ def render(found: DataFrame, form: str) -> DataFrame:
     """A one-column DataFrame of the report's rows."""
     if form == "json":
         return report.json_lines(found)
-    if form == "sarif":
-        return report.sarif_results(found).select(F.to_json(F.struct("*")).alias("value"))
     if form == "github":
         return report.review_comments(found).select(F.to_json(F.struct(F.col("file").alias("path"), "line", "body")).alias("value"))
     return report.text_blocks(found).select(F.concat("file", F.lit(":"), F.col("line").cast("string"), F.lit(" "), "block").alias("value"))
@@ -94,6 +93,10 @@ def run_scan(spark: SparkSession, args: argparse.Namespace) -> int:
         if args.write_baseline:
             write_baseline(found, args.write_baseline)
             return 0
+        if (args.output or conf.output) == "sarif":
+            with open(args.output_file, "w") if args.output_file else contextlib.nullcontext(sys.stdout) as out:
+                report.write_sarif(found, out)
+            return int(report.fails(found, args.fail_on, rules.RANK).first()["fails"])
         rows = render(found, args.output or conf.output)
         if args.output_file:
             rows.write.mode("overwrite").text(args.output_file)

@@ -75,3 +75,20 @@ def context_frame(lined: DataFrame, key: str, radius: int) -> DataFrame:
     """Each line with `context`: the lines up to radius before and after it in its file, joined."""
     w = Window.partitionBy(key).orderBy("line_no").rowsBetween(-radius, radius)
     return lined.withColumn("context", F.array_join(F.collect_list("line").over(w), "\n"))
+
+
+def expectations(lined: DataFrame, word: str = "scan-expect") -> DataFrame:
+    """file, line and rule_id that comments of the form `word RULE, RULE` expect; of lines (file, line_no, line)."""
+    listed = F.regexp_extract("line", word + r"[:\s]+([A-Za-z]+-\d+(?:[\s,]+[A-Za-z]+-\d+)*)", 1)
+    rules = lined.where(F.col("line").contains(word)).select("file", F.col("line_no").alias("line"), F.explode(F.split(F.upper(listed), r"[\s,]+")).alias("rule_id"))
+    return rules.where("rule_id <> ''").distinct()
+
+
+def scores(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row: hits, false alarms, misses, precision and recall of findings against expectations, by file, line and rule."""
+    keys = ["file", "line", "rule_id"]
+    a = found.select(*keys).distinct().withColumn("_f", F.lit(1))
+    both = a.join(expected.select(*keys).distinct().withColumn("_e", F.lit(1)), keys, "full")
+    n = both.agg(F.count_if(F.col("_f").isNotNull() & F.col("_e").isNotNull()).alias("tp"), F.count_if(F.col("_e").isNull()).alias("fp"), F.count_if(F.col("_f").isNull()).alias("fn"))
+    share = lambda rest: F.col("tp") / F.nullif(F.col("tp") + F.col(rest), F.lit(0))
+    return n.withColumn("precision", share("fp")).withColumn("recall", share("fn"))

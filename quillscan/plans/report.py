@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,24 @@ def sarif_results(found: DataFrame) -> DataFrame:
     return found.select("rule_id", of(LEVEL, F.col("severity")).alias("level"), "file", F.col("sl").alias("start_line"), (F.col("sc") + 1).alias("start_column"), F.col("el").alias("end_line"), (F.col("ec") + 1).alias("end_column"), "fingerprint")
 
 
+#: Version and schema of the report format.
+SARIF_VERSION, SARIF_SCHEMA = "2.1.0", "https://json.schemastore.org/sarif-2.1.0.json"
+
+
+def write_sarif(found: DataFrame, out, version: str = "1") -> None:
+    """Writes one report document to a text stream: rules first, then results as they come from the cluster."""
+    rules = [
+        {"id": r["rule_id"], "name": r["name"], "shortDescription": {"text": r["name"]}, "defaultConfiguration": {"level": r["level"]}, "helpUri": r["help_uri"], "properties": {"tags": ["security", r["tag"]], "security-severity": r["score"]}}
+        for r in sarif_rules(found).orderBy("rule_id").collect()  # one row a rule
+    ]
+    out.write('{"version": %s, "$schema": %s, "runs": [{"tool": {"driver": {"name": "quillscan", "version": %s, "rules": %s}}, "results": [' % tuple(map(json.dumps, (SARIF_VERSION, SARIF_SCHEMA, version, rules))))
+    for k, r in enumerate(sarif_results(found).toLocalIterator()):
+        region = {"startLine": r["start_line"], "startColumn": r["start_column"], "endLine": r["end_line"], "endColumn": r["end_column"]}
+        row = {"ruleId": r["rule_id"], "level": r["level"], "message": {"text": r["rule_id"]}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["file"]}, "region": region}}], "partialFingerprints": {"primary": r["fingerprint"]}}
+        out.write((", " if k else "") + json.dumps(row))
+    out.write("]}]}\n")
+
+
 def fence(code: Column) -> Column:
     """A code fence longer than any run of backticks in the code."""
     runs = F.transform(F.regexp_extract_all(code, F.lit("(`+)"), F.lit(1)), F.length)

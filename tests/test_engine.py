@@ -230,3 +230,17 @@ def test_watch(spark, tmp_path):
     (tmp_path / "in/b.py").write_text("eval(y)\neval(z)\n")
     watch.watch(watch.arriving(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_sarif_document_and_expectations(spark, tmp_path, capsys):
+    from quillscan.operators import text_rules
+
+    text = "eval(x)  # scan-expect CG-003\nos.system('a' + b)  # scan-expect CG-002, CG-001\n"
+    files = _files(spark, ("a.py", "python", text))
+    lined = spark.createDataFrame([("a.py", k, t) for k, t in enumerate(text.split("\n"), 1)], "file string, line_no long, line string")
+    row = text_rules.scores(scan.findings(files), text_rules.expectations(lined)).first()
+    assert (row["tp"], row["fp"], row["fn"], row["precision"]) == (2, 0, 1, 1.0)
+    (tmp_path / "a.py").write_text(text)
+    assert cli.main(["scan", str(tmp_path), "--output", "sarif"]) == 1
+    run = json.loads(capsys.readouterr().out)["runs"][0]
+    assert [r["id"] for r in run["tool"]["driver"]["rules"]] == ["CG-002", "CG-003"] and len(run["results"]) == 2
