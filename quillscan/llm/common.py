@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillscan.sources.shared import remove, saved, shared_dir
 
-__all__ = ["bounded_batches", "held_out", "remove", "saved", "shared_dir", "table"]
+__all__ = ["bounded_batches", "give_back", "held_out", "remove", "saved", "shared_dir", "table"]
 
 #: Rows and bytes that one Arrow batch holds at most; a batch is the unit of a Python worker's memory.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -19,6 +22,12 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Returns a worker's freed memory to the system at a partition's end; idle workers would hold it beside the next stage's."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of documents that no classifier learns from; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillscan.llm.common import bounded_batches, held_out
+from quillscan.llm.common import bounded_batches, give_back, held_out
 
 #: Letters of a longest n-gram; documents a language that are learned from (a bound on the classifier's sample); words that a memo keeps.
 ORDER, SAMPLE, MEMO = 4, 400, 200_000
@@ -194,6 +194,8 @@ def identify(df: DataFrame, models: Models, text: str = "text") -> DataFrame:
                         sums[i] = table[np.fromiter(map(get, ws), np.int64, len(ws))].sum(0, dtype=np.float64)
             lang, score = zip(*own.predict(sums), strict=True) if cut else ((), ())
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=PREDICTION.names)
+        memo = table = cut = fresh = new = part = get = None  # noqa: F841
+        give_back()
 
     got = df.drop("lang_pred", "score").withColumn("_language", predict(F.col(text)))
     return got.select(*[c for c in got.columns if c != "_language"], "_language.lang_pred", "_language.score")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillscan.llm.common import bounded_batches, held_out
+from quillscan.llm.common import bounded_batches, give_back, held_out
 
 #: Kernel: the widest subsequence and the weight of a skipped character. Words longer than WINDOW are scored in overlapping windows.
 SPAN, DECAY, WINDOW = 6, 0.6, 24
@@ -306,6 +306,8 @@ def score(df: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
                 memo.update(zip(some, own.decide(some).tolist(), strict=True))
             get = memo.__getitem__
             yield pa.array(own.score(np.array([max(map(get, ws), default=own.bias) for ws in cut])), pa.float64())
+        memo = cut = fresh = new = part = get = None  # noqa: F841
+        give_back()
 
     return df.withColumn("score", worst(F.col(text))).withColumn("predicted", (F.col("score") >= LIMIT).cast("int"))
 
