@@ -24,8 +24,10 @@ from quillscan.llm.common import bounded_batches, give_back, held_out
 
 #: Kernel: the widest subsequence and the weight of a skipped character. Words longer than WINDOW are scored in overlapping windows.
 SPAN, DECAY, WINDOW = 6, 0.6, 24
-#: Bound of the training sample: documents of each label. Landmarks of each label; words that a worker's memo keeps.
-SAMPLE, LANDMARKS, MEMO = 800, 256, 200_000
+#: Bound of the training sample: toxic and clean documents. Landmarks of each label; words that a worker's memo keeps.
+SAMPLE, CLEAN, LANDMARKS, MEMO = 800, 2000, 256, 200_000
+#: Toxic documents in the sample from which a part of it is set aside for the calibration.
+ENOUGH = 200
 #: Words that are taken apart at once.
 PART = 5000
 #: Numbers that subsequences of characters 0 to 127 can have.
@@ -33,7 +35,7 @@ CODES = 1 << 21
 #: From this score on a document is toxic.
 LIMIT = 0.3
 #: Log-likelihood ratio from which a run of letters tells the labels apart, and the least share of toxic documents that have it; rounds in which clean words that score high join the training.
-TELLING, LEAST, ROUNDS = 25.0, 0.015, 4
+TELLING, LEAST, ROUNDS = 25.0, 0.015, 5
 _PATTERNS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _SENTENCE = re.compile(r"[.!?]\s|\n")
 _MARKS = re.compile(r"[\W\d_]+")
@@ -148,6 +150,10 @@ def train(texts: list[str], toxic: list[int], prior: float) -> Machine:
         sentences.append(cut if label else [])
     # of near copies one tells, else their rare words look like a sign of the label
     alone = list({(label, _mark(text)): k for k, (text, label) in enumerate(zip(texts, y.tolist(), strict=True))}.values())
+    # a quarter is set aside to calibrate on words that the training hasn't seen, if that leaves enough toxic documents
+    apart = [k for i, k in enumerate(alone) if i % 4 == 0] if y[alone].sum() >= ENOUGH else []
+    alone = sorted(set(alone) - set(apart))
+    held_bags, held_y = ([bags[k] for k in apart], y[apart]) if apart else ([bags[k] for k in alone], y[alone])
     sentences, bags, y = [sentences[k] for k in alone], [bags[k] for k in alone], y[alone]
     # a word's suspicion: the most telling of its runs of four letters, by documents of either label
     hits, clean = Counter(), Counter()
@@ -189,11 +195,11 @@ def train(texts: list[str], toxic: list[int], prior: float) -> Machine:
         hard = [good_words[i] for i in np.argsort(-value)[:1000]]
         negative = list(dict.fromkeys(negative + hard))
     b = machine.bias
-    flat = sorted({w for bag in bags for w in bag})
+    flat = sorted({w for bag in held_bags for w in bag})
     value = dict(zip(flat, machine.decide(flat).tolist(), strict=True))
-    worst = np.array([max((value[w] for w in bag), default=b) for bag in bags])
-    share = np.where(y == 1, prior / bad, (1 - prior) / good)
-    machine.steps = _calibrate(worst, y, share)
+    worst = np.array([max((value[w] for w in bag), default=b) for bag in held_bags])
+    toxic_n, clean_n = max(held_y.sum(), 1), max(len(held_y) - held_y.sum(), 1)
+    machine.steps = _calibrate(worst, held_y, np.where(held_y == 1, prior / toxic_n, (1 - prior) / clean_n))
     return machine
 
 
@@ -266,18 +272,18 @@ def _calibrate(f: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[np.ndar
     return np.array(at), np.maximum.accumulate(up)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, clean: int = CLEAN) -> Machine:
     """A machine from labels (doc_id, toxic) of documents (doc_id, text) that aren't held out.
 
-    About `sample` documents of each label are drawn by a hash of their id; that is the classifier's documented bound.
+    About `sample` toxic and `clean` other documents are drawn by a hash of their id; that is the classifier's documented bound.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return NOTHING
     drawn = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = known.where(drawn < F.when(F.col("toxic") == 1, min(1.0, sample / counts[1])).otherwise(min(1.0, sample / counts[0])))
-    picked = picked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # about twice `sample` rows
+    picked = known.where(drawn < F.when(F.col("toxic") == 1, min(1.0, sample / counts[1])).otherwise(min(1.0, clean / counts[0])))
+    picked = picked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # about sample + clean rows
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic").collect()
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], counts[1] / (counts[0] + counts[1]))
 
