@@ -5,7 +5,8 @@ character skipped, so insults with gaps or inserted characters stay close to the
 labelled documents give the training words: a toxic document's witness words against words of clean ones. The
 landmarks' kernel matrix maps words to a space where a linear machine is trained; as every kernel value is a sum
 over subsequences, its decision is one table of weights of the landmarks' subsequences, which scores a word with
-a few lookups. A sentence counts as its worst word, a document as its worst sentence, calibrated to 0..1.
+a few lookups. A document is judged by its worst word and by the sum and rate of its words' evidence, which a second
+linear machine weighs, calibrated to 0..1.
 """
 
 from __future__ import annotations
@@ -103,10 +104,11 @@ class Alphabet:
 
 
 class Machine:
-    """A trained scorer: a weight for each subsequence code, a bias, and the calibration of documents' scores."""
+    """A trained scorer: a weight for each subsequence code, a bias, the weights of documents' evidence and the calibration of their scores."""
 
     def __init__(self, alphabet: Alphabet | None, table: np.ndarray, bias: float, steps: tuple[np.ndarray, np.ndarray]):
         self.alphabet, self.table, self.bias, self.steps = alphabet, table, bias, steps
+        self.weights = np.array([1.0, 0.0, 0.0])
 
     def decide(self, words: list[str]) -> np.ndarray:
         """The machine's decision for each word; that of a word without letters is the bias."""
@@ -123,14 +125,30 @@ class Machine:
         np.maximum.at(out, owner, got)
         return out
 
-    def score(self, worst: np.ndarray) -> np.ndarray:
-        return np.interp(worst, *self.steps)
+    def evidence(self, values: list[np.ndarray] | np.ndarray) -> np.ndarray:
+        """A row for each document from its words' decisions (a number is a document of one word): the worst word, sum and rate of what lies above zero."""
+        out = np.array([[self.bias, 0.0, 0.0]] * len(values)).reshape(-1, 3)
+        for row, v in zip(out, map(np.atleast_1d, values), strict=True):
+            if len(v):
+                total = float(np.clip(v, 0, 1).sum())
+                row[:] = v.max(), np.log1p(total), np.sqrt(total / len(v))
+        out[:, 0] = np.clip(out[:, 0], -2, 2)
+        return out
+
+    def score(self, values: list[np.ndarray] | np.ndarray) -> np.ndarray:
+        """Documents' scores from their words' decisions."""
+        return np.interp(self.evidence(values) @ self.weights, *self.steps)
 
 
 FLAT = np.array([0.0]), np.array([0.0])
 NOTHING = Machine(None, np.zeros(1, np.float32), 0.0, FLAT)
 
 
+def _runs(word: str) -> set[str]:
+    """Runs of four letters; the word's start counts as a letter of its own."""
+    return {word[i : i + 4] for i in range(max(1, len(word) - 3))} | {f"^{word[:4]}"}
+
+
 def _mark(text: str) -> tuple[int, ...]:
     """What near copies have in common: the least four hashes of three words in a row."""
     w = text.lower().split()
@@ -146,31 +164,43 @@ def train(texts: list[str], toxic: list[int], prior: float) -> Machine:
     sentences, bags = [], []
     for text, label in zip(texts, toxic, strict=True):
         cut = [{once.setdefault(w, w) for x in words_of(s) if 3 <= len(w := normal(x)) <= WINDOW} for s in _SENTENCE.split(text)]
-        bags.append(set().union(*cut))
+        bags.append(Counter(once.setdefault(w, w) for x in words_of(text) if 3 <= len(w := normal(x)) <= WINDOW))
         sentences.append(cut if label else [])
     # of near copies one tells, else their rare words look like a sign of the label
     alone = list({(label, _mark(text)): k for k, (text, label) in enumerate(zip(texts, y.tolist(), strict=True))}.values())
     # a quarter is set aside to calibrate on words that the training hasn't seen, if that leaves enough toxic documents
     apart = [k for i, k in enumerate(alone) if i % 4 == 0] if y[alone].sum() >= ENOUGH else []
     alone = sorted(set(alone) - set(apart))
-    held_bags, held_y = ([bags[k] for k in apart], y[apart]) if apart else ([bags[k] for k in alone], y[alone])
+    held = apart or alone
+    held_words, held_y = [words_of(texts[k]) for k in held], y[held]
     sentences, bags, y = [sentences[k] for k in alone], [bags[k] for k in alone], y[alone]
-    # a word's suspicion: the most telling of its runs of four letters, by documents of either label
-    hits, clean = Counter(), Counter()
+    # a word's suspicion: the most telling of its runs of four letters, by documents of either label that have it, or have it again
+    once_in, again_in = (Counter(), Counter()), (Counter(), Counter())  # clean, toxic
     for bag, label in zip(bags, y.tolist(), strict=True):
-        (hits if label else clean).update({w[i : i + 4] for w in bag for i in range(max(1, len(w) - 3))})
+        runs: Counter = Counter()
+        for w, n in bag.items():
+            runs.update(dict.fromkeys(_runs(w), n))
+        once_in[label].update(runs.keys())
+        again_in[label].update(g for g, n in runs.items() if n > 1)
     bad, good = y.sum(), len(y) - y.sum()
-    tell = {g: v for g, n in hits.items() if n >= LEAST * bad and n / bad > 4 * clean[g] / good and (v := _likelihood(n, clean[g], bad, good)) > TELLING}
-    suspicion = lambda w: max((tell.get(w[i : i + 4], 0.0) for i in range(max(1, len(w) - 3))), default=0.0)
+    tell: dict[str, float] = {}
+    for clean, hits in (once_in, again_in):
+        for g, n in hits.items():
+            if n >= LEAST * bad and n / bad > 4 * clean[g] / good and (v := _likelihood(n, clean[g], bad, good)) > TELLING:
+                tell[g] = max(v, tell.get(g, 0.0))
+    suspicion = lambda w: max(tell.get(g, 0.0) for g in _runs(w))
+    seen_toxic = Counter(w for bag, label in zip(bags, y, strict=True) if label for w in bag)
     seen_clean = Counter(w for bag, label in zip(bags, y, strict=True) if not label for w in bag)
+    # what of a word's occurrences is toxic, at equal numbers of documents of either label
+    share = lambda w: (a := seen_toxic[w] / bad) / (a + seen_clean[w] / good)
     witness: Counter = Counter()
     for d, label in zip(sentences, y, strict=True):
         if label:
             for s in d:
-                if known := [(suspicion(w), w) for w in s if not seen_clean[w]]:
+                if known := [(suspicion(w) * share(w), w) for w in s]:
                     top = max(known)
-                    if top[0] > 0:
-                        witness[top[1]] += 1
+                    if top[0] > 0 and share(top[1]) > 0.5:
+                        witness[top[1]] += share(top[1])
     if not witness:
         return NOTHING
     positive = [w for w, _ in witness.most_common(2000)]
@@ -194,12 +224,12 @@ def train(texts: list[str], toxic: list[int], prior: float) -> Machine:
         value = machine.decide(good_words)
         hard = [good_words[i] for i in np.argsort(-value)[:1000]]
         negative = list(dict.fromkeys(negative + hard))
-    b = machine.bias
-    flat = sorted({w for bag in held_bags for w in bag})
+    flat = sorted({w for ws in held_words for w in ws})
     value = dict(zip(flat, machine.decide(flat).tolist(), strict=True))
-    worst = np.array([max((value[w] for w in bag), default=b) for bag in held_bags])
+    seen = machine.evidence([np.array([value[w] for w in ws]) for ws in held_words])
     toxic_n, clean_n = max(held_y.sum(), 1), max(len(held_y) - held_y.sum(), 1)
-    machine.steps = _calibrate(worst, held_y, np.where(held_y == 1, prior / toxic_n, (1 - prior) / clean_n))
+    machine.weights = _rising(seen, np.where(held_y == 1, 1.0, -1.0), np.where(held_y == 1, 0.5 / toxic_n, 0.5 / clean_n))
+    machine.steps = _calibrate(seen @ machine.weights, held_y, np.where(held_y == 1, prior / toxic_n, (1 - prior) / clean_n))
     return machine
 
 
@@ -257,6 +287,19 @@ def _hinge(x: np.ndarray, t: np.ndarray, cost: np.ndarray, reg: float = 1e-5, ro
     return v[:-1], float(v[-1])
 
 
+def _rising(x: np.ndarray, t: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Weights of a linear machine in which no kind of evidence speaks against its label; the first kind alone if none is left."""
+    out, kept = np.zeros(x.shape[1]), np.arange(x.shape[1])
+    while len(kept):
+        w = _hinge(x[:, kept], t, cost)[0]
+        if (w >= 0).all() and w.any():
+            out[kept] = w
+            return out
+        kept = kept[w > 0]
+    out[0] = 1.0
+    return out
+
+
 def _calibrate(f: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Decisions and the share of toxic documents there: the rising step curve of least squares, joined by lines."""
     blocks: list[list[float]] = []  # weight, toxic weight, lowest and highest decision
@@ -313,7 +356,7 @@ def score(df: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
                 some = fresh[i : i + 20_000]
                 memo.update(zip(some, own.decide(some).tolist(), strict=True))
             get = memo.__getitem__
-            yield pa.array(own.score(np.array([max(map(get, ws), default=own.bias) for ws in cut])), pa.float64())
+            yield pa.array(own.score([np.fromiter(map(get, ws), float, len(ws)) for ws in cut]), pa.float64())
         memo = cut = fresh = new = part = get = None  # noqa: F841
         give_back()
 

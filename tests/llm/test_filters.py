@@ -55,6 +55,25 @@ def test_insults_with_gaps_and_strange_letters():
     assert "gnarl" in toxicity.words_of("you g n a r l you")
 
 
+def test_words_that_tell_only_by_their_rate():
+    """Words with a common start that toxic documents repeat and clean ones have once, each in another form; the start's letters stand inside clean words as well."""
+    r = random.Random(5)
+    tail = lambda: "".join(r.choices(["che", "en", "ung", "be", "zu", "ge", "st"], k=3))
+
+    def document(n):
+        words = [tail() + ("achlich" if r.random() < 0.1 else "") + tail() for _ in range(60)]
+        for _ in range(n):
+            words.insert(r.randrange(len(words)), "achlich" + tail())
+        return " ".join(words) + "."
+
+    some = lambda bad: document(r.randrange(3, 8) if bad else int(r.random() < 0.25))
+    y = [int(i % 6 == 0) for i in range(900)]
+    m = toxicity.train([some(t) for t in y], y, 1 / 6)
+    words = lambda x: m.decide(toxicity.words_of(x))
+    bad, good = (m.score([words(some(t)) for _ in range(200)]) for t in (1, 0))
+    assert (bad >= toxicity.LIMIT).mean() > 0.8 and (good >= toxicity.LIMIT).mean() < 0.1
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
     m = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
