@@ -85,6 +85,23 @@ def reachable(edges: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def closure(edges: DataFrame) -> DataFrame:
+    """Pairs (src, dst, hops) with dst reached from src over any number of edges, by the least number; edges without an end are none.
+
+    The reach doubles at each step: who is 2k edges away at most is k away, or reached from a node exactly k away.
+    """
+    whole = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    seen = front = saved(whole.withColumn("hops", F.lit(1).cast("long")), "edges")
+    k = 1
+    while not front.isEmpty():
+        far = seen.withColumnsRenamed({"src": "_m"})
+        step = front.select("src", F.col("dst").alias("_m")).join(far, "_m").groupBy("src", "dst").agg((F.min("hops") + k).alias("hops"))
+        new = saved(step.join(seen.select("src", "dst"), ["src", "dst"], "left_anti"), "closure")
+        seen, k = seen.unionByName(new), 2 * k
+        front = new.where(F.col("hops") == k)
+    return seen
+
+
 def hash_sample(df: DataFrame, key: str, rate: float, seed: str) -> DataFrame:
     """The ceil(n * rate) rows, one at least, whose SHA-256 of seed and lower-case key ranks first; rate 0: none.
 

@@ -141,6 +141,14 @@ def call_reachability(spark, sf: str) -> DataFrame:
     return R.reachable(o.where("src <> dst"), 4)
 
 
+def call_reachability_all(spark, sf: str) -> DataFrame:
+    """Every order's edge from its customer's key to its own, to the fixpoint. No SQL: tests hold it against brute force."""
+    return R.closure(table(spark, sf, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst")))
+
+
+_Q[call_reachability_all.__name__] = call_reachability_all
+
+
 @_query("""SELECT path FROM (SELECT 'doc/' || doc_id || '.txt' AS path, row_number() OVER (ORDER BY sha256(concat_ws(chr(0), 'seed', lower('doc/' || doc_id || '.txt')))) AS n, count(*) OVER () AS total FROM documents) WHERE n <= greatest(1, ceil(total * 0.2))""")
 def hash_sample(spark, sf: str) -> DataFrame:
     paths = table(spark, sf, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))

@@ -1,6 +1,7 @@
 """Scanner, scan plan, filters, reports, sources and command line."""
 
 import json
+import random
 import subprocess
 
 import pytest
@@ -8,7 +9,7 @@ import pytest
 from quillscan import cli, config
 from quillscan.functions import flow, lexer
 from quillscan.operators import custom_rules, enrich, relations, rules
-from quillscan.plans import report, scan
+from quillscan.plans import report, scan, table_queries
 from quillscan.sources import diffs, repository
 from quillscan.sources.tables import source_files
 
@@ -80,6 +81,30 @@ def test_ranges_of_unknown_files_filter_nothing(spark):
     assert sorted(map(tuple, relations.in_ranges(points, ranges).collect())) == [("a", 5), ("b", 9)]
 
 
+def _closure(edges):
+    after, out = {}, {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    for src in after:
+        front, hops = after[src], 0
+        while front:
+            hops += 1
+            out |= {(src, x): hops for x in front}
+            front = {y for x in front for y in after.get(x, ()) if (src, y) not in out}
+    return out
+
+
+def test_reachability_over_all_edges_to_the_fixpoint(spark, tmp_path):
+    r = random.Random(4)
+    edges = [(k, k + 1) for k in range(1, 40)] + [(40, 1), (7, 7), (7, 7), (500, 40)]  # longer than any fixed number of steps
+    edges += [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(75)]
+    spark.createDataFrame([*edges, (None, 3), (3, None)], "o_custkey long, o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    rows = table_queries.queries()["call_reachability_all"](spark, str(tmp_path)).collect()
+    want = _closure(edges)
+    assert len(rows) == len(want) and {(x["src"], x["dst"]): x["hops"] for x in rows} == want
+    assert max(want.values()) == 40
+
+
 def test_reachability_ends_on_cycles(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string")
     assert relations.reachable(e, 10).count() == 9
