@@ -107,6 +107,18 @@ def test_fingerprints_and_edits(spark, tmp_path):
     assert 0.1 < rows[ids[13]]["near_edited"] < 0.6
 
 
+def test_halves_of_short_texts_keep_anchors(spark, tmp_path):
+    """An edited text has the first half of its own, whatever follows and however many words each has."""
+    r = random.Random(11)
+    word = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    texts = [" ".join(word(6) for _ in range(n)) for n in (*range(8, 50), 300)]
+    texts = [t for x in texts for t in (x, word(2000))]  # wide words follow: the edited text has fewer words
+    texts += ["".join(chr(0x4E00 + r.randrange(5000)) for _ in range(30)), word(40)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for x in fingerprints.op5(spark, str(tmp_path)).collect():
+        assert x["near_edited"] > x["near_next"], x
+
+
 def test_anchors_do_not_depend_on_context(spark):
     r = random.Random(7)
     shared = _words(r, 120)
