@@ -38,15 +38,25 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, that of the smallest id; of rows that repeat an id, one stays.
+    """One document of each near-duplicate component, that of the smallest id; of rows that repeat an id and a text, one stays.
 
-    Documents without words and rows without an id stay.
+    Documents without words and rows without an id stay, and so do other texts of a repeated id.
     """
-    gone = saved(near_dedup.find(docs).where(~F.col("kept")).select("doc_id").distinct(), "removed")
-    out = docs.join(F.broadcast(gone) if gone.count() <= near_dedup.MOST_SENT else gone, "doc_id", "left_anti").select(*docs.columns)
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return out
+        return _of_repeated_ids(docs)
+    gone = saved(near_dedup.find(docs).where(~F.col("kept")).select("doc_id").distinct(), "removed")
+    return docs.join(F.broadcast(gone) if gone.count() <= near_dedup.MOST_SENT else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def _of_repeated_ids(docs: DataFrame) -> DataFrame:
+    """The same where an id doesn't tell a document: rows are linked by numbers of their own, the smallest id still stays."""
+    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    named = rows.where("doc_id is not null")
+    found = near_dedup.find(named.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_of"))
+    first = F.min(F.struct("doc_id", F.xxhash64("text").alias("tie"), "_row"))
+    stays = named.select("_row", "doc_id", "text").join(found, "_row").groupBy("_of").agg(first.alias("x")).select("x._row")
+    kept = named.join(stays, "_row", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(rows.where("doc_id is null")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

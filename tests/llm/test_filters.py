@@ -168,6 +168,17 @@ def test_empty_pages(spark, tmp_path):
     assert warc.op8(spark, str(tmp_path)).collect() == []
 
 
+def test_other_texts_of_a_repeated_id_stay(spark):
+    import corpus_pipeline
+
+    rows = [(5, "a b c d e f"), (5, "quite another text of five words"), (5, "quite another text of five words"), (3, "A B C D E F"), (9, "x y z x y z"), (2, ""), (2, ""), (None, "a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(5, rows[1][1]), (3, "A B C D E F"), (9, "x y z x y z"), (2, ""), (None, "a b c d e f")], key=str)
+    pieces = corpus_pipeline.pack(spark, spark.createDataFrame(got, docs.schema), "").where("doc_id = 5").count()
+    assert pieces == 1
+
+
 def test_pipeline_against_brute_force(spark, tables):
     import corpus_pipeline
     from tests.llm.test_near import _components
