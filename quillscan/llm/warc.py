@@ -8,6 +8,7 @@ that another record holds is a revisit: its WARC block has HTTP headers only and
 from __future__ import annotations
 
 import atexit
+import datetime
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,14 +29,14 @@ def _urn(id_: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(id_.cast("string"), F.lit("null")), F.lit(">"))
 
 
-def headers_of(type_: Column, id_: Column, url: Column, size: Column, sha1: Column, sha256: Column, refers_to: Column) -> Column:
+def headers_of(type_: Column, id_: Column, url: Column, size: Column, sha1: Column, sha256: Column, refers_to: Column, date: Column) -> Column:
     """The exact bytes of a record before its payload: WARC headers and the HTTP headers of its block, as text."""
     http = _http(size)
     block = F.octet_length(http) + F.when(type_ == "revisit", F.lit(0)).otherwise(size)
     line = lambda k, v: F.concat(F.lit(f"{k}: "), v, F.lit(CRLF))
     clean = F.regexp_replace(F.coalesce(url, F.lit("")), "[\\r\\n]", "%0A")
     return F.concat(
-        F.lit(f"WARC/1.1{CRLF}"), line("WARC-Type", type_), line("WARC-Record-ID", _urn(id_)), line("WARC-Target-URI", clean),
+        F.lit(f"WARC/1.1{CRLF}"), line("WARC-Type", type_), line("WARC-Record-ID", _urn(id_)), line("WARC-Date", date), line("WARC-Target-URI", clean),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), sha1)), line("X-Payload-SHA256", sha256),
         F.when(refers_to.isNotNull(), F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", _urn(refers_to)))).otherwise(F.lit("")),
         line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", block.cast("string")), F.lit(CRLF), http,
@@ -45,7 +46,7 @@ def headers_of(type_: Column, id_: Column, url: Column, size: Column, sha1: Colu
 def write_archive(pages: DataFrame, path: str, id_: str = "page_id", url: str = "url", html: str = "html") -> None:
     """Writes `path`/headers (id, header, sha256; one row for each page) and `path`/payloads (sha256, payload; once each).
 
-    A null html is an empty payload; other columns are not kept. Only digests are shuffled. Of pages with equal
+    The records' WARC-Date is the time of writing, one for the archive. A null html is an empty payload; other columns are not kept. Only digests are shuffled. Of pages with equal
     payloads the largest id holds the bytes. Rows that repeat an id give a record each. Pages without an id get
     records of their own and hold a payload only if no page with an id has it.
     """
@@ -60,7 +61,8 @@ def write_archive(pages: DataFrame, path: str, id_: str = "page_id", url: str =
     joined = digests.join(shared, "sha256", "left").withColumn("holder", F.coalesce("holder", "id"))
     revisit = (F.col("size") >= LEAST_BYTES) & (F.col("n") > 1) & F.coalesce(F.col("id") != F.col("holder"), F.col("holder").isNotNull())
     typed = joined.withColumn("type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("holder")))
-    header = headers_of(*(F.col(c) for c in ("type", "id", "url", "size", "sha1", "sha256", "refers_to")))
+    now = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    header = headers_of(*(F.col(c) for c in ("type", "id", "url", "size", "sha1", "sha256", "refers_to")), F.lit(now))
     typed.select("id", header.alias("header"), "sha256").write.parquet(f"{path}/headers")
     copies = joined.where((F.col("n") > 1) & (F.col("id") != F.col("holder"))).select("id").distinct()
     if copies.count() <= MOST_COPIES:
@@ -72,18 +74,39 @@ def write_archive(pages: DataFrame, path: str, id_: str = "page_id", url: str =
     once.write.parquet(f"{path}/payloads")
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """The records: id, header (text), payload (binary, whole also for revisits), verified (payload has its digest).
+def record_of(header: Column, payload: Column) -> Column:
+    """A record's bytes: its headers, the payload unless it is a revisit, and two line ends."""
+    body = F.when(header.contains(f"{CRLF}WARC-Type: revisit{CRLF}"), F.lit(b"")).otherwise(payload)
+    return F.concat(header.cast("binary"), body, F.lit((CRLF * 2).encode()))
 
-    A stored payload whose bytes have another digest than its key gives verified = false; a missing one a null.
-    """
-    payloads = spark.read.parquet(f"{path}/payloads").withColumn("verified", F.sha2("payload", 256) == F.col("sha256"))
-    return spark.read.parquet(f"{path}/headers").join(payloads, "sha256", "left").select("id", "header", "payload", "verified")
 
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """The records: id, header (text), payload (binary, whole also for revisits), verified.
 
-def field(name: str) -> Column:
-    """A WARC header's value in column header, or null."""
-    got = F.regexp_extract("header", f"\\r\\n{name}: ([^\\r]*)\\r\\n", 1)
+    Each record's bytes are rebuilt and parsed: headers to their empty line, the block by Content-Length, its HTTP
+    headers, the payload behind them (a revisit's is the holder's). verified is false if that has another digest than
+    its key, or if the record doesn't end where its length says; of a missing payload it is null.
+    """
+    payloads = spark.read.parquet(f"{path}/payloads")
+    rows = spark.read.parquet(f"{path}/headers").join(payloads, "sha256", "left")
+    rows = rows.withColumn("_record", record_of(F.col("header"), F.col("payload")))
+    part = lambda c, at, n: F.substring(c, at, n)
+    end = lambda c: F.instr(F.decode(c, "ISO-8859-1"), CRLF * 2) + 3  # noqa: E731  (one character a byte)
+    rows = rows.withColumn("_head", end("_record"))
+    rows = rows.withColumn("_warc", F.decode(part("_record", F.lit(1), F.col("_head")), "UTF-8"))
+    rows = rows.withColumn("_length", field("Content-Length", "_warc").cast("int"))
+    rows = rows.withColumn("_block", part("_record", F.col("_head") + 1, F.col("_length")))
+    rows = rows.withColumn("_http", end("_block"))
+    whole = part("_record", F.col("_head") + F.col("_length") + 1, F.octet_length("_record")) == F.lit((CRLF * 2).encode())
+    found = F.when(field("WARC-Type", "_warc") == "revisit", F.col("payload")).otherwise(part("_block", F.col("_http") + 1, F.octet_length("_block")))
+    header = F.concat("_warc", F.decode(part("_block", F.lit(1), F.col("_http")), "UTF-8"))
+    rows = rows.select("id", F.coalesce(header, "header").alias("header"), found.alias("payload"), whole.alias("_whole"), "sha256")
+    return rows.select("id", "header", "payload", (F.col("_whole") & (F.sha2("payload", 256) == F.col("sha256"))).alias("verified"))
+
+
+def field(name: str, of: str = "header") -> Column:
+    """A WARC header's value in a column, or null."""
+    got = F.regexp_extract(of, f"\\r\\n{name}: ([^\\r]*)\\r\\n", 1)
     return F.when(got != "", got)
 
 

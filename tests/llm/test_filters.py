@@ -1,6 +1,7 @@
 """Toxicity, language, sharding, archive and the pipeline."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -163,6 +164,18 @@ def test_damaged_payloads_are_told(spark, tmp_path):
     assert [r["verified"] for r in warc.read_archive(spark, str(tmp_path / "w2")).collect()] == [False]
 
 
+def test_records_are_dated_and_parsed_by_their_lengths(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://é", "é text\r\n\r\nmore"), (2, "u", "other")], "page_id long, url string, html string")
+    warc.write_archive(pages, str(tmp_path / "w"))
+    got = {r["id"]: r for r in warc.read_archive(spark, str(tmp_path / "w")).collect()}
+    assert all(r["verified"] and re.search(r"\r\nWARC-Date: \d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\r\n", r["header"]) for r in got.values())
+    assert bytes(got[1]["payload"]).decode() == "é text\r\n\r\nmore" and "http://é" in got[1]["header"]
+    wrong = spark.read.parquet(str(tmp_path / "w/headers"))  # a length that isn't the block's
+    wrong.selectExpr("id", "regexp_replace(header, 'response\\r\\nContent-Length: [0-9]+', 'response\\r\\nContent-Length: 9') AS header", "sha256").write.parquet(str(tmp_path / "w2/headers"))
+    spark.read.parquet(str(tmp_path / "w/payloads")).write.parquet(str(tmp_path / "w2/payloads"))
+    assert [r["verified"] for r in warc.read_archive(spark, str(tmp_path / "w2")).collect()] == [False, False]
+
+
 def test_empty_pages(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert warc.op8(spark, str(tmp_path)).collect() == []
