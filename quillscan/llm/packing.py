@@ -2,13 +2,15 @@
 
 Documents are tokenised once and cut into full pieces and a rest. A histogram of piece lengths, in classes of
 GRAIN tokens, goes to the driver; its size does not depend on the data. There a linear program over patterns
-(how many pieces of each class share a sequence) is solved by column generation: a knapsack dynamic program
-prices columns. Rounded-down patterns and a best fit of the few pieces left over give a layout, which is
-applied to the pieces by their rank in their class. Ranks come from salted counts, so no class meets in a task.
+(how many pieces of each class share a sequence) is solved by column generation from the first-fit plan on: a
+knapsack dynamic program prices columns at smoothed duals until the bound that they prove is reached. Rounded-down
+patterns and a first fit of the few pieces left over give a layout (the plain first fit where that is no worse),
+which is applied to the pieces by their rank in their class. Ranks come from salted counts, so no class meets in a task.
 """
 
 from __future__ import annotations
 
+import contextlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -20,11 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillscan.llm.common import bounded_batches, saved
+from quillscan.llm.common import bounded_batches, give_back, saved
 from quillscan.llm.token_counts import default_path, library
 
-#: Tokens a length class spans, and pieces that one task ranks.
-GRAIN, RANKED = 8, 200_000
+#: Tokens a length class spans, and pieces that one task ranks at most and at least.
+GRAIN, RANKED, FEWEST = 2, 200_000, 1000
+#: Weight of the best bound's duals when columns are priced; rounds after which the inverse is computed anew.
+SMOOTH, ANEW = 0.9, 50
 PIECE = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
 
 
@@ -45,10 +49,12 @@ def engine(path: str):
 
 
 def token_ids(text: str, path: str) -> np.ndarray:
+    """The library's ids of a text. Texts with special strings, and those that the fast engine gives up (very long runs of white space), go to the library."""
     enc, special = engine(path)
-    if any(s in text for s in special):
-        return np.array(library(path).encode(text, add_special_tokens=False).ids, "<u4")
-    return enc.encode_to_numpy(text).astype("<u4", copy=False)
+    if not any(s in text for s in special):
+        with contextlib.suppress(ValueError):
+            return enc.encode_to_numpy(text).astype("<u4", copy=False)
+    return np.array(library(path).encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def pieces(df: DataFrame, size: int, path: str | None = None, end_id: int = 1) -> DataFrame:
@@ -58,11 +64,18 @@ def pieces(df: DataFrame, size: int, path: str | None = None, end_id: int = 1) -
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            total, crcs = np.zeros(b.num_rows, np.int64), []
+            for k, text in enumerate(b.column(1).to_pylist()):
                 ids = np.append(token_ids(text or "", path), np.uint32(end_id)).astype("<u4")
-                rows += [(doc, i, len(ids[i : i + size]), zlib.crc32(ids[i : i + size].tobytes()), len(ids)) for i in range(0, len(ids), size)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, names=PIECE.names)
+                total[k] = len(ids)
+                crcs += [zlib.crc32(ids[i : i + size]) for i in range(0, len(ids), size)]
+            n = -(-total // size)
+            owner = np.repeat(np.arange(len(total)), n)
+            start = (np.arange(len(owner)) - (np.cumsum(n) - n)[owner]) * size
+            of = total[owner]
+            rest = [pa.array(x, pa.int64()) for x in (start, np.minimum(of - start, size), np.array(crcs, np.int64), of)]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()).take(pa.array(owner)), *rest], names=PIECE.names)
+        give_back()
 
     return df.select("doc_id", "text").mapInArrow(cut, PIECE)
 
@@ -87,52 +100,103 @@ def price(duals: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, n
     return best[capacity], pattern
 
 
-def plan(demand: dict[int, int], capacity: int, rounds: int = 8000) -> list[tuple[dict[int, int], int]]:
-    """Patterns (class -> pieces) and how often each is used; every class's pieces are used up exactly.
+def first_fit(left: np.ndarray, sizes: np.ndarray, capacity: int, whole: bool = True) -> list[tuple[np.ndarray, float]]:
+    """Patterns and their uses by first fit of the longest pieces first, a pattern as often as all its classes last.
 
-    The linear program's basis starts from one-class patterns; columns enter while the knapsack finds one worth
-    over a sequence. `rounds` bounds the work only: a basis is a whole plan at any time.
+    With whole=False uses are fractions, so that each pattern uses up a class: as many patterns as classes at most.
+    """
+    left, out = left.astype(float), []
+    while (left > 0).any():
+        pattern, room = np.zeros(len(sizes)), capacity
+        for i in np.flatnonzero(left > 0)[::-1]:
+            if sizes[i] <= room:
+                pattern[i] = min(np.ceil(left[i]), room // sizes[i])
+                room -= pattern[i] * sizes[i]
+        lasts = np.divide(left, pattern, out=np.full(len(sizes), np.inf), where=pattern > 0)
+        n = lasts.min()
+        if whole:
+            left -= (n := np.floor(n)) * pattern
+        else:
+            left -= n * pattern
+            left[lasts <= n * (1 + 1e-12)] = 0
+        out.append((pattern, n))
+    return out
+
+
+def _start(need: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """A basis: the fractional first fit's patterns, and a one-class pattern for each class that is used up together with another."""
+    columns, left = [], need.copy()
+    for pattern, n in first_fit(need, sizes, capacity, whole=False):
+        gone = np.flatnonzero((pattern > 0) & (left <= n * pattern * (1 + 1e-12)))
+        left = np.where(np.isin(np.arange(len(left)), gone), 0, left - n * pattern)
+        columns.append(pattern)
+        for i in gone[1:]:
+            alone = np.zeros(len(sizes))
+            alone[i] = capacity // sizes[i]
+            columns.append(alone)
+    return np.array(columns).T
+
+
+def relax(need: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """The linear program's patterns (columns), their uses and a proven lower bound on the number of sequences.
+
+    Duals d price a column at most worth(d); d / worth(d) is feasible, so d . need / worth(d) bounds the program from
+    below. Columns enter until the plan is within half a sequence (or a millionth) of the best bound, or none improves it.
     """
-    sizes = np.array(sorted(c for c, n in demand.items() if n))
-    if not len(sizes):
-        return []
-    need = np.array([demand[c] for c in sizes.tolist()], float)
-    basis = np.diag((capacity // sizes).astype(float))
-    inverse = np.diag(1 / np.diag(basis))
     times = lambda m, v: np.einsum("ij,j->i", m, v)  # noqa: E731  a BLAS call would wake threads for each small product
-    used = times(inverse, need)
-    for _ in range(rounds):
-        worth, column = price(inverse.sum(0), sizes, capacity)
-        if worth <= 1 + 1e-7:
-            break
+    basis = _start(need, sizes, capacity)
+    inverse = np.linalg.inv(basis)
+    used, bound, centre, rounds = times(inverse, need), float(sizes @ need) / capacity, None, 0
+    proven = 0.0
+    while (now := used.sum()) - bound > max(0.5, 1e-6 * now):
+        duals = inverse.sum(0)
+        for d in (duals if centre is None else SMOOTH * centre + (1 - SMOOTH) * duals, duals):
+            d = np.maximum(d, 0)
+            worth, column = price(d, sizes, capacity)
+            if (low := float(d @ need) / max(worth, 1)) > proven or centre is None:
+                proven, centre = low, d / max(worth, 1)
+            if duals @ column > 1 + 1e-9:
+                break
+        else:
+            return basis, used, max(bound, min(now, proven))
+        bound = max(bound, proven)
         step = times(inverse, column)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(step > 1e-9, np.maximum(used, 0) / step, np.inf)
-        if not np.isfinite(ratio[out := ratio.argmin()]):
-            break
+        out = ratio.argmin()
         basis[:, out] = column
         used = used - ratio[out] * step
         used[out] = ratio[out]
         row = inverse[out] / step[out]
         inverse -= np.outer(step, row)
         inverse[out] = row
-    plans, left = [], need.astype(int)
+        rounds += 1
+        if rounds % ANEW == 0:
+            inverse = np.linalg.inv(basis)
+            used = times(inverse, need)
+    return basis, used, bound
+
+
+def plan(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Patterns (class -> pieces) and how often each is used; every class's pieces are used up exactly.
+
+    The better of the rounded linear program and the plain first fit: never more sequences than the latter.
+    """
+    sizes = np.array(sorted(c for c, n in demand.items() if n))
+    if not len(sizes):
+        return []
+    need = np.array([demand[c] for c in sizes.tolist()], float)
+    basis, used, _ = relax(need, sizes, capacity)
+    rounded, left = [], need.copy()
     for k in np.argsort(-used):
-        col = basis[:, k].astype(int)
-        n = min([int(used[k] + 1e-6), *(left[col > 0] // col[col > 0])])
-        if n > 0:
-            left -= n * col
-            plans.append(({int(sizes[i]): int(col[i]) for i in np.flatnonzero(col)}, n))
-    bins: list[list[int]] = []
-    room: dict[int, list[int]] = {}
-    for c in [int(s) for s, n in zip(sizes[::-1], left[::-1], strict=True) for _ in range(n)]:  # best fit of what rounding left
-        free = min((r for r, b in room.items() if r >= c and b), default=None)
-        at = room[free].pop() if free is not None else len(bins)
-        if free is None:
-            bins.append([])
-        bins[at].append(c)
-        room.setdefault((free or capacity) - c, []).append(at)
-    return plans + [(dict(Counter(b)), 1) for b in bins]
+        column = basis[:, k]
+        if (n := min(np.floor(used[k] + 1e-6), np.floor((left[column > 0] / column[column > 0]).min()))) > 0:
+            left -= n * column
+            rounded.append((column, n))
+    rounded += first_fit(left, sizes, capacity)
+    plain = first_fit(need, sizes, capacity)
+    best = min(rounded, plain, key=lambda p: sum(n for _, n in p))
+    return [({int(sizes[i]): int(pattern[i]) for i in np.flatnonzero(pattern)}, int(n)) for pattern, n in best]
 
 
 def layout(plans: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -159,11 +223,13 @@ def pack(df: DataFrame, size: int = 2048, path: str | None = None, end_id: int =
     all_pieces = saved(pieces(df, size, path, end_id), "pieces").withColumn("class", F.ceil(F.col("length") / GRAIN).cast("int"))
     demand = {r["class"]: r["n"] for r in all_pieces.groupBy("class").agg(F.count("*").alias("n")).collect()}  # at most size / GRAIN rows
     where = layout(plan(demand, size // GRAIN))
-    salts = max(32, sum(demand.values()) // RANKED)
-    salted = all_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
+    ranked_at_once = min(RANKED, max(FEWEST, sum(demand.values()) // 256))
+    several = [F.lit(x) for c, n in demand.items() if n > ranked_at_once for x in (c, -(-n // ranked_at_once))]
+    salts = F.coalesce(F.try_element_at(F.create_map(*several), F.col("class")), F.lit(1)) if several else F.lit(1)
+    salted = all_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), salts))
     before = Window.partitionBy("class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = salted.groupBy("class", "salt").agg(F.count("*").alias("n")).select("class", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    if len(demand) * salts <= 1_000_000:
+    if sum(-(-n // ranked_at_once) for n in demand.values()) <= 1_000_000:
         counts = F.broadcast(counts)
     own = Window.partitionBy("class", "salt").orderBy("doc_id", "start", "ids_crc32", "length", "doc_tokens")
     ranked = salted.withColumn("own", F.row_number().over(own) - 1).join(counts, ["class", "salt"]).withColumn("rank", F.col("first") + F.col("own"))
