@@ -1,22 +1,24 @@
 """Near-duplicates by a signature-coordinate inverted join, confirmed on full shingle sets.
 
-Documents of equal shingle sets form a class; only classes are compared. A class posts its MinHash signature's
-coordinate-value pairs. A pair of similarity 0.75 shares fewer than MATCHES of COORDINATES values about twice in a
-million, so pairs sharing at least that many are candidates. They share one of the COORDINATES - MATCHES + 1 rarest
-values of either (prefix), so only those are posted, in one global order by frequency: values of common passages
+Documents of equal shingle sets (128-bit digests) form a class; only classes are compared. A class posts its MinHash
+signature's coordinate-value pairs. A pair of similarity 0.75 shares fewer than MATCHES of COORDINATES values about
+twice in a million, so pairs sharing at least that many are candidates. They share one of the COORDINATES - MATCHES + 1
+rarest values of either (prefix), so only those are posted, in one global order by frequency: values of common passages
 drop out, and values that no other class has are skipped. Groups of near copies are first contracted: each class
 tries the hub of each of its posting lists, the class whose values are the most frequent ones, and takes those that
-collide most. Then lists whose classes are in one component are skipped. The classes of the others post their rarest shingles, as many as a linked pair
-can't avoid sharing, with their places: a class with many edits of its own meets nobody. There every class outside a
-list's largest component meets classes of other components; equal or linked copies are never expanded into pairs.
-Candidates whose signatures collide MATCHES times are confirmed exactly; components come from alternating star
-contraction.
+collide most. Then lists whose classes are in one component are skipped. The classes of the others post their rarest
+shingles, as many as a linked pair can't avoid sharing, with their places: a class with many edits of its own meets
+nobody. There every class outside a list's largest component meets classes of other components, long lists in blocks;
+equal or linked copies are never expanded into pairs. Candidates whose signatures collide MATCHES times are confirmed
+exactly, a hub's texts dealt over several tasks; components come from alternating star contraction.
+
+What is counted a key is written before it is joined with the key's rows, so that a join has two plain inputs and AQE
+can split a hot key, and no stage evaluates more than one Python function.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillscan.llm.common import bounded_batches, saved
+from quillscan.llm.common import bounded_batches, give_back, saved
 
 #: Words of a shingle; similarity in hundredths; signature length; least collisions of a candidate.
 WORDS, NEAR, COORDINATES, MATCHES = 5, 75, 48, 22
 #: Leaders that a class is held against before others.
 LEADERS = 4
-#: Words that a worker's memo keeps; pairs or ids that are broadcast at most.
-MEMO, MOST_SENT = 200_000, 500_000
+#: Rows of a posting list that one task holds against the rest of it; pairs of a class that one task confirms.
+BLOCK, PAIRS = 2000, 256
+#: Words that a partition's memo keeps and their longest, in bytes; rows of a table that is broadcast at most.
+MEMO, LONGEST, MOST_SENT = 100_000, 64, 200_000
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
-SIGNATURE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set", T.LongType()), T.StructField("signature", T.ArrayType(T.IntegerType()))])
+SIGNATURE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("signature", T.ArrayType(T.IntegerType()))])
 
 
 class _Memo(dict):
@@ -42,7 +46,7 @@ class _Memo(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < MEMO:
+        if len(self) < MEMO and len(word) <= LONGEST:
             self[word] = h
         return h
 
@@ -84,106 +88,128 @@ def signature(h: np.ndarray) -> np.ndarray:
     return (_mixed(least) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def digest_of(h: np.ndarray) -> bytes:
+    """The 128-bit digest of a shingle set."""
+    return xxhash.xxh3_128_digest(h.tobytes())
+
+
+def done() -> None:
+    """At a partition's end: the memo goes, and freed memory back to the system."""
+    _memo.clear()
+    give_back()
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, size and 64-bit digest of the shingle set, and signature (null for an empty set)."""
+    """doc_id, size and digest of the shingle set, and signature (null for an empty set)."""
     bounded_batches(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(x) for x in b.column(1).to_pylist()]
             sigs = [signature(h) if len(h) else None for h in sets]
-            digest = [xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets]
             offsets = np.cumsum([0, *(COORDINATES if s is not None else 0 for s in sigs)])
             flat = np.concatenate([s for s in sigs if s is not None] or [np.empty(0, np.int32)])
             listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array([s is None for s in sigs], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(np.array(digest, np.uint64).view(np.int64)), listed], names=SIGNATURE.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(map(digest_of, sets), pa.binary()), listed], names=SIGNATURE.names)
+        done()
 
     return docs.select("doc_id", "text").mapInArrow(sign, SIGNATURE)
 
 
+def counted(df: DataFrame, name: str) -> DataFrame:
+    """df, written; broadcast where it has MOST_SENT rows at most."""
+    out = saved(df, name)
+    return F.broadcast(out) if out.count() <= MOST_SENT else out
+
+
 def postings(classes: DataFrame) -> DataFrame:
     """For each class the values among its rarest that other classes have too, with the first class and the hub of each."""
     key = F.shiftleft(F.col("c").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
     all_ = classes.select("set", F.posexplode("signature").alias("c", "v")).select("set", key.alias("key"))
-    common = all_.groupBy("key").agg(F.count("*").alias("n"), F.min("set").alias("first")).where("n > 1")
+    common = counted(all_.groupBy("key").agg(F.count("*").alias("n"), F.min("set").alias("first")).where("n > 1"), "common")
     shared = all_.join(common, "key").groupBy("set").agg(F.sort_array(F.collect_list(F.struct("n", "key", "first"))).alias("own"))  # at most COORDINATES
     prefix = COORDINATES - MATCHES + 1
     rare = F.slice("own", 1, F.greatest(F.lit(0), prefix - COORDINATES + F.size("own")))
     central = F.aggregate("own", F.lit(0).cast("long"), lambda x, y: x + y["n"])
     posts = saved(shared.select("set", central.alias("central"), F.explode(rare).alias("p")).select("set", "central", "p.key", "p.first"), "prefixes")
-    hubs = posts.groupBy("key").agg(F.max(F.struct("central", "set")).alias("hub")).select("key", F.col("hub.set").alias("hub"))
+    hubs = counted(posts.groupBy("key").agg(F.max(F.struct("central", "set")).alias("hub")).select("key", F.col("hub.set").alias("hub")), "hubs")
     return posts.join(hubs, "key").select("set", "key", "first", "hub")
 
 
 def prefixes(some: DataFrame, docs: DataFrame) -> DataFrame:
-    """For some classes (set, rep, n): their rarest shared shingles, enough that no linked pair shares none of them.
+    """For some classes (set, root, rep, digest, n): their rarest shared shingles, enough that no linked pair shares none of them.
 
     Shingles are ordered by how many of these classes have them; those that one class alone has come first and are
     only counted. key is a shingle at place at (from 0) in its class's order, kept up to a quarter of the n shingles;
     a class whose own shingles reach further can have no partner and has no row.
     """
-    sent = some.select("set", F.col("rep").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(F.broadcast(sent) if sent.count() <= MOST_SENT else sent, "doc_id").select("set", "text")
+    sent = some.select("set", "digest", F.col("rep").alias("doc_id"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(sent) if sent.count() <= MOST_SENT else sent, "doc_id").select("set", "digest", "text")
     bounded_batches(docs.sparkSession)
 
-    @F.arrow_udf("array<long>")
-    def hashes(sets: pa.Array, xs: pa.Array) -> pa.Array:
-        out = []
-        for own, x in zip(sets.to_pylist(), xs.to_pylist(), strict=True):
-            h = shingles(x)
-            same = np.array([xxhash.xxh3_64_intdigest(h.tobytes())], np.uint64).view(np.int64)[0] == own  # else another text of a repeated id
-            out.append(h.view(np.int64) if same else h[:0].view(np.int64))
-        return pa.array(out, pa.list_(pa.int64()))
-
-    once = texts.select("set", hashes("set", "text").alias("hs")).where(F.size("hs") > 0)
-    each = once.select("set", F.explode("hs").alias("key"))
-    common = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for own, want, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                h = shingles(x)
+                if digest_of(h) == want:  # else another text of a repeated id
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), own)), pa.array(h.view(np.int64))], names=["set", "key"])
+        done()
+
+    each = saved(texts.mapInArrow(spread, "set long, key long"), "shingles")
+    common = counted(each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
     shared = each.join(common, "key").groupBy("set").agg(F.sort_array(F.collect_set(F.struct("df", "key"))).alias("own"))
     first = F.col("n") - F.size("own")
     kept = F.greatest(F.lit(0), F.floor(F.col("n") * (100 - NEAR) / 100) + 1 - first).cast("int")
-    placed = shared.join(some.select("set", "n"), "set").select("set", "n", first.alias("first"), F.posexplode(F.slice("own", 1, kept)).alias("k", "x"))
-    return placed.select("set", "n", (F.col("first") + F.col("k")).alias("at"), "x.key")
+    placed = shared.join(some.select("set", "root", "n"), "set").select("set", "root", "n", first.alias("first"), F.posexplode(F.slice("own", 1, kept)).alias("k", "x"))
+    return placed.select("set", "root", "n", (F.col("first") + F.col("k")).alias("at"), "x.key")
 
 
 def colliding(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of classes whose signatures collide at least MATCHES times, with the count and both representatives."""
-    own = classes.select(F.col("set").alias("a"), F.col("signature").alias("sa"), F.col("rep").alias("rep_a"))
-    other = classes.select(F.col("set").alias("b"), F.col("signature").alias("sb"), F.col("rep").alias("rep_b"))
-    both = pairs.distinct().join(own, "a").join(other, "b")
-    hits = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
-    return both.withColumn("hits", hits).where(F.col("hits") >= MATCHES).select("a", "b", "rep_a", "rep_b", "hits")
-
-
-@lru_cache(maxsize=64)
-def _cached(text: str) -> np.ndarray:
-    return shingles(text)
+    """Distinct pairs (a, b) of classes whose sizes allow a link and whose signatures collide at least MATCHES times, with the count, both representatives and digests."""
+    of = lambda x: classes.select(F.col("set").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("signature", "rep", "digest", "n")])
+    both = pairs.distinct().join(of("a"), "a").join(of("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * NEAR)
+    hits = F.size(F.filter(F.zip_with("signature_a", "signature_b", lambda x, y: x == y), lambda e: e))
+    return both.withColumn("hits", hits).where(F.col("hits") >= MATCHES).select("a", "b", "rep_a", "rep_b", "digest_a", "digest_b", "hits")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full shingle sets have a similarity of at least NEAR hundredths."""
+    """The pairs (a, b, their representatives and digests) whose full shingle sets have a similarity of at least NEAR hundredths.
+
+    A class b of many pairs is a hub: its text goes to a part for each PAIRS of them, so no task gets a hub's whole group.
+    """
     pairs = saved(pairs, "pairs")
-    n = pairs.count()
-    ids = pairs.select("b", F.col("rep_b").alias("doc_id")).distinct()
-    mine = pairs.select("a", "b", F.col("rep_a").alias("doc_id"))
-    if n <= MOST_SENT:
+    parts = pairs.groupBy("b").agg(F.first("rep_b").alias("rep_b"), F.first("digest_b").alias("digest_b"), F.ceil(F.count("*") / PAIRS).alias("parts"))
+    parts = saved(parts, "hubs")
+    few = parts.count() <= MOST_SENT
+    mine = pairs.join(F.broadcast(parts.select("b", "parts")) if few else parts.select("b", "parts"), "b").select("b", "a", F.col("rep_a").alias("doc_id"), "digest_a", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
+    ids = parts.select("b", F.col("rep_b").alias("doc_id"), "digest_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    if pairs.count() <= MOST_SENT:
         ids, mine = F.broadcast(ids), F.broadcast(mine)
     texts = docs.select("doc_id", "text")
-    left = texts.join(mine, "doc_id").select("a", "b", F.col("text").alias("text_a"))
-    right = texts.join(ids, "doc_id").select("b", F.col("text").alias("text_b"))
-
-    @F.arrow_udf("boolean")
-    def near(aa: pa.Array, bb: pa.Array, xs: pa.Array, ys: pa.Array) -> pa.Array:
-        out = []
-        for a, b, x, y in zip(aa.to_pylist(), bb.to_pylist(), xs.to_pylist(), ys.to_pylist(), strict=True):
-            p, q = shingles(x), _cached(y)
-            same = len(p) + len(q) - len(np.union1d(p, q))
-            # a repeated id may bring another text than the class's
-            told = np.array([xxhash.xxh3_64_intdigest(p.tobytes()), xxhash.xxh3_64_intdigest(q.tobytes())], np.uint64).view(np.int64).tolist() == [a, b]
-            out.append(told and 100 * same >= NEAR * (len(p) + len(q) - same))
-        return pa.array(out, pa.bool_())
-
+    left = texts.join(mine, "doc_id").select("b", "part", "a", "digest_a", F.col("text").alias("text_a"))
+    right = texts.join(ids, "doc_id").select("b", "part", "digest_b", F.col("text").alias("text_b"))
     bounded_batches(docs.sparkSession)
-    return left.join(right.hint("merge"), "b").where(near("a", "b", "text_a", "text_b")).select("a", "b").distinct()
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, q = (None, None), None  # a part's rows follow each other: its hub is taken apart once
+        for batch in batches:
+            links = []
+            for a, b, da, db, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last != (b, db) or q is None:
+                    q = shingles(y)
+                    last = (b, db)
+                    if digest_of(q) != db:  # a repeated id may bring another text than the class's
+                        q = None
+                        continue
+                p = shingles(x)
+                same = len(p) + len(q) - len(np.union1d(p, q))
+                if digest_of(p) == da and 100 * same >= NEAR * (len(p) + len(q) - same):
+                    links.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        done()
+
+    met = left.join(right.hint("merge"), ["b", "part"]).select("a", "b", "digest_a", "digest_b", "text_a", "text_b")
+    return met.mapInArrow(near, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -204,48 +230,65 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _several(df: DataFrame) -> DataFrame:
+    """The keys whose rows are of several components."""
+    return df.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+
+
+def _across(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes of different components that meet in a list (key, set, root, n, at): one of them is outside the list's largest component.
+
+    Those outside a long list's largest component are dealt into blocks of about BLOCK, each with the whole list.
+    """
+    per = lists.groupBy("key", "root").agg(F.count("*").alias("n"))
+    largest = per.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"))
+    blocks = F.ceil((F.col("all") - F.col("most.n")) / BLOCK)
+    largest = counted(largest.select("key", F.col("most.root").alias("most"), blocks.alias("blocks")), "largest")
+    known = lists.join(largest, "key")
+    outside = known.where("root <> most").select("key", F.pmod(F.xxhash64("set"), F.col("blocks")).alias("block"), F.col("set").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("at").alias("ia"), "most")
+    inside = known.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("set").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    # what stands behind a pair's first common shingle must be enough for the intersection that their sizes ask for
+    fits = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (100 + NEAR) >= (F.col("na") + F.col("nb")) * NEAR
+    # of two classes outside the largest component, one order is enough
+    once = (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("most")) | (F.col("a") < F.col("b")))
+    met = saved(outside, "outside").join(saved(inside, "inside"), ["key", "block"]).where(fits & once)
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
 def find(df: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of documents (doc_id, text).
+    """doc_id, n_shingles, component_id and kept for each row of documents (doc_id, text); other columns are not read.
 
     Rows whose text is null or has no word are linked with nothing, nor are rows without an id (component_id null,
     kept). Rows that repeat an id and a text are one document; each of them has the flag kept.
     """
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = saved(signatures(docs), "signatures")
-    named = signed.where("doc_id is not null")
-    classes = named.where("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"))
-    classes = saved(classes, "classes")
+    named = signed.where("doc_id is not null and n_shingles > 0")
+    classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"))
+    classes = saved(classes.withColumn("set", F.monotonically_increasing_id()), "classes")  # numbered once: they are read from the written table
     posts = saved(postings(classes), "postings")
 
     tried = posts.select(F.col("set").alias("a"), F.explode(F.array("first", "hub")).alias("b")).where("a <> b")
-    leaders = F.sort_array(F.collect_list(F.struct("hits", "b", "rep_a", "rep_b")), asc=False)  # of one class: two a list at most
-    best = colliding(tried, classes).groupBy("a").agg(F.slice(leaders, 1, LEADERS).alias("x")).select("a", F.explode("x").alias("x")).select("a", "x.b", "x.rep_a", "x.rep_b")
+    leaders = F.sort_array(F.collect_list(F.struct("hits", "b", "rep_a", "rep_b", "digest_a", "digest_b")), asc=False)  # of one class: two a list at most
+    best = colliding(tried, classes).groupBy("a").agg(F.slice(leaders, 1, LEADERS).alias("x")).select("a", F.explode("x").alias("x")).select("a", "x.*").drop("hits")
     edges = saved(confirmed(best, docs), "links")
     roots = components(edges)
 
     label = F.coalesce("root", "set")
-    placed = posts.join(roots, posts["set"] == roots["node"], "left").select("set", "key", label.alias("root"))
-    several = lambda df: df.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    some = placed.join(several(placed), "key").select("set", "root").distinct()
-    some = saved(some.join(classes.select("set", "rep", "n"), "set"), "some")
-    lists = prefixes(some, docs).join(some.select("set", "root"), "set")
-    lists = saved(lists, "prefixes")
-    lists = saved(lists.join(several(lists), "key"), "lists")
-    per = lists.groupBy("key", "root").agg(F.count("*").alias("n"))
-    largest = per.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most")).select("key", F.col("most.root").alias("most"))
-    outside = lists.join(largest, "key").where("root <> most").select("key", F.col("set").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("at").alias("ia"), "most")
-    inside = lists.select("key", F.col("set").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
-    # what stands behind a pair's first common shingle must be enough for the intersection that their sizes ask for
-    fits = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (100 + NEAR) >= (F.col("na") + F.col("nb")) * NEAR
-    # of two classes outside the largest component, one order is enough
-    met = outside.join(inside, "key").where(fits & (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("most")) | (F.col("a") < F.col("b")))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = confirmed(colliding(met, classes).drop("hits"), docs)
-    roots = components(edges.unionByName(more))
-
-    linked = classes.join(roots, classes["set"] == roots["node"], "left").select("set", "rep", "copies", label.alias("root"), (F.col("node").isNotNull()).alias("linked"))
-    smallest = linked.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
-    known = linked.join(smallest, "root").where("n > 1 or copies > 1").select("set", "component_id")
-    out = signed.join(known, "set", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
+    placed = saved(posts.join(roots, posts["set"] == roots["node"], "left").select("set", "key", label.alias("root")), "placed")
+    some = placed.join(counted(_several(placed), "several"), "key").select("set", "root").distinct()
+    some = saved(some.join(classes.select("set", "rep", "digest", "n"), "set"), "some")
+    lists = saved(prefixes(some, docs), "prefixes")
+    lists = saved(lists.join(counted(_several(lists), "several"), "key"), "lists")
+    more = saved(confirmed(colliding(_across(lists), classes).drop("hits"), docs), "links")
+    if not more.isEmpty():
+        roots = components(edges.unionByName(more))
+
+    linked = classes.join(roots, classes["set"] == roots["node"], "left").select("digest", "rep", "copies", label.alias("root"))
+    smallest = linked.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")).where("n > 1")
+    known = linked.join(smallest, "root", "left").where("n is not null or copies > 1").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
+    known = counted(known, "known")
+    out = signed.join(known, "digest", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
