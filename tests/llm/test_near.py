@@ -5,6 +5,8 @@ import random
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from quillscan.llm import fingerprints, near_dedup, neighbours
 
@@ -107,6 +109,80 @@ def test_fingerprints_and_edits(spark, tmp_path):
     assert 0.1 < rows[ids[13]]["near_edited"] < 0.6
 
 
+def _op5(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, fingerprint string, _bucket int").write.parquet(str(tmp_path / "documents.parquet"))
+    return fingerprints.op5(spark, str(tmp_path))
+
+
+IDS = {
+    "one far id": [*range(60), 2**50],
+    "both ends": [-(2**62), -1, 0, 5, 2**62, 2**63 - 1, -(2**63)],
+    "without ids": [None] * 40 + [1, 2],
+    "one id": [7] * 50 + [8],
+    "one row": [3],
+    "none": [],
+}
+
+
+@pytest.mark.parametrize("name", IDS)
+def test_the_next_document_of_odd_ids(spark, tmp_path, name):
+    r = random.Random(4)
+    rows = [(i, f"text {k} " + _words(r, 12), "f", 9) for k, i in enumerate(IDS[name])]
+    digests = dict(spark.createDataFrame([(x[1],) for x in rows] or [("",)], "t string").selectExpr("t", "xxhash64(t)").collect())
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), digests[x[1]]))
+    want = []
+    for k, (i, t, *_) in enumerate(order):
+        half, after = len(t) // 2, order[(k + 1) % len(order)][1]
+        want.append((str(i), len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
+    got = [(str(x["doc_id"]), x["n_chars"], x["edited_sha256"]) for x in _op5(spark, tmp_path, rows).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_buckets_hold_equal_numbers_of_rows(spark):
+    ids = [None] * 500 + [7] * 500 + [*range(1000), *(2**50 + k for k in range(10))]
+    df = spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "doc_id long, k long")
+    rows = fingerprints.in_order(df, "doc_id", F.xxhash64("k")).where("not _ghost").groupBy("_bucket").count().collect()
+    assert len(rows) >= 12 and max(r["count"] for r in rows) <= 3 * len(ids) / len(rows)
+
+
+def _anchors(spark, text):
+    """Closed syncmers of a text, by plain Python over Spark's own hashes."""
+    units = re.findall(rf"[\u4e00-\u9fff]|[^\x20\x09-\x0D\u4e00-\u9fff]{{1,{fingerprints.PIECE}}}", text)
+
+    def hashed(rows):
+        if not rows:
+            return []
+        df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], ["i", *[f"c{k}" for k in range(len(rows[0]))]]).coalesce(1)
+        return [x["h"] for x in df.orderBy("i").select(F.xxhash64(*df.columns[1:]).alias("h")).collect()]
+
+    h = hashed([(u,) for u in units])
+    if len(h) < fingerprints.K:
+        return hashed([(",".join(map(str, h)),)]) if h else []
+    s = hashed(list(zip(h, h[1:], strict=False)))
+    runs = hashed(list(zip(s, h[2:], strict=False)))
+    return [x for i, x in enumerate(runs) if min(s[i], s[i + 1]) in (s[i], s[i + 1])]
+
+
+def test_fingerprints_and_likeness_equal_brute_force(spark, tmp_path):
+    r = random.Random(12)
+    shared = _words(r, 30)
+    texts = ["", "x", "two words", _words(r, 9), shared + " " + _words(r, 9), _words(r, 5) + " " + shared, shared, shared, "中文字 some words 漢字漢字", "z" * 90]
+    rows = {x["doc_id"]: x for x in _op5(spark, tmp_path, [(i, t, None, None) for i, t in enumerate(texts)]).collect()}
+    cut = lambda a: [(x >> 32) & 0xFFFFFFFF for x in a]
+    own = [cut(_anchors(spark, t)) for t in texts]
+
+    def like(a, b):
+        return 1.0 if not a and not b else len({*a} & {*b}) / len({*a} | {*b})
+
+    for i, t in enumerate(texts):
+        k = (i - 1) % len(texts)  # descending ids
+        half = len(t) // 2
+        edited = cut(_anchors(spark, t[: len(t) - half] + texts[k][:half]))
+        assert rows[i]["fingerprint"] == "".join(f"{x:08x}" for x in own[i]), t
+        assert rows[i]["edited_fingerprint"] == "".join(f"{x:08x}" for x in edited)
+        assert abs(rows[i]["near_edited"] - like(own[i], edited)) < 1e-12 and abs(rows[i]["near_next"] - like(own[i], own[k])) < 1e-12
+
+
 def test_halves_of_short_texts_keep_anchors(spark, tmp_path):
     """An edited text has the first half of its own, whatever follows and however many words each has."""
     r = random.Random(11)
@@ -131,8 +207,6 @@ def test_anchors_do_not_depend_on_context(spark):
 
 def test_anchors_are_closed_syncmers(spark):
     """The chosen runs are those whose least inner hash stands first or last, checked with the hashes themselves."""
-    from pyspark.sql import functions as F
-
     text = _words(random.Random(9), 300)
     df = spark.createDataFrame([(0, text)], "doc_id long, text string")
     h = [x["h"] for x in df.select(F.posexplode(F.split("text", " "))).select("pos", F.xxhash64("col").alias("h")).orderBy("pos").collect()]
