@@ -248,13 +248,37 @@ def test_neighbours_of_few_and_none(spark):
     assert neighbours.search(few.where("vec_id > 60"), "vec_id", "embedding", 50, 5).collect() == []
 
 
-def test_estimates_stay_within_their_bounds():
+@pytest.mark.parametrize("dim", [2, 32, 64, 300])
+def test_estimates_stay_within_their_bounds(dim):
     rng = np.random.default_rng(0)
-    x = rng.standard_normal((500, 32))
+    x = rng.standard_normal((500, dim))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    turn = neighbours.rotation(32)
-    got, error = neighbours.estimate(*neighbours.encode(x, turn), x[:40], turn)
-    assert (np.abs(got - x[:40] @ x.T) <= error).mean() > 0.995
+    turn = neighbours.rotation(dim)
+    codes, scalar = neighbours.encode(x, turn)
+    assert codes.dtype == np.uint64 and codes.shape == (500, neighbours.code_bits(dim) // 64)
+    got, error = neighbours.Planes(x[:40], turn).estimate(codes, scalar, np.arange(40))
+    assert (np.abs(got - x[:40] @ x.T) <= error).mean() > 0.999
+    signs = np.where(x @ turn.T > 0, 1, -1)  # the bits give the plain estimate, but for the queries' rounding
+    plain = (x[:40] @ turn.T) @ signs.T / np.sqrt(turn.shape[0]) / scalar
+    assert np.abs(got - plain).max() < 0.1
+
+
+def test_blocks_of_clustered_vectors_are_passed_over(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((20, 32))
+    rows = [(i, (centres[i % 20] + 0.05 * rng.standard_normal(32)).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(df, "vec_id", "embedding", 50, 5).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == _nearest(rows, 50, 5)
+
+
+def test_neighbours_of_several_dimensions_and_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0], 1, 1), (1, [0.5, 0.5], 1, 1), (2, [1.0, 0.0, 0.0], 1, 1), (50, [0.9, 0.1, 0.0], 1, 1), (50, [0.9, 0.2, 0.0], 1, 1), (3, [], 1, 1), (None, [1.0, 0.0], 1, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int, code int")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.search(df, "vec_id", "embedding", 50, 2).collect())
+    assert got == [(0, 1, 1), (50, 1, 2), (50, 2, 2)]
 
 
 def test_passes_over_query_blocks(spark, monkeypatch):
