@@ -44,10 +44,11 @@ def headers_of(type_: Column, id_: Column, url: Column, size: Column, sha1: Colu
 
 
 def write_archive(pages: DataFrame, path: str, id_: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """Writes `path`/headers (id, header, sha256; one row for each page) and `path`/payloads (sha256, payload; once each).
+    """Writes `path`/headers (id, header, sha256; one row for each page), `path`/payloads (sha256, payload; once each) and `path`/info (the archive's warcinfo record).
 
-    The records' WARC-Date is the time of writing, one for the archive. A null html is an empty payload; other columns are not kept. Only digests are shuffled. Of pages with equal
-    payloads the largest id holds the bytes. Rows that repeat an id give a record each. Pages without an id get
+    The records' WARC-Date is the time of writing, one for the archive. A null html is an empty payload; other columns
+    are not kept. Of pages with equal payloads the largest id holds the bytes. Rows that repeat an id give a record
+    each; only payloads held by repeated ids, or by pages without an id, are shuffled by digest. Pages without an id get
     records of their own and hold a payload only if no page with an id has it.
     """
     spark = pages.sparkSession
@@ -64,14 +65,34 @@ def write_archive(pages: DataFrame, path: str, id_: str = "page_id", url: str =
     now = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     header = headers_of(*(F.col(c) for c in ("type", "id", "url", "size", "sha1", "sha256", "refers_to")), F.lit(now))
     typed.select("id", header.alias("header"), "sha256").write.parquet(f"{path}/headers")
-    copies = joined.where((F.col("n") > 1) & (F.col("id") != F.col("holder"))).select("id").distinct()
-    if copies.count() <= MOST_COPIES:
-        copies = F.broadcast(copies)
-    once = rows.join(copies, "id", "left_anti").select(F.sha2("payload", 256).alias("sha256"), "payload")
-    odd = digests.where("id is null").limit(1).count() or digests.groupBy("id").count().where("count > 1").limit(1).count()
-    if odd:  # an id doesn't tell the holder's row: one row of each digest by a shuffle of the payloads
-        once = rows.select(F.sha2("payload", 256).alias("sha256"), "payload").dropDuplicates(["sha256"])
+    spark.createDataFrame([(info_record(now),)], "record string").coalesce(1).write.parquet(f"{path}/info")
+
+    digest = F.sha2("payload", 256).alias("sha256")
+    odd = digests.groupBy("id").agg(F.count("*").alias("times")).where("times > 1 or id is null").select("id")
+    copies = joined.where((F.col("n") > 1) & (F.col("id") != F.col("holder"))).select("id")
+    aside = copies.unionByName(odd.where("id is not null")).distinct()
+    sent = lambda df: F.broadcast(df) if df.count() <= MOST_COPIES else df
+    once = rows.where("id is not null").join(sent(aside), "id", "left_anti").select(digest, "payload")
+    if not odd.isEmpty():  # ids that don't tell a row: of the payloads that they hold, one row each
+        held = _held(same, odd)
+        some = rows.join(sent(odd.withColumnRenamed("id", "_odd")), F.col("id").eqNullSafe(F.col("_odd")), "left_semi").select("id", digest, "payload")
+        mine = some.join(held, (some["sha256"] == held["_sha256"]) & some["id"].eqNullSafe(held["_holder"]), "left_semi")
+        once = once.unionByName(mine.dropDuplicates(["sha256"]).select("sha256", "payload"))
     once.write.parquet(f"{path}/payloads")
+    remove(spark, f"{path}/digests")
+
+
+def _held(same: DataFrame, odd: DataFrame) -> DataFrame:
+    """Digests whose holder is one of the odd ids."""
+    odd = odd.withColumnRenamed("id", "_odd")
+    return same.join(odd, same["holder"].eqNullSafe(odd["_odd"]), "left_semi").select(F.col("sha256").alias("_sha256"), F.col("holder").alias("_holder"))
+
+
+def info_record(date: str) -> str:
+    """The archive's warcinfo record: it describes the records that follow it in a file."""
+    block = f"software: quillscan{CRLF}format: WARC File Format 1.1{CRLF}"
+    head = [f"WARC/1.1{CRLF}WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return CRLF.join(head) + CRLF * 2 + block
 
 
 def record_of(header: Column, payload: Column) -> Column:
@@ -110,10 +131,15 @@ def field(name: str, of: str = "header") -> Column:
     return F.when(got != "", got)
 
 
-def export_warc(records: DataFrame, path: str) -> None:
-    """Writes records as WARC text files; two line ends close each record. Revisits have no payload there."""
+def export_warc(records: DataFrame, path: str, info: DataFrame, files: int = 16) -> None:
+    """Writes records as WARC files of `path`, in `files` parts each led by the archive's warcinfo record (`path`/info of the archive); two line ends close each record.
+
+    Revisits have HTTP headers only there. Payloads must be UTF-8 text, as those of pages are. One shuffle.
+    """
     body = F.when(field("WARC-Type") == "revisit", F.lit("")).otherwise(F.decode("payload", "UTF-8"))
-    records.select(F.concat("header", body)).write.option("lineSep", CRLF * 2).text(path)
+    rows = records.select(F.pmod(F.xxhash64("header"), F.lit(files)).cast("int").alias("part"), F.lit(1).alias("place"), F.concat("header", body).alias("value"))
+    heads = info.select(F.explode(F.sequence(F.lit(0), F.lit(files - 1))).alias("part"), F.lit(0).alias("place"), F.col("record").alias("value"))
+    rows.unionByName(heads).repartition("part").sortWithinPartitions("part", "place").select("value").write.option("lineSep", CRLF * 2).text(path)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
