@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from quillscan.llm.common import bounded_batches
 from quillscan.llm.token_counts import default_path, library
 
-#: Words that a worker's memo keeps; it starts anew when full.
-MEMO = 200_000
+#: Words that a worker's memo keeps, and their longest; it starts anew when full.
+MEMO, LONGEST = 200_000, 256
 #: The pre-tokeniser's pattern of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: From this code point on, the regex module and the library may hold different Unicode classes; such texts are cut by the library.
@@ -163,8 +163,11 @@ class Codec:
             new.discard(s)
         if new:
             self.learn(list(new))
-        get = memo.__getitem__
-        return [b"".join(map(get, x)) for x in cut]
+        out = [b"".join(map(memo.__getitem__, x)) for x in cut]
+        for w in new:
+            if len(w) > LONGEST:
+                del memo[w]
+        return out
 
     def decode(self, ids: bytes) -> str:
         get = self.bytes.__getitem__

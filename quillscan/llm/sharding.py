@@ -53,13 +53,13 @@ def slot_of(key: Column, slots: int) -> Column:
 
 
 def place(df: DataFrame, key: str, names: list[str], slots: int = SLOTS) -> DataFrame:
-    """df with columns slot and shard (the shard's name); columns of these names are replaced.
+    """df with columns slot and shard (the shard's name); columns of these names are replaced, a key of such a name is read first.
 
     Equal keys share a shard; null keys form one key. The broadcast table has `slots` rows, at most MOST_SLOTS.
     """
     owner = fill(names, slots)
     table = df.sparkSession.createDataFrame([(i, names[k]) for i, k in enumerate(owner.tolist())], "slot long, shard string")
-    placed = df.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), slots))
+    placed = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard")], slot_of(F.col(f"`{key}`"), slots).alias("slot"))
     return placed.join(F.broadcast(table), "slot")
 
 

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from quillscan.llm.common import bounded_batches
 
-#: Bytes of text that one call of the library gets, and chunks that a worker's memo keeps.
-CALL_BYTES, MEMO = 1 << 20, 200_000
+#: Bytes of text that one call of the library gets; chunks that a worker's memo keeps, and their longest.
+CALL_BYTES, MEMO, LONGEST = 1 << 20, 200_000, 256
 #: White space, as any of the libraries sees it, that is no plain space or line feed.
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -95,8 +95,11 @@ class Counter:
             memo.clear()
         new = list({c for cs in cut for c in cs} - memo.keys())
         memo.update(zip(new, self.lengths(new), strict=True))
-        get = memo.__getitem__
-        return [sum(map(get, cs)) for cs in cut]
+        out = [sum(map(memo.__getitem__, cs)) for cs in cut]
+        for c in new:
+            if len(c) > LONGEST:
+                del memo[c]
+        return out
 
 
 def _calls(texts: list[str]) -> Iterator[list[str]]:

@@ -1,5 +1,6 @@
 """Toxicity, language, sharding, archive and the pipeline."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -134,6 +135,14 @@ def test_placement_of_odd_keys(spark):
     assert len({r["slot"] for r in rows if not r["k"]}) == 1
 
 
+def test_keys_named_like_the_result(spark):
+    df = spark.createDataFrame([("a", "b", 1), ("c", "b", 2)], "slot string, shard string, `x.y` int")
+    want = {r["k"]: r["shard"] for r in sharding.place(spark.createDataFrame([("a",), ("c",), ("b",)], "k string"), "k", sharding.shard_names(4), 101).collect()}
+    assert [r["shard"] for r in sharding.place(df, "slot", sharding.shard_names(4), 101).orderBy("`x.y`").collect()] == [want["a"], want["c"]]
+    assert {r["shard"] for r in sharding.place(df, "shard", sharding.shard_names(4), 101).collect()} == {want["b"]}
+    assert sharding.place(df.limit(0), "slot", sharding.shard_names(4), 101).collect() == []
+
+
 def test_archive_round_trip(spark, tmp_path):
     big = "<p>é</p>" * 200
     rows = [(1, "http://a", big), (2, "http://b\r\nX: y", big), (3, None, "small"), (4, "c", "small"), (5, "d", None), (6, "e", big + "x"), (7, "f", "WARC/1.1\r\n\r\n" * 100)]
@@ -144,9 +153,63 @@ def test_archive_round_trip(spark, tmp_path):
     assert all(r["verified"] for r in got.values())
     assert spark.read.parquet(str(tmp_path / "w/payloads")).count() == 5  # each once
     assert "WARC-Type: revisit" in got[1]["header"] and "<urn:page:2>" in got[1]["header"] and "X: y" not in got[2]["header"].split("\r\n")
-    warc.export_warc(warc.read_archive(spark, str(tmp_path / "w")), str(tmp_path / "text"))
-    body = b"".join(p.read_bytes() for p in (tmp_path / "text").glob("part-*"))
-    assert body.count(b"WARC-Record-ID: ") == 7 and body.endswith(b"\r\n\r\n")
+
+
+def _parsed(data):
+    """The records of WARC bytes by a strict reading of the format; anything else is an error."""
+    out, at = [], 0
+    while at < len(data):
+        end = data.index(b"\r\n\r\n", at)
+        first, *lines = data[at:end].split(b"\r\n")
+        assert first == b"WARC/1.1", first
+        fields = dict(x.split(b": ", 1) for x in lines)
+        assert len(fields) == len(lines) and {b"WARC-Type", b"WARC-Record-ID", b"WARC-Date", b"Content-Length"} <= fields.keys()
+        assert re.fullmatch(rb"<[a-z]+:[^>]+>", fields[b"WARC-Record-ID"]) and re.fullmatch(rb"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields[b"WARC-Date"])
+        size = int(fields[b"Content-Length"])
+        block = data[end + 4 : end + 4 + size]
+        at = end + 4 + size + 4
+        assert len(block) == size and data[at - 4 : at] == b"\r\n\r\n"
+        out.append((fields, block))
+    return out
+
+
+def test_exported_files_are_read_by_a_strict_parser(spark, tmp_path):
+    big = "<p>é</p>\r\n\r\nWARC/1.1\r\n" * 90
+    rows = [(1, "http://a", big), (2, "http://b\r\nX: y", big), (3, None, "small"), (4, "c", "small"), (5, "d", None), (6, "e", big + "x"), (None, "f", big)]
+    warc.write_archive(spark.createDataFrame([(*r, "z", b"q", 1) for r in rows], "page_id long, url string, html string, header string, payload binary, sha256 int"), str(tmp_path / "w"))
+    warc.export_warc(warc.read_archive(spark, str(tmp_path / "w")), str(tmp_path / "text"), spark.read.parquet(str(tmp_path / "w/info")), files=3)
+    infos, got = 0, {}
+    for file in (tmp_path / "text").glob("part-*"):
+        records = _parsed(file.read_bytes())
+        assert not records or records[0][0][b"WARC-Type"] == b"warcinfo"
+        for fields, block in records:
+            if fields[b"WARC-Type"] == b"warcinfo":
+                infos += 1
+                continue
+            http, _, payload = block.partition(b"\r\n\r\n")
+            assert http.startswith(b"HTTP/1.1 200 OK\r\n")
+            got[fields[b"WARC-Record-ID"]] = fields, payload
+    assert infos == 3 and len(got) == len(rows)
+    for i, url, html in rows:
+        fields, payload = got[b"<urn:page:%s>" % (b"null" if i is None else str(i).encode())]
+        whole = (html or "").encode()
+        assert fields[b"WARC-Payload-Digest"] == b"sha1:" + hashlib.sha1(whole).hexdigest().encode()
+        assert fields[b"WARC-Target-URI"] == (url or "").replace("\r", "%0A").replace("\n", "%0A").encode()
+        if fields[b"WARC-Type"] == b"revisit":
+            assert payload == b"" and fields[b"WARC-Refers-To"] == b"<urn:page:2>" and i in (1, None)
+        else:
+            assert payload == whole and i not in (1, None)
+
+
+def test_payloads_held_by_repeated_ids_are_stored_once(spark, tmp_path):
+    a, b, c = "a" * 1200, "b" * 1200, "c" * 1200
+    rows = [(9, a), (9, b), (9, a), (3, a), (4, b), (7, c), (None, c), (None, "only"), (None, "only"), (2, "only two"), (9, "nine")]
+    warc.write_archive(spark.createDataFrame([(i, "u", t) for i, t in rows], "page_id long, url string, html string"), str(tmp_path / "w"))
+    held = [bytes(r["payload"]).decode() for r in spark.read.parquet(str(tmp_path / "w/payloads")).collect()]
+    assert sorted(held) == sorted({t for _, t in rows})
+    got = warc.read_archive(spark, str(tmp_path / "w")).collect()
+    assert all(r["verified"] for r in got)
+    assert sorted((str(r["id"]), bytes(r["payload"]).decode()) for r in got) == sorted((str(i), t) for i, t in rows)
 
 
 def test_archive_of_repeated_and_null_ids(spark, tmp_path):
