@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language of the corpus: those without any letter (null and empty texts too) and those of a calibrated score under language.REJECT go.
+    """Documents in a language of the corpus: those without any letter (null and empty texts too) and those of a score under the models' fitted limit go.
 
     Where no document has a language to learn from, all stay.
     """
@@ -34,7 +34,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     if not models.langs:
         return docs
     found = language.identify(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text")), models, "_text")
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= language.REJECT)).select("_row.*")
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= models.reject)).select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

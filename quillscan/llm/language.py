@@ -2,8 +2,10 @@
 
 A model predicts each letter of a word, and the word's end, from up to ORDER - 1 letters before it. All models
 share sorted arrays of 64-bit n-gram hashes with a column of probabilities or back-off weights a language. The
-language of lowest cross-entropy a letter wins; its entropy, held against those of sampled documents of that
-language, and the lead over the others give a calibrated score. Words are scored once a worker's memo.
+language of lowest cross-entropy a letter wins. Its lead over the others and its entropy, held against the usual one of
+that language, give the score; what is usual, the weight of letters and the score below which a document is rejected
+are fitted on documents set aside, against what they score without their own language and as noise. Words are scored
+once a partition's memo.
 """
 
 from __future__ import annotations
@@ -19,10 +21,12 @@ from pyspark.sql import types as T
 
 from quillscan.llm.common import bounded_batches, give_back, held_out
 
-#: Letters of a longest n-gram; documents a language that are learned from (a bound on the classifier's sample); words that a memo keeps.
-ORDER, SAMPLE, MEMO = 4, 400, 200_000
-#: Scores below this are rejected.
-REJECT = 0.05
+#: Letters of a longest n-gram; bound of the classifier's sample: documents a language, and characters of the longest one learned from.
+ORDER, SAMPLE, LONGEST = 4, 400, 200_000
+#: One document in so many of the sample is set aside for the calibration, if a language has as many.
+ASIDE = 4
+#: Words that a partition's memo keeps, and their longest; letters of a run beyond which it counts as several words; letters that are scored at once.
+MEMO, MEMO_WORD, RUN, LETTERS = 200_000, 256, 4096, 500_000
 #: Symbols that an unseen letter shares its probability with.
 SYMBOLS = 65536
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -81,11 +85,14 @@ def _counted(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Models:
-    """The models of all languages in shared sorted arrays."""
+    """The models of all languages in shared sorted arrays, and their calibration."""
 
     def __init__(self, texts: dict[str, list[str]]):
         self.langs = sorted(texts)
-        per = [estimate([w for t in texts[lang] for w in _LETTERS.findall(t.lower())] or ["a"]) for lang in self.langs]
+        some = {k: [t for t in texts[k] if _LETTERS.search(t)] for k in self.langs}
+        aside = {k: v[::ASIDE] if len(v) >= 2 * ASIDE else v for k, v in some.items()}
+        learned = {k: [t for i, t in enumerate(v) if i % ASIDE] if len(v) >= 2 * ASIDE else v for k, v in some.items()}
+        per = [estimate([w for t in learned[k] for w in _runs(t)] or ["a"]) for k in self.langs]
         self.grams, self.contexts = [], []
         for k in range(ORDER if per else 0):
             for to, key, value, least in ((self.grams, 0, 1, 0.0), (self.contexts, 2, 3, 1.0)):
@@ -94,11 +101,47 @@ class Models:
                 for i, p in enumerate(per):
                     table[np.searchsorted(keys, p[k][key]), i] = p[k][value]
                 to.append((keys, table))
-        self.mean, self.spread = np.zeros(len(per)), np.ones(len(per))
-        for i, lang in enumerate(self.langs):
-            own = [e[i] for e in (self.entropy(t) for t in texts[lang]) if e is not None]
-            if own:
-                self.mean[i], self.spread[i] = np.median(own), max(np.median(np.abs(own - np.median(own))) * 1.4826, 0.05)
+        # entropy that is usual in a language: middle, spread of long documents, and what few letters add to its square
+        self.mean, self.spread, self.noise = np.zeros(len(per)), np.ones(len(per)), np.ones(len(per))
+        self.weight, self.curve, self.reject = 50.0, (0.0, 0.0), 0.0
+        if per:
+            self._calibrate([aside[k] for k in self.langs])
+
+    def _calibrate(self, aside: list[list[str]]) -> None:
+        own = np.concatenate([np.full(len(t), i) for i, t in enumerate(aside)]).astype(int)
+        if not len(own):
+            return
+        sums = self.words([t for ts in aside for t in ts]).astype(float)
+        letters, h = sums[:, -1], -sums[:, :-1] / sums[:, -1:]
+        for i in range(len(self.langs)):
+            if (own == i).any():
+                e, n = h[own == i, i], letters[own == i]
+                self.mean[i] = np.median(e)
+                off, long = np.abs(e - self.mean[i]) * 1.4826, n >= np.median(n)
+                self.spread[i] = max(np.median(off[long]), 0.02)
+                short = ~long if (~long).any() else long
+                self.noise[i] = max(np.median(off[short]) ** 2 - self.spread[i] ** 2, 0.0) * np.median(n[short]) + 1.0
+        # letters of one text depend on each other: the lead counts for as many as foretell the right language best
+        self.weight = float(min((5.0, 10.0, 20.0, 50.0, 100.0), key=lambda w: self._loss(h, letters, own, w)))
+        # strangers: the same documents where their own language isn't known, and the same letters in another order
+        best = np.where(np.arange(len(self.langs)) == own[:, None], np.inf, h).argmin(1)
+        rng = np.random.default_rng(1)
+        mixed = self.words([_mixed(t, rng) for ts in aside for t in ts]).astype(float)
+        wild = -mixed[:, :-1] / np.maximum(mixed[:, -1:], 1)
+        z = [self._over(h[np.arange(len(own)), own], own, letters), self._over(wild.min(1), wild.argmin(1), mixed[:, -1])]
+        if len(self.langs) > 1:
+            z.append(self._over(h[np.arange(len(own)), best], best, letters))
+        self.curve = _logistic(z[0], np.concatenate(z[1:]))
+        score = np.array([x for (name, x), k in zip(self.predict(sums), own.tolist(), strict=True) if name == self.langs[k]])
+        self.reject = float(min(0.5, score.min() / 4)) if len(score) else 0.0  # well below every document of a known language
+
+    def _over(self, h: np.ndarray, lang: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """How far entropies lie above a language's usual one, in spreads of texts of so many letters."""
+        return np.clip((h - self.mean[lang]) / np.sqrt(self.spread[lang] ** 2 + self.noise[lang] / np.maximum(letters, 1)), -200, 200)
+
+    def _loss(self, h: np.ndarray, letters: np.ndarray, own: np.ndarray, weight: float) -> float:
+        lead = -(h - h.min(1, keepdims=True)) * np.minimum(letters, weight)[:, None]
+        return float((np.log(np.exp(lead).sum(1)) - lead[np.arange(len(own)), own]).mean())
 
     @staticmethod
     def _find(keys: np.ndarray, table: np.ndarray, want: np.ndarray) -> np.ndarray:
@@ -106,24 +149,37 @@ class Models:
         return table[np.where(keys[at] == want, at, len(keys))]
 
     def words(self, words: list[str]) -> np.ndarray:
-        """For each word, its log probability in each language and, last, how many letters and ends that is for."""
-        runs = [_LETTERS.findall(w.lower()) for w in words]
-        owner = np.repeat(np.arange(len(words)), [len(r) for r in runs])
-        g = Grams([x for r in runs for x in r])
+        """For each word (or text), its log probability in each language and, last, how many letters and ends that is for."""
+        out = np.zeros((len(words), len(self.langs) + 1))
+        runs, owner, n = [], [], 0
+        for i, w in enumerate(words):
+            for r in _runs(w):
+                runs.append(r)
+                owner.append(i)
+                n += len(r)
+                if n >= LETTERS:
+                    self._add(out, runs, owner)
+                    runs, owner, n = [], [], 0
+        if runs:
+            self._add(out, runs, owner)
+        return out.astype(np.float32)
+
+    def _add(self, out: np.ndarray, runs: list[str], owner: list[int]) -> None:
+        g = Grams(runs)
         at = g.at(1)
-        keys, table = self.contexts[0]
+        _, table = self.contexts[0]
         p = table[0] / SYMBOLS + self._find(*self.grams[0], g.hash[0][at])
         for k in range(2, ORDER + 1):
             deep = np.flatnonzero(g.place[at] >= k - 1)
             ends = at[deep]
             p[deep] = self._find(*self.grams[k - 1], g.hash[k - 1][ends]) + self._find(*self.contexts[k - 1], g.hash[k - 2][ends - 1]) * p[deep]
-        out = np.zeros((len(words), len(self.langs) + 1), np.float32)
-        if len(at):
-            word = owner[g.word[at]]
-            for i in range(len(self.langs)):
-                out[:, i] = np.bincount(word, np.log(p[:, i]), len(words))
-            out[:, -1] = np.bincount(word, minlength=len(words))
-        return out
+        low = owner[0]  # owners rise
+        word = np.array(owner)[g.word[at]] - low
+        for i in range(len(self.langs)):
+            got = np.bincount(word, np.log(p[:, i]))
+            out[low : low + len(got), i] += got
+        count = np.bincount(word)
+        out[low : low + len(count), -1] += count
 
     def entropy(self, text: str) -> np.ndarray | None:
         total = self.words([text]).astype(float)[0]
@@ -131,27 +187,57 @@ class Models:
 
     def predict(self, sums: np.ndarray) -> list[tuple[str, float]]:
         """Language and score of each row of summed log probabilities."""
-        out = []
-        for s in sums:
-            if not len(self.langs) or not s[-1]:
-                out.append(("und", 0.0))
-                continue
-            h = -s[:-1] / s[-1]
-            i = int(h.argmin())  # ties: the first name
-            n = min(s[-1], 50.0)  # letters of one text depend on each other; the lead counts for so many at most
-            lead = 1 / np.exp(-(h - h[i]) * n).sum()
-            # further above the language's usual entropy than chance allows for so few letters
-            over = (h[i] - self.mean[i]) / (self.spread[i] + 3.0 / np.sqrt(s[-1]))
-            out.append((self.langs[i], float(lead / (1 + np.exp(np.clip(over - 6.0, -50, 50))))))
+        out = [("und", 0.0)] * len(sums)
+        some = np.flatnonzero(sums[:, -1]) if self.langs else []
+        if len(some):
+            letters = sums[some, -1]
+            h = -sums[some, :-1] / letters[:, None]
+            best = h.argmin(1)  # ties: the first name
+            lead = 1 / np.exp(-(h - h.min(1, keepdims=True)) * np.minimum(letters, self.weight)[:, None]).sum(1)
+            a, b = self.curve
+            score = lead / (1 + np.exp(np.clip(a + b * self._over(h[np.arange(len(h)), best], best, letters), -50, 50)))
+            for k, i, x in zip(some.tolist(), best.tolist(), score.tolist(), strict=True):
+                out[k] = self.langs[i], x
         return out
 
 
+def _runs(text: str) -> list[str]:
+    """The runs of letters of a text, in lower case; longer ones are cut."""
+    runs = _LETTERS.findall(text.lower())
+    return [p for r in runs for p in ([r] if len(r) <= RUN else [r[i : i + RUN] for i in range(0, len(r), RUN)])]
+
+
+def _mixed(text: str, rng: np.random.Generator) -> str:
+    """The text's letters in another order, in words of the same lengths."""
+    runs = _runs(text)
+    letters = np.array(list("".join(runs)))
+    rng.shuffle(letters)
+    ends = np.cumsum([len(r) for r in runs])
+    return " ".join("".join(letters[e - len(r) : e]) for e, r in zip(ends.tolist(), runs, strict=True))
+
+
+def _logistic(own: np.ndarray, strange: np.ndarray, reg: float = 1e-2) -> tuple[float, float]:
+    """a and b of 1 / (1 + exp(a + b z)), the chance that a distance z is one's own language's: both sides weigh the same; Newton steps."""
+    z = np.concatenate([own, strange])
+    t = np.concatenate([np.zeros(len(own)), np.ones(len(strange))])
+    weight = np.concatenate([np.full(len(own), 0.5 / len(own)), np.full(len(strange), 0.5 / len(strange))])
+    x, v = np.stack([np.ones_like(z), z], 1), np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + reg * np.eye(2), x.T @ (weight * (t - p)) - reg * v)
+        v = v + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(v[0]), max(float(v[1]), 0.0)
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> Models:
     """Models of the languages of docs, from about `sample` documents each, drawn by a hash of the id.
 
-    Rows with a null text, lang or held-out id aren't learned from. The sample is the classifier's documented bound.
+    Rows with a null text, lang or held-out id aren't learned from, nor are texts of more than LONGEST characters. The
+    sample is the classifier's documented bound.
     """
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= LONGEST) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     share = {r[0]: min(1.0, sample / r[1]) for r in known.groupBy(lang).count().collect()}  # one row a language
     if not share:
         return Models({})
@@ -185,7 +271,7 @@ def identify(df: DataFrame, models: Models, text: str = "text") -> DataFrame:
             fresh = [w for w in new if w not in memo]
             if fresh and own.langs:
                 memo.update(zip(fresh, range(len(table), len(table) + len(fresh)), strict=True))
-                table = np.concatenate([table, *(own.words(fresh[i : i + 20_000]) for i in range(0, len(fresh), 20_000))])
+                table = np.concatenate([table, own.words(fresh)])
             get = memo.__getitem__
             sums = np.zeros((len(cut), len(own.langs) + 1))
             if own.langs:
@@ -193,6 +279,9 @@ def identify(df: DataFrame, models: Models, text: str = "text") -> DataFrame:
                     if ws:
                         sums[i] = table[np.fromiter(map(get, ws), np.int64, len(ws))].sum(0, dtype=np.float64)
             lang, score = zip(*own.predict(sums), strict=True) if cut else ((), ())
+            for w in fresh:
+                if len(w) > MEMO_WORD:
+                    memo.pop(w, None)
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=PREDICTION.names)
         memo = table = cut = fresh = new = part = get = None  # noqa: F841
         give_back()

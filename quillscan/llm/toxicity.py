@@ -1,11 +1,12 @@
 """Toxicity by a support vector machine over a gap-weighted subsequence string kernel with Nystroem landmarks.
 
 The kernel compares words by their subsequences of three characters within SPAN, each weighted DECAY for every
-character skipped, so insults with gaps or inserted characters stay close to the plain ones. Sentences of
-labelled documents give the training words: a toxic document's witness words against words of clean ones. The
+character skipped, so insults with gaps or inserted characters stay close to the plain ones. The machine learns from
+sentences of labelled documents, each a bag of words: a toxic sentence is held by its most telling word; clean
+documents' words are the other side, those that the machine holds for worst joining it round by round. The
 landmarks' kernel matrix maps words to a space where a linear machine is trained; as every kernel value is a sum
-over subsequences, its decision is one table of weights of the landmarks' subsequences, which scores a word with
-a few lookups. A document is judged by its worst word and by the sum and rate of its words' evidence, which a second
+over subsequences, its decision is one table of weights of the landmarks' hashed subsequences, which scores a word with
+a few lookups, in any script. A document is judged by its worst word and by the sum and rate of its words' evidence, which a second
 linear machine weighs, calibrated to 0..1.
 """
 
@@ -25,14 +26,16 @@ from quillscan.llm.common import bounded_batches, give_back, held_out
 
 #: Kernel: the widest subsequence and the weight of a skipped character. Words longer than WINDOW are scored in overlapping windows.
 SPAN, DECAY, WINDOW = 6, 0.6, 24
-#: Bound of the training sample: toxic and clean documents. Landmarks of each label; words that a worker's memo keeps.
-SAMPLE, CLEAN, LANDMARKS, MEMO = 800, 2000, 256, 200_000
+#: Bound of the training sample: toxic and clean documents, and the characters of the longest one (longer ones are scored, whole, but not learned from).
+SAMPLE, CLEAN, LONGEST = 800, 2000, 200_000
+#: Landmarks of each label; words that a partition's memo keeps, and their longest.
+LANDMARKS, MEMO, MEMO_WORD = 256, 200_000, 256
 #: Toxic documents in the sample from which a part of it is set aside for the calibration.
 ENOUGH = 200
-#: Words that are taken apart at once.
+#: Words, or windows of long words, that are taken apart at once.
 PART = 5000
-#: Numbers that subsequences of characters 0 to 127 can have.
-CODES = 1 << 21
+#: Slots of the table of subsequences (a power of two).
+SLOTS = 1 << 20
 #: From this score on a document is toxic.
 LIMIT = 0.3
 #: Log-likelihood ratio from which a run of letters tells the labels apart, and the least share of toxic documents that have it; rounds in which clean words that score high join the training.
@@ -69,62 +72,74 @@ def views(word: str) -> list[str]:
 def inserted(words: list[str]) -> list[str]:
     """Each word with one strange letter put in, for training: at each place in turn over the words."""
     odd = "xzqkwj"
-    return [w[: (p := 1 + i % (len(w) - 1))] + odd[i % len(odd)] + w[p:] for i, w in enumerate(words)]
+    return [w[: (p := 1 + i % max(1, len(w) - 1))] + odd[i % len(odd)] + w[p:] for i, w in enumerate(words)]
 
 
 def windows(word: str) -> list[str]:
     return [word] if len(word) <= WINDOW else [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
 
 
-class Alphabet:
-    """Numbers the characters of the landmarks; others are 0 and match nothing."""
-
-    def __init__(self, words: list[str]):
-        self.chars = {c: i + 1 for i, (c, _) in enumerate(Counter("".join(f"^{w}$" for w in words)).most_common(127))}
-
-    def subsequences(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Owner, code and normalised weight of each subsequence of the words (of known characters only)."""
-        get, words = self.chars.get, [f"^{w}$" for w in words]  # a word's ends are characters as well
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        code = np.fromiter((get(c, 0) for w in words for c in w), np.int32, int(size.sum()))
-        owner = np.repeat(np.arange(len(words)), size)
-        left = (np.cumsum(size)[owner] - 1 - np.arange(len(code))) if len(code) else np.empty(0, np.int64)  # characters after it in its word
-        owners, codes, weights, norm = [], [], [], np.zeros(len(words))
-        for a, b in _PATTERNS:
-            norm += np.maximum(size - b, 0) * DECAY ** (2 * (b - 2))
-            i = np.flatnonzero(left >= b)
-            x, y, z = code[i], code[i + a], code[i + b]
-            seen = (x > 0) & (y > 0) & (z > 0)
-            i = i[seen]
-            owners.append(owner[i])
-            codes.append((x[seen] << 14) | (y[seen] << 7) | z[seen])
-            weights.append(np.full(len(i), DECAY ** (b - 2)))
-        o = np.concatenate(owners)
-        return o, np.concatenate(codes), np.concatenate(weights) / np.sqrt(np.maximum(norm, 1e-12))[o]
+def _mixed(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """32-bit hashes of triples of code points."""
+    h = x * np.uint64(0x9E3779B97F4A7C15) ^ y * np.uint64(0xC2B2AE3D27D4EB4F) ^ z * np.uint64(0x165667B19E3779F9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD1342543DE82EF95)
+    return (h >> np.uint64(32)).astype(np.int64)
+
+
+def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, hash and normalised weight of each subsequence of the words; a word's ends are characters as well."""
+    words = [f"^{w}$" for w in words]
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), size)
+    left = (np.cumsum(size)[owner] - 1 - np.arange(len(code))) if len(code) else np.empty(0, np.int64)  # characters after it in its word
+    owners, codes, weights, norm = [], [], [], np.zeros(len(words))
+    for a, b in _PATTERNS:
+        norm += np.maximum(size - b, 0) * DECAY ** (2 * (b - 2))
+        i = np.flatnonzero(left >= b)
+        owners.append(owner[i])
+        codes.append(_mixed(code[i], code[i + a], code[i + b]))
+        weights.append(np.full(len(i), DECAY ** (b - 2)))
+    o = np.concatenate(owners)
+    return o, np.concatenate(codes), np.concatenate(weights) / np.sqrt(np.maximum(norm, 1e-12))[o]
+
+
+class Features:
+    """The subsequences that landmarks have, in a table by the low bits of their hash; the high bits tell them from others."""
+
+    def __init__(self, hashes: np.ndarray):
+        hashes = np.unique(hashes)
+        self.slots, first = np.unique(hashes & (SLOTS - 1), return_index=True)
+        self.tag = np.full(SLOTS, -1, np.int16)
+        self.tag[self.slots] = hashes[first] >> SLOTS.bit_length() - 1
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        return self.tag[hashes & (SLOTS - 1)] == hashes >> SLOTS.bit_length() - 1
 
 
 class Machine:
-    """A trained scorer: a weight for each subsequence code, a bias, the weights of documents' evidence and the calibration of their scores."""
+    """A trained scorer: a weight for each subsequence of the landmarks, a bias, the weights of documents' evidence and the calibration of their scores."""
 
-    def __init__(self, alphabet: Alphabet | None, table: np.ndarray, bias: float, steps: tuple[np.ndarray, np.ndarray]):
-        self.alphabet, self.table, self.bias, self.steps = alphabet, table, bias, steps
+    def __init__(self, features: Features | None, table: np.ndarray, bias: float, steps: tuple[np.ndarray, np.ndarray]):
+        self.features, self.table, self.bias, self.steps = features, table, bias, steps
         self.weights = np.array([1.0, 0.0, 0.0])
 
     def decide(self, words: list[str]) -> np.ndarray:
         """The machine's decision for each word; that of a word without letters is the bias."""
-        if self.alphabet is None:
+        if self.features is None or not words:
             return np.zeros(len(words))
-        if len(words) > PART:
-            return np.concatenate([self.decide(words[i : i + PART]) for i in range(0, len(words), PART)])
         cut = [views(w) for w in words]
         flat = [x for c in cut for x in c]
-        owner = np.repeat(np.arange(len(words)), [len(c) for c in cut])
-        o, codes, weights = self.alphabet.subsequences(flat)
-        got = np.bincount(o, self.table[codes] * weights, len(flat)) + self.bias
+        got = np.concatenate([self._decide(flat[i : i + PART]) for i in range(0, len(flat), PART)])
         out = np.full(len(words), -np.inf)
-        np.maximum.at(out, owner, got)
+        np.maximum.at(out, np.repeat(np.arange(len(words)), [len(c) for c in cut]), got)
         return out
 
+    def _decide(self, part: list[str]) -> np.ndarray:
+        o, hashes, weights = subsequences(part)
+        seen = np.flatnonzero(self.features.known(hashes))
+        return np.bincount(o[seen], self.table[hashes[seen] & (SLOTS - 1)] * weights[seen], len(part)) + self.bias
+
     def evidence(self, values: list[np.ndarray] | np.ndarray) -> np.ndarray:
         """A row for each document from its words' decisions (a number is a document of one word): the worst word, sum and rate of what lies above zero."""
         out = np.array([[self.bias, 0.0, 0.0]] * len(values)).reshape(-1, 3)
@@ -137,7 +152,8 @@ class Machine:
 
     def score(self, values: list[np.ndarray] | np.ndarray) -> np.ndarray:
         """Documents' scores from their words' decisions."""
-        return np.interp(self.evidence(values) @ self.weights, *self.steps)
+        at, level = self.steps
+        return level[np.maximum(np.searchsorted(at, self.evidence(values) @ self.weights, "right") - 1, 0)]
 
 
 FLAT = np.array([0.0]), np.array([0.0])
@@ -163,8 +179,8 @@ def train(texts: list[str], toxic: list[int], prior: float) -> Machine:
     once: dict[str, str] = {}  # each word is kept in memory once
     sentences, bags = [], []
     for text, label in zip(texts, toxic, strict=True):
-        cut = [{once.setdefault(w, w) for x in words_of(s) if 3 <= len(w := normal(x)) <= WINDOW} for s in _SENTENCE.split(text)]
-        bags.append(Counter(once.setdefault(w, w) for x in words_of(text) if 3 <= len(w := normal(x)) <= WINDOW))
+        cut = [{once.setdefault(w, w) for x in words_of(s) if len(w := normal(x)) <= WINDOW and w} for s in _SENTENCE.split(text)]
+        bags.append(Counter(once.setdefault(w, w) for x in words_of(text) if len(w := normal(x)) <= WINDOW and w))
         sentences.append(cut if label else [])
     # of near copies one tells, else their rare words look like a sign of the label
     alone = list({(label, _mark(text)): k for k, (text, label) in enumerate(zip(texts, y.tolist(), strict=True))}.values())
@@ -210,7 +226,6 @@ def train(texts: list[str], toxic: list[int], prior: float) -> Machine:
     negative = list(dict.fromkeys([w for w, _ in seen_clean.most_common(2000)] + rare))
     if not negative:
         return NOTHING
-    alphabet = Alphabet(positive + negative)
     variants = inserted(positive)
     weigh = np.sqrt([witness[w] for w in positive])
     hard, machine = rare, NOTHING
@@ -219,8 +234,8 @@ def train(texts: list[str], toxic: list[int], prior: float) -> Machine:
         often = np.sqrt([seen_clean[x] for x in negative])  # a word that many documents have does more harm
         cost = np.concatenate([0.4 * weigh / weigh.sum(), 0.1 * weigh / weigh.sum(), 0.5 * often / often.sum()])
         t = np.concatenate([np.ones(2 * len(positive)), -np.ones(len(negative))])
-        table, b = _nystroem(alphabet, marks, positive + variants + negative, t, cost)
-        machine = Machine(alphabet, table, b, FLAT)
+        features, table, b = _nystroem(marks, positive + variants + negative, t, cost)
+        machine = Machine(features, table, b, FLAT)
         value = machine.decide(good_words)
         hard = [good_words[i] for i in np.argsort(-value)[:1000]]
         negative = list(dict.fromkeys(negative + hard))
@@ -233,22 +248,23 @@ def train(texts: list[str], toxic: list[int], prior: float) -> Machine:
     return machine
 
 
-def _nystroem(alphabet: Alphabet, marks: list[str], words: list[str], t: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights of subsequence codes and a bias: a linear machine in the landmarks' space, folded back."""
-    o, codes, weights = alphabet.subsequences(marks)
-    used, where = np.unique(codes, return_inverse=True)
-    basis = np.zeros((len(marks), len(used)))
-    np.add.at(basis, (o, where), weights)
-    spot = np.full(CODES, -1)
-    spot[used] = np.arange(len(used))
+def _nystroem(marks: list[str], words: list[str], t: np.ndarray, cost: np.ndarray) -> tuple[Features, np.ndarray, float]:
+    """The landmarks' subsequences, their weights and a bias: a linear machine in the landmarks' space, folded back."""
+    o, hashes, weights = subsequences(marks)
+    features = Features(hashes)
+    spot = np.zeros(SLOTS, np.int32)
+    spot[features.slots] = np.arange(len(features.slots))
+    basis = np.zeros((len(marks), len(features.slots)))
+    own = features.known(hashes)
+    np.add.at(basis, (o[own], spot[hashes[own] & (SLOTS - 1)]), weights[own])
 
     def kernel(some: list[str]) -> np.ndarray:
         out = []
         for i in range(0, len(some), 250):
             part = some[i : i + 250]
-            o, codes, weights = alphabet.subsequences(part)
-            seen = spot[codes] >= 0
-            dense = np.bincount(o[seen] * len(used) + spot[codes][seen], weights[seen], len(part) * len(used))
+            o, hashes, weights = subsequences(part)
+            seen = np.flatnonzero(features.known(hashes))
+            dense = np.bincount(o[seen] * basis.shape[1] + spot[hashes[seen] & (SLOTS - 1)], weights[seen], len(part) * basis.shape[1])
             out.append((dense.reshape(len(part), -1) @ basis.T).astype(np.float32))
         return np.concatenate(out)
 
@@ -256,9 +272,9 @@ def _nystroem(alphabet: Alphabet, marks: list[str], words: list[str], t: np.ndar
     kept = values > 1e-5 * values.max()
     root = vectors[:, kept] / np.sqrt(values[kept])
     w, b = _hinge(kernel(words) @ root.astype(np.float32), t, cost)
-    table = np.zeros(CODES, np.float32)
-    table[used] = (root @ w) @ basis
-    return table, b
+    table = np.zeros(SLOTS, np.float32)
+    table[features.slots] = (root @ w) @ basis
+    return features, table, b
 
 
 def _likelihood(n: int, c: int, bad: int, good: int) -> float:
@@ -301,7 +317,7 @@ def _rising(x: np.ndarray, t: np.ndarray, cost: np.ndarray) -> np.ndarray:
 
 
 def _calibrate(f: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Decisions and the share of toxic documents there: the rising step curve of least squares, joined by lines."""
+    """Decisions and the share of toxic documents there: the rising step curve of least squares; a decision between two levels takes the nearer one."""
     blocks: list[list[float]] = []  # weight, toxic weight, lowest and highest decision
     for k in np.argsort(f, kind="stable"):
         blocks.append([share[k], share[k] * y[k], f[k], f[k]])
@@ -310,17 +326,14 @@ def _calibrate(f: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[np.ndar
             blocks[-1] = [blocks[-1][0] + w, blocks[-1][1] + p, blocks[-1][2], top]
     least = share.min()
     level = [(p + 0.1 * least) / (w + 0.2 * least) for w, p, _, _ in blocks]
-    at = [x for b in blocks for x in ((b[2], b[3]) if b[3] > b[2] else (b[2],))]
-    up = [v for b, v in zip(blocks, level, strict=True) for v in ((v, v) if b[3] > b[2] else (v,))]
-    at, up = np.array(at), np.maximum.accumulate(up)
-    # between two levels the curve stays low for most of the way: words just above the clean ones seen are more often clean
-    return np.insert(at, range(1, len(at)), at[:-1] + 0.5 * np.diff(at)), np.insert(up, range(1, len(up)), up[:-1] + 0.1 * np.diff(up))
+    at = [b[2] if k == 0 else (blocks[k - 1][3] + b[2]) / 2 for k, b in enumerate(blocks)]
+    return np.array(at), np.maximum.accumulate(level)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, clean: int = CLEAN) -> Machine:
     """A machine from labels (doc_id, toxic) of documents (doc_id, text) that aren't held out.
 
-    About `sample` toxic and `clean` other documents are drawn by a hash of their id; that is the classifier's documented bound.
+    About `sample` toxic and `clean` other documents of up to LONGEST characters are drawn by a hash of their id; that is the classifier's documented bound.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -329,7 +342,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, clean: int = C
     drawn = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     picked = known.where(drawn < F.when(F.col("toxic") == 1, min(1.0, sample / counts[1])).otherwise(min(1.0, clean / counts[0])))
     picked = picked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # about sample + clean rows
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic").collect()
+    rows = docs.where(F.col("text").isNotNull() & (F.length("text") <= LONGEST)).select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic").collect()
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], counts[1] / (counts[0] + counts[1]))
 
 
@@ -357,6 +370,9 @@ def score(df: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
                 memo.update(zip(some, own.decide(some).tolist(), strict=True))
             get = memo.__getitem__
             yield pa.array(own.score([np.fromiter(map(get, ws), float, len(ws)) for ws in cut]), pa.float64())
+            for w in fresh:
+                if len(w) > MEMO_WORD:
+                    del memo[w]
         memo = cut = fresh = new = part = get = None  # noqa: F841
         give_back()
 

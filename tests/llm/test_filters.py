@@ -102,13 +102,108 @@ def test_probabilities_sum_to_one():
 
 def _log(m, word, end):
     """Log probabilities of a word's letters, with or without its end."""
+    whole = m.words([word]).astype(float)[0, :-1]
+    if end:
+        return whole
     g = language.Grams([word])
     at = g.at(1)
     p = m.contexts[0][1][0] / language.SYMBOLS + m._find(*m.grams[0], g.hash[0][at])
     for k in range(2, language.ORDER + 1):
         deep = np.flatnonzero(g.place[at] >= k - 1)
         p[deep] = m._find(*m.grams[k - 1], g.hash[k - 1][at[deep]]) + m._find(*m.contexts[k - 1], g.hash[k - 2][at[deep] - 1]) * p[deep]
-    return np.log(p).sum(0) if end else np.log(p[:-1]).sum(0)
+    return np.log(p[:-1]).sum(0)
+
+
+def _kneser_ney(words, order=4):
+    """Interpolated Kneser-Ney by dictionaries: a function from a word to the log probability of its letters and end."""
+    tables = []
+    padded = [f"\x02{w}\x03" for w in words]
+    for k in range(1, order + 1):
+        count = {}
+        grams = [(w, i) for w in padded for i in range(max(k - 1, 1), len(w))]  # (word, place of the last letter)
+        if k == order:
+            for w, i in grams:
+                count[w[i - k + 1 : i + 1]] = count.get(w[i - k + 1 : i + 1], 0) + 1
+        else:
+            for longer in {w[i - k : i + 1] for w, i in ((w, i) for w in padded for i in range(max(k, 1), len(w)))}:
+                count[longer[1:]] = count.get(longer[1:], 0) + 1
+            for w, i in grams:
+                if i == k - 1:
+                    count[w[: i + 1]] = count.get(w[: i + 1], 0) + 1
+        ones, twos = (sum(c == n for c in count.values()) for n in (1, 2))
+        d = min(max(ones / (ones + 2 * twos) if ones else 0.5, 0.1), 0.9)
+        total, kinds = {}, {}
+        for g, c in count.items():
+            total[g[:-1]] = total.get(g[:-1], 0) + c
+            kinds[g[:-1]] = kinds.get(g[:-1], 0) + 1
+        tables.append(({g: max(c - d, 0) / total[g[:-1]] for g, c in count.items()}, {x: d * kinds[x] / total[x] for x in total}))
+
+    def score(word):
+        w, out = f"\x02{word}\x03", 0.0
+        for i in range(1, len(w)):
+            p = tables[0][1][""] / language.SYMBOLS + tables[0][0].get(w[i], 0.0)
+            for k in range(2, order + 1):
+                if i >= k - 1:
+                    p = tables[k - 1][0].get(w[i - k + 1 : i + 1], 0.0) + tables[k - 1][1].get(w[i - k + 1 : i], 1.0) * p
+            out += np.log(p)
+        return out
+
+    return score
+
+
+def test_models_equal_a_plain_kneser_ney():
+    texts = {"en": [" ".join(ENGLISH), "then the thing"], "de": [" ".join(GERMAN)]}  # too few to set any aside
+    m = language.Models(texts)
+    words = ["the", "thorn", "straße", "q", "rings", "zzz", "mögen"]
+    got = m.words(words)
+    for k, lang in enumerate(m.langs):
+        plain = _kneser_ney([w for t in texts[lang] for w in t.split()])
+        assert np.allclose(got[:, k], [plain(w) for w in words], rtol=1e-4), lang
+    assert got[:, -1].tolist() == [len(w) + 1 for w in words]
+
+
+def test_strange_texts_are_rejected():
+    r = random.Random(2)
+    text = lambda words: " ".join(r.choices(words, k=60))
+    m = language.Models({"en": [text(ENGLISH) for _ in range(60)], "de": [text(GERMAN) for _ in range(60)]})
+    score = lambda texts: np.array([x for _, x in m.predict(m.words(texts).astype(float))])
+    noise = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz  ", k=300)) for _ in range(50)]
+    foreign = [text("кольцо берег зима собрать другой вещь блеск терн".split()) for _ in range(50)]
+    assert (score([text(ENGLISH) for _ in range(100)] + [text(GERMAN) for _ in range(100)]) >= m.reject).all()
+    assert (score(noise) < m.reject).all() and (score(foreign) < m.reject).all()
+
+
+def test_long_runs_of_letters_are_cut():
+    m = language.Models({"en": [" ".join(ENGLISH)] * 3, "de": [" ".join(GERMAN)] * 3})
+    text = "ring" * 300_000
+    got = m.words([text, "ring"])
+    assert got[0, -1] == 1_200_000 + -(-1_200_000 // language.RUN)
+    assert m.predict(got.astype(float))[0][0] in ("en", "de")
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "the other ring", "en", "old", "old", "old")], [(1, "the other ring", "en", "old", "old", "old"), (1, None, None, None, None, None)]], ids=["empty", "one", "repeated id"])
+def test_classifiers_on_odd_tables(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, predicted string, lang_pred string")
+    found = language.identify(df, language.fit(df)).collect()
+    assert len(found) == len(rows) and all(0 <= r["score"] <= 1 for r in found)
+    assert {r["lang_pred"] for r in found} <= {"en", "und"}
+    m = toxicity.fit(df, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
+    assert sorted((r["score"], r["predicted"]) for r in toxicity.score(df, m).collect()) == [(0.0, 0)] * len(rows)
+
+
+def test_insults_in_another_script():
+    other = str.maketrans("abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувщхыз")
+    docs, labels = _rows()
+    m = toxicity.train([d[1].translate(other) for d in docs], [x[2] for x in labels], 0.2)
+    bad = [w.translate(other) for w in ("gnarlwit", "gnarxlwit", "bozzlehhead")]
+    assert (m.score(m.decide(bad)) >= 0.3).all() and (m.score(m.decide([w.translate(other) for w in ENGLISH])) < 0.3).all()
+    assert m.decide(["gnarl" * 400_000]).shape == (1,)  # a text without blanks is taken apart in parts
+
+
+def test_calibration_is_a_rising_step_curve():
+    f, y = np.array([0.0, 1.0, 2.0, 3.0, 4.0, 5.0]), np.array([0, 0, 1, 0, 1, 1])
+    at, level = toxicity._calibrate(f, y, np.full(6, 1 / 6))
+    assert at.tolist() == [0.0, 1.5, 3.5] and (np.diff(level) > 0).all() and abs(level[1] - 0.5) < 0.01
 
 
 def test_language_without_training(spark):
