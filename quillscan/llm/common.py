@@ -13,7 +13,7 @@ from quillscan.sources.shared import remove, saved, shared_dir
 __all__ = ["bounded_batches", "give_back", "held_out", "remove", "saved", "shared_dir", "table"]
 
 #: Rows and bytes that one Arrow batch holds at most; a batch is the unit of a Python worker's memory.
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

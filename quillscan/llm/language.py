@@ -26,7 +26,7 @@ ORDER, SAMPLE, LONGEST = 4, 400, 200_000
 #: One document in so many of the sample is set aside for the calibration, if a language has as many.
 ASIDE = 4
 #: Words that a partition's memo keeps, and their longest; letters of a run beyond which it counts as several words; letters that are scored at once.
-MEMO, MEMO_WORD, RUN, LETTERS = 200_000, 256, 4096, 500_000
+MEMO, MEMO_WORD, RUN, LETTERS = 100_000, 256, 4096, 100_000
 #: Symbols that an unseen letter shares its probability with.
 SYMBOLS = 65536
 _LETTERS = re.compile(r"[^\W\d_]+")

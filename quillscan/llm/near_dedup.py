@@ -36,7 +36,7 @@ LEADERS = 4
 #: Rows of a posting list that one task holds against the rest of it; pairs of a class that one task confirms.
 BLOCK, PAIRS = 2000, 256
 #: Words that a partition's memo keeps and their longest, in bytes; rows of a table that is broadcast at most.
-MEMO, LONGEST, MOST_SENT = 100_000, 64, 200_000
+MEMO, LONGEST, MOST_SENT = 100_000, 64, 100_000
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 SIGNATURE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("signature", T.ArrayType(T.IntegerType()))])
 

@@ -29,11 +29,11 @@ SPAN, DECAY, WINDOW = 6, 0.6, 24
 #: Bound of the training sample: toxic and clean documents, and the characters of the longest one (longer ones are scored, whole, but not learned from).
 SAMPLE, CLEAN, LONGEST = 800, 2000, 200_000
 #: Landmarks of each label; words that a partition's memo keeps, and their longest.
-LANDMARKS, MEMO, MEMO_WORD = 256, 200_000, 256
+LANDMARKS, MEMO, MEMO_WORD = 256, 100_000, 256
 #: Toxic documents in the sample from which a part of it is set aside for the calibration.
 ENOUGH = 200
 #: Words, or windows of long words, that are taken apart at once.
-PART = 5000
+PART = 1000
 #: Slots of the table of subsequences (a power of two).
 SLOTS = 1 << 20
 #: From this score on a document is toxic.
