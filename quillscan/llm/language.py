@@ -203,7 +203,11 @@ class Models:
 
 def _runs(text: str) -> list[str]:
     """The runs of letters of a text, in lower case; longer ones are cut."""
-    runs = _LETTERS.findall(text.lower())
+    text = text.lower()
+    bare = text.strip(".,;:!?")
+    if bare.isalpha() and len(bare) <= RUN:  # one word: as below, but sooner
+        return [bare]
+    runs = _LETTERS.findall(text)
     return [p for r in runs for p in ([r] if len(r) <= RUN else [r[i : i + RUN] for i in range(0, len(r), RUN)])]
 
 
