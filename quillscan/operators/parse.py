@@ -1,12 +1,15 @@
-"""Table functions: files to syntax nodes, function spans, and masked lines."""
+"""Table functions: files to syntax nodes, function and class spans, and masked lines."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillscan.functions import lexer
 
@@ -14,46 +17,75 @@ NODES = (
     "path string, lang string, ord long, kind string, raw string, text string, sl int, sc int, el int, ec int, name string, object string,"
     " args array<string>, args_text string, children array<struct<kind string, text string, at int>>, context2 string, context3 string, error string"
 )
+SPANS = "path string, lang string, kind string, name string, params array<string>, s int, e int, sc int, ec int, ord int, error string"
+#: Characters of a context on either side of its node: on lines as short as people write, all of the lines.
+REACH = 2000
 
+#: What reads a language: a function from a text to an object like lexer.Source (text, nodes, functions, classes, place).
+Adapter = Callable[[str], lexer.Source]
 
-def nodes(files: DataFrame) -> DataFrame:
-    """The syntax nodes of files (path, lang, content), in text order (ord); calls carry name, receiver and arguments.
 
-    context2 and context3 are the lines within 2 and 3 of the node. A file that can't be read gives one row with
-    its error and no node. One pass over the files, no shuffle; filter files before, not nodes after.
-    """
+def _source(content: str | None, lang: str, adapters: dict[str, Adapter] | None) -> lexer.Source:
+    return adapters[lang](content or "") if adapters and lang in adapters else lexer.Source(content or "", lang)
+
+
+def tabled(files: DataFrame, schema: str, read: Callable[[str, str, str], Iterator[tuple]], failed: Callable[[str, str, str], tuple]) -> DataFrame:
+    """Rows of `read` for each file with a language; a file that can't be read gives the row of `failed`, and never stops the scan."""
+    struct = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(struct)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in NODES.replace("array<struct<kind string, text string, at int>>", "x").split(", ")]
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, lang, content in batch[["path", "lang", "content"]].itertuples(index=False):
+            rows: list[tuple] = []
+            for file in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    src = lexer.Source(content or "", lang)
-                    lined = src.text.split("\n")
-                    for k, n in enumerate(src.nodes()):
-                        (sl, sc), (el, ec) = src.place(n.start), src.place(n.end)
-                        near = ["\n".join(lined[max(0, sl - 1 - r) : el + r]) for r in (2, 3)]
-                        rows.append((path, lang, k, n.kind, n.raw, src.text[n.start : n.end], sl, sc, el, ec, n.name, n.object, n.args, n.args_text, [{"kind": a, "text": b, "at": c - n.start} for a, b, c in n.children], *near, None))
-                except Exception as e:  # a file never stops the scan
-                    rows.append((path, lang, -1, *[None] * 14, f"{type(e).__name__}: {e}"[:200]))
-            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in columns])
+                    rows += list(read(*file))
+                except Exception as e:
+                    rows.append(failed(file[0], file[1], f"{type(e).__name__}: {e}"[:200]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * len(arrow), arrow, strict=True)], schema=arrow)
 
-    return files.where("lang is not null").select("path", "lang", "content").mapInPandas(parse, NODES)
+    return files.where("lang is not null").select("path", "lang", "content").mapInArrow(work, struct)
 
 
-def spans(files: DataFrame) -> DataFrame:
-    """path, name, params, s, e (lines) and ord of each function with a body."""
+def nodes(files: DataFrame, adapters: dict[str, Adapter] | None = None) -> DataFrame:
+    """The syntax nodes of files (path, lang, content), in text order (ord); calls carry name, receiver and arguments.
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, lang, content in batch[["path", "lang", "content"]].itertuples(index=False):
-                src = lexer.Source(content or "", lang)
-                rows += [(path, name, params, src.place(a)[0], src.place(b)[0], k) for k, (name, params, a, b) in enumerate(src.functions())]
-            yield pd.DataFrame(rows, columns=["path", "name", "params", "s", "e", "ord"])
+    context2 and context3 are the lines within 2 and 3 of the node, up to REACH characters before and after it, so that
+    a file of one long line doesn't repeat itself for each node. A file that can't be read gives one row with its error
+    and no node. adapters read other languages, or one's own way. One pass over the files, no shuffle; filter files
+    before, not nodes after.
+    """
+
+    def read(path: str, lang: str, content: str) -> Iterator[tuple]:
+        src = _source(content, lang, adapters)
+        starts, size = src.starts, len(src.text)
+        for k, n in enumerate(src.nodes()):
+            (sl, sc), (el, ec) = src.place(n.start), src.place(n.end)
+            near = []
+            for r in (2, 3):
+                low = starts[max(0, sl - 1 - r)]
+                high = starts[el + r] - 1 if el + r < len(starts) else size
+                near.append(src.text[max(low, n.start - REACH) : min(high, n.end + REACH)])
+            children = [{"kind": a, "text": b, "at": c - n.start} for a, b, c in n.children]
+            yield path, lang, k, n.kind, n.raw, src.text[n.start : n.end], sl, sc, el, ec, n.name, n.object, n.args, n.args_text, children, *near, None
+
+    return tabled(files, NODES, read, lambda path, lang, error: (path, lang, -1, *[None] * 14, error))
+
+
+def spans(files: DataFrame, adapters: dict[str, Adapter] | None = None) -> DataFrame:
+    """path, lang, kind (function or class), name, params, s, e (lines), sc, ec (columns) and ord of each function with a body and of each class.
+
+    A file that can't be read gives one row with its error and no name.
+    """
+
+    def read(path: str, lang: str, content: str) -> Iterator[tuple]:
+        src = _source(content, lang, adapters)
+        found = [("function", *f) for f in src.functions()] + [("class", name, [], a, b) for name, a, b in src.classes()]
+        for k, (kind, name, params, a, b) in enumerate(sorted(found, key=lambda x: x[3])):
+            (s, sc), (e, ec) = src.place(a), src.place(b)
+            yield path, lang, kind, name, params, s, e, sc, ec, k, None
 
-    return files.where("lang is not null").select("path", "lang", "content").mapInPandas(read, "path string, name string, params array<string>, s int, e int, ord int")
+    return tabled(files, SPANS, read, lambda path, lang, error: (path, lang, *[None] * 8, error))
 
 
 def mask_literals(content: Column, lang: Column) -> Column:

@@ -65,13 +65,6 @@ def latest_before(df: DataFrame, key: str, order: list, is_source: Column, value
     return F.last(F.when(is_source, value), ignorenulls=True).over(w)
 
 
-def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """Points (file, line) with the name of the enclosing span (file, name, s, e) that starts last; ties: least ord."""
-    s = spans.withColumnsRenamed({"file": "_file"})
-    met = points.join(s, (points["file"] == s["_file"]) & F.col("line").between(F.col("s"), F.col("e")), "left")
-    return met.groupBy("file", "line").agg(F.max_by("name", F.struct("s", -F.col("ord"))).alias("name"))
-
-
 def reachable(edges: DataFrame, depth: int) -> DataFrame:
     """Pairs (src, dst, hops) with dst reached from src over at most `depth` edges, by a distinct frontier that is written at each step."""
     edges = saved(edges.select("src", "dst").distinct(), "edges")
@@ -105,16 +98,59 @@ def closure(edges: DataFrame) -> DataFrame:
 def hash_sample(df: DataFrame, key: str, rate: float, seed: str) -> DataFrame:
     """The ceil(n * rate) rows, one at least, whose SHA-256 of seed and lower-case key ranks first; rate 0: none.
 
-    Not a window over all rows: the top k by a sort that Spark distributes; k follows from one count.
+    Digests are spread evenly, so counts by their first 16 bits (at most 65,536 numbers) tell up to where all rows
+    are taken; only the rows of one such bucket are ranked.
     """
     if not 0 <= rate <= 1:
         raise ValueError("rate must be within 0 and 1")
-    n = df.count() if rate else 0
-    k = min(n, max(1, -int(-n * rate // 1))) if n else 0
-    return df.withColumn("_h", F.sha2(F.concat_ws("\0", F.lit(seed), F.lower(key)), 256)).orderBy("_h", key).limit(k).drop("_h")
+    if not rate:
+        return df.limit(0)
+    digest = F.sha2(F.concat_ws("\0", F.lit(seed), F.lower(key)), 256)
+    rows = df.withColumn("_h", digest).withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
+    counts = {r["_b"]: r["count"] for r in rows.groupBy("_b").count().collect()}
+    n = sum(counts.values())
+    left, border = min(n, max(1, -int(-n * rate // 1))), -1
+    for bucket in sorted(counts):
+        if left <= counts[bucket]:
+            border = bucket
+            break
+        left -= counts[bucket]
+    edge = rows.where(F.col("_b") == border).withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))).where(F.col("_n") <= left)
+    return rows.where(F.col("_b") < border).drop("_h", "_b").unionByName(edge.drop("_h", "_b", "_n"))
+
+
+def running(df: DataFrame, order: list, value: Column, out: str) -> DataFrame:
+    """df with `out`: the sum of value over all rows before each one; order must be total.
+
+    A prefix sum over ranges: rows are dealt by ranges of the order and written, sums of ranges (one row each) are
+    added up, and a window runs within each range. No task gets all rows.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = saved(df.withColumn("_v", value).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranged.groupBy("_part").agg(F.sum("_v").alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(F.broadcast(bases), "_part").withColumn(out, F.col("_base") + F.coalesce(F.sum("_v").over(own), F.lit(0))).drop("_v", "_part", "_base")
 
 
 def within_budget(calls: DataFrame, order: str, cost: str, most: float, per: str | None = None) -> DataFrame:
-    """Calls that begin before the costs of those ahead reach the budget; the one that crosses it is kept."""
-    w = (Window.partitionBy(per) if per else Window.partitionBy(F.lit(1))).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    """Calls that begin before the costs of those ahead reach the budget; the one that crosses it is kept.
+
+    A budget for each `per` is a window within it; one budget for all is a prefix sum over ranges.
+    """
+    if per is None:
+        return running(calls, [order], F.col(cost), "spent").withColumn("spent", F.col("spent").cast("double")).where(F.col("spent") < most)
+    w = Window.partitionBy(per).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return calls.withColumn("spent", F.coalesce(F.sum(cost).over(w), F.lit(0.0))).where(F.col("spent") < most)
+
+
+def distinct_in_order(df: DataFrame, key: str, order: Column) -> DataFrame:
+    """key and first: each distinct key with the least order it has; sorting by first gives the order of first sight."""
+    return df.groupBy(key).agg(F.min(order).alias("first"))
+
+
+def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """Points (file, line) with the name of the enclosing span (file, name, s, e) that starts last; ties: least ord."""
+    s = spans.withColumnsRenamed({"file": "_file"})
+    met = points.join(s, (points["file"] == s["_file"]) & F.col("line").between(F.col("s"), F.col("e")), "left")
+    return met.groupBy("file", "line").agg(F.max_by("name", F.struct("s", -F.col("ord"))).alias("name"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillscan.operators import custom_rules, enrich, parse, rules, taint, text_rules
+from quillscan.operators import custom_rules, enrich, parse, review, rules, taint, text_rules
 from quillscan.plans import report, scan
 from quillscan.sources import diffs, snippets
-from quillscan.sources.tables import skipped
+from quillscan.sources.shared import saved
 
 _Q, _O = {}, {}
 
@@ -46,7 +46,7 @@ def language_partition_counts(spark, sf: str) -> DataFrame:
 
 @_query(f"SELECT {snippets._PATH} AS path, 'unsupported language' AS reason FROM {snippets._PARTS} WHERE ext = '.rb'")
 def skipped_files(spark, sf: str) -> DataFrame:
-    return skipped(snippets.files(spark, sf))
+    return scan.skipped(snippets.files(spark, sf))
 
 
 @_query(f"SELECT path, line, rule_id FROM (SELECT path, CAST(line AS BIGINT) AS line, rule_id FROM ({_LABELS})) JOIN {_META} USING (rule_id) WHERE severity IN ('high', 'critical')")
@@ -81,15 +81,21 @@ count(*) AS findings, count(*) FILTER (severity = 'low') AS low, count(*) FILTER
 count(*) + 2 * (SELECT count(*) FROM part WHERE p_partkey % {len(snippets.SNIPPETS)} = 19) AS candidates, 2 * (SELECT count(*) FROM part WHERE p_partkey % {len(snippets.SNIPPETS)} = 19) AS filtered
 FROM ({_LABELS}) JOIN {_META} USING (rule_id)""")
 def counters_summary(spark, sf: str) -> DataFrame:
-    files = snippets.files(spark, sf)
-    return scan.counters(files, _found(spark, sf), scan.candidates(files, scan.Options()))
+    files, options = snippets.files(spark, sf), scan.Options(directive=snippets.DIRECTIVE)
+    n = scan.counters(files, scan.stages(files, options, saved(scan.candidates(files, options), "candidates")))
+    return n.withColumn("filtered", F.col("candidates") - F.col("findings")).select("files", "scanned", "skipped", "findings", *rules.RANK, "candidates", "filtered")
 
 
-@_query(f"SELECT path, rule_id, CAST(line AS BIGINT) AS line FROM ({_LABELS}) WHERE ext = 'py' AND rule_id = 'CG-002' AND line = 8")
+@_query(f"""SELECT path, rule_id, CAST(line AS BIGINT) AS line, false AS suppressed FROM ({_LABELS})
+UNION ALL SELECT {snippets._PATH}, 'CG-002', CAST(hidden AS BIGINT), true FROM {snippets._PARTS}, (VALUES (5), (7)) h(hidden) WHERE template = 19""")
 def inline_suppression(spark, sf: str) -> DataFrame:
-    """What directives leave of the files that hold any."""
-    files = snippets.files(spark, sf).where(F.col("content").contains(snippets.DIRECTIVE))
-    return scan.findings(files, scan.Options(directive=snippets.DIRECTIVE)).select("path", "rule_id", "line")
+    """Every candidate, and whether a directive covers it."""
+    options = scan.Options(directive=snippets.DIRECTIVE)
+    files = snippets.files(spark, sf)
+    steps = scan.stages(files, options, saved(scan.candidates(files, options), "candidates"))
+    key = ["path", "rule_id", "line"]
+    left = steps["suspicious"].select(*key)
+    return left.withColumn("suppressed", F.lit(False)).unionByName(steps["candidates"].select(*key).exceptAll(left).withColumn("suppressed", F.lit(True)))
 
 
 @_query(snippets.expected("flows", "a, b, sink", "CAST(a AS INTEGER) AS source_line, CAST(b AS INTEGER) AS sink_line, sink"))
@@ -170,30 +176,29 @@ def yaml_rule_scan(spark, sf: str) -> DataFrame:
     return scan.findings(snippets.files(spark, sf), scan.Options(preset="none", custom=custom, directive=None)).select("path", "rule_id", "line")
 
 
-_CALLS = [(0, 3, "query", "db", 1), (6, 2, "readFile", "fs", 2), (6, 3, "readFile", "fs", 2), (6, 4, "readFile", "fs", 2), (13, 6, "Command", "exec", 3), (15, 6, "readObject", "in", 0), (16, 5, "setSecure", "cookie", 1), (17, 3, "query", "$pdo", 1)]
+_CALLS = [(k, line, name, obj, len(args)) for k, calls in snippets.CALLS.items() for line, name, obj, *args in calls]
 
 
 @_query(f"SELECT {snippets._PATH} AS path, CAST(line AS INTEGER) AS line, name, object, CAST(n AS INTEGER) AS n_args FROM {snippets._PARTS} JOIN {snippets._sql(*_CALLS)} x(x_template, line, name, object, n) ON x_template = template")
 def call_info_extract(spark, sf: str) -> DataFrame:
-    """Receiver, name and number of arguments of some calls."""
+    """Receiver, name and number of arguments of every call."""
     calls = parse.nodes(snippets.files(spark, sf)).where("kind = 'function_call'")
-    wanted = F.col("name").isin("query", "readFile", "Command", "readObject", "setSecure") & F.col("object").isin("db", "fs", "exec", "in", "cookie", "$pdo")
-    return calls.where(wanted).select("path", F.col("sl").alias("line"), "name", "object", F.size("args").alias("n_args"))
+    return calls.select("path", F.col("sl").alias("line"), "name", "object", F.size("args").alias("n_args"))
 
 
-_ARGS = [(6, 1, 0, "t"), (6, 1, 1, "key{k}"), (6, 1, 2, "{ algorithms: ['none'] }"), (13, 6, 0, '"sh"'), (13, 6, 1, '"-c"'), (13, 6, 2, '"ls {k} " + dir')]
+_ARGS = [(k, line, pos, arg) for k, calls in snippets.CALLS.items() for line, _, _, *args in calls for pos, arg in enumerate(args)]
 
 
 @_query(f"SELECT {snippets._PATH} AS path, CAST(line AS INTEGER) AS line, CAST(pos AS INTEGER) AS pos, replace(arg, '{{k}}', CAST(p_partkey AS VARCHAR)) AS arg FROM {snippets._PARTS} JOIN {snippets._sql(*_ARGS)} x(x_template, line, pos, arg) ON x_template = template")
 def split_top_level_args(spark, sf: str) -> DataFrame:
-    calls = parse.nodes(snippets.files(spark, sf)).where("kind = 'function_call' and name in ('verify', 'Command')")
+    calls = parse.nodes(snippets.files(spark, sf)).where("kind = 'function_call'")
     return calls.select("path", F.col("sl").alias("line"), F.posexplode("args").alias("pos", "arg"))
 
 
-@_query(snippets.expected("findings", "rule_id, line", "rule_id, CAST(line AS INTEGER) AS line").replace("SELECT", "SELECT * FROM (SELECT", 1) + ") WHERE rule_id = 'CG-031' AND (path LIKE '%.js' OR path LIKE '%.go')")
+@_query(snippets.expected("findings", "rule_id, line", "rule_id, CAST(line AS INTEGER) AS line").replace("SELECT", "SELECT * FROM (SELECT", 1) + ") WHERE rule_id = 'CG-031'")
 def assigned_from_lookup(spark, sf: str) -> DataFrame:
     """File access whose argument is, or was assigned from, user input."""
-    hits = rules.match(parse.nodes(snippets.files(spark, sf).where("lang in ('javascript', 'go')")), [r for r in rules.load() if r.id == "CG-031"])
+    hits = rules.match(parse.nodes(snippets.files(spark, sf)), [r for r in rules.load() if r.id == "CG-031"])
     return hits.select("path", "rule_id", F.col("sl").alias("line"))
 
 
@@ -213,25 +218,28 @@ _VERDICT = "('0x' || substr(sha256(path || rule_id || line), 1, 1))::INTEGER"
 @_query(f"SELECT path, rule_id, CAST(line AS BIGINT) AS line, CASE WHEN {_VERDICT} < 2 THEN 'kept' WHEN {_VERDICT} < 9 THEN 'confirmed' ELSE 'dismissed' END AS outcome FROM ({_LABELS})")
 def verdict_partition(spark, sf: str) -> DataFrame:
     """Outcomes under a stub model that decides by a digest and sometimes fails."""
-    return enrich.partition(_reviewed(spark, sf)).select("path", "rule_id", "line", "outcome")
+    return _reviewed(spark, sf).select("path", "rule_id", "line", "outcome")
 
 
-def _reviewed(spark, sf: str) -> DataFrame:
-    found = _found(spark, sf).select("path", "rule_id", "line").withColumn("prompt", F.concat("path", "rule_id", F.col("line").cast("string")))
+def _stub(prompt: str) -> str:
+    """A model that decides by a digest and sometimes fails."""
+    import hashlib
 
-    def ask(prompt: str) -> str:
-        import hashlib
+    n = int(hashlib.sha256(prompt.encode()).hexdigest()[0], 16)
+    return "no json" if n < 2 else '{"confirmed": %s, "confidence": 2, "reasoning": "stub"}' % ("true" if n < 9 else "false")
 
-        n = int(hashlib.sha256(prompt.encode()).hexdigest()[0], 16)
-        return "no json" if n < 2 else '{"confirmed": %s, "confidence": 2, "reasoning": "stub"}' % ("true" if n < 9 else "false")
 
-    return enrich.review(found, ask)
+def _reviewed(spark, sf: str, selected=None) -> DataFrame:
+    found = _found(spark, sf).select("path", "rule_id", "line").withColumn("prompt", F.concat("path", "rule_id", F.col("line").cast("string")))
+    return review.run(found.withColumn("key_hash", enrich.cache_key(F.col("prompt"))), _stub, ["path", "line", "rule_id"], selected=selected)
 
 
 @_query(f"""SELECT count(*) AS total, count(*) FILTER (s) AS reviewed, count(*) FILTER (s AND v < 9) AS confirmed, count(*) FILTER (s AND v >= 9) AS dismissed, count(*) FILTER (NOT s) AS rule_only
 FROM (SELECT rule_id IN ('CG-001', 'CG-002', 'CG-031') AS s, {_VERDICT} AS v FROM ({_LABELS}))""")
 def dual_channel_stats(spark, sf: str) -> DataFrame:
-    return enrich.channel_stats(_reviewed(spark, sf), F.col("rule_id").isin("CG-001", "CG-002", "CG-031"))
+    """The model is asked about the selected rules' matches only."""
+    picked = F.col("rule_id").isin("CG-001", "CG-002", "CG-031")
+    return enrich.channel_stats(_reviewed(spark, sf, picked), picked)
 
 
 def queries() -> dict:

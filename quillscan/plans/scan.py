@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillscan.operators import parse, relations, rules, text_rules
+from quillscan.operators import parse, relations, review, rules, text_rules
+from quillscan.sources.tables import skipped as unsupported
 
 
 @dataclass
@@ -21,48 +22,95 @@ class Options:
     directive: str | None = "scan-ignore"
     baseline: DataFrame | None = None  # fingerprint, cnt
     changed: DataFrame | None = None  # file, line
+    adapters: dict | None = None  # language -> reader, see parse.Adapter
 
 
-def place(sl, sc):
-    """A position as one sortable number."""
-    return F.col(sl).cast("long") * 1_000_000 + F.col(sc)
+def place(line: str, column: str):
+    """A position that sorts by line and then by column, however long a line is."""
+    return F.struct(F.col(line), F.col(column))
 
 
 def candidates(files: DataFrame, options: Options) -> DataFrame:
-    """Matches of all rules, first seen at each start, without those inside another match of their rule."""
-    hits = rules.match(parse.nodes(files), rules.load(options.preset, options.custom, options.disable))
+    """Matches of all rules, first seen at each start, without those inside another match of their rule.
+
+    Matches are dealt by file once; both windows run within that.
+    """
+    hits = rules.match(parse.nodes(files, options.adapters), rules.load(options.preset, options.custom, options.disable)).repartition("path")
     hits = hits.withColumn("_s", place("sl", "sc")).withColumn("_e", place("el", "ec"))
     first = relations.first_seen(hits, ["path", "rule_id", "_s"], ["ord"])
     return relations.drop_contained(first, ["path", "rule_id"], ["_s"], F.col("_e")).drop("_s", "_e")
 
 
-def findings(files: DataFrame, options: Options | None = None) -> DataFrame:
-    """Findings: candidates without suppressed, baselined, unchanged and minor ones."""
+#: What a scan leaves after each of its filters, in order.
+STAGES = ("candidates", "suspicious", "unknown", "changed", "findings")
+
+
+def stages(files: DataFrame, options: Options | None = None, found: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The scan after each filter: candidates; suspicious (without suppressed ones); unknown (beyond the baseline); changed (on changed lines); findings (of at least the severity).
+
+    found: candidates that were made before, such as a written table, so that files are parsed once.
+    """
     options = options or Options()
     if options.severity is not None and options.severity not in rules.RANK:
         raise ValueError(f"unknown severity {options.severity!r}")
-    found = candidates(files, options).withColumn("file", F.col("path")).withColumn("line", F.col("sl").cast("long"))
+    found = candidates(files, options) if found is None else found
+    found = found.withColumn("file", F.col("path")).withColumn("line", F.col("sl").cast("long"))
+    found = found.withColumn("fingerprint", text_rules.fingerprint(F.col("rule_id"), F.col("file"), F.col("text")))
+    out = {"candidates": found}
     if options.directive:
         lined = files.where(F.col("content").contains(options.directive)).select(F.col("path").alias("file"), F.posexplode(F.split("content", "\n")).alias("_n", "line")).select("file", (F.col("_n") + 1).cast("long").alias("line_no"), "line")
         found = relations.suppress(found, lined, options.directive)
-    found = found.withColumn("fingerprint", text_rules.fingerprint(F.col("rule_id"), F.col("file"), F.col("text")))
+    out["suspicious"] = found
     if options.baseline is not None:
         found = relations.bag_difference(found, options.baseline, "fingerprint", ["file", "line", "ord"])
+    out["unknown"] = found
     if options.changed is not None:
         found = relations.touching(found.withColumn("s", F.col("sl")).withColumn("e", F.col("el")), options.changed).drop("s", "e")
+    out["changed"] = found
     if options.severity:
         found = found.where(F.create_map(*[F.lit(x) for kv in rules.RANK.items() for x in kv])[F.col("severity")] >= rules.RANK[options.severity])
-    return found
+    return out | {"findings": found}
 
 
-def numbered(found: DataFrame) -> DataFrame:
-    """Findings with finding_no, their number within their file; with the file it orders a report without a global sort."""
+def findings(files: DataFrame, options: Options | None = None) -> DataFrame:
+    """Findings: candidates without suppressed, baselined, unchanged and minor ones."""
+    return stages(files, options)["findings"]
+
+
+def numbered(found: DataFrame, whole: bool = False) -> DataFrame:
+    """Findings with finding_no: their number within their file or, with whole=True, in the report, by file and place.
+
+    Number before a baseline or a diff filters, and the gaps tell what they left out.
+    """
+    if whole:
+        return relations.running(found, ["file", "ord", "rule_ord"], F.lit(1), "finding_no").withColumn("finding_no", F.col("finding_no") + 1)
     return found.withColumn("finding_no", F.row_number().over(Window.partitionBy("file").orderBy("ord", "rule_ord")))
 
 
-def counters(files: DataFrame, found: DataFrame, before: DataFrame) -> DataFrame:
-    """One row: files, scanned, skipped, candidates, findings, suppressed and otherwise filtered, and findings a severity."""
+def skipped(files: DataFrame, adapters: dict | None = None) -> DataFrame:
+    """path and reason of files that no parser takes or that couldn't be read."""
+    failed = parse.nodes(files, adapters).where("error is not null").select("path", F.col("error").alias("reason"))
+    return unsupported(files).unionByName(failed)
+
+
+def summary(files: DataFrame, adapters: dict | None = None) -> DataFrame:
+    """One row: files with a language, functions, classes and languages, these in the order of the first file (by lower-case path) that has them."""
+    known = files.where("lang is not null")
+    spans = parse.spans(known, adapters).agg(F.count_if(F.col("kind") == "function").alias("functions"), F.count_if(F.col("kind") == "class").alias("classes"))
+    counted = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.lower("path")).alias("first"))
+    listed = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("files"), F.transform(F.array_sort(F.collect_list(F.struct("first", "lang"))), lambda x: x["lang"]).alias("languages"))  # a row a language
+    return listed.join(F.broadcast(spans))  # one row each
+
+
+def counters(files: DataFrame, steps: dict[str, DataFrame], reviewed: DataFrame | None = None) -> DataFrame:
+    """One row: files, scanned, skipped; candidates, suppressed, suspicious, baselined, outside the diff, findings, findings a severity; and calls, cost and cache hits of a review."""
     f = files.agg(F.count("*").alias("files"), F.count("lang").alias("scanned"), F.count_if(F.col("lang").isNull()).alias("skipped"))
-    n = found.agg(F.count("*").alias("findings"), *[F.count_if(F.col("severity") == s).alias(s) for s in rules.RANK])
-    b = before.agg(F.count("*").alias("candidates"))
-    return f.join(F.broadcast(n)).join(F.broadcast(b)).withColumn("filtered", F.col("candidates") - F.col("findings"))
+    out = f
+    for name in STAGES[:-1]:
+        out = out.join(F.broadcast(steps[name].agg(F.count("*").alias(name))))
+    last = steps["findings"].agg(F.count("*").alias("findings"), *[F.count_if(F.col("severity") == s).alias(s) for s in rules.RANK])
+    out = out.join(F.broadcast(last))
+    out = out.withColumn("suppressed", F.col("candidates") - F.col("suspicious")).withColumn("baselined", F.col("suspicious") - F.col("unknown")).withColumn("diff_filtered", F.col("unknown") - F.col("changed")).drop("unknown", "changed")
+    if reviewed is None:
+        return out.withColumns({"llm_calls": F.lit(0).cast("long"), "cost": F.lit(0.0), "cache_hits": F.lit(0).cast("long")})
+    return out.join(F.broadcast(review.costs(reviewed)))

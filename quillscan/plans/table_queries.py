@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillscan.operators import relations as R
 from quillscan.operators import text_rules as X
+from quillscan.operators.review import PRICES, cost_of
 from quillscan.sources.tables import lines, table
 
 _SQL_SECRET = X.SECRET.replace("'", "''")
@@ -96,23 +97,24 @@ def first_seen_dedup(spark, sf: str) -> DataFrame:
     return R.first_seen(li, ["file", "s"], ["ord", "l_partkey"]).select("file", "s", "ord")
 
 
-_SQL_CHANGED = "SELECT o_orderkey AS file, CAST(o_custkey % 7 + 1 AS INTEGER) AS line FROM orders WHERE o_orderkey % 3 = 0"
+_SQL_CHANGED = "SELECT o_orderkey AS file, CAST(o_custkey % 7 + 1 AS INTEGER) AS line, o_orderstatus FROM orders"
 
 
 def _changed(spark, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("file"), (F.col("o_custkey") % 7 + 1).cast("int").alias("line"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("file"), (F.col("o_custkey") % 7 + 1).cast("int").alias("line"), "o_orderstatus")
 
 
 @_query(f"""WITH i AS ({_SQL_SPANS}), c AS ({_SQL_CHANGED}) SELECT file, s, e FROM i WHERE EXISTS (SELECT 1 FROM c WHERE c.file = i.file AND c.line BETWEEN i.s AND greatest(i.s, i.e))""")
 def diff_semi_join(spark, sf: str) -> DataFrame:
-    return R.touching(_spans(spark, sf), _changed(spark, sf))
+    return R.touching(_spans(spark, sf), _changed(spark, sf).drop("o_orderstatus"))
 
 
-@_query(f"""WITH p AS (SELECT DISTINCT l_orderkey AS file, l_linenumber AS line FROM lineitem), c AS (SELECT file, line AS s, line + 1 AS e FROM ({_SQL_CHANGED}))
+@_query(f"""WITH p AS (SELECT DISTINCT l_orderkey AS file, l_linenumber AS line FROM lineitem), c AS (SELECT file, line AS s, line + 1 AS e FROM ({_SQL_CHANGED}) WHERE o_orderstatus <> 'P')
 SELECT file, line FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.file = p.file) OR EXISTS (SELECT 1 FROM c WHERE c.file = p.file AND p.line BETWEEN c.s AND c.e)""")
 def diff_range_nullable(spark, sf: str) -> DataFrame:
+    """Orders that are under way have no ranges, and so no filter."""
     points = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line")).distinct()
-    ranges = _changed(spark, sf).select("file", F.col("line").alias("s"), (F.col("line") + 1).alias("e"))
+    ranges = _changed(spark, sf).where("o_orderstatus <> 'P'").select("file", F.col("line").alias("s"), (F.col("line") + 1).alias("e"))
     return R.in_ranges(points, ranges)
 
 
@@ -133,28 +135,27 @@ def innermost_span(spark, sf: str) -> DataFrame:
     return R.innermost(points, spans)
 
 
-@_query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 53 AS src, o_orderkey % 53 AS dst FROM orders WHERE o_orderkey % 97 = 0 AND o_custkey % 53 <> o_orderkey % 53),
-r AS (SELECT src, dst, 1::BIGINT AS hops FROM e UNION SELECT r.src, e.dst, r.hops + 1 FROM r JOIN e ON r.dst = e.src WHERE r.hops < 4)
-SELECT src, dst, min(hops) AS hops FROM r GROUP BY 1, 2""")
+@_query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, o_orderkey AS dst FROM orders WHERE o_custkey IS NOT NULL AND o_orderkey IS NOT NULL),
+r(src, dst, hops) USING KEY (src, dst) AS (SELECT src, dst, 1::BIGINT FROM e
+UNION SELECT r.src, e.dst, r.hops + 1 FROM r JOIN e ON r.dst = e.src LEFT JOIN recurring.r AS k ON k.src = r.src AND k.dst = e.dst WHERE k.src IS NULL)
+SELECT src, dst, hops FROM r""")
 def call_reachability(spark, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").where("o_orderkey % 97 = 0").select((F.col("o_custkey") % 53).alias("src"), (F.col("o_orderkey") % 53).alias("dst"))
-    return R.reachable(o.where("src <> dst"), 4)
-
-
-def call_reachability_all(spark, sf: str) -> DataFrame:
-    """Every order's edge from its customer's key to its own, to the fixpoint. No SQL: tests hold it against brute force."""
+    """Every order's edge from its customer's key to its own, to the fixpoint, with the least number of steps."""
     return R.closure(table(spark, sf, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst")))
 
 
-_Q[call_reachability_all.__name__] = call_reachability_all
-
-
 @_query("""SELECT path FROM (SELECT 'doc/' || doc_id || '.txt' AS path, row_number() OVER (ORDER BY sha256(concat_ws(chr(0), 'seed', lower('doc/' || doc_id || '.txt')))) AS n, count(*) OVER () AS total FROM documents) WHERE n <= greatest(1, ceil(total * 0.2))""")
 def hash_sample(spark, sf: str) -> DataFrame:
     paths = table(spark, sf, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
     return R.hash_sample(paths, "path", 0.2, "seed")
 
 
+@_query("""SELECT o_orderkey, o_totalprice, round(spent, 2) AS spent FROM (SELECT *, coalesce(sum(o_totalprice) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM orders) WHERE spent < 50000000""")
+def budget_cutoff_whole(spark, sf: str) -> DataFrame:
+    """Calls that one budget for all lets begin, by a prefix sum over ranges."""
+    return R.within_budget(table(spark, sf, "orders"), "o_orderkey", "o_totalprice", 50000000).select("o_orderkey", "o_totalprice", F.round("spent", 2).alias("spent"))
+
+
 @_query("""SELECT o_orderkey, o_custkey, round(spent, 2) AS spent FROM (SELECT *, coalesce(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM orders) WHERE spent < 500000""")
 def budget_cutoff(spark, sf: str) -> DataFrame:
     """Calls of each project (customer) that its budget lets begin."""
@@ -199,8 +200,6 @@ def triage_metrics(spark, sf: str) -> DataFrame:
     return m.join(F.broadcast(un))  # one row each
 
 
-#: Model name patterns in order and their dollars a million tokens in and out.
-PRICES = [(1, "^claude-opus", 15.0, 75.0), (2, "^claude-sonnet", 3.0, 15.0), (3, "^claude-.*haiku", 0.8, 4.0), (4, "^gpt-4o-mini", 0.15, 0.6), (5, "^gpt-4o", 2.5, 10.0), (6, "^gpt-4", 2.0, 8.0)]
 MODELS = ["claude-opus-x", "claude-sonnet-x", "claude-mini-haiku", "gpt-4o-mini", "gpt-4o", "gpt-4-x", "other"]
 
 
@@ -214,10 +213,7 @@ def pricing_first_match(spark, sf: str) -> DataFrame:
     """The cost of a call by the first price whose pattern its model has; none: null."""
     names = F.array(*[F.lit(m) for m in MODELS])
     calls = table(spark, sf, "part").select("p_partkey", F.element_at(names, (F.col("p_partkey") % len(MODELS) + 1).cast("int")).alias("model"))
-    prices = spark.createDataFrame(PRICES, "priority int, pattern string, inp double, outp double")
-    models = calls.select("model").distinct()
-    first = models.join(F.broadcast(prices), F.expr("regexp_like(model, pattern)")).groupBy("model").agg(F.min_by(F.struct("inp", "outp"), "priority").alias("p"))
-    return calls.join(first, "model", "left").select("p_partkey", "model", F.round(F.col("p_partkey") / 1e6 * F.col("p.inp") + F.lit(600) / 1e6 * F.col("p.outp"), 9).alias("cost"))
+    return calls.withColumn("cost", F.round(cost_of(F.col("model"), F.col("p_partkey"), F.lit(600)), 9))
 
 
 def queries() -> dict:

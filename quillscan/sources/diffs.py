@@ -5,35 +5,39 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_HUNK = re.compile(r"@@ -\d+(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
+_HUNK = re.compile(r"@@ -\d+(?:,(?P<old>\d+))? \+(?P<at>\d+)(?:,(?P<new>\d+))? @@")
 
 
 def parse(text: str) -> list[tuple[str, int]]:
-    """File and new line number of each added line. Lines are body while the hunk's counts last, whatever they look like.
+    """File and new line number of each added line. A hunk's body is as long as its head counts, whatever its lines look like.
 
-    Text that isn't empty and names no new file is an error. A deleted file contributes nothing.
+    Every line is counted once for the old and once for the new file; where a body ends, and the number of a line in
+    it, are differences of these running counts. Text that isn't empty and names no new file is an error. A deleted
+    file contributes nothing.
     """
-    out, file, old, new, at, named = [], None, 0, 0, 0, False
-    for line in text.split("\n"):
-        if old > 0 or new > 0:
-            if line.startswith("+"):
-                if file:
-                    out.append((file, at))
-                at, new = at + 1, new - 1
-            elif line.startswith("-"):
-                old -= 1
-            elif not line.startswith("\\"):
-                at, old, new = at + 1, old - 1, new - 1
+    rows = text.split("\n")
+    sign = np.array([x[:1] for x in rows])
+    counted = [np.concatenate([[0], np.cumsum((sign != other) & (sign != "\\"))]) for other in ("+", "-")]  # old, new
+    heads = [(k, m) for k, x in enumerate(rows) if (m := _HUNK.match(x))]
+    names = [(k, None if (name := x[4:].split("\t")[0].strip()) == "/dev/null" else name.removeprefix("b/")) for k, x in enumerate(rows) if x.startswith("+++ ")]
+    out, free, file, named = [], 0, None, False
+    for k, found in sorted([*heads, *names], key=lambda x: x[0]):
+        if k < free:  # within a body
             continue
-        if line.startswith("+++ "):
-            named, name = True, line[4:].split("\t")[0].strip()
-            file = None if name == "/dev/null" else name.removeprefix("b/")
-        elif m := _HUNK.match(line):
-            old, at, new = int(m[1] or 1), int(m[2]), int(m[3] or 1)
+        if not isinstance(found, re.Match):
+            file, named = found, True
+            continue
+        first = k + 1
+        ends = [np.searchsorted(c, c[first] + int(found[side] or 1)) if found[side] != "0" else first for c, side in zip(counted, ("old", "new"), strict=True)]
+        free = min(max(ends), len(rows))
+        if file:
+            added = first + np.flatnonzero(sign[first:free] == "+")
+            out += [(file, n) for n in (int(found["at"]) + counted[1][added] - counted[1][first]).tolist()]
     if text.strip() and not named:
         raise ValueError("not a unified diff: no new file is named")
     return out

@@ -47,6 +47,52 @@ SNIPPETS = [
     Snippet(".py", "import os\n\ndef quiet{k}(request):\n    a = input()\n    os.system('echo {k} ' + a)  # scan-ignore\n    # scan-ignore-next-line CG-003, CG-002\n    os.system('ls {k} ' + a)\n    os.system('rm {k} ' + a)  # scan-ignore CG-001\n", (("CG-002", 8),), ((4, 5, "os.system"), (4, 7, "os.system"), (4, 8, "os.system")), ((4, 5, 0), (4, 7, 0), (4, 8, 0)), (), ((4, 5), (4, 7), (4, 8))),
     Snippet(".js", "// clean file {k}\nexport function add(a, b) {\n  return a + b;\n}\nconst title = 'a' + 'b';\nfeedback.query(`x ${title}`);\n"),
 ]
+#: Labels of every call: by snippet, line, name, receiver and arguments. Drafted with the scanner, then held against the snippets by eye.
+CALLS = {
+    0: ((3, 'query', 'db', '`SELECT * FROM t{k} WHERE id = ${id{k}}`'), (5, 'info', 'logger', "'ready {k}'")),
+    1: ((1, 'require', None, "'child_process'"), (3, 'exec', 'cp', "'ls {k} ' + name"), (4, 'eval', None, 'name'), (6, 'setTimeout', None, "() => run('x')", '{k}'), (6, 'run', None, "'x'"), (7, 'setTimeout', None, "'tick({k})'", '10')),
+    2: ((2, 'render', None, 'el.innerHTML', 'safe'), (3, 'paint', None, 'document.write', 'location.hash'), (4, 'draw', None, 'safe')),
+    3: ((4, 'createHash', 'crypto', "'md5'"), (5, 'createHash', 'crypto', "'sha256'")),
+    4: ((2, 'random', 'Math'), (5, 'RegExp', None, "'(a+)+{k}'"), (6, 'RegExp', None, "'a+{k}'")),
+    5: ((1, 'find', 'users', 'req.body'), (2, 'updateOne', 'users', '{ id: {k} }', 'req.body'), (3, 'find', 'users', '{ id: {k} }'), (4, 'redirect', 'res', 'req.query.next'), (5, 'redirect', 'res', "'/home/{k}'")),
+    6: ((1, 'verify', 'jwt', 't', 'key{k}', "{ algorithms: ['none'] }"), (2, 'readFile', 'fs', "'/data/{k}/' + name", 'done'), (3, 'readFile', 'fs', 'req.params.file', 'done'), (4, 'readFile', 'fs', "'/etc/app{k}.json'", 'done')),
+    7: ((1, 'log', 'console', "'user password {k}'", 'value'), (2, 'log', 'console', "'started {k}'"), (3, 'deserialize', 'store', 'blob{k}'), (4, 'session', None, '{ secure: false, id: {k} }'), (5, 'parseXml', None, 'doc', '{ noent: true, id: {k} }'), (6, 'fetch', None, "'https://h{k}/' + host"), (7, 'fetch', None, "'https://fixed/{k}'")),
+    8: ((4, 'get', 'request.args', "'name'"), (5, 'system', 'os', "'ls {k} ' + name")),
+    9: ((2, 'execute', 'cursor', 'f"SELECT * FROM t{k} WHERE id = {uid}"'), (3, 'execute', 'cursor', "'SELECT * FROM t{k} WHERE id = %s' % uid"), (4, 'execute', 'cursor', "'SELECT {k} FROM t WHERE id = ?'", '(uid,)'), (5, 'eval', None, 'uid')),
+    10: ((4, 'loads', 'pickle', 'blob'), (5, 'load', 'yaml', 'blob', 'Loader=yaml.SafeLoader'), (6, 'randint', 'random', '0', '{k}'), (7, 'mark_safe', None, 'blob')),
+    11: ((2, 'get', 'requests', "'https://h{k}/' + host", 'verify=False'), (3, 'compile', 're', "'(x*)*{k}'"), (4, 'compile', 're', "'x*{k}'"), (5, 'new', 'DES', 'key')),
+    12: ((2, 'input', None, "'n'"), (3, 'inner', None, 'value'), (6, 'system', 'os', 'arg')),
+    13: ((4, 'Sprintf', 'fmt', '"SELECT * FROM t{k} WHERE id=%s"', 'id'), (5, 'Query', 'db', 'q'), (6, 'Command', 'exec', '"sh"', '"-c"', '"ls {k} " + dir'), (7, 'Open', 'os', 'r.FormValue("f{k}")'), (7, 'FormValue', 'r', '"f{k}"'), (8, 'Redirect', 'http', 'w', 'r', 'r.FormValue("next")', '302'), (8, 'FormValue', 'r', '"next"')),
+    14: ((5, 'Sum', 'md5', 'data'), (6, 'Println', 'log', '"token {k}"', 't')),
+    15: ((3, 'executeQuery', 'stmt', '"SELECT {k} FROM t WHERE a=" + x'), (4, 'exec', 'Runtime.getRuntime()', '"ls {k} " + x'), (4, 'getRuntime', 'Runtime'), (5, 'File', None, '"/data/{k}/" + x'), (6, 'readObject', 'in'), (7, 'executeQuery', 'stmt', '"SELECT {k} FROM t"')),
+    16: ((3, 'sendRedirect', 'resp', 'req.getParameter("n{k}")'), (3, 'getParameter', 'req', '"n{k}"'), (4, 'getInstance', 'MessageDigest', '"MD5"'), (5, 'setSecure', 'cookie', 'false'), (6, 'compile', 'Pattern', '"(a*)+{k}"'), (7, 'write', 'resp.getWriter()', 'name'), (7, 'getWriter', 'resp')),
+    17: ((3, 'query', '$pdo', '"SELECT * FROM t{k} WHERE id = $id"'), (4, 'system', None, "'ls {k} ' . $id"), (5, 'header', None, "'Location: ' . $_GET['u']"), (6, 'unserialize', None, '$id'), (7, 'file_get_contents', None, "$_GET['f{k}']"), (8, 'md5', None, '$id')),
+    19: ((4, 'input', None), (5, 'system', 'os', "'echo {k} ' + a"), (7, 'system', 'os', "'ls {k} ' + a"), (8, 'system', 'os', "'rm {k} ' + a")),
+    20: ((6, 'query', 'feedback', '`x ${title}`'),),
+}
+#: Labels of functions and classes: by snippet, their numbers. Counted by eye.
+SPANS = {
+    0: (1, 0),
+    1: (2, 0),
+    2: (1, 0),
+    3: (0, 0),
+    4: (1, 0),
+    5: (0, 0),
+    6: (0, 0),
+    7: (0, 0),
+    8: (1, 0),
+    9: (1, 0),
+    10: (1, 0),
+    11: (0, 0),
+    12: (2, 0),
+    13: (1, 0),
+    14: (1, 0),
+    15: (1, 1),
+    16: (1, 1),
+    17: (1, 0),
+    19: (1, 0),
+    20: (1, 0),
+}
 #: Word of the suppression directive in the corpus.
 DIRECTIVE = "scan-ignore"
 
@@ -62,7 +108,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql(*rows: tuple) -> str:
-    one = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    one = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
     return "(VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + ")"
 
 

@@ -99,7 +99,7 @@ def test_reachability_over_all_edges_to_the_fixpoint(spark, tmp_path):
     edges = [(k, k + 1) for k in range(1, 40)] + [(40, 1), (7, 7), (7, 7), (500, 40)]  # longer than any fixed number of steps
     edges += [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(75)]
     spark.createDataFrame([*edges, (None, 3), (3, None)], "o_custkey long, o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
-    rows = table_queries.queries()["call_reachability_all"](spark, str(tmp_path)).collect()
+    rows = table_queries.queries()["call_reachability"](spark, str(tmp_path)).collect()
     want = _closure(edges)
     assert len(rows) == len(want) and {(x["src"], x["dst"]): x["hops"] for x in rows} == want
     assert max(want.values()) == 40
