@@ -9,7 +9,7 @@ from pathlib import Path
 
 #: File names looked for, in order.
 NAMES = [".quillscan.yml", ".quillscan.yaml", "quillscan.yml", "quillscan.yaml", "quillscan.json"]
-FORMATS = ["text", "json", "sarif", "github"]
+FORMATS = ["text", "json", "json-report", "sarif", "github"]
 
 
 class ConfigError(ValueError):
@@ -28,13 +28,17 @@ class Config:
     lanes: int = 5
     max_cost: float | None = None
     model: str | None = None
+    cache: str | None = None
     cache_ttl: int = 86_400
+    review: list[str] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         if self.preset not in ("all", "owasp-top-10", "none"):
             raise ConfigError(f"unknown preset {self.preset!r}")
         if self.output not in FORMATS:
             raise ConfigError(f"unknown output {self.output!r}")
+        if isinstance(self.review, str):
+            self.review = self.review.split()
         if not 1 <= self.lanes <= 20:
             raise ConfigError("lanes must be within 1 and 20")
 

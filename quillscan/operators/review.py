@@ -98,13 +98,19 @@ def asked(rows: DataFrame, ask: Callable[[str], str | Reply], lanes: int = 5, pa
 
 
 def _waves(rows: DataFrame, ask, model: str, most: float, lanes: int, **how) -> list[DataFrame]:
-    """Answers in the order of rows (key_hash, prompt, order _first) until costs reach `most`; each wave is what the rest pays for if every reply is as long as can be, or `lanes` calls."""
+    """Answers in the order of rows (key_hash, prompt, order _first) until costs reach `most`.
+
+    The first wave is `lanes` calls. Each later one is what the rest pays for if every reply is as long as can be, and
+    by as much dearer as calls so far were than that, or `lanes` calls.
+    """
     most_cost = cost_of(F.lit(model), F.length("prompt").cast("double"), F.lit(REPLY_TOKENS))  # a character is a token at most, as a rule
     rows = saved(relations.running(rows.withColumn("_most", most_cost), ["_first"], F.col("_most"), "_ahead"), "asked")
     rows = saved(relations.running(rows, ["_first"], F.lit(1), "_no"), "asked")
     n, at, base, spent, out = rows.count(), 0, 0.0, 0.0, []
     while at < n and spent < most:
-        wave = rows.where((F.col("_no") >= at) & ((F.col("_ahead") - base < most - spent) | (F.col("_no") < at + lanes)))
+        dearer = max(1.0, spent / base) if base else 1.0
+        paid = (F.col("_ahead") - base) * dearer < most - spent if at else F.lit(False)
+        wave = rows.where((F.col("_no") >= at) & (paid | (F.col("_no") < at + lanes)))
         took, ends = wave.agg(F.count("*"), F.max(F.col("_ahead") + F.col("_most"))).first()
         answers = saved(asked(wave, ask, lanes, **how).withColumn("cost", F.round(cost_of(F.coalesce("answered_by", F.lit(model)), F.col("tokens_in"), F.col("tokens_out")), 6)), "answers")
         spent = round(spent + (answers.agg(F.sum("cost")).first()[0] or 0.0), 6)

@@ -79,7 +79,7 @@ def _steps() -> Column:
 
 def place_of_path(sink_line: Column, steps: Column) -> Column:
     """A path's line: that of its sink, else of its last step, else 1."""
-    return F.coalesce(sink_line, F.element_at(F.filter(F.transform(steps, lambda s: s["line"]), lambda x: x.isNotNull()), -1), F.lit(1))
+    return F.coalesce(sink_line, F.try_element_at(F.filter(F.transform(steps, lambda s: s["line"]), lambda x: x.isNotNull()), F.lit(-1)), F.lit(1))
 
 
 def local_findings(files: DataFrame) -> DataFrame:

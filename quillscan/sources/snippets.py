@@ -101,7 +101,9 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, lang and content, one file for each part; the snippet of a part follows from its key."""
     rows = [(k, s.ext, s.content) for k, s in enumerate(SNIPPETS)]
     kinds = F.broadcast(spark.createDataFrame(rows, "template int, ext string, body string"))  # a fixed list
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", (F.col("p_partkey") % len(SNIPPETS)).cast("int").alias("template"))
+    keys = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
+    keys = keys.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")  # contents are made, and parsed, by every core; only keys move
+    part = keys.withColumn("template", (F.col("p_partkey") % len(SNIPPETS)).cast("int"))
     path = F.concat(F.lit("src/m"), F.col("p_size").cast("string"), F.lit("/f"), F.col("p_partkey").cast("string"), F.col("ext"))
     made = part.join(kinds, "template").select(path.alias("path"), F.regexp_replace("body", r"\{k\}", F.col("p_partkey").cast("string")).alias("content"))
     return made.select("path", language_of(F.col("path")).alias("lang"), "content")

@@ -64,7 +64,7 @@ def matched(spark):
     return {(int(r["path"]), r["rule_id"]) for r in rules.match(parse.nodes(files), rules.load()).collect()}
 
 
-@pytest.mark.parametrize("k", range(len(CASES)))
+@pytest.mark.parametrize("k", range(len(CASES)), ids=[f"{c[2]}-{c[0]}-{k}" for k, c in enumerate(CASES)])
 def test_rule(matched, k):
     lang, text, rule, want = CASES[k]
     assert ((k, rule) in matched) == want, (lang, text, sorted(r for i, r in matched if i == k))
