@@ -26,7 +26,7 @@ from quillscan.llm.common import bounded_batches, give_back, saved
 from quillscan.llm.token_counts import default_path, library
 
 #: Tokens a length class spans, and pieces that one task ranks at most and at least.
-GRAIN, RANKED, FEWEST = 2, 200_000, 1000
+GRAIN, RANKED, FEWEST = 2, 200_000, 100
 #: Weight of the best bound's duals when columns are priced; rounds after which the inverse is computed anew.
 SMOOTH, ANEW = 0.9, 50
 PIECE = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
@@ -223,7 +223,7 @@ def pack(df: DataFrame, size: int = 2048, path: str | None = None, end_id: int =
     all_pieces = saved(pieces(df, size, path, end_id), "pieces").withColumn("class", F.ceil(F.col("length") / GRAIN).cast("int"))
     demand = {r["class"]: r["n"] for r in all_pieces.groupBy("class").agg(F.count("*").alias("n")).collect()}  # at most size / GRAIN rows
     where = layout(plan(demand, size // GRAIN))
-    ranked_at_once = min(RANKED, max(FEWEST, sum(demand.values()) // 256))
+    ranked_at_once = min(RANKED, max(FEWEST, sum(demand.values()) // 1024))
     several = [F.lit(x) for c, n in demand.items() if n > ranked_at_once for x in (c, -(-n // ranked_at_once))]
     salts = F.coalesce(F.try_element_at(F.create_map(*several), F.col("class")), F.lit(1)) if several else F.lit(1)
     salted = all_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), salts))
