@@ -25,6 +25,8 @@ from quillscan.llm.token_counts import default_path, library
 
 #: Words that a worker's memo keeps, and their longest; it starts anew when full.
 MEMO, LONGEST = 200_000, 256
+#: Bytes of a word that is merged by scans.
+SHORT = 32
 #: The pre-tokeniser's pattern of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: From this code point on, the regex module and the library may hold different Unicode classes; such texts are cut by the library.
@@ -65,20 +67,26 @@ class Codec:
             keys[r] = a << 32 | b
         self.pair_rank = np.argsort(keys)
         self.pair_keys = keys[self.pair_rank]
-        self.starts: dict[bytes, int] = {}  # longest token that begins with these two bytes
+        sizes: dict[bytes, set[int]] = {}  # lengths of the tokens that begin with these four bytes
         for x in self.ids:
-            self.starts[x[:2]] = max(self.starts.get(x[:2], 0), len(x))
+            if len(x) > 3:
+                sizes.setdefault(x[:4], set()).add(len(x))
+        self.sizes = {k: (*sorted(v, reverse=True), 3, 2, 1) for k, v in sizes.items()}
+        self.ranks = {pair: r for pair, (r, _) in self.merge.items()}
+        self.made = [c for _, c in sorted(self.merge.values())]  # by rank
+        self.single = [self.ids[bytes([b])] for b in range(256)]
         self.words, self.memo = regex.compile(PATTERN), {}
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     def greedy(self, word: bytes) -> list[int]:
-        ids, out, i, n = self.ids, [], 0, len(word)
+        get, sizes, out, i, n = self.ids.get, self.sizes.get, [], 0, len(word)
         while i < n:
-            j = min(n, i + self.starts.get(word[i : i + 2], 1))
-            while (t := ids.get(word[i:j])) is None:
-                j -= 1
+            for size in sizes(word[i : i + 4], (3, 2, 1)):
+                piece = word[i : i + size]
+                if (t := get(piece)) is not None:
+                    break
             out.append(t)
-            i = j
+            i += len(piece)
         return out
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -106,8 +114,10 @@ class Codec:
         return ok
 
     def exact(self, word: bytes) -> list[int]:
-        """Merges lowest rank first, leftmost on ties, by a heap over a linked list: n log n for any length."""
-        tok = [self.ids[word[i : i + 1]] for i in range(len(word))]
+        """Merges lowest rank first, leftmost on ties: short words by scans, others by a heap over a linked list, n log n for any length."""
+        tok = [self.single[b] for b in word]
+        if len(tok) <= SHORT:
+            return self._scan(tok)
         after, before, heap = [*range(1, len(tok)), -1], [*range(-1, len(tok) - 1)], []
         for i in range(len(tok) - 1):
             if m := self.merge.get((tok[i], tok[i + 1])):
@@ -126,6 +136,19 @@ class Codec:
                     heapq.heappush(heap, (m[0], p, tok[p], tok[q]))
         return [t for t in tok if t >= 0]
 
+    def _scan(self, tok: list[int]) -> list[int]:
+        get, made, none = self.ranks.get, self.made, len(self.made)
+        ranks = [get(pair, none) for pair in zip(tok, tok[1:], strict=False)]
+        while (r := min(ranks, default=none)) < none:
+            at = ranks.index(r)
+            tok[at : at + 2] = (made[r],)
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get((tok[at - 1], tok[at]), none)
+            if at < len(ranks):
+                ranks[at] = get((tok[at], tok[at + 1]), none)
+        return tok
+
     def learn(self, words: list[str]) -> None:
         """Puts each word's ids, as little-endian bytes, into the memo."""
         raw = [w.encode() for w in words]
@@ -136,9 +159,11 @@ class Codec:
         inner = owner[:-1] == owner[1:]
         pairs, back = np.unique((flat[:-1] << 32 | flat[1:])[inner], return_inverse=True)
         good = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)
+        ends = np.cumsum(lengths) * 4
+        data = flat.astype("<u4").tobytes()
+        self.memo.update((w, data[a:b]) for w, a, b in zip(words, (ends - lengths * 4).tolist(), ends.tolist(), strict=True))
         for w in np.unique(owner[:-1][inner][~good[back]]).tolist():
-            tokens[w] = self.exact(raw[w])
-        self.memo.update((w, np.array(t, "<u4").tobytes()) for w, t in zip(words, tokens, strict=True))
+            self.memo[words[w]] = np.array(self.exact(raw[w]), "<u4").tobytes()
 
     def pieces(self, text: str) -> list[str]:
         """The words of a text; special strings stand alone."""
