@@ -133,7 +133,7 @@ class Models:
             z.append(self._over(h[np.arange(len(own)), best], best, letters))
         self.curve = _logistic(z[0], np.concatenate(z[1:]))
         score = np.array([x for (name, x), k in zip(self.predict(sums), own.tolist(), strict=True) if name == self.langs[k]])
-        self.reject = float(min(0.5, score.min() / 4)) if len(score) else 0.0  # well below every document of a known language
+        self.reject = float(min(0.5, score.min() / 10)) if len(score) else 0.0  # well below every document of a known language
 
     def _over(self, h: np.ndarray, lang: np.ndarray, letters: np.ndarray) -> np.ndarray:
         """How far entropies lie above a language's usual one, in spreads of texts of so many letters."""
