@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillscan.llm import bpe, fingerprints, language, near_dedup, neighbours, packing, sharding, token_counts, toxicity, warc
+from quillscan.llm import bpe, divergence, fingerprints, language, near_dedup, neighbours, packing, sharding, token_counts, toxicity, url_filters, vector_codes, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,14 @@ def queries() -> dict:
         "op8_warc": warc.op8,
         "op9_token_counts": token_counts.op9,
         "op10_sharding": sharding.op10,
+        "op11_source_divergence": divergence.op11,
+        "op12_vector_codes": vector_codes.op12,
+        "op13_url_filters": url_filters.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_nearest_neighbours": neighbours.ORACLE, "op8_warc": warc.ORACLE, "op10_sharding": sharding.ORACLE}
+    return {
+        "op7_nearest_neighbours": neighbours.ORACLE, "op8_warc": warc.ORACLE, "op10_sharding": sharding.ORACLE,
+        "op11_source_divergence": divergence.ORACLE, "op12_vector_codes": vector_codes.ORACLE, "op13_url_filters": url_filters.ORACLE,
+    }
