@@ -1,9 +1,12 @@
 """Document fingerprints by closed syncmers, with DataFrame functions only.
 
 A text of any length is a sequence of units: the pieces of up to PIECE code points, from the left, of its white-space
-words; in scripts without spaces each code point is a unit. Each run of K units whose least hashed inner run of S units lies at one of its two edges is an anchor. Whether a
-run is an anchor depends on its own units alone, so equal passages have equal anchors wherever they stand. The
-fingerprint is the anchors' hashes in text order, 8 hexadecimal digits each.
+words; in scripts without spaces each code point is a unit. Each run of K units whose least hashed inner run of S units
+lies at one of its two edges is an anchor: about 2 of K - S + 1 runs, and one of any K - S + 1 in a row at least. Whether
+a run is an anchor depends on its own units alone, so equal passages have equal anchors wherever they stand. K - 1 edge
+units stand before each text; inner runs of them alone hash highest, so the run that ends with the text's first unit is
+always an anchor, and a text with any unit has one. The fingerprint is the anchors' hashes of 32 bits in text order, in
+base 64.
 """
 
 from __future__ import annotations
@@ -11,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Units of an anchor and of its inner runs: with 1 + K - S = 2 inner runs the least is always at an edge, so every run is an anchor and K units always hold one.
-K, S = 3, 2
+#: Units of an anchor and of its inner runs, K - S + 1 = 4 of them.
+K, S = 5, 2
 #: Code points of a unit at most, and the units: code points of scripts without spaces, pieces of words.
 PIECE = 4
 _DENSE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
@@ -23,36 +26,35 @@ ROWS, MOST_BUCKETS = 20_000, 1 << 15
 
 
 def anchors(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with `out`: the anchors of each text, an array of (position, hash), positions counted in units from 0.
+    """df with `out`: the anchors of each text, an array of (position, hash), positions counted in units from 0; edge units have those below.
 
-    A text that isn't empty and has no such run (always so under K units) is one anchor as a whole; a null or empty text, or one of white
-    space only, has none. Intermediate arrays are columns of their own, so each is computed once a row.
+    A null or empty text, or one of white space only, has none. Intermediate arrays are columns of their own, so each is
+    computed once a row.
     """
     u, h, s = (f"_{out}_{x}" for x in "uhs")
     df = df.withColumn(u, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(UNITS), F.lit(0)))
-    df = df.withColumn(h, F.transform(u, lambda x: F.xxhash64(x))).drop(u)
-    n = F.size(h)
+    edge = F.array_repeat(F.lit(0).cast("long"), K - 1)
+    df = df.withColumn(h, F.when(F.size(u) > 0, F.concat(edge, F.transform(u, lambda x: F.xxhash64(x)))).otherwise(F.slice(edge, 1, 0))).drop(u)
     at = lambda array, i: F.get(F.col(array), i)
-    # hashes of the runs of S = 2 units, then those of K = 3 units as 2 + 1, by their place; what reaches past the end is cut off
-    df = df.withColumn(s, F.transform(h, lambda x, i: F.xxhash64(x, at(h, i + 1))))
-    runs = F.transform(s, lambda x, i: F.struct(i.alias("position"), F.xxhash64(x, at(h, i + K - 1)).alias("hash")))
+    # hashes of the runs of S = 2 units by their place; those of edge units alone are never the least
+    df = df.withColumn(s, F.transform(h, lambda x, i: F.when(i < K - S, F.lit((1 << 63) - 1)).otherwise(F.xxhash64(x, at(h, i + 1)))))
 
-    def closed(run: Column) -> Column:
-        """Whether the least of a run's inner runs is its first or its last."""
-        first, last = at(s, run["position"]), at(s, run["position"] + K - S)
-        least = F.least(*[at(s, run["position"] + d) for d in range(K - S + 1)])
-        return (first == least) | (last == least)
+    def closed(i: Column) -> Column:
+        """Whether the least of the inner runs of the run at i is its first or its last."""
+        return F.least(at(s, i), at(s, i + K - S)) <= F.least(*[at(s, i + d) for d in range(1, K - S)])
 
-    many = F.filter(F.slice(runs, 1, F.greatest(n - K + 1, F.lit(0))), closed)
-    whole = F.array(F.struct(F.lit(0).alias("position"), F.xxhash64(F.array_join(F.transform(h, lambda x: x.cast("string")), ",")).alias("hash")))
-    df = df.withColumn(out, F.when(n >= K, many))
-    df = df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).when(n > 0, whole).otherwise(F.slice(whole, 1, 0)))
-    return df.drop(h, s)
+    # a run of K = 5 units is hashed as 2 + 2 + 1
+    run = lambda i: F.struct((i - (K - 1)).alias("position"), F.xxhash64(at(s, i), at(s, i + 2), at(h, i + 4)).alias("hash"))
+    n = F.size(h)
+    chosen = F.transform(F.filter(F.sequence(F.lit(0), n - K), closed), run)
+    none = F.slice(F.array(F.struct(F.lit(0).alias("position"), F.lit(0).cast("long").alias("hash"))), 1, 0)
+    return df.withColumn(out, F.when(n > 0, chosen).otherwise(none)).drop(h, s)
 
 
 def fingerprint(anchor: Column) -> Column:
-    """The anchors' hashes, cut to 32 bits, in text order."""
-    return F.lower(F.array_join(F.transform(anchor, lambda a: F.lpad(F.hex(F.shiftrightunsigned(a["hash"], 32)), 8, "0")), ""))
+    """The anchors' hashes, cut to 32 bits, in text order, in base 64."""
+    words = F.array_join(F.transform(anchor, lambda a: F.lpad(F.hex(F.shiftrightunsigned(a["hash"], 32)), 8, "0")), "")
+    return F.replace(F.base64(F.unhex(words)), F.lit("\r\n"), F.lit(""))
 
 
 def hashes(anchor: Column) -> Column:

@@ -1,11 +1,13 @@
 """Near-duplicates, fingerprints and neighbours against brute force."""
 
+import base64
 import hashlib
 import random
 import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quillscan.llm import fingerprints, near_dedup, neighbours
@@ -145,41 +147,55 @@ def test_buckets_hold_equal_numbers_of_rows(spark):
     assert len(rows) >= 12 and max(r["count"] for r in rows) <= 3 * len(ids) / len(rows)
 
 
-def _anchors(spark, text):
-    """Closed syncmers of a text, by plain Python over Spark's own hashes."""
-    units = re.findall(rf"[\u4e00-\u9fff]|[^\x20\x09-\x0D\u4e00-\u9fff]{{1,{fingerprints.PIECE}}}", text)
+def _hash(*values):
+    """The hash of a text, or of numbers in turn, by its published definition."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True), seed)
+    return seed - ((seed >> 63) << 64)
 
-    def hashed(rows):
-        if not rows:
-            return []
-        df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], ["i", *[f"c{k}" for k in range(len(rows[0]))]]).coalesce(1)
-        return [x["h"] for x in df.orderBy("i").select(F.xxhash64(*df.columns[1:]).alias("h")).collect()]
 
-    h = hashed([(u,) for u in units])
-    if len(h) < fingerprints.K:
-        return hashed([(",".join(map(str, h)),)]) if h else []
-    s = hashed(list(zip(h, h[1:], strict=False)))
-    runs = hashed(list(zip(s, h[2:], strict=False)))
-    return [x for i, x in enumerate(runs) if min(s[i], s[i + 1]) in (s[i], s[i + 1])]
+def _selected(inner, k, s):
+    """Runs of k units whose least inner run of s units stands first or last."""
+    n = k - s + 1
+    return [i for i in range(len(inner) - n + 1) if min(inner[i : i + n]) in (inner[i], inner[i + n - 1])]
+
+
+def _units(text):
+    return re.findall(rf"[\u4e00-\u9fff]|[^\x20\x09-\x0D\u4e00-\u9fff]{{1,{fingerprints.PIECE}}}", text)
+
+
+def _anchors(text, selected=_selected):
+    """Positions and hashes of the closed syncmers of a text, by plain Python."""
+    k, s = fingerprints.K, fingerprints.S
+    if not (units := _units(text)):
+        return []
+    h = [0] * (k - 1) + [_hash(u) for u in units]
+    inner = [2**63 - 1 if i < k - s else _hash(h[i], h[i + 1]) for i in range(len(h) - 1)]
+    return [(i - (k - 1), _hash(inner[i], inner[i + 2], h[i + 4])) for i in selected(inner, k, s)]
+
+
+def _written(anchors):
+    return base64.b64encode(b"".join(((x >> 32) & 0xFFFFFFFF).to_bytes(4, "big") for _, x in anchors)).decode()
 
 
 def test_fingerprints_and_likeness_equal_brute_force(spark, tmp_path):
     r = random.Random(12)
     shared = _words(r, 30)
-    texts = ["", "x", "two words", _words(r, 9), shared + " " + _words(r, 9), _words(r, 5) + " " + shared, shared, shared, "中文字 some words 漢字漢字", "z" * 90]
+    texts = ["", "x", "two words", _words(r, 9), shared + " " + _words(r, 9), _words(r, 5) + " " + shared, shared, shared, "中文字 some words 漢字漢字", "z" * 90, " \n"]
     rows = {x["doc_id"]: x for x in _op5(spark, tmp_path, [(i, t, None, None) for i, t in enumerate(texts)]).collect()}
-    cut = lambda a: [(x >> 32) & 0xFFFFFFFF for x in a]
-    own = [cut(_anchors(spark, t)) for t in texts]
+    own = [_anchors(t) for t in texts]
 
     def like(a, b):
-        return 1.0 if not a and not b else len({*a} & {*b}) / len({*a} | {*b})
+        a, b = ({x >> 32 for _, x in y} for y in (a, b))
+        return 1.0 if not a and not b else len(a & b) / len(a | b)
 
     for i, t in enumerate(texts):
         k = (i - 1) % len(texts)  # descending ids
         half = len(t) // 2
-        edited = cut(_anchors(spark, t[: len(t) - half] + texts[k][:half]))
-        assert rows[i]["fingerprint"] == "".join(f"{x:08x}" for x in own[i]), t
-        assert rows[i]["edited_fingerprint"] == "".join(f"{x:08x}" for x in edited)
+        edited = _anchors(t[: len(t) - half] + texts[k][:half])
+        assert rows[i]["fingerprint"] == _written(own[i]), t
+        assert rows[i]["edited_fingerprint"] == _written(edited)
         assert abs(rows[i]["near_edited"] - like(own[i], edited)) < 1e-12 and abs(rows[i]["near_next"] - like(own[i], own[k])) < 1e-12
 
 
@@ -200,20 +216,34 @@ def test_anchors_do_not_depend_on_context(spark):
     shared = _words(r, 120)
     df = spark.createDataFrame([(0, _words(r, 40) + " " + shared), (1, shared + " " + _words(r, 55)), (2, _words(r, 150))], "doc_id long, text string")
     got = {x["doc_id"]: {a["hash"] for a in x["a"]} for x in fingerprints.anchors(df, "text", "a").collect()}
-    assert len(got[0] & got[1]) >= 0.15 * 112 and not got[0] & got[2]
+    inside = {x for _, x in _anchors(shared)}
+    assert len(got[0] & got[1]) >= len(inside) - 6 and not got[0] & got[2]  # but for runs over its start
     places = fingerprints.anchors(df, "text", "a").first()["a"]
     assert [a["position"] for a in places] == sorted({a["position"] for a in places})
 
 
-def test_anchors_are_closed_syncmers(spark):
-    """The chosen runs are those whose least inner hash stands first or last, checked with the hashes themselves."""
-    text = _words(random.Random(9), 300)
-    df = spark.createDataFrame([(0, text)], "doc_id long, text string")
-    h = [x["h"] for x in df.select(F.posexplode(F.split("text", " "))).select("pos", F.xxhash64("col").alias("h")).orderBy("pos").collect()]
-    pairs = spark.createDataFrame([(i, h[i], h[i + 1]) for i in range(len(h) - 1)], "i int, a long, b long").select("i", F.xxhash64("a", "b").alias("s")).orderBy("i").collect()
-    s, inner = [x["s"] for x in pairs], fingerprints.K - fingerprints.S + 1
-    want = [i for i in range(len(h) - fingerprints.K + 1) if min(s[i : i + inner]) in (s[i], s[i + inner - 1])]
-    assert [a["position"] for a in fingerprints.anchors(df, "text", "a").first()["a"]] == want
+def test_anchors_are_a_choice_of_runs(spark):
+    """Closed syncmers and nothing else: of another rule's choice, or of every run, this test fails."""
+    text = _words(random.Random(9), 600)
+    got = [(a["position"], a["hash"]) for a in fingerprints.anchors(spark.createDataFrame([(0, text)], "doc_id long, text string"), "text", "a").first()["a"]]
+    assert got == _anchors(text)
+    every = lambda inner, k, s: [i for i in range(len(inner) - k + s)]
+    openly = lambda inner, k, s: [i for i in every(inner, k, s) if min(inner[i : i + k - s + 1]) == inner[i]]
+    modulo = lambda inner, k, s: [i for i in every(inner, k, s) if inner[i] % 2 == 0]
+    assert all(got != _anchors(text, other) for other in (every, openly, modulo))
+    runs, inner = len(_units(text)), fingerprints.K - fingerprints.S + 1
+    assert inner >= 4 and 0.9 * 2 / inner < len(got) / runs < 1.15 * 2 / inner  # their density
+    positions = [p for p, _ in got]
+    assert max(b - a for a, b in zip(positions, positions[1:])) <= inner - 1  # noqa: B905  (their window guarantee)
+    assert len(_written(got)) < len(text)
+
+
+def test_every_text_with_a_unit_has_an_anchor(spark):
+    texts = [None, "", "\t ", "a", "ab cd", "字", "a b c", "x" * 17]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: [a["hash"] for a in x["a"]] for x in fingerprints.anchors(df, "text", "a").collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == [x for _, x in _anchors(t or "")] and bool(got[i]) == bool((t or "").strip()), t
 
 
 def _nearest(rows, every, k):
