@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillscan.sources.shared import remove, saved, shared_dir
 
-__all__ = ["bounded_batches", "give_back", "held_out", "remove", "saved", "shared_dir", "table"]
+__all__ = ["bounded_batches", "give_back", "held_out", "remove", "saved", "shared_dir", "table", "unused"]
 
 #: Rows and bytes that one Arrow batch holds at most; a batch is the unit of a Python worker's memory.
 BATCH_ROWS, BATCH_BYTES = 1000, 1 << 20
@@ -33,5 +33,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many marks before it as make it no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

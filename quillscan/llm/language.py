@@ -4,7 +4,8 @@ A model predicts each letter of a word, and the word's end, from up to ORDER - 1
 share sorted arrays of 64-bit n-gram hashes with a column of probabilities or back-off weights a language. The
 language of lowest cross-entropy a letter wins. Its lead over the others and its entropy, held against the usual one of
 that language, give the score; what is usual, the weight of letters and the score below which a document is rejected
-are fitted on documents set aside, against what they score without their own language and as noise. Words are scored
+are fitted on documents set aside, against what they score without their own language and as noise. The limit of
+rejection is a quantile of the set-aside scores, and the models tell what it refuses of either side. Words are scored
 once a partition's memo.
 """
 
@@ -19,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillscan.llm.common import bounded_batches, give_back, held_out
+from quillscan.llm.common import bounded_batches, give_back, held_out, unused
 
 #: Letters of a longest n-gram; bound of the classifier's sample: documents a language, and characters of the longest one learned from.
-ORDER, SAMPLE, LONGEST = 4, 400, 200_000
-#: One document in so many of the sample is set aside for the calibration, if a language has as many.
+ORDER, SAMPLE, LONGEST = 4, 400, 50_000
+#: One document in so many of the sample, by order of ids, is set aside for the calibration, if a language has twice as many; fewer serve both.
 ASIDE = 4
+#: Share of documents of known languages that a limit of rejection may refuse, and how far below that share's score the limit lies: documents that mix languages score low and should stay.
+REFUSED, BELOW = 0.005, 10
 #: Words that a partition's memo keeps, and their longest; letters of a run beyond which it counts as several words; letters that are scored at once.
 MEMO, MEMO_WORD, RUN, LETTERS = 100_000, 256, 4096, 100_000
 #: Symbols that an unseen letter shares its probability with.
@@ -104,6 +107,8 @@ class Models:
         # entropy that is usual in a language: middle, spread of long documents, and what few letters add to its square
         self.mean, self.spread, self.noise = np.zeros(len(per)), np.ones(len(per)), np.ones(len(per))
         self.weight, self.curve, self.reject = 50.0, (0.0, 0.0), 0.0
+        #: Shares of set-aside documents under the limit: of known languages, of the same ones where their language isn't known, of their letters in another order.
+        self.rates: dict[str, float] = {}
         if per:
             self._calibrate([aside[k] for k in self.langs])
 
@@ -132,8 +137,14 @@ class Models:
         if len(self.langs) > 1:
             z.append(self._over(h[np.arange(len(own)), best], best, letters))
         self.curve = _logistic(z[0], np.concatenate(z[1:]))
-        score = np.array([x for (name, x), k in zip(self.predict(sums), own.tolist(), strict=True) if name == self.langs[k]])
-        self.reject = float(min(0.5, score.min() / 10)) if len(score) else 0.0  # well below every document of a known language
+        known = np.sort([x for (name, x), k in zip(self.predict(sums), own.tolist(), strict=True) if name == self.langs[k]])
+        if not len(known):
+            return
+        self.reject = float(known[int(REFUSED * len(known))]) / BELOW
+        left = sums.copy()
+        left[np.arange(len(own)), own] = -np.inf  # their own language isn't known
+        others = {"known": known, "unknown": np.array([x for _, x in self.predict(left)]) if len(self.langs) > 1 else np.empty(0), "noise": np.array([x for _, x in self.predict(mixed)])}
+        self.rates = {k: float((v < self.reject).mean()) if len(v) else 0.0 for k, v in others.items()}
 
     def _over(self, h: np.ndarray, lang: np.ndarray, letters: np.ndarray) -> np.ndarray:
         """How far entropies lie above a language's usual one, in spreads of texts of so many letters."""
@@ -247,10 +258,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
         return Models({})
     drawn = F.pmod(F.xxhash64(F.lit("language"), F.col(doc_id)), F.lit(1 << 30)) / float(1 << 30)
     limit = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
-    texts: dict[str, list[str]] = {k: [] for k in share}
-    for x, t in known.where(drawn < F.element_at(limit, F.col(lang))).select(lang, text).toLocalIterator():
-        texts[x].append(t)
-    return Models(texts)
+    texts: dict[str, list[tuple]] = {k: [] for k in share}
+    for x, i, t in known.where(drawn < F.element_at(limit, F.col(lang))).select(lang, doc_id, text).toLocalIterator():
+        texts[x].append((i, t))
+    return Models({k: [t for _, t in sorted(v)] for k, v in texts.items()})  # by id: files' order tells nothing
 
 
 def identify(df: DataFrame, models: Models, text: str = "text") -> DataFrame:
@@ -290,8 +301,9 @@ def identify(df: DataFrame, models: Models, text: str = "text") -> DataFrame:
         memo = table = cut = fresh = new = part = get = None  # noqa: F841
         give_back()
 
-    got = df.drop("lang_pred", "score").withColumn("_language", predict(F.col(text)))
-    return got.select(*[c for c in got.columns if c != "_language"], "_language.lang_pred", "_language.score")
+    new = unused(df, "_language")
+    got = df.drop("lang_pred", "score").withColumn(new, predict(F.col(text)))
+    return got.select(*[c for c in got.columns if c != new], f"{new}.lang_pred", f"{new}.score")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -218,9 +218,9 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = counted(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
+        large = saved(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        lower = counted(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
         small = large.join(lower, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
         edges = saved(small.select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -284,8 +284,8 @@ def find(df: DataFrame) -> DataFrame:
     if not more.isEmpty():
         roots = components(edges.unionByName(more))
 
-    linked = classes.join(roots, classes["set"] == roots["node"], "left").select("digest", "rep", "copies", label.alias("root"))
-    smallest = linked.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")).where("n > 1")
+    linked = saved(classes.join(roots, classes["set"] == roots["node"], "left").select("digest", "rep", "copies", label.alias("root")), "linked")
+    smallest = counted(linked.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")).where("n > 1"), "smallest")
     known = linked.join(smallest, "root", "left").where("n is not null or copies > 1").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
     known = counted(known, "known")
     out = signed.join(known, "digest", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))

@@ -27,7 +27,7 @@ from quillscan.llm.common import bounded_batches, give_back, held_out
 #: Kernel: the widest subsequence and the weight of a skipped character. Words longer than WINDOW are scored in overlapping windows.
 SPAN, DECAY, WINDOW = 6, 0.6, 24
 #: Bound of the training sample: toxic and clean documents, and the characters of the longest one (longer ones are scored, whole, but not learned from).
-SAMPLE, CLEAN, LONGEST = 800, 2000, 200_000
+SAMPLE, CLEAN, LONGEST = 800, 2000, 50_000
 #: Landmarks of each label; words that a partition's memo keeps, and their longest.
 LANDMARKS, MEMO, MEMO_WORD = 256, 100_000, 256
 #: Toxic documents in the sample from which a part of it is set aside for the calibration.
@@ -70,9 +70,10 @@ def views(word: str) -> list[str]:
 
 
 def inserted(words: list[str]) -> list[str]:
-    """Each word with one strange letter put in, for training: at each place in turn over the words."""
-    odd = "xzqkwj"
-    return [w[: (p := 1 + i % max(1, len(w) - 1))] + odd[i % len(odd)] + w[p:] for i, w in enumerate(words)]
+    """Each word with one strange letter put in, for training: at each place in turn over the words; letters are rare ones of other words, so of their scripts."""
+    often = Counter(x for w in words for x in set(w) if x.isalpha())
+    rare = sorted(often, key=lambda x: (often[x], x))[: max(6, len(often) // 4)] or ["x"]
+    return [w[: (p := 1 + i % max(1, len(w) - 1))] + rare[i % len(rare)] + w[p:] for i, w in enumerate(words)]
 
 
 def windows(word: str) -> list[str]:
@@ -342,7 +343,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, clean: int = C
     drawn = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     picked = known.where(drawn < F.when(F.col("toxic") == 1, min(1.0, sample / counts[1])).otherwise(min(1.0, clean / counts[0])))
     picked = picked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # about sample + clean rows
-    rows = docs.where(F.col("text").isNotNull() & (F.length("text") <= LONGEST)).select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic").collect()
+    rows = docs.where(F.col("text").isNotNull() & (F.length("text") <= LONGEST)).select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect()
+    rows.sort()  # by id: files' order tells nothing
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], counts[1] / (counts[0] + counts[1]))
 
 

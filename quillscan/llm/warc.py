@@ -57,8 +57,10 @@ def write_archive(pages: DataFrame, path: str, id_: str = "page_id", url: str =
     digests = rows.select("id", "url", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("sha256"))
     digests.write.parquet(f"{path}/digests")
     digests = spark.read.parquet(f"{path}/digests")
-    same = digests.groupBy("sha256").agg(F.max("id").alias("holder"), F.count("*").alias("n"))
+    digests.groupBy("sha256").agg(F.max("id").alias("holder"), F.count("*").alias("n")).write.parquet(f"{path}/holders")
+    same = spark.read.parquet(f"{path}/holders")  # a plain input of the joins, so that a payload of very many pages can be split
     shared = same.where("n > 1")
+    shared = F.broadcast(shared) if shared.count() <= MOST_COPIES // 20 else shared
     joined = digests.join(shared, "sha256", "left").withColumn("holder", F.coalesce("holder", "id"))
     revisit = (F.col("size") >= LEAST_BYTES) & (F.col("n") > 1) & F.coalesce(F.col("id") != F.col("holder"), F.col("holder").isNotNull())
     typed = joined.withColumn("type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("holder")))
@@ -79,7 +81,8 @@ def write_archive(pages: DataFrame, path: str, id_: str = "page_id", url: str =
         mine = some.join(held, (some["sha256"] == held["_sha256"]) & some["id"].eqNullSafe(held["_holder"]), "left_semi")
         once = once.unionByName(mine.dropDuplicates(["sha256"]).select("sha256", "payload"))
     once.write.parquet(f"{path}/payloads")
-    remove(spark, f"{path}/digests")
+    for name in ("digests", "holders"):
+        remove(spark, f"{path}/{name}")
 
 
 def _held(same: DataFrame, odd: DataFrame) -> DataFrame:
