@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillscan.llm import language, near_dedup, packing, toxicity
-from quillscan.llm.common import saved
+from quillscan.llm.common import saved, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +50,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def _of_repeated_ids(docs: DataFrame) -> DataFrame:
     """The same where an id doesn't tell a document: rows are linked by numbers of their own, the smallest id still stays."""
-    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    row = unused(docs, "_row")
+    rows = saved(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     named = rows.where("doc_id is not null")
-    found = near_dedup.find(named.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_of"))
-    first = F.min(F.struct("doc_id", F.xxhash64("text").alias("tie"), "_row"))
-    stays = named.select("_row", "doc_id", "text").join(found, "_row").groupBy("_of").agg(first.alias("x")).select("x._row")
-    kept = named.join(stays, "_row", "left_semi").dropDuplicates(["doc_id", "text"])
+    found = near_dedup.find(named.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), F.col("component_id").alias("_of"))
+    first = F.min(F.struct("doc_id", F.xxhash64("text").alias("tie"), row))
+    stays = named.select(row, "doc_id", "text").join(found, row).groupBy("_of").agg(first.alias("x")).select(f"x.{row}")
+    kept = named.join(stays, row, "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(rows.where("doc_id is null")).select(*docs.columns)
 
 
