@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillscan.sources.shared import saved
 
 
 def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in order."""
+    """The first row of each key in order (nulls first).
+
+    The least of (order, row) is aggregated in each task before anything moves, so a key of very many rows is one row a
+    task; columns that can't be compared go through a window.
+    """
+    def comparable(kind: T.DataType) -> bool:
+        inner = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else []
+        return not isinstance(kind, (T.MapType, T.VariantType)) and all(map(comparable, inner))
+
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    if all(comparable(df.schema[c].dataType) for c in rest):
+        least = F.min(F.struct(*order, *rest)).alias("_x")
+        return df.groupBy(*keys).agg(least).select(*[c if c in keys else F.col(f"_x.`{c}`").alias(c) for c in df.columns])
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
@@ -38,10 +56,43 @@ def suppress(findings: DataFrame, lined: DataFrame, word: str) -> DataFrame:
     return findings.join(d, (findings["file"] == d["_file"]) & (findings["line"] == d["_line"]) & covers, "left_anti")
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[str], out: str = "_rank", value: Column | None = None) -> DataFrame:
+    """df with `out`: how many rows of its key come before a row in order or, with value, their sum; no task gets all rows of a key.
+
+    Rows are dealt by ranges of (keys, order) and written; within a range a window counts. What a key has in the ranges
+    before is a number a range: a key that spans ranges has one row for each, and only those are summed up. order must be
+    total within a key, or equal rows take any ranks.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    taken = df.withColumn("_v", F.lit(1).cast("long") if value is None else value)
+    ranged = saved(taken.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()), "ranked")
+    sums = ranged.groupBy("_part", *keys).agg(F.sum("_v").alias("_sum"))
+    # a key of one range has no rows elsewhere; others are at most two a range
+    split = sums.groupBy(*keys).agg(F.count("*").alias("_ranges")).where("_ranges > 1").drop("_ranges")
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    same = lambda l, r: [l[k].eqNullSafe(r[f"_k{i}"]) for i, k in enumerate(keys)]  # noqa: E731, E741
+    split = F.broadcast(saved(split.select(*named), "split"))  # under one key a range
+    over = sums.join(split, same(sums, split), "left_semi")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = saved(over.withColumn("_base", F.sum("_sum").over(before)).where("_base is not null").select(F.col("_part").alias("_p"), *named, "_base"), "bases")
+    own = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    counted = ranged.withColumn("_own", F.coalesce(F.sum("_v").over(own), F.lit(0)))
+    met = counted.join(F.broadcast(bases), [counted["_part"] == bases["_p"], *same(counted, bases)], "left")
+    return met.select(*df.columns, (F.col("_own") + F.coalesce("_base", F.lit(0))).alias(out))
+
+
 def bag_difference(df: DataFrame, baseline: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Rows beyond the baseline's count of their key; the first ones in order are absorbed. baseline: key, cnt."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("_n", n).join(baseline, key, "left").where(F.col("_n") > F.coalesce("cnt", F.lit(0))).drop("_n", "cnt")
+    """Rows beyond the baseline's count of their key; the first ones in order are absorbed. baseline: key, cnt.
+
+    Rows of keys that the baseline doesn't have pass by; the others are ranked over ranges, so a key of most rows is
+    never one task's.
+    """
+    known = baseline.select(F.col(key).alias("_key"), "cnt").where("cnt > 0")
+    known = saved(known, "baseline")
+    new = df.join(known, df[key] == known["_key"], "left_anti")
+    met = df.join(known, df[key] == known["_key"]).drop("_key")
+    return new.unionByName(ranked(met, [key], order).where(F.col("_rank") >= F.col("cnt")).drop("_rank", "cnt"))
 
 
 def touching(findings: DataFrame, changed: DataFrame) -> DataFrame:
@@ -65,16 +116,21 @@ def latest_before(df: DataFrame, key: str, order: list, is_source: Column, value
     return F.last(F.when(is_source, value), ignorenulls=True).over(w)
 
 
-def reachable(edges: DataFrame, depth: int) -> DataFrame:
-    """Pairs (src, dst, hops) with dst reached from src over at most `depth` edges, by a distinct frontier that is written at each step."""
-    edges = saved(edges.select("src", "dst").distinct(), "edges")
-    seen = front = edges.select("src", "dst", F.lit(1).cast("long").alias("hops"))
-    for k in range(2, depth + 1):
-        step = front.select("src", F.col("dst").alias("_m")).join(edges.withColumnsRenamed({"src": "_m"}), "_m").select("src", "dst").distinct()
-        front = saved(step.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(k).cast("long")), "frontier")
-        if front.isEmpty():
-            break
+def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """node and hops (least number of edges, 0 for a start) of every node that a given start (column node) leads to.
+
+    A frontier that is written at each step: the result has one row a node, where `closure` has one a pair.
+    """
+    edges = saved(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
+    seen = front = saved(starts.select("node").where("node is not null").distinct().withColumn("hops", F.lit(0).cast("long")), "reached")
+    k = 0
+    while not front.isEmpty():
+        k += 1
+        step = front.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct()
+        front = saved(step.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(k).cast("long")), "reached")
         seen = seen.unionByName(front)
+        if not k % 8:  # a plan of few inputs
+            seen = saved(seen, "reached")
     return seen
 
 
@@ -136,12 +192,11 @@ def running(df: DataFrame, order: list, value: Column, out: str) -> DataFrame:
 def within_budget(calls: DataFrame, order: str, cost: str, most: float, per: str | None = None) -> DataFrame:
     """Calls that begin before the costs of those ahead reach the budget; the one that crosses it is kept.
 
-    A budget for each `per` is a window within it; one budget for all is a prefix sum over ranges.
+    Both are prefix sums over ranges: a budget for each `per`, however many calls one has, and one budget for all.
     """
     if per is None:
         return running(calls, [order], F.col(cost), "spent").withColumn("spent", F.col("spent").cast("double")).where(F.col("spent") < most)
-    w = Window.partitionBy(per).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return calls.withColumn("spent", F.coalesce(F.sum(cost).over(w), F.lit(0.0))).where(F.col("spent") < most)
+    return ranked(calls, [per], [order], "spent", F.col(cost)).withColumn("spent", F.col("spent").cast("double")).where(F.col("spent") < most)
 
 
 def distinct_in_order(df: DataFrame, key: str, order: Column) -> DataFrame:
@@ -150,7 +205,33 @@ def distinct_in_order(df: DataFrame, key: str, order: Column) -> DataFrame:
 
 
 def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """Points (file, line) with the name of the enclosing span (file, name, s, e) that starts last; ties: least ord."""
-    s = spans.withColumnsRenamed({"file": "_file"})
-    met = points.join(s, (points["file"] == s["_file"]) & F.col("line").between(F.col("s"), F.col("e")), "left")
-    return met.groupBy("file", "line").agg(F.max_by("name", F.struct("s", -F.col("ord"))).alias("name"))
+    """Points (file, line) with the name of the enclosing span (file, name, s, e) that starts last; ties: least ord. Without one: null.
+
+    A sweep: spans and points of a file are sorted together, and a heap of the open spans gives each point its answer.
+    A file's work grows with its rows, not with its points times its spans; a file is one task's.
+    """
+    kind = spans.schema["name"].dataType.simpleString()
+    key = points.schema["file"].dataType.simpleString()
+    long = lambda c: F.col(c).cast("long").alias(c)
+    opened = spans.where("e is not null").select("file", F.col("s").cast("long").alias("at"), F.lit(0).alias("what"), "name", long("e"), long("ord"))
+    asked = points.select("file", F.col("line").cast("long").alias("at"), F.lit(1).alias("what"), F.lit(None).cast(kind).alias("name"), F.lit(None).cast("long").alias("e"), F.lit(None).cast("long").alias("ord"))
+    events = opened.unionByName(asked.distinct()).repartition("file").sortWithinPartitions("file", "at", "what")
+    names = T.StructType.fromDDL(f"file {key}, line long, name {kind}")
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, held = None, []  # open spans: latest start first, then least ord
+        for b in batches:
+            out: list[tuple] = []
+            for k, (f, at, what, name, e, order) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True)):
+                if f != file:
+                    file, held = f, []
+                if what == 0:
+                    heapq.heappush(held, (-at, order, e, k, name))
+                    continue
+                while held and held[0][2] < at:  # ended: points rise, so it never covers a later one
+                    heapq.heappop(held)
+                out.append((f, at, held[0][4] if held else None))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * 3, to_arrow_schema(names), strict=True)], schema=to_arrow_schema(names))
+
+    line = points.schema["line"].dataType.simpleString()
+    return events.mapInArrow(sweep, names).withColumn("line", F.col("line").cast(line))

@@ -107,7 +107,9 @@ def test_reachability_over_all_edges_to_the_fixpoint(spark, tmp_path):
 
 def test_reachability_ends_on_cycles(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string")
-    assert relations.reachable(e, 10).count() == 9
+    assert relations.closure(e).count() == 9
+    got = {r["node"]: r["hops"] for r in relations.reached(e, spark.createDataFrame([("b",), ("b",), (None,)], "node string")).collect()}
+    assert got == {"b": 0, "c": 1, "a": 2}
 
 
 def test_hash_sample(spark):

@@ -241,30 +241,32 @@ def test_counters_with_a_review(spark):
     assert (n["candidates"], n["suppressed"], n["findings"], n["llm_calls"], n["cost"]) == (3, 1, 2, 2, 0.005)
 
 
-class Length(plugins.PluginRule):
-    id = "L-1"
+def _length(path, lang, content):
+    yield {"severity": "low", "title": f"{len(content)} characters", "tags": ["b", "a", "b"]}
 
-    def evaluate(self, context):
-        return [plugins.Found("low", 0.5, f"{len(str(context.facts['source']))} characters", tags=frozenset({"b", "a"}))]
 
+def _unsure(path, lang, content):
+    return [{"title": "never", "confidence": 7.0}, {"title": "x", "severity": "awful"}, {"severity": "low"}, {"title": "nan", "confidence": float("nan")}]
 
-class Failing(plugins.PluginRule):
-    id = "L-2"
 
-    def evaluate(self, context):
-        return [plugins.Found("low", 7.0, "never")]
+def _failing(path, lang, content):
+    raise RuntimeError("not this file")
 
 
-def test_rules_as_objects(spark):
-    files = _files(spark, ("a.py", "python", "abc"), ("b.rb", None, ""))
-    both = plugins.Registry([Length(), Failing()])
-    rows = sorted((r["rule_id"], r["title"], r["error"]) for r in plugins.evaluate(files, both).collect())
-    assert rows == [("L-1", "3 characters", None), ("L-2", None, "ValueError: confidence must be within 0 and 1")]
-    assert plugins.evaluate(files, both, ["L-1"]).first()["tags"] == ["a", "b"]
+def test_rules_as_functions(spark):
+    files = _files(spark, ("a.py", "python", "abc"), ("b.rb", None, ""), ("c.go", "go", None))
+    rules = plugins.merged({"L-1": _length, "L-2": _unsure}, {"L-3": _failing})
+    rows = plugins.evaluate(files, rules).where("path = 'a.py'").collect()
+    assert sorted((r["rule_id"], r["title"], r["error"]) for r in rows if r["rule_id"] != "L-2") == [("L-1", "3 characters", None), ("L-3", None, "RuntimeError: not this file")]
+    wrong = [r for r in rows if r["rule_id"] == "L-2"]
+    assert len(wrong) == 4 and all(r["error"] and r["title"] is None and r["severity"] is None for r in wrong)
+    first = plugins.evaluate(files, rules, ["L-1"]).where("path = 'a.py'").first()
+    assert (first["tags"], first["confidence"], first["line"], first["evidence"], first["severity"]) == (["a", "b"], 0.5, 1, [], "low")
+    assert {r["path"] for r in plugins.evaluate(files, rules, ["L-1"]).collect()} == {"a.py", "c.go"}
     with pytest.raises(ValueError):
-        both.register(Length())
+        plugins.merged(rules, {"L-1": _unsure})
     with pytest.raises(KeyError):
-        both.pick(["L-9"])
+        plugins.evaluate(files, rules, ["L-9"])
 
 
 def test_samples_and_running_sums_equal_brute_force(spark):
