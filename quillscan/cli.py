@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillscan import config
-from quillscan.operators import custom_rules, review, rules
+from quillscan.operators import custom_rules, parse, review, rules
 from quillscan.plans import ci, payload, report, scan
 from quillscan.sources import diffs, discovery, repository
 from quillscan.sources.shared import saved
@@ -137,7 +137,9 @@ def run_scan(spark: SparkSession, args: argparse.Namespace) -> int:
                 text = f.read() if f else repository.diff(folder, *args.diff_refs)
             options.changed = spark.createDataFrame(diffs.parse(text), "file string, line long")
         files = discovery.read(spark, paths if paths and not args.git_url else [folder], conf.include, [*EXCLUDED, *conf.exclude])
-        kept = saved(scan.candidates(files, options), "candidates")
+        files = saved(files, "files")  # read once; a clone may go
+        read = parse.parsed(files)
+        kept = saved(scan.candidates(files, options, read), "candidates")
         steps = scan.stages(files, options, kept)
         found, judged = steps["findings"], None
         if (args.review or conf.review) and not args.dry_run:
@@ -155,7 +157,7 @@ def run_scan(spark: SparkSession, args: argparse.Namespace) -> int:
                 elif form == "github":
                     report.write_review(found, out)
                 else:
-                    report.write_json(found, out, scan.counters(files, steps, judged).first().asDict(), dismissed, scan.skipped(files))
+                    report.write_json(found, out, scan.counters(files, steps, judged).first().asDict(), dismissed, scan.skipped(files, parsed=read))
             return int(report.fails(found, args.fail_on, rules.RANK).first()["fails"])
         rows = render(found, form)
         if args.output_file:

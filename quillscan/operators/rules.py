@@ -83,7 +83,6 @@ WEAK = ["md5", "sha1", "sha-1", "des", "rc4", "md4"]
 CIPHERS = ["createcipheriv", "createdecipheriv", "createcipher", "createdecipher", "getinstance", "new", "openssl_encrypt", "openssl_decrypt", "mcrypt_encrypt", "mcrypt_decrypt"]
 RANDOM_GO = ["Intn", "Int31", "Int31n", "Int63", "Int63n", "Float32", "Float64", "Perm", "Shuffle"]
 RANDOM_PY = ["random", "randint", "randrange", "choice", "sample", "uniform"]
-RANDOM_NEAR = r"(?i)token|session|password|passwd|secret|otp|api[_-]?key|reset|nonce|csrf"
 PATH_JS = ["readFile", "readFileSync", "writeFile", "writeFileSync", "createReadStream", "createWriteStream", "access", "accessSync", "open", "openSync", "unlink", "unlinkSync", "readdir", "readdirSync", "stat", "statSync"]
 PATH_PY = ["open", "read", "write", "listdir", "remove", "unlink", "makedirs", "rmdir"]
 PATH_GO = ["Open", "OpenFile", "Create", "ReadFile", "WriteFile", "Remove", "RemoveAll", "ReadDir", "Mkdir", "MkdirAll"]
@@ -134,20 +133,22 @@ def _user(x: Column) -> Column:
     return by_lang(x.rlike(USER["js"]), go=x.rlike(USER["go"]), java=x.rlike(USER["java"]), php=x.rlike(USER["php"]))
 
 
-def assigned_from(name: Column, test) -> Column:
-    """Whether the first assignment to `name` within three lines has a right-hand side that passes the test."""
-    head = F.when(name.rlike(r"^\w"), F.lit(r"\b")).otherwise(F.lit(""))
-    quoted = F.regexp_replace(name, r"([.*+?^${}()|\[\]\\])", r"\\$1")
-    side = F.get(F.regexp_extract_all(c("context3"), F.concat(head, quoted, F.lit(r"\s*:?=([^;\n]*)")), F.lit(1)), F.lit(0))
-    return F.coalesce(test(side), F.lit(False))
+def assigned_from(what: str, test) -> Column:
+    """Whether the first assignment within three lines to a call's receiver (from_object) or first argument (from_arg) has a right-hand side that passes the test."""
+    return F.coalesce(test(c(what)), F.lit(False))
+
+
+def near(hint: str) -> Column:
+    """Whether one of parse.HINTS stands in the lines within three."""
+    return F.coalesce(F.array_contains(c("near"), hint), F.lit(False))
 
 
 def _sql() -> Column:
     php = (N.bare & N.name.isin(SQL_BARE_PHP) | N.name.isin(SQL_CALLS_PHP) & names_any(N.object, SQL_ON_PHP, ["db"])) & N.any_child
-    near = lambda names, on: N.name.isin(names) & (N.bare | names_any(N.object, on, ["db"]))
+    meant = lambda names, on: N.name.isin(names) & (N.bare | names_any(N.object, on, ["db"]))
     py_built = X.strip_literals(N.text).rlike(r"￿\s*(?:\.\s*format\s*\(|%)") & N.text.rlike(SQL_WORD)
-    script = lambda on, more: near(SQL_CALLS, on) & (N.any_child | more) & ~N.text.rlike(r",\s*\[")
-    typed = lambda names, on: near(names, on) & N.dynamic & N.text.rlike(SQL_WORD)
+    script = lambda on, more: meant(SQL_CALLS, on) & (N.any_child | more) & ~N.text.rlike(r",\s*\[")
+    typed = lambda names, on: meant(names, on) & N.dynamic & N.text.rlike(SQL_WORD)
     builder = ((lang("go") & (N.name == "Sprintf") & N.on(["fmt"])) | (lang("java") & (N.name == "format") & N.on(["String"]))) & N.text.rlike(SQL_WORD)
     return builder | by_lang(script(SQL_ON, F.lit(False)), python=script([*SQL_ON, "cursor"], py_built), go=typed(SQL_CALLS_GO, SQL_ON_GO), java=typed(SQL_CALLS_JAVA, SQL_ON_JAVA), php=php)
 
@@ -185,7 +186,7 @@ def _eval() -> Column:
 def _page() -> Column:
     literal = (N.args == "") | N.args.rlike("^['\"][^'\"]*['\"]\\z")
     py = N.call & N.bare & N.name.isin("mark_safe", "Markup", "render_template_string") & ~literal
-    writer = F.coalesce(N.object.contains("getWriter") | assigned_from(N.object, lambda x: x.rlike(r"\bgetWriter\(\)")), F.lit(False))
+    writer = F.coalesce(N.object.contains("getWriter") | assigned_from("from_object", lambda x: x.rlike(r"\bgetWriter\(\)")), F.lit(False))
     return by_lang(X.any_in(N.text, X.SINKS), python=py, java=N.call & ~N.bare & N.name.isin("write", "print", "println") & writer & ~literal)
 
 
@@ -203,9 +204,7 @@ def _paths() -> Column:
         N.name.isin(PATH_JS), python=N.name.isin(PATH_PY), go=N.name.isin(PATH_GO) & N.on(["os", "ioutil"]), php=N.bare & N.name.isin(PATH_PHP),
         java=N.bare & N.name.isin(PATH_NEW_JAVA) | N.on(PATH_ON_JAVA) & N.name.isin(PATH_JAVA),
     )
-    near = c("context3")
-    safe = near.contains("path.resolve") & near.contains("startsWith") | lang("go") & near.contains("filepath.Clean") & near.contains("HasPrefix")
-    safe = safe | lang("java") & (near.contains("normalize") | near.contains("getCanonicalPath")) & near.contains("startsWith")
+    safe = near("resolve") & near("starts") | lang("go") & near("clean") & near("prefix") | lang("java") & near("normal") & near("starts")
     return op & N.dynamic & ~safe
 
 
@@ -214,9 +213,7 @@ def _files() -> Column:
         N.name.isin(FILE_JS), go=N.name.isin(FILE_GO) & N.on(["os", "ioutil"]), php=N.bare & N.name.isin(FILE_PHP),
         java=N.bare & N.name.isin(PATH_NEW_JAVA[:5]) | N.on(PATH_ON_JAVA) & N.name.isin(FILE_JAVA),
     )
-    arg = F.trim(F.split_part(F.coalesce(N.args, F.lit("")), F.lit(","), F.lit(1)))
-    named = arg.rlike(r"^\$?[A-Za-z_][A-Za-z0-9_]*\z")
-    return op & (_user(N.text) | (named & assigned_from(arg, _user)))
+    return op & (_user(N.text) | assigned_from("from_arg", _user))
 
 
 def _logs() -> Column:
@@ -289,7 +286,7 @@ def builtin() -> list[Rule]:
         ("CG-011", 0.85, "xss", JS, X.any_in(N.text, X.SOURCES) & X.any_in(N.text, X.SINKS)),
         ("CG-020", 0.7, "auth", ALL, (c("raw") == "hardcoded_credential") & X.is_secret(N.text)),
         ("CG-021", 0.85, "auth", ALL, N.call & _crypto()),
-        ("CG-022", 0.65, "auth", ALL, N.call & by_lang(N.on(["Math"]) & (N.name == "random"), go=N.on(["rand"]) & N.name.isin(RANDOM_GO), java=N.bare & (N.name == "Random"), php=N.bare & N.name.isin("rand", "mt_rand"), python=N.on(["random"]) & N.name.isin(RANDOM_PY)) & c("context3").rlike(RANDOM_NEAR)),
+        ("CG-022", 0.65, "auth", ALL, N.call & by_lang(N.on(["Math"]) & (N.name == "random"), go=N.on(["rand"]) & N.name.isin(RANDOM_GO), java=N.bare & (N.name == "Random"), php=N.bare & N.name.isin("rand", "mt_rand"), python=N.on(["random"]) & N.name.isin(RANDOM_PY)) & near("secret")),
         ("CG-023", 0.7, "other", ALL, N.call & _slow()),
         ("CG-024", ambiguous, "injection", script, N.call & _mongo()),
         ("CG-025", 0.7, "other", ALL, N.call & _redirect()),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillscan.operators import enrich, relations, review
 from quillscan.plans import report, scan
+from quillscan.sources.shared import saved
 
 
 class RunError(ValueError):
@@ -30,22 +31,27 @@ def reviewed(found: DataFrame, ask: Callable, model: str, **how) -> DataFrame:
 def run(files: DataFrame, folder: str, rate: float = 0.2, seed: str = "quillscan-ci-1", ask: Callable | None = None, model: str = "", **how) -> dict:
     """Writes rules.sarif (all files), sample.sarif (the second stage on a sample of files; empty without a model) and summary.json to folder; returns the summary.
 
-    Files without any supported source are an error.
+    Files without any supported source are an error. Every file is read once: its matches are written, and both reports
+    are made of them.
     """
-    sources = files.where("lang is not null")
-    total = sources.count()
+    sources = saved(files.where("lang is not null"), "sources")
+    paths = saved(sources.select("path"), "paths")
+    total = paths.count()
     if not total:
         raise RunError("no supported source files")
-    sampled = relations.hash_sample(sources, "path", rate, seed)
+    sampled = saved(relations.hash_sample(paths, "path", rate, seed), "sample")
+    options = scan.Options()
+    matches = saved(scan.candidates(sources, options), "candidates")
+    found = saved(scan.stages(sources, options, matches)["findings"], "findings")
     target = Path(folder)
     target.mkdir(parents=True, exist_ok=True)
     with open(target / "rules.sarif", "w") as out:
-        report.write_sarif(scan.findings(sources), out)
+        report.write_sarif(found, out)
     with open(target / "sample.sarif", "w") as out:
         if ask is None:
             report.write_empty_sarif(out)
         else:
-            report.write_sarif(reviewed(scan.findings(sampled), ask, model, **how).where("outcome <> 'dismissed'"), out)
+            report.write_sarif(reviewed(found.join(sampled, "path", "left_semi"), ask, model, **how).where("outcome <> 'dismissed'"), out)
     names = [r["path"] for r in sampled.select("path").orderBy(F.lower("path"), "path").toLocalIterator()]
     summary = {"total_files": total, "sampled_files": len(names), "sample_rate": rate, "reviewed": ask is not None, "sample": names}
     (target / "summary.json").write_text(json.dumps(summary, indent=1))

@@ -30,12 +30,14 @@ def place(line: str, column: str):
     return F.struct(F.col(line), F.col(column))
 
 
-def candidates(files: DataFrame, options: Options) -> DataFrame:
+def candidates(files: DataFrame, options: Options, parsed: DataFrame | None = None) -> DataFrame:
     """Matches of all rules, first seen at each start, without those inside another match of their rule.
 
-    Matches are dealt by file once; both windows run within that.
+    Matches are dealt by file once; both steps run within that. parsed: the written rows of `parse.parsed`, so that
+    files are read once for this and for what else is asked of them.
     """
-    hits = rules.match(parse.nodes(files, options.adapters), rules.load(options.preset, options.custom, options.disable)).repartition("path")
+    nodes = parse.nodes(files, options.adapters) if parsed is None else parse.nodes_of(parsed)
+    hits = rules.match(nodes, rules.load(options.preset, options.custom, options.disable)).repartition("path")
     hits = hits.withColumn("_s", place("sl", "sc")).withColumn("_e", place("el", "ec"))
     first = relations.first_seen(hits, ["path", "rule_id", "_s"], ["ord"])
     return relations.drop_contained(first, ["path", "rule_id"], ["_s"], F.col("_e")).drop("_s", "_e")
@@ -87,16 +89,23 @@ def numbered(found: DataFrame, whole: bool = False) -> DataFrame:
     return found.withColumn("finding_no", F.row_number().over(Window.partitionBy("file").orderBy("ord", "rule_ord")))
 
 
-def skipped(files: DataFrame, adapters: dict | None = None) -> DataFrame:
-    """path and reason of files that no parser takes or that couldn't be read."""
-    failed = parse.nodes(files, adapters).where("error is not null").select("path", F.col("error").alias("reason"))
-    return unsupported(files).unionByName(failed)
+def skipped(files: DataFrame, adapters: dict | None = None, parsed: DataFrame | None = None) -> DataFrame:
+    """path and reason of files that no parser takes, that couldn't be opened (a column unreadable tells) or that couldn't be read.
+
+    parsed: the written rows of `parse.parsed`, so that no file is parsed again.
+    """
+    rows = parse.nodes(files, adapters) if parsed is None else parse.nodes_of(parsed)
+    failed = rows.where("error is not null").select("path", F.col("error").alias("reason"))
+    if "unreadable" not in files.columns:
+        return unsupported(files).unionByName(failed)
+    shut = files.where("unreadable is not null").select("path", F.col("unreadable").alias("reason"))
+    return unsupported(files.where("unreadable is null")).unionByName(failed).unionByName(shut)
 
 
-def summary(files: DataFrame, adapters: dict | None = None) -> DataFrame:
+def summary(files: DataFrame, adapters: dict | None = None, parsed: DataFrame | None = None) -> DataFrame:
     """One row: files with a language, functions, classes and languages, these in the order of the first file (by lower-case path) that has them."""
     known = files.where("lang is not null")
-    spans = parse.spans(known, adapters).agg(F.count_if(F.col("kind") == "function").alias("functions"), F.count_if(F.col("kind") == "class").alias("classes"))
+    spans = (parse.spans(known, adapters) if parsed is None else parse.spans_of(parsed)).agg(F.count_if(F.col("kind") == "function").alias("functions"), F.count_if(F.col("kind") == "class").alias("classes"))
     counted = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.lower("path")).alias("first"))
     listed = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("files"), F.transform(F.array_sort(F.collect_list(F.struct("first", "lang"))), lambda x: x["lang"]).alias("languages"))  # a row a language
     return listed.join(F.broadcast(spans))  # one row each

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from quillscan.operators.relations import running
+from quillscan.sources.shared import saved
 from quillscan.sources.tables import EXCLUDED, EXTENSIONS
 
 #: Extensions beside the scanner's that the line heuristics read.
@@ -81,7 +89,7 @@ def chosen(
     """files whose path (relative, with /) a glob of `include` takes and none of `exclude` does, in one of `languages`.
 
     only: a DataFrame of paths (column path); others go. Names that begin with a dot go unless dotted. known: languages
-    by extension, told apart by case unless any_case. `lang` is set. Only filters: they reach the scan of the listing.
+    by extension, told apart by case unless any_case. `lang` is set. Only filters on paths: no content is read for them.
     """
     p = F.regexp_replace(F.col(path), r"\\", "/")
     kept = F.lit(True) if dotted else ~p.rlike(r"(?:^|/)\.[^/]")
@@ -103,31 +111,155 @@ def in_order(files: DataFrame, path: str = "path") -> DataFrame:
     return files.orderBy(F.lower(path), path)
 
 
+#: Rows of the listing: kind is folder or file; error tells of a folder that can't be listed.
+_LISTED = "root string, path string, kind string, size long, error string"
+#: Bytes of files that one task reads about, and those of an Arrow batch.
+PART_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
+
+
+def filesystem(place: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI (file, hdfs, s3, gs, abfs) and the path there."""
+    if "://" not in place and not place.startswith("file:"):
+        return fs.LocalFileSystem(), str(Path(place).resolve())
+    if re.match("file:/+", place):
+        return fs.LocalFileSystem(), "/" + re.sub("^file:/+", "", place)
+    try:
+        return fs.FileSystem.from_uri(place)
+    except (pa.ArrowInvalid, OSError) as e:
+        raise DiscoveryError(f"{place}: {e}") from e
+
+
+def _below(place: str) -> Iterator[tuple[str, str, int]]:
+    """Name, kind and size of what a folder holds; linked folders aren't entered, so no walk goes round."""
+    system, path = filesystem(place)
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(path) as entries:
+            for e in entries:
+                if e.is_dir(follow_symlinks=False):
+                    yield e.name, "folder", 0
+                elif e.is_file():
+                    yield e.name, "file", e.stat().st_size
+        return
+    for info in system.get_file_info(fs.FileSelector(path)):
+        if info.type in (fs.FileType.Directory, fs.FileType.File):
+            yield info.base_name, "folder" if info.type == fs.FileType.Directory else "file", info.size or 0
+
+
+def _closed(exclude: list[str]) -> re.Pattern | None:
+    """What the relative path of a folder looks like that nothing below is taken of."""
+    whole = [pattern(g) for g in exclude if not re.search(r"[*?\[{]", g)]
+    deep = [pattern(g[:-3]) for g in exclude if g.endswith("/**")]
+    return re.compile("|".join(whole + deep)) if whole or deep else None
+
+
+def listing(spark: SparkSession, roots: list[str], exclude: list[str] | None = None, dotted: bool = False) -> DataFrame:
+    """root, path (relative to it) and size of every file below some folders; error instead for a folder that can't be listed.
+
+    Folders are listed by tasks, level by level; those that `exclude` takes whole, and dotted ones, are never entered.
+    Each level is a written table. Nothing is opened.
+    """
+    shut = _closed(exclude or [])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = to_arrow_schema(T.StructType.fromDDL(_LISTED))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for root, folder in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows: list[tuple] = []
+                try:
+                    for name, kind, size in _below(f"{root.rstrip('/')}/{folder}" if folder else root):
+                        path = f"{folder}/{name}" if folder else name
+                        hidden = name.startswith(".") and not dotted
+                        if not hidden and not (kind == "folder" and shut and shut.match(path)):
+                            rows.append((root, path, kind, size, None))
+                except (OSError, DiscoveryError) as e:
+                    rows.append((root, folder, "error", 0, f"{type(e).__name__}: {e}"[:200]))
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, schema, strict=True)], schema=schema)
+
+    level = spark.createDataFrame([(r, "") for r in dict.fromkeys(roots)], "root string, path string")
+    found, out = 1, None
+    while found:
+        here = saved(level.repartition(max(1, min(found, 4 * parts))).mapInArrow(walk, _LISTED), "listing")
+        files = here.where("kind <> 'folder'").select("root", "path", "size", "error")
+        out = files if out is None else out.unionByName(files)
+        level = here.where("kind = 'folder'").select("root", "path")
+        found = level.count()
+    return out
+
+
+def contents(files: DataFrame) -> DataFrame:
+    """files (root, path, size and others) with content, read as UTF-8 (odd bytes become marks), and unreadable, its error.
+
+    Files are dealt to tasks by their bytes: of the sizes in order of paths, each PART_BYTES make a part.
+    """
+    before = running(files, ["root", "path"], F.col("size"), "_before").withColumn("_part", F.floor(F.col("_before") / PART_BYTES))
+    total = before.agg(F.max("_part")).first()[0]
+    dealt = before.repartitionByRange(total + 1 if total is not None else 1, "_part").drop("_before", "_part")
+    schema = T.StructType([*dealt.schema.fields, T.StructField("content", T.StringType()), T.StructField("unreadable", T.StringType())])
+    arrow = to_arrow_schema(schema)
+    root, path = dealt.columns.index("root"), dealt.columns.index("path")
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * len(arrow), arrow, strict=True)], schema=arrow)
+
+        for b in batches:
+            rows, held = [], 0
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                try:
+                    system, place = filesystem(f"{row[root].rstrip('/')}/{row[path]}")
+                    with system.open_input_stream(place) as f:
+                        data = f.read()
+                    rows.append((*row, data.decode("utf-8", "replace"), None))
+                    held += len(data)
+                except (OSError, DiscoveryError) as e:
+                    rows.append((*row, None, f"{type(e).__name__}: {e}"[:200]))
+                if held > BATCH_BYTES:
+                    yield out(rows)
+                    rows, held = [], 0
+            yield out(rows)
+
+    return dealt.mapInArrow(fetch, schema)
+
+
+def _kind(place: str) -> str:
+    """folder, file or none."""
+    system, path = filesystem(place)
+    kind = system.get_file_info(path).type
+    return "folder" if kind == fs.FileType.Directory else "file" if kind == fs.FileType.File else "none"
+
+
 def read(spark: SparkSession, paths: list[str], include: list[str] | None = None, exclude: list[str] | None = None, **how) -> DataFrame:
-    """path, lang and content of the files of several roots: files, folders (crossed with `include`) and globs.
+    """path, lang, content and unreadable (an error) of the files of several roots: files, folders (crossed with `include`) and globs.
 
-    Paths are relative to their root, those of several roots begin with it. Files without a language stay, with a null lang.
+    Paths are relative to their root, those of several roots begin with it. Files without a language stay, with a null
+    lang. Folders are listed first, without those that `exclude` takes whole; only files that all filters leave are
+    opened. A root is a path that all executors see, or a URI.
     """
+    shut = EXCLUDED if exclude is None else exclude
     rows = None
     for root in paths:
-        local = Path(root)
-        folder = root
-        own = include
-        if local.is_file():
-            folder, own = str(local.parent), [re.sub(r"([*?\[{])", r"[\1]", local.name)]
-        elif not local.is_dir():
+        kind, own = _kind(root), include
+        folder, taken = root.rstrip("/") or "/", None
+        if kind == "file":
+            folder, _, name = root.rpartition("/")
+            folder = folder or "."
+            system, place = filesystem(root)
+            taken = spark.createDataFrame([(folder, name, system.get_file_info(place).size, None)], "root string, path string, size long, error string")
+            own = None
+        elif kind == "none":
             fixed = re.split(r"[*?\[{]", root, maxsplit=1)[0].rpartition("/")[0]
-            if not re.search(r"[*?\[{]", root) or not Path(fixed or ".").is_dir():
+            if not re.search(r"[*?\[{]", root) or _kind(fixed or ".") != "folder":
                 raise DiscoveryError(f"{root}: not found")
             folder, own = fixed or ".", [root[len(fixed) + 1 :] if fixed else root]
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-        base = str(Path(folder).resolve()).rstrip("/") + "/"
-        rel = F.regexp_replace(F.regexp_replace("path", "^file:(//)?", ""), "^" + re.escape(base), "")
-        some = chosen(raw.withColumn("path", rel), own, EXCLUDED if exclude is None else exclude, **how)
+        listed = listing(spark, [folder], shut, how.get("dotted", False)) if taken is None else taken
+        some = chosen(listed.where("error is null"), own, shut, **how)
+        lost = listed.where("error is not null").withColumn("lang", F.lit(None).cast("string"))
+        got = contents(some.select("root", "path", "size", "lang")).select("path", "lang", "content", "unreadable")
+        got = got.unionByName(lost.select("path", "lang", F.lit(None).cast("string").alias("content"), F.col("error").alias("unreadable")))
         if len(paths) > 1:
-            some = some.withColumn("path", F.concat(F.lit(folder.rstrip("/") + "/"), "path"))
-        some = some.select("path", "lang", F.decode("content", "UTF-8").alias("content"))
-        rows = some if rows is None else rows.unionByName(some)
+            got = got.withColumn("path", F.concat(F.lit(folder.rstrip("/") + "/"), "path"))
+        rows = got if rows is None else rows.unionByName(got)
     if rows is None:
         raise DiscoveryError("no paths")
     return rows.dropDuplicates(["path"]) if len(paths) > 1 else rows

@@ -36,6 +36,53 @@ def test_contexts_of_short_lines_are_whole(spark):
         assert near == tuple("\n".join(lined[max(0, n - 1 - r) : n + r]) for r in (2, 3))
 
 
+def test_rules_ask_whole_lines_however_long(spark):
+    """The telling word stands far outside the context that is shown, on the same minified line."""
+    far = "a=b+1;" * 900  # 5,400 characters
+    texts = {
+        "CG-022": f"var token=1;{far}x=Math.random();",
+        "CG-030": f"{far}fs.readFile('/d/'+name,f);",  # and nothing near makes it safe
+        "CG-031": f"p=req.params.file;{far}fs.readFile(p,f);",
+    }
+    safe = {"CG-022": f"var plain=1;{far}x=Math.random();", "CG-030": f"q=path.resolve(d);{far}q.startsWith(d);fs.readFile('/d/'+name,f);", "CG-031": f"p=fixed;{far}p=req.params.file;fs.readFile(p,f);"}
+    rows = [(f"{k}{i}.js", "javascript", t) for i, some in enumerate((texts, safe)) for k, t in some.items()]
+    rows += [("w1.java", "java", f"class A {{ void f() {{ w = resp.getWriter();{far} w.print(x); }} }}"), ("w0.java", "java", f"class A {{ void f() {{ w = other();{far} w.print(x); }} }}")]
+    rows += [("s.php", "php", f"<?php $p = $_GET['f'];{far} fopen($p, 'r');"), ("t.php", "php", "<?php $pp = $_GET['f']; fopen($p, 'r');")]
+    got = {(r["path"], r["rule_id"]) for r in scan.findings(_files(spark, *rows)).select("path", "rule_id").collect()}
+    assert {x for x in got if x[1] in texts} == {*((f"{k}0.js", k) for k in texts), ("s.php", "CG-031")}
+    assert ("w1.java", "CG-010") in got and ("w0.java", "CG-010") not in got
+
+
+def test_a_line_of_very_many_calls_is_searched_once(spark):
+    text = "".join(f"v{k}=req.query.x;fs.open(v{k});Math.random();" for k in range(20_000))
+    rows = scan.findings(_files(spark, ("a.js", "javascript", text + "token=1"))).groupBy("rule_id").count().collect()
+    assert {r["rule_id"]: r["count"] for r in rows} == {"CG-031": 20_000, "CG-022": 20_000}
+
+
+def test_each_file_is_read_once_for_everything(spark, tmp_path):
+    log = tmp_path / "read"
+
+    def reader(text):
+        with open(log, "a") as f:
+            f.write("x\n")
+        if "fail" in text:
+            raise ValueError("no")
+        return lexer.Source(text, "python")
+
+    files = _files(spark, *((f"f{k}.toy", "toy", "def f(a):\n    eval(a)\n") for k in range(9)), ("bad.toy", "toy", "fail"), ("x.rb", None, ""))
+    options = scan.Options(adapters={"toy": reader})
+    read = parse.parsed(files, options.adapters)
+    nodes = parse.nodes_of(read)
+    assert nodes.where("error is null").count() == 9 and nodes.columns == parse.nodes(files).columns
+    assert parse.spans_of(read).where("kind = 'function'").count() == 9 and parse.spans_of(read).columns == parse.spans(files).columns
+    assert sorted(r["reason"] for r in scan.skipped(files, parsed=read).collect()) == ["ValueError: no", "unsupported language"]
+    assert scan.summary(files, parsed=read).first()["functions"] == 9
+    scan.candidates(files, options, read).count()
+    assert len(log.read_text().split()) == 10
+    plan = parse.spans_of(read)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [what" in plan and "ReadSchema: struct<span" in plan
+
+
 def test_a_file_that_fails_is_a_row(spark, monkeypatch):
     deep = "def f(a):\n    return " + "f(" * 5000 + "a" + ")" * 5000 + "\n"
     files = _files(spark, ("deep.py", "python", deep), ("ok.py", "python", "def f(request):\n    a = input()\n    eval(a)\n"), ("x.rb", None, "x"))
