@@ -128,8 +128,8 @@ def run_scan(spark: SparkSession, args: argparse.Namespace) -> int:
         for w in warnings:
             print(w, file=sys.stderr)
         conf = config.load(folder, args.config)
-        custom = custom_rules.compile_rules(custom_rules.documents(conf.custom)) if conf.custom else []
-        options = scan.Options("none" if conf.preset == "none" else "all", custom, conf.disable, args.severity, None if args.no_inline_suppression else conf.directive)
+        documents = custom_rules.documents(conf.custom) if conf.custom else []
+        options = scan.Options("none" if conf.preset == "none" else "all", [], documents, conf.disable, args.severity, None if args.no_inline_suppression else conf.directive)
         if args.baseline:
             options.baseline = read_baseline(spark, args.baseline)
         if args.diff or args.diff_refs:

@@ -342,6 +342,7 @@ def match(nodes: DataFrame, rules: list[Rule]) -> DataFrame:
         F.when(c("lang").isin(*r.languages) & F.coalesce(r.test, F.lit(False)), F.struct(F.lit(r.id).alias("rule_id"), F.lit(k).alias("rule_ord"), F.lit(r.name).alias("rule_name"), F.lit(r.severity).alias("severity"), F.lit(r.cwe).alias("cwe"), (r.confidence if isinstance(r.confidence, Column) else F.lit(r.confidence)).cast("double").alias("confidence")))
         for k, r in enumerate(rules)
     ]
-    hits = nodes.where("error is null").withColumn("_hit", F.explode(F.array_compact(F.array(*each))))
+    hit = "struct<rule_id:string,rule_ord:int,rule_name:string,severity:string,cwe:int,confidence:double>"
+    hits = nodes.where("error is null").withColumn("_hit", F.explode(F.array_compact(F.array(*each, F.lit(None).cast(hit)))))
     place = ["path", "lang", "ord", "kind", "text", "sl", "sc", "el", "ec", "name", "object", "context2", "context3"]
     return hits.select(*place, "_hit.*")

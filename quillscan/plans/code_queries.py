@@ -176,6 +176,37 @@ def yaml_rule_scan(spark, sf: str) -> DataFrame:
     return scan.findings(snippets.files(spark, sf), scan.Options(preset="none", custom=custom, directive=None)).select("path", "rule_id", "line")
 
 
+#: Rules of the query below.
+MANY = 5000
+
+
+def many_rules() -> list[dict]:
+    """Rules M-k: calls of fn{k}; with even k those that are given a concatenation, with k of fives none on what is named own; and ten that tell by the receiver alone."""
+    some = []
+    for k in range(MANY):
+        pattern = {"function": {"match": [f"fn{k}", f"other{k}"]}} | ({"arguments": [{"type": "string_concat"}]} if k % 2 == 0 else {})
+        if k % 500 == 7:
+            pattern = {"function": {"on": [f"box{k}_"]}}
+        some.append({"id": f"M-{k}", "name": "-", "severity": "low", "category": "data", "languages": ["python"], "description": "-", "patterns": [pattern]} | ({"exclude": [{"function": {"on": ["own"]}}]} if k % 5 == 0 else {}))
+    return some
+
+
+@_query(f"""WITH c AS (SELECT p_partkey, 'r' || p_partkey || '.py' AS path, unnest([1, 2, 3, 4]) AS line FROM part),
+f AS (SELECT path, line, CASE line WHEN 1 THEN p_partkey % {MANY} WHEN 2 THEN p_partkey * 3 % {MANY} WHEN 3 THEN p_partkey * 7 % {MANY} ELSE p_partkey * 11 % {MANY} END AS k,
+  line IN (1, 3) AS joined, CASE WHEN line = 3 THEN 'myown' WHEN line = 4 THEN 'box' || (p_partkey % 5000) || '_' END AS receiver, p_partkey % {MANY} AS b FROM c)
+SELECT path, 'M-' || k AS rule_id, CAST(line AS BIGINT) AS line FROM f WHERE k % 500 <> 7 AND (k % 2 = 1 OR joined) AND NOT (k % 5 = 0 AND coalesce(contains(receiver, 'own'), false))
+UNION ALL SELECT path, 'M-' || b, CAST(line AS BIGINT) FROM f WHERE line = 4 AND b % 500 = 7""")
+def many_rules_scan(spark, sf: str) -> DataFrame:
+    """MANY rules at once over a file of calls for each part."""
+    p = F.col("p_partkey")
+    name = lambda n: F.concat(F.lit("fn"), (p * n % MANY).cast("string"))
+    text = F.concat(name(1), F.lit("('a' + x)\n"), name(3), F.lit("('b')\nmyown."), name(7), F.lit("(x + 'c')\nbox"), (p % MANY).cast("string"), F.lit("_."), name(11), F.lit("(y)\n"))
+    part = spark.read.parquet(f"{sf}/part.parquet").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    files = part.select(F.concat(F.lit("r"), p.cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("lang"), text.alias("content"))
+    docs = [custom_rules.validate(d, "-") for d in many_rules()]
+    return scan.findings(files, scan.Options(preset="none", documents=docs, directive=None)).select("path", "rule_id", "line")
+
+
 _CALLS = [(k, line, name, obj, len(args)) for k, calls in snippets.CALLS.items() for line, name, obj, *args in calls]
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillscan.operators import parse, relations, review, rules, text_rules
+from quillscan.operators import parse, relations, review, rule_index, rules, text_rules
 from quillscan.sources.tables import skipped as unsupported
 
 
@@ -17,6 +17,7 @@ class Options:
 
     preset: str = "all"
     custom: list = field(default_factory=list)
+    documents: list[dict] = field(default_factory=list)  # checked rule documents, any number: they go through an index
     disable: list[str] = field(default_factory=list)
     severity: str | None = None
     directive: str | None = "scan-ignore"
@@ -37,7 +38,11 @@ def candidates(files: DataFrame, options: Options, parsed: DataFrame | None = No
     files are read once for this and for what else is asked of them.
     """
     nodes = parse.nodes(files, options.adapters) if parsed is None else parse.nodes_of(parsed)
-    hits = rules.match(nodes, rules.load(options.preset, options.custom, options.disable)).repartition("path")
+    loaded = rules.load(options.preset, options.custom, options.disable)
+    hits = rules.match(nodes, loaded)
+    if docs := [d for d in options.documents if d["id"] not in set(options.disable)]:
+        hits = hits.unionByName(rule_index.match(nodes, rule_index.table_of(files.sparkSession, docs, len(loaded))))
+    hits = hits.repartition("path")
     hits = hits.withColumn("_s", place("sl", "sc")).withColumn("_e", place("el", "ec"))
     first = relations.first_seen(hits, ["path", "rule_id", "_s"], ["ord"])
     return relations.drop_contained(first, ["path", "rule_id"], ["_s"], F.col("_e")).drop("_s", "_e")
