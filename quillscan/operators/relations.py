@@ -56,18 +56,19 @@ def suppress(findings: DataFrame, lined: DataFrame, word: str) -> DataFrame:
     return findings.join(d, (findings["file"] == d["_file"]) & (findings["line"] == d["_line"]) & covers, "left_anti")
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], out: str = "_rank", value: Column | None = None) -> DataFrame:
-    """df with `out`: how many rows of its key come before a row in order or, with value, their sum; no task gets all rows of a key.
+def sums_before(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], part: str | None = None) -> DataFrame:
+    """df with, for each of `values`, its sum over the rows of the same key before a row in order; no task gets all rows of a key.
 
-    Rows are dealt by ranges of (keys, order) and written; within a range a window counts. What a key has in the ranges
+    Rows are dealt by ranges of (keys, order) and written; within a range a window sums. What a key has in the ranges
     before is a number a range: a key that spans ranges has one row for each, and only those are summed up. order must be
-    total within a key, or equal rows take any ranks.
+    total within a key, or equal rows take any places. part: a name for the number of a row's range, which is kept then.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    taken = df.withColumn("_v", F.lit(1).cast("long") if value is None else value)
+    inner = {name: f"_v{i}" for i, name in enumerate(values)}
+    taken = df.withColumns({inner[name]: v for name, v in values.items()})
     ranged = saved(taken.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()), "ranked")
-    sums = ranged.groupBy("_part", *keys).agg(F.sum("_v").alias("_sum"))
+    sums = ranged.groupBy("_part", *keys).agg(*[F.sum(v).alias(v) for v in inner.values()])
     # a key of one range has no rows elsewhere; others are at most two a range
     split = sums.groupBy(*keys).agg(F.count("*").alias("_ranges")).where("_ranges > 1").drop("_ranges")
     named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
@@ -75,11 +76,17 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str = "_rank",
     split = F.broadcast(saved(split.select(*named), "split"))  # under one key a range
     over = sums.join(split, same(sums, split), "left_semi")
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = saved(over.withColumn("_base", F.sum("_sum").over(before)).where("_base is not null").select(F.col("_part").alias("_p"), *named, "_base"), "bases")
+    bases = saved(over.select(F.col("_part").alias("_p"), *named, *[F.sum(v).over(before).alias(f"{v}b") for v in inner.values()]), "bases")
     own = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    counted = ranged.withColumn("_own", F.coalesce(F.sum("_v").over(own), F.lit(0)))
+    counted = ranged.withColumns({f"{v}o": F.coalesce(F.sum(v).over(own), F.lit(0)) for v in inner.values()})
     met = counted.join(F.broadcast(bases), [counted["_part"] == bases["_p"], *same(counted, bases)], "left")
-    return met.select(*df.columns, (F.col("_own") + F.coalesce("_base", F.lit(0))).alias(out))
+    out = [(F.col(f"{v}o") + F.coalesce(f"{v}b", F.lit(0))).alias(name) for name, v in inner.items()]
+    return met.select(*df.columns, *out, *([F.col("_part").alias(part)] if part else []))
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str], out: str = "_rank", value: Column | None = None) -> DataFrame:
+    """df with `out`: how many rows of its key come before a row in order or, with value, their sum."""
+    return sums_before(df, keys, order, {out: F.lit(1).cast("long") if value is None else value})
 
 
 def bag_difference(df: DataFrame, baseline: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -7,8 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from quillscan.operators.relations import sums_before
+from quillscan.sources.shared import saved
 
 _HUNK = re.compile(r"@@ -\d+(?:,(?P<old>\d+))? \+(?P<at>\d+)(?:,(?P<new>\d+))? @@")
 
@@ -54,6 +60,69 @@ def changed_lines(diffs: DataFrame, key: str, text: str = "diff") -> DataFrame:
     return diffs.select(key, text).mapInPandas(read, f"{key} {schema.dataType.simpleString()}, file string, line long")
 
 
+#: A head in a diff's lines: what it is, and the hunk's numbers; old and new are the counts of lines before the hunk's body.
+_HEADS = "key string, line_no long, part int, file string, at long, old long, new long, old_end long, new_end long"
+
+
+def added_lines(lined: DataFrame, key: str) -> DataFrame:
+    """key, file and line (long) of each added line of diffs given by lines (key, line_no, line), however long one is; read as by `parse`.
+
+    Lines are dealt by ranges, with running counts of each diff's old and new lines across them. Heads alone, in order,
+    tell which of them stand within a body: a body lasts until both counts have grown by what its head says. A line
+    belongs to the last head before it, which a range gets from those before it as one row a diff. A diff that isn't
+    blank and names no new file is an error.
+    """
+    kind = lined.schema[key].dataType.simpleString()
+    sign = F.substring("line", 1, 1)
+    counts = {"_old": (~sign.isin("+", "\\")).cast("long"), "_new": (~sign.isin("-", "\\")).cast("long")}
+    rows = lined.select(F.col(key).alias("key"), F.col("line_no").cast("long").alias("line_no"), F.coalesce("line", F.lit("")).alias("line"))
+    rows = saved(sums_before(rows, ["key"], ["line_no"], counts, part="part"), "diff")
+    heads = rows.where(F.col("line").startswith("+++ ") | F.col("line").startswith("@@ ")).repartition("key").sortWithinPartitions("key", "line_no")
+    schema = T.StructType.fromDDL(_HEADS.replace("key string", f"key {kind}"))
+    arrow = to_arrow_schema(schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, file, old_end, new_end = object(), None, 0, 0
+        for b in batches:
+            out: list[tuple] = []
+            for k, n, line, old, new, part in zip(*(c.to_pylist() for c in b.select(["key", "line_no", "line", "_old", "_new", "part"]).columns), strict=True):
+                if k != last:
+                    last, file, old_end, new_end = k, None, 0, 0
+                if old < old_end or new < new_end:  # within a body
+                    continue
+                if line.startswith("+++ "):
+                    name = line[4:].split("\t")[0].strip()
+                    file = None if name == "/dev/null" else name.removeprefix("b/")
+                    out.append((k, n, part, file, None, None, None, None, None))
+                elif m := _HUNK.match(line):
+                    # the head's own line is counted as well: its body begins behind it
+                    old, new = old + 1, new + 1
+                    old_end, new_end = old + int(m["old"] or 1), new + int(m["new"] or 1)
+                    out.append((k, n, part, file, int(m["at"]), old, new, old_end, new_end))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * len(arrow), arrow, strict=True)], schema=arrow)
+
+    found = saved(heads.mapInArrow(read, schema), "heads")
+    blank = rows.groupBy("key").agg(F.max(F.trim("line") != "").alias("said")).where("said")
+    names = found.where("at is null").select(F.col("key").alias("_key")).distinct()
+    if odd := blank.join(names, F.col("key").eqNullSafe(F.col("_key")), "left_anti").first():
+        raise ValueError(f"not a unified diff: no new file is named ({odd['key']})")
+    hunk = F.struct("line_no", "file", "at", "new", "old_end", "new_end")
+    hunks = found.where("at is not null")
+    # what each range begins with: of the diffs that it goes on with, the last head before it
+    parts = rows.groupBy("key", "part").agg(F.min("line_no").alias("first")).where("first is not null")
+    ends = hunks.groupBy("key", "part").agg(F.max(hunk).alias("hunk"))
+    both = parts.join(ends.withColumnsRenamed({"key": "_k", "part": "_p"}), F.col("key").eqNullSafe(F.col("_k")) & (F.col("part") == F.col("_p")), "left")
+    carried = both.withColumn("carry", F.last("hunk", ignorenulls=True).over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    carried = carried.where("carry is not null").select(F.col("key").alias("_k"), F.col("part").alias("_p"), "carry")
+    events = rows.where(sign == "+").select("key", "part", "line_no", "_old", "_new", F.lit(None).cast(hunks.select(hunk.alias("h")).schema["h"].dataType).alias("hunk"))
+    events = events.unionByName(hunks.select("key", "part", "line_no", F.lit(0).cast("long").alias("_old"), F.lit(0).cast("long").alias("_new"), hunk.alias("hunk")))
+    own = Window.partitionBy("part", "key").orderBy("line_no", F.col("hunk").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = events.withColumn("of", F.last("hunk", ignorenulls=True).over(own)).where("hunk is null")
+    placed = placed.join(carried, placed["key"].eqNullSafe(carried["_k"]) & (placed["part"] == carried["_p"]), "left").withColumn("of", F.coalesce("of", "carry"))
+    inside = (F.col("_old") < F.col("of.old_end")) | (F.col("_new") < F.col("of.new_end"))
+    return placed.where(inside & F.col("of.file").isNotNull()).select(F.col("key").alias(key), "of.file", (F.col("of.at") + F.col("_new") - F.col("of.new")).alias("line"))
+
+
 def changed_ranges(lined: DataFrame, key: str) -> DataFrame:
     """key, file, s and e of each hunk of diff lines (key, line_no, line), by their heads; empty ones are left out.
 

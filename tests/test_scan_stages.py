@@ -358,6 +358,22 @@ def test_random_diffs_equal_a_line_by_line_reading():
         assert diffs.parse("\n".join(rows)) == plain("\n".join(rows)), rows
 
 
+def test_diffs_of_any_length_equal_the_reading_of_a_text(spark):
+    r = random.Random(5)
+    choices = ["+a", "-b", " c", "\\ No", "", "+++ b/y\t2024", "@@ -9 +11,2 @@", "+++ /dev/null", "--- a/z", "++"]
+    line = lambda: r.choice([*choices, "@@ -1,%d +%d,%d @@" % (r.randrange(5), r.randrange(90), r.randrange(5))])
+    texts = {f"d{k}": "\n".join(["+++ b/x", *(line() for _ in range(r.randrange(20)))]) for k in range(60)}
+    texts["long"] = "\n".join(["+++ b/x", *(line() for _ in range(4000)), "@@ -0,0 +1,3000 @@", *(["+z", "+++ b/inside"] * 1500), "+++ b/last", "@@ -1 +7,3 @@", "+q", " w", "+e"])
+    texts |= {"blank": " \n\n", "empty": ""}
+    rows = [(k, n, x) for k, t in texts.items() for n, x in enumerate(t.split("\n"), 1)]
+    r.shuffle(rows)
+    lined = spark.createDataFrame(rows, "id string, line_no long, line string")
+    got = sorted(map(tuple, diffs.added_lines(lined, "id").collect()))
+    assert got == sorted((k, f, n) for k, t in texts.items() for f, n in diffs.parse(t))
+    with pytest.raises(ValueError, match="not a unified diff"):
+        diffs.added_lines(spark.createDataFrame([("a", 1, "text")], "id string, line_no long, line string"), "id")
+
+
 def test_payloads(spark, tmp_path):
     (tmp_path / "a.py").write_text("def f():\n    a = input()\n    eval(a)\n")
     (tmp_path / "b.cpp").write_text("void f(D& db) {\n  std::cin >> x;\n  db.execute(x);\n}\n")
