@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import subprocess
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillscan.operators import enrich, relations
-from quillscan.sources.shared import remove, saved
+from quillscan.sources.shared import saved
 
 #: Model name patterns in order and their dollars a million tokens in and out.
 PRICES = [(1, "^claude-opus", 15.0, 75.0), (2, "^claude-sonnet", 3.0, 15.0), (3, "^claude-.*haiku", 0.8, 4.0), (4, "^gpt-4o-mini", 0.15, 0.6), (5, "^gpt-4o", 2.5, 10.0), (6, "^gpt-4", 2.0, 8.0)]
@@ -188,33 +189,108 @@ def cache_rows(reviewed: DataFrame, now_ms: int) -> DataFrame:
     return reviewed.where(F.col("asked") & F.col("confirmed").isNotNull()).select(*names, F.lit(now_ms).cast("long").alias("cached_at"), F.lit(VERSION).alias("schema_version"))
 
 
+#: Name of a cache's manifests: the readable one of the highest number tells which folders are live.
+_MANIFEST = re.compile(r"manifest-(\d{12})\.json")
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and a function from names to its paths there."""
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    return to(path).getFileSystem(spark._jsc.hadoopConfiguration()), lambda *names: to("/".join([path.rstrip("/"), *names]))
+
+
+def _live(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """The number of a cache's manifest and the folders that it lists; 0 and the cache's own folder where there is none yet."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at()):
+        return 0, []
+    names = sorted((x.getPath().getName() for x in fs.listStatus(at())), reverse=True)
+    for name in names:
+        if m := _MANIFEST.fullmatch(name):
+            stream = fs.open(at(name))
+            try:
+                text = bytes(stream.readAllBytes()).decode()
+            finally:
+                stream.close()
+            try:
+                return int(m[1]), list(json.loads(text)["folders"])
+            except (ValueError, KeyError, TypeError):
+                continue
+    return 0, [""] if any(n.startswith("shard=") for n in names) else []
+
+
+def _commit(spark: SparkSession, path: str, change: Callable[[list[str]], list[str]]) -> list[str]:
+    """Makes a list of folders the live one by one rename; gives the list before. Whoever commits second begins anew from the first one's list."""
+    fs, at = _files(spark, path)
+    for _ in range(100):
+        number, before = _live(spark, path)
+        beside, target = at(f".{uuid.uuid4().hex}"), at(f"manifest-{number + 1:012}.json")
+        stream = fs.create(beside, True)
+        try:
+            stream.write(bytearray(json.dumps({"folders": change(before)}).encode()))
+        finally:
+            stream.close()
+        if not fs.exists(target) and fs.rename(beside, target):
+            return before
+        fs.delete(beside, False)
+    raise OSError(f"{path}: the cache is written to all the time")
+
+
 def write_cache(rows: DataFrame, path: str) -> None:
-    """Appends verdicts to the cache, in folders by the first two digits of their key."""
-    rows.withColumn("shard", F.substring("key_hash", 1, 2)).write.mode("append").partitionBy("shard").parquet(path)
+    """Adds verdicts to the cache: a folder of their own, by the first two digits of their key, which is live once it is whole."""
+    spark, name = rows.sparkSession, f"entries-{uuid.uuid4().hex}"
+    rows.withColumn("shard", F.substring("key_hash", 1, 2)).write.partitionBy("shard").parquet(f"{path.rstrip('/')}/{name}")
+    _commit(spark, path, lambda before: [*before, name])
+
+
+def _entries(spark: SparkSession, path: str, folders: list[str]) -> DataFrame:
+    """The rows of a cache's folders; one that is missing or can't be read holds none."""
+    out = spark.createDataFrame([], CACHED)
+    for name in folders:
+        try:
+            out = out.unionByName(spark.read.option("ignoreCorruptFiles", True).schema(CACHED + ", shard string").parquet(f"{path.rstrip('/')}/{name}".rstrip("/")).drop("shard"))
+        except AnalysisException:
+            continue
+    return out
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """The cache's rows; one that is missing or can't be read holds none."""
-    try:
-        return spark.read.option("ignoreCorruptFiles", True).schema(CACHED + ", shard string").parquet(path).drop("shard")
-    except AnalysisException:
-        return spark.createDataFrame([], CACHED)
+    return _entries(spark, path, _live(spark, path)[1])
 
 
 def prune(spark: SparkSession, path: str, now_ms: int, ttl_s: int) -> int:
-    """Rewrites the cache without expired, outdated, unreadable and superseded entries; returns how many went. Folders left empty go."""
-    before = read_cache(spark, path)
+    """Rewrites the cache without expired, outdated, unreadable and superseded entries; returns how many went.
+
+    What stays is written to a folder of its own, which one rename makes the only live one but for those that others
+    added meanwhile; then the replaced folders go. A run that ends at any point loses no entry: before the rename the old
+    folders are live, after it the new one is, and folders that it left are removed by the next.
+    """
+    number, folders = _live(spark, path)
+    before = _entries(spark, path, folders)
     n = before.count()
-    if not n:
-        return 0
-    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    kept = fresh(before, now_ms, ttl_s)
-    write_cache(kept, beside)
-    left = read_cache(spark, beside).count()
-    remove(spark, path)
-    old = spark._jvm.org.apache.hadoop.fs.Path(beside)
-    old.getFileSystem(spark._jsc.hadoopConfiguration()).rename(old, spark._jvm.org.apache.hadoop.fs.Path(path))
-    return n - left
+    fs, at = _files(spark, path)
+    if n:
+        kept, name = saved(fresh(before, now_ms, ttl_s), "kept"), f"entries-{uuid.uuid4().hex}"
+        kept.withColumn("shard", F.substring("key_hash", 1, 2)).write.partitionBy("shard").parquet(f"{path.rstrip('/')}/{name}")
+        _commit(spark, path, lambda now: [name, *(x for x in now if x not in folders)])
+        n -= kept.count()
+    if number or n:
+        number, live = _live(spark, path)
+        # what no manifest lists and an older one did, or what stood here before there was any
+        for x in fs.listStatus(at()) if number else []:
+            old = x.getPath().getName()
+            if (old in folders and old not in live) or ("" in folders and old.startswith("shard=")) or ((m := _MANIFEST.fullmatch(old)) and int(m[1]) < number):
+                if m := _MANIFEST.fullmatch(old):
+                    stream = fs.open(at(old))
+                    try:
+                        listed = re.findall(r"entries-[0-9a-f]{32}", bytes(stream.readAllBytes()).decode("utf-8", "replace"))
+                    finally:
+                        stream.close()
+                    for gone in set(listed) - set(live):
+                        fs.delete(at(gone), True)
+                fs.delete(at(old), True)
+    return n
 
 
 def explained(paths: DataFrame, ask: Callable[[str], str | Reply], order: list[str]) -> DataFrame:

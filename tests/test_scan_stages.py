@@ -177,6 +177,47 @@ def test_cache_round_trip_and_prune(spark, tmp_path):
     assert [(r["key_hash"], r["cached_at"]) for r in review.read_cache(spark, path).collect()] == [("k-yes1", 10**9)]
 
 
+@pytest.mark.parametrize("step", ["write", "commit", "remove", "none"])
+def test_a_prune_that_is_killed_loses_nothing(spark, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "cache")
+    row = lambda k, at: (k, True, 0.5, f"r{at}", None, None, None, None, at, review.VERSION)
+    store = lambda *rows: spark.createDataFrame(rows, review.CACHED)
+    review.write_cache(store(row("aa1", 1), row("bb1", 9_000_000)), path)
+    review.write_cache(store(row("aa1", 9_000_001), row("cc1", 2)), path)
+    whole = {("aa1", 9_000_001), ("bb1", 9_000_000)}
+    read = lambda: {(r["key_hash"], r["cached_at"]) for r in review.fresh(review.read_cache(spark, path), 9_000_002, 10).collect()}
+    assert read() == whole
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        if step == "write":
+            m.setattr(review, "fresh", killed)
+        elif step == "commit":
+            m.setattr(review, "_commit", killed)
+        elif step == "remove":
+            live, n = review._live, iter(range(9))
+            m.setattr(review, "_live", lambda *x: killed() if next(n) == 2 else live(*x))  # of prune, of its commit, then before folders go
+        if step != "none":
+            with pytest.raises(KeyboardInterrupt):
+                review.prune(spark, path, 9_000_002, 10)
+    assert read() == whole
+    review.prune(spark, path, 9_000_002, 10)
+    assert {(r["key_hash"], r["cached_at"]) for r in review.read_cache(spark, path).collect()} == whole
+    assert len([x for x in (tmp_path / "cache").iterdir() if x.name.startswith("manifest")]) == 1
+    assert step == "commit" or len([x for x in (tmp_path / "cache").iterdir() if x.name.startswith("entries")]) == 1
+
+
+def test_a_cache_of_the_older_layout_is_read_and_pruned(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    rows = spark.createDataFrame([("aa1", True, 0.5, "r", None, None, None, None, 5_000, review.VERSION), ("bb1", True, 0.5, "r", None, None, None, None, 1, review.VERSION)], review.CACHED)
+    rows.withColumn("shard", F.substring("key_hash", 1, 2)).write.partitionBy("shard").parquet(path)
+    assert review.read_cache(spark, path).count() == 2
+    assert review.prune(spark, path, 6_000, 2) == 1
+    assert [r["key_hash"] for r in review.read_cache(spark, path).collect()] == ["aa1"] and not list((tmp_path / "cache").glob("shard=*"))
+
+
 def test_replies():
     assert enrich.parse_reply('```json\n{"confirmed": true, "confidence": "0.25", "reasoning": " r "}\n```') == {"confirmed": True, "confidence": 0.25, "reasoning": "r"}
     assert enrich.parse_reply('x {"confirmed": 1, "confidence": null, "reasoning": "r", "fixDescription": "d", "fixCode": "c"} y') == {"confirmed": False, "confidence": 0.5, "reasoning": "r"}
