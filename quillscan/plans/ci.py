@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillscan.operators import enrich, relations, review
 from quillscan.plans import report, scan
+from quillscan.sources import discovery
 from quillscan.sources.shared import saved
 
 
@@ -52,7 +53,7 @@ def run(files: DataFrame, folder: str, rate: float = 0.2, seed: str = "quillscan
             report.write_empty_sarif(out)
         else:
             report.write_sarif(reviewed(found.join(sampled, "path", "left_semi"), ask, model, **how).where("outcome <> 'dismissed'"), out)
-    names = [r["path"] for r in sampled.select("path").orderBy(F.lower("path"), "path").toLocalIterator()]
+    names = [r["path"] for r in discovery.in_order(sampled).toLocalIterator()]
     summary = {"total_files": total, "sampled_files": len(names), "sample_rate": rate, "reviewed": ask is not None, "sample": names}
     (target / "summary.json").write_text(json.dumps(summary, indent=1))
     return summary
