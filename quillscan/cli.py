@@ -139,8 +139,8 @@ def run_scan(spark: SparkSession, args: argparse.Namespace) -> int:
         files = discovery.read(spark, paths if paths and not args.git_url else [folder], conf.include, [*EXCLUDED, *conf.exclude])
         files = saved(files, "files")  # read once; a clone may go
         read = parse.parsed(files)
-        kept = saved(scan.candidates(files, options, read), "candidates")
-        steps = scan.stages(files, options, kept)
+        counts = scan.Counts()
+        steps = scan.stages(files, options, scan.candidates(files, options, read), counts)
         found, judged = steps["findings"], None
         if (args.review or conf.review) and not args.dry_run:
             judged = _second_stage(spark, found, conf, args.review)
@@ -157,7 +157,7 @@ def run_scan(spark: SparkSession, args: argparse.Namespace) -> int:
                 elif form == "github":
                     report.write_review(found, out)
                 else:
-                    report.write_json(found, out, scan.counters(files, steps, judged).first().asDict(), dismissed, scan.skipped(files, parsed=read))
+                    report.write_json(found, out, scan.counters(files, steps, judged, counts).first().asDict(), dismissed, scan.skipped(files, parsed=read))
             return int(report.fails(found, args.fail_on, rules.RANK).first()["fails"])
         rows = render(found, form)
         if args.output_file:

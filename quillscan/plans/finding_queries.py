@@ -34,7 +34,8 @@ def scan_counters(spark, sf: str) -> DataFrame:
     found = saved(scan.candidates(files, options), "candidates")
     known = scan.stages(files, options, found)["findings"].where("cast(regexp_extract(path, '/f([0-9]+)', 1) as long) % 2 = 0")
     options.baseline = report.baseline(known)
-    return scan.counters(files, scan.stages(files, options, found)).select("candidates", "suppressed", "suspicious", "baselined", "diff_filtered", "findings")
+    counts = scan.Counts()
+    return scan.counters(files, scan.stages(files, options, found, counts), counts=counts).select("candidates", "suppressed", "suspicious", "baselined", "diff_filtered", "findings")
 
 
 @_query(f"SELECT path, rule_id, CAST(line AS BIGINT) AS line, row_number() OVER (ORDER BY path, line, rule_id) AS finding_no FROM ({_LABELS})")

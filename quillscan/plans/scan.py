@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quillscan.operators import parse, relations, review, rule_index, rules, text_rules
+from quillscan.sources.shared import saved
 from quillscan.sources.tables import skipped as unsupported
 
 
@@ -52,30 +53,47 @@ def candidates(files: DataFrame, options: Options, parsed: DataFrame | None = No
 STAGES = ("candidates", "suspicious", "unknown", "changed", "findings")
 
 
-def stages(files: DataFrame, options: Options | None = None, found: DataFrame | None = None) -> dict[str, DataFrame]:
+class Counts:
+    """Numbers of a scan's stages, observed while each of them is written: no stage is read to be counted, and no filter runs twice."""
+
+    def __init__(self) -> None:
+        self.stages: dict[str, dict[str, int]] = {}
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written; its rows and its rows of each severity are noted."""
+        seen = Observation()
+        per = [F.count_if(F.col("severity") == s).alias(s) for s in rules.RANK]
+        out = saved(df.observe(seen, F.count(F.lit(1)).alias("rows"), *per), name)
+        self.stages[name] = {k: int(v or 0) for k, v in seen.get.items()}
+        return out
+
+
+def stages(files: DataFrame, options: Options | None = None, found: DataFrame | None = None, counts: Counts | None = None) -> dict[str, DataFrame]:
     """The scan after each filter: candidates; suspicious (without suppressed ones); unknown (beyond the baseline); changed (on changed lines); findings (of at least the severity).
 
-    found: candidates that were made before, such as a written table, so that files are parsed once.
+    found: candidates that were made before, such as a written table, so that files are parsed once. counts: writes what
+    each filter leaves and notes its numbers, for `counters`.
     """
+    kept = counts or (lambda df, name: df)
     options = options or Options()
     if options.severity is not None and options.severity not in rules.RANK:
         raise ValueError(f"unknown severity {options.severity!r}")
     found = candidates(files, options) if found is None else found
     found = found.withColumn("file", F.col("path")).withColumn("line", F.col("sl").cast("long"))
     found = found.withColumn("fingerprint", text_rules.fingerprint(F.col("rule_id"), F.col("file"), F.col("text")))
-    out = {"candidates": found}
+    out = {"candidates": (found := kept(found, "candidates"))}
     if options.directive:
         lined = files.where(F.col("content").contains(options.directive)).select(F.col("path").alias("file"), F.posexplode(F.split("content", "\n")).alias("_n", "line")).select("file", (F.col("_n") + 1).cast("long").alias("line_no"), "line")
-        found = relations.suppress(found, lined, options.directive)
+        found = kept(relations.suppress(found, lined, options.directive), "suspicious")
     out["suspicious"] = found
     if options.baseline is not None:
-        found = relations.bag_difference(found, options.baseline, "fingerprint", ["file", "line", "ord"])
+        found = kept(relations.bag_difference(found, options.baseline, "fingerprint", ["file", "line", "ord"]), "unknown")
     out["unknown"] = found
     if options.changed is not None:
-        found = relations.touching(found.withColumn("s", F.col("sl")).withColumn("e", F.col("el")), options.changed).drop("s", "e")
+        found = kept(relations.touching(found.withColumn("s", F.col("sl")).withColumn("e", F.col("el")), options.changed).drop("s", "e"), "changed")
     out["changed"] = found
     if options.severity:
-        found = found.where(F.create_map(*[F.lit(x) for kv in rules.RANK.items() for x in kv])[F.col("severity")] >= rules.RANK[options.severity])
+        found = kept(found.where(F.create_map(*[F.lit(x) for kv in rules.RANK.items() for x in kv])[F.col("severity")] >= rules.RANK[options.severity]), "findings")
     return out | {"findings": found}
 
 
@@ -116,14 +134,24 @@ def summary(files: DataFrame, adapters: dict | None = None, parsed: DataFrame |
     return listed.join(F.broadcast(spans))  # one row each
 
 
-def counters(files: DataFrame, steps: dict[str, DataFrame], reviewed: DataFrame | None = None) -> DataFrame:
-    """One row: files, scanned, skipped; candidates, suppressed, suspicious, baselined, outside the diff, findings, findings a severity; and calls, cost and cache hits of a review."""
+def counters(files: DataFrame, steps: dict[str, DataFrame], reviewed: DataFrame | None = None, counts: Counts | None = None) -> DataFrame:
+    """One row: files, scanned, skipped; candidates, suppressed, suspicious, baselined, outside the diff, findings, findings a severity; and calls, cost and cache hits of a review.
+
+    counts: what was noted when the stages were written; without it each stage is counted by an aggregate of its own.
+    """
     f = files.agg(F.count("*").alias("files"), F.count("lang").alias("scanned"), F.count_if(F.col("lang").isNull()).alias("skipped"))
-    out = f
-    for name in STAGES[:-1]:
-        out = out.join(F.broadcast(steps[name].agg(F.count("*").alias(name))))
-    last = steps["findings"].agg(F.count("*").alias("findings"), *[F.count_if(F.col("severity") == s).alias(s) for s in rules.RANK])
-    out = out.join(F.broadcast(last))
+    if counts is None:
+        out = f
+        for name in STAGES[:-1]:
+            out = out.join(F.broadcast(steps[name].agg(F.count("*").alias(name))))
+        last = steps["findings"].agg(F.count("*").alias("findings"), *[F.count_if(F.col("severity") == s).alias(s) for s in rules.RANK])
+        out = out.join(F.broadcast(last))
+    else:
+        seen: dict[str, int] = {}
+        for name in STAGES:  # a filter that isn't asked for leaves what the one before it left
+            seen = counts.stages.get(name, seen)
+            f = f.withColumn(name, F.lit(seen["rows"]).cast("long"))
+        out = f.withColumns({s: F.lit(seen[s]).cast("long") for s in rules.RANK})
     out = out.withColumn("suppressed", F.col("candidates") - F.col("suspicious")).withColumn("baselined", F.col("suspicious") - F.col("unknown")).withColumn("diff_filtered", F.col("unknown") - F.col("changed")).drop("unknown", "changed")
     if reviewed is None:
         return out.withColumns({"llm_calls": F.lit(0).cast("long"), "cost": F.lit(0.0), "cache_hits": F.lit(0).cast("long")})

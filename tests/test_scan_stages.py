@@ -329,6 +329,18 @@ def test_counters_with_a_review(spark):
     assert (n["candidates"], n["suppressed"], n["findings"], n["llm_calls"], n["cost"]) == (3, 1, 2, 2, 0.005)
 
 
+@pytest.mark.parametrize("text", ["eval(x)  # scan-ignore\neval(y)\neval(y)\nos.system('a' + b)\nrandom.randint(token)\n", "x = 1\n"], ids=["some", "none"])
+def test_counts_noted_while_stages_are_written(spark, text):
+    files = _files(spark, ("a.py", "python", text), ("b.rb", None, ""))
+    base = report.baseline(scan.findings(_files(spark, ("a.py", "python", "eval(y)\n"))))
+    for how in ({}, {"baseline": base}, {"severity": "critical", "changed": spark.createDataFrame([("a.py", 4)], "file string, line long")}, {"changed": spark.createDataFrame([], "file string, line long"), "directive": None}):
+        options, counts = scan.Options(**how), scan.Counts()
+        plain = scan.counters(files, scan.stages(files, options)).first().asDict()
+        steps = scan.stages(files, options, counts=counts)
+        assert scan.counters(files, steps, counts=counts).first().asDict() == plain, how
+        assert steps["findings"].count() == plain["findings"]
+
+
 def _length(path, lang, content):
     yield {"severity": "low", "title": f"{len(content)} characters", "tags": ["b", "a", "b"]}
 
