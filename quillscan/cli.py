@@ -17,7 +17,7 @@ from quillscan import config
 from quillscan.operators import custom_rules, parse, review, rules
 from quillscan.plans import ci, payload, report, scan
 from quillscan.sources import diffs, discovery, repository
-from quillscan.sources.shared import saved
+from quillscan.sources.shared import mounted, saved
 from quillscan.sources.tables import EXCLUDED
 
 
@@ -124,7 +124,7 @@ def run_scan(spark: SparkSession, args: argparse.Namespace) -> int:
     paths = args.path or []
     first = next((p for p in paths if os.path.isdir(p)), None)
     with contextlib.ExitStack() as stack:
-        folder, warnings = stack.enter_context(repository.checkout(first, args.git_url)) if args.git_url or first or not paths else (os.getcwd(), [])
+        folder, warnings = stack.enter_context(repository.checkout(first, args.git_url, mounted(spark) if args.git_url else None)) if args.git_url or first or not paths else (os.getcwd(), [])
         for w in warnings:
             print(w, file=sys.stderr)
         conf = config.load(folder, args.config)

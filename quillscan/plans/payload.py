@@ -12,6 +12,7 @@ from quillscan.functions import flow
 from quillscan.operators import relations, taint
 from quillscan.plans import report, scan
 from quillscan.sources import diffs, discovery, repository
+from quillscan.sources.shared import mounted, saved
 from quillscan.sources.tables import EXCLUDED
 
 #: Rules that a payload may name, by id or alias.
@@ -80,8 +81,9 @@ def answer(spark: SparkSession, payload: dict, out, lines: bool = False) -> None
     known = LINES if lines else FLOWS
     langs, odd_langs = discovery.resolve(payload.get("languages"), known, strict=lines)
     rules, odd_rules = picked_rules(payload)
-    with repository.checkout(payload.get("repo_path"), payload.get("git_url")) as (folder, warnings):
-        files = discovery.read(spark, [folder], None, EXCLUDED, known=known, any_case=True, dotted=True).where(F.col("lang").isin(*langs))
+    with repository.checkout(payload.get("repo_path"), payload.get("git_url"), mounted(spark) if payload.get("git_url") else None) as (folder, warnings):
+        files = discovery.read(spark, [folder], None, EXCLUDED, known=known, any_case=True, dotted=True, languages=langs).where(F.col("lang").isin(*langs))
+        files = saved(files, "files")  # read once, and a clone goes
         if diff and lines:
             files, rows = _narrowed(spark, files, repository.diff(folder, diff["base"], diff["head"]))
         found = taint.near_findings(files) if lines else flows(files, rules)

@@ -37,10 +37,11 @@ def safe_ref(ref: str) -> bool:
 
 
 @contextlib.contextmanager
-def checkout(path: str | None = None, url: str | None = None) -> Iterator[tuple[str, list[str]]]:
+def checkout(path: str | None = None, url: str | None = None, within: str | None = None) -> Iterator[tuple[str, list[str]]]:
     """A folder with the sources, and warnings. A clone that fails falls back to path; a scheme that isn't allowed never does.
 
-    Runs on the driver; on a cluster the folder must be one that executors share.
+    Runs on the driver. A clone goes below `within`, which on a cluster must be a folder that executors share
+    (shared.mounted tells it), and is removed at the end.
     """
     if url is None:
         if not path or not Path(path).is_dir():
@@ -49,7 +50,7 @@ def checkout(path: str | None = None, url: str | None = None) -> Iterator[tuple[
         return
     if not allowed(url):
         raise SourceError(f"scheme {scheme(url)!r} is not allowed")
-    with tempfile.TemporaryDirectory(prefix="quillscan-") as tmp:
+    with tempfile.TemporaryDirectory(prefix="quillscan-", dir=within) as tmp:
         done = subprocess.run(["git", "clone", "--depth", "1", "--", url, tmp], capture_output=True, text=True, env=os.environ | {"GIT_TERMINAL_PROMPT": "0"})
         if done.returncode == 0:
             yield tmp, []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -21,6 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def mounted(spark: SparkSession) -> str:
+    """shared_dir as a path of this machine, for tools that write files themselves; an error where it is a store without one."""
+    path = shared_dir(spark)
+    if "://" in path and not path.startswith("file://"):
+        raise ValueError(f"{path}: no folder of this machine")
+    local = "/" + path.split(":", 1)[1].lstrip("/") if path.startswith("file:") else path
+    os.makedirs(local, exist_ok=True)
+    return local
+
+
 def remove(spark: SparkSession, path: str) -> None:
     try:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
