@@ -96,7 +96,7 @@ class _Frame:
             else:
                 kids = self.vals[1 - op.arity :]
                 del self.vals[1 - op.arity :]
-                self.vals.append(Tree("incomplete", op.text, kids[0].a, op.token, kids))
+                self.vals.append(Tree("incomplete", op.text, kids[0].a, max(op.token, kids[-1].b), kids))
             self.want = False
 
     def end_expression(self) -> None:
@@ -106,6 +106,10 @@ class _Frame:
         self.now += self.vals
         self.vals, self.want = [], True
 
+    def stray(self, text: str, a: int, b: int) -> None:
+        self.end_expression()
+        self.now.append(Tree("stray", text, a, b))
+
     def end_part(self) -> None:
         """Ends the open statement or element."""
         self.end_expression()
@@ -217,7 +221,7 @@ def parse(src: Source) -> Tree:
                 f.end_part()
             _closed(frames, t, k)
         elif x.text in ("(", "[", "{", ")", "]", "}"):
-            f.now.append(Tree("stray", x.text, k, k))
+            f.stray(x.text, k, k)
         else:
             k = _mark(f, t, k, lang, rank)
         k += 1
@@ -309,7 +313,7 @@ def _word(f: _Frame, t: list[Token], k: int, lang: str, rank: dict[str, float])
     elif f.want and w in _PREFIX_WORDS and not named and (w != "not" or lang == "python") and w != "with":
         f.operator(_Op(w, rank["and"] + 0.5 if w == "not" else 2.0 if w in ("yield", "throw") else _UNARY, 1, "unary", k))
     elif (w in _CONTROL or w in _LEADS) and not (named and w not in ("else", "try", "finally", "default")) and not (w in ("with", "match", "print", "from", "type") and not (f.states and not f.now and not f.vals)):
-        if not f.want or f.vals:
+        if not f.want or f.vals or f.ops:
             f.end_expression()
         f.now.append(Tree("keyword", w, k, k))
         f.lead = w if f.lead is None or w in _CONTROL and f.lead not in _CONTROL else f.lead
@@ -323,6 +327,10 @@ def _mark(f: _Frame, t: list[Token], k: int, lang: str, rank: dict[str, float])
     while k + 1 < len(t) and t[k + 1].kind == MARK and t[k + 1].start == t[k].end and op + t[k + 1].text in _JOINED and (op + t[k + 1].text not in ("//", "**") or lang in _POWER):
         k += 1
         op += t[k].text
+    if lang == "python" and op in ("++", "--"):  # two signs
+        for sign in op:
+            f.operator(_Op(sign, _UNARY if f.want else rank[sign], 1 if f.want else 2, "unary" if f.want else "binary", first))
+        return k
     if lang == "php" and op in ("<", "?") and k + 1 < len(t) and t[k + 1].text == ("?" if op == "<" else ">") and t[k + 1].start == t[k].end:  # a tag
         f.end_part()
         return k + (2 if op == "<" and k + 2 < len(t) and t[k + 2].text in ("php", "=") else 1)
@@ -348,7 +356,7 @@ def _mark(f: _Frame, t: list[Token], k: int, lang: str, rank: dict[str, float])
     elif f.want and op == ":" and f.now:
         return k  # the end of a label or of a head without an operand; a block may follow
     elif f.want:
-        f.now.append(Tree("stray", op, first, k))
+        f.stray(op, first, k)
     elif op == ":" and any(o.text == "?" and o.arity == 2 for o in f.ops):
         while f.ops[-1].text != "?" or f.ops[-1].arity != 2:
             f.fold()
@@ -368,7 +376,7 @@ def _mark(f: _Frame, t: list[Token], k: int, lang: str, rank: dict[str, float])
     elif op == "<-":
         f.operator(_Op(op, 4.0, 2, "binary", first))
     else:
-        f.now.append(Tree("stray", op, first, k))
+        f.stray(op, first, k)
     return k
 
 
