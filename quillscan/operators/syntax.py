@@ -1,7 +1,8 @@
 """Syntax trees as relations: nodes numbered in pre- and post-order, so that structure is a test of intervals.
 
-y is below x in the same file if x.pre < y.pre and y.pre <= x.last. Parents, children, what encloses a node and sums over
-subtrees are windows and equality joins on these numbers; none compares all nodes of a file with each other.
+y is below x in the same file if x.pre < y.pre and y.pre <= x.last. Parents, what encloses a node and sums over subtrees
+are windows over these numbers within a file: linear but for sorting, one shuffle by path for any number of them, no join.
+Rows without a number (files that failed) may stand among the nodes and get null, zero or false.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 
 from quillscan.functions import lexer, tree
 from quillscan.operators.parse import tabled
-from quillscan.operators.relations import innermost
 
 TREES = "path string, lang string, pre int, post int, last int, parent int, depth int, nth int, kind string, word string, sl int, sc int, el int, ec int, error string"
 
@@ -37,44 +37,56 @@ def trees(files: DataFrame) -> DataFrame:
     return tabled(files, TREES, read, lambda path, lang, error: (path, lang, *[None] * 12, error))
 
 
+def _dealt(nodes: DataFrame, *roles: tuple[Column, Column, Column]) -> DataFrame:
+    """nodes once for each role (when it has it, its number, its place), as _role and _at; rows stay where they are."""
+    made = F.array(*[F.when(has, F.struct(number.cast("int").alias("role"), place.cast("int").alias("at"))) for has, number, place in roles])
+    rows = nodes.withColumn("_x", F.explode(F.array_compact(made)))
+    return rows.select(*nodes.columns, F.col("_x.role").alias("_role"), F.col("_x.at").alias("_at"))
+
+
 def with_parent(nodes: DataFrame) -> DataFrame:
-    """nodes with parent_kind and parent_word, null for a file's own node."""
-    up = nodes.select("path", F.col("pre").alias("parent"), F.col("kind").alias("parent_kind"), F.col("word").alias("parent_word"))
-    return nodes.join(up, ["path", "parent"], "left").select(*nodes.columns, "parent_kind", "parent_word")
+    """nodes with parent_kind and parent_word, null for a file's own node. A parent meets its children in a window of their own."""
+    rows = _dealt(nodes, (F.lit(True), F.lit(0), F.col("parent")), (F.col("last") > F.col("pre"), F.lit(1), F.col("pre")))
+    up = F.max(F.when(F.col("_role") == 1, F.struct("kind", "word"))).over(Window.partitionBy("path", "_at"))
+    return rows.withColumn("_up", up).where("_role = 0").select(*nodes.columns, F.col("_up.kind").alias("parent_kind"), F.col("_up.word").alias("parent_word"))
 
 
 def above(nodes: DataFrame, which: Column, out: str) -> DataFrame:
     """nodes with `out`: how many nodes of which stand above: those that begin before it less those that end before it."""
-    at = Window.partitionBy("path").orderBy("pre")
-    ended = nodes.where(which).groupBy("path", (F.col("last") + 1).alias("pre")).agg(F.count("*").alias("_ended"))
-    begun = F.sum(F.when(which, 1).otherwise(0)).over(at.rowsBetween(Window.unboundedPreceding, -1))
-    over = F.sum(F.coalesce("_ended", F.lit(0))).over(at.rowsBetween(Window.unboundedPreceding, 0))
-    return nodes.join(ended, ["path", "pre"], "left").select(*nodes.columns, (F.coalesce(begun, F.lit(0)) - over).alias(out))
+    rows = _dealt(nodes, (F.lit(True), F.lit(0), F.col("pre")), (which, F.lit(1), F.col("last")))
+    change = F.when(F.col("_role") == 1, -1).when(which, 1).otherwise(0)
+    open_ = F.sum(change).over(Window.partitionBy("path").orderBy("_at", "_role").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_open", F.coalesce(open_, F.lit(0))).where("_role = 0").select(*nodes.columns, F.col("_open").alias(out))
 
 
 def below(nodes: DataFrame, which: Column, out: str) -> DataFrame:
     """nodes with `out`: whether a node of which stands above.
 
-    The nodes before one in pre-order that reach as far as it are those above it: a running maximum of `last`, no join.
+    The nodes before one in pre-order that reach as far as it are those above it: a running maximum of `last`.
     """
     before = Window.partitionBy("path").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
     return nodes.withColumn(out, F.coalesce(F.max(F.when(which, F.col("last"))).over(before) >= F.col("pre"), F.lit(False)))
 
 
-def nearest(nodes: DataFrame, which: Column, out: str) -> DataFrame:
-    """nodes with `out`: the pre of the closest node of which above, null without one; a sweep, linear in a file's nodes."""
-    spans = nodes.where(which).select(F.col("path").alias("file"), F.col("pre").alias("name"), (F.col("pre") + 1).alias("s"), F.col("last").alias("e"), F.col("pre").alias("ord"))
-    found = innermost(nodes.where("pre is not null").select(F.col("path").alias("file"), F.col("pre").alias("line")), spans.where("e >= s"))
-    return nodes.join(found.select(F.col("file").alias("path"), F.col("line").alias("pre"), F.col("name").alias(out)), ["path", "pre"], "left").select(*nodes.columns, out)
+def nearest(nodes: DataFrame, which: Column, out: str, value: Column | None = None) -> DataFrame:
+    """nodes with `out`: value (or pre) of the closest node of which above, null without one.
+
+    Under n nodes of which, the closest one is the last before it that stands under n - 1 itself.
+    """
+    rows = above(nodes, which, "_n")
+    rows = _dealt(rows, (F.lit(True), F.lit(0), F.col("_n")), (which, F.lit(1), F.col("_n") + 1))
+    told = F.when(F.col("_role") == 1, F.struct((F.col("pre") if value is None else value).alias("value")))
+    last = F.last(told, ignorenulls=True).over(Window.partitionBy("path", "_at").orderBy("pre", "_role").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_told", last).where("_role = 0").select(*nodes.columns, F.col("_told.value").alias(out))
 
 
 def subtree_sums(nodes: DataFrame, value: Column, out: str) -> DataFrame:
     """nodes with `out`: the sum of value over each node and all below it.
 
-    Numbers are consecutive, so a subtree is a range of them: its sum is the difference of two running sums, the second
-    found by an equality join on `last`.
+    Numbers are consecutive, so a subtree is a range of them: its sum is the running sum at its end less that before it.
     """
-    order = Window.partitionBy("path").orderBy("pre")
-    summed = nodes.withColumn("_v", F.coalesce(value, F.lit(0))).withColumn("_to", F.sum("_v").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = summed.select("path", F.col("pre").alias("last"), F.col("_to").alias("_end"))
-    return summed.join(ends, ["path", "last"], "left").select(*nodes.columns, (F.col("_end") - F.col("_to") + F.col("_v")).alias(out))
+    rows = _dealt(nodes.withColumn("_v", F.coalesce(value, F.lit(0))), (F.lit(True), F.lit(0), F.col("pre")), (F.lit(True), F.lit(1), F.col("last")))
+    here = F.when(F.col("_role") == 0, F.col("_v")).otherwise(0)
+    rows = rows.withColumn("_to", F.sum(here).over(Window.partitionBy("path").orderBy("_at", "_role").rowsBetween(Window.unboundedPreceding, 0)))
+    end = F.max(F.when(F.col("_role") == 1, F.struct(F.lit(1), F.col("_to").alias("to")))).over(Window.partitionBy("path", "pre"))
+    return rows.withColumn("_end", end["to"]).where("_role = 0").select(*nodes.columns, (F.col("_end") - F.col("_to") + F.col("_v")).alias(out))

@@ -82,9 +82,9 @@ def call_enclosures(spark, sf: str) -> DataFrame:
     calls, fun = F.when(F.col("kind") == "call", 1), F.col("kind") == "function"
     rows = syntax.subtree_sums(nodes, calls, "calls")
     rows = syntax.above(syntax.above(rows, (F.col("kind") == "statement") & F.col("word").eqNullSafe("if"), "ifs"), fun, "functions")
-    rows = syntax.nearest(rows.where("kind = 'call' and word = 'g'").unionByName(rows.where(fun)), fun, "fn").where("kind = 'call'")
-    names = nodes.where(fun).select("path", F.col("pre").alias("fn"), F.col("word").alias("inside"))
-    return rows.join(names, ["path", "fn"], "left").select(F.col("path").cast("long").alias("o_orderkey"), "inside", "ifs", "functions", F.col("calls").cast("long").alias("calls"))
+    rows = syntax.nearest(rows, fun, "inside", F.col("word")).where("kind = 'call' and word = 'g'")
+    return rows.select(F.col("path").cast("long").alias("o_orderkey"), "inside", "ifs", "functions", F.col("calls").cast("long").alias("calls"))
+
 
 
 def queries() -> dict:
