@@ -44,13 +44,16 @@ def cross_paths(files: DataFrame) -> DataFrame:
 
 
 def call_edges(files: DataFrame) -> DataFrame:
-    """path, caller, callee, line: calls between functions of a file."""
+    """path, caller, callee, line: calls between functions of a file, and ord, their place in it by line, caller and callee.
+
+    Sorting by path and ord gives edges in the order of the text.
+    """
 
     def read(path: str, lang: str, content: str) -> Iterator[tuple]:
-        for caller, callee, line in flow.edges(content or "", lang):
-            yield path, caller, callee, line, None
+        for k, (caller, callee, line) in enumerate(sorted(flow.edges(content or "", lang), key=lambda e: (e[2], e[0], e[1]))):
+            yield path, caller, callee, line, k, None
 
-    rows = tabled(files.where(F.col("lang").isin(*flow.LANGUAGES)), "path string, caller string, callee string, line long, error string", read, lambda path, lang, error: (path, None, None, None, error))
+    rows = tabled(files.where(F.col("lang").isin(*flow.LANGUAGES)), "path string, caller string, callee string, line long, ord long, error string", read, lambda path, lang, error: (path, *[None] * 4, error))
     return rows.where("error is null").drop("error")
 
 

@@ -96,3 +96,25 @@ def scores(found: DataFrame, expected: DataFrame) -> DataFrame:
     n = both.agg(F.count_if(F.col("_f").isNotNull() & F.col("_e").isNotNull()).alias("tp"), F.count_if(F.col("_e").isNull()).alias("fp"), F.count_if(F.col("_f").isNull()).alias("fn"))
     share = lambda rest: F.col("tp") / F.nullif(F.col("tp") + F.col(rest), F.lit(0))
     return n.withColumn("precision", share("fp")).withColumn("recall", share("fn"))
+
+
+def triage(verdicts: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row on how a second stage judges findings: verdicts (file, line, rule_id, confirmed) against labels (file, line, rule_id, is_real).
+
+    labelled, confirm_recall (real ones confirmed), dismiss_rate (false ones dismissed) and accuracy are over labels;
+    wrong counts labels judged the other way, unlabelled the judged places without a label, silent the labels without a
+    verdict. Rows that repeat a place count once, confirmed if one of them is, real if one of them is; a null verdict
+    or label is none. Rates over nothing are null.
+    """
+    keys = ["file", "line", "rule_id"]
+    judged = verdicts.where("confirmed is not null").groupBy(*keys).agg(F.bool_or("confirmed").alias("_yes"))
+    known = labels.where("is_real is not null").groupBy(*keys).agg(F.bool_or("is_real").alias("_real"))
+    same = [judged[k].eqNullSafe(known[k]) for k in keys]
+    yes, real = F.col("_yes"), F.col("_real")
+    n = judged.join(known, same, "full").agg(
+        F.count(real).alias("labelled"), F.count_if(real).alias("_n_real"), F.count_if(~real).alias("_n_false"), F.count_if(real & yes).alias("_confirmed"), F.count_if(~real & ~yes).alias("_dismissed"),
+        F.count_if(real != yes).alias("wrong"), F.count_if(real.isNull()).alias("unlabelled"), F.count_if(yes.isNull()).alias("silent"),
+    )
+    share = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
+    right = (F.col("_confirmed") + F.col("_dismissed")) / F.nullif(F.col("labelled"), F.lit(0))
+    return n.select("labelled", share("_confirmed", "_n_real").alias("confirm_recall"), share("_dismissed", "_n_false").alias("dismiss_rate"), right.alias("accuracy"), "wrong", "unlabelled", "silent")

@@ -134,6 +134,20 @@ def label_scores(spark, sf: str) -> DataFrame:
     return n.withColumns({c: F.round(c, 9) for c in ("precision", "recall")})
 
 
+@_query("""WITH v AS (SELECT l_orderkey AS file, l_linenumber AS line, 'CG-' || l_partkey % 7 AS rule_id, bool_or(l_suppkey % 3 = 0) AS yes FROM lineitem WHERE l_partkey % 5 > 0 GROUP BY ALL),
+k AS (SELECT l_orderkey AS file, l_linenumber AS line, 'CG-' || l_partkey % 7 AS rule_id, bool_or(l_returnflag = 'R') AS is_real FROM lineitem WHERE l_suppkey % 4 > 0 GROUP BY ALL),
+b AS (SELECT yes, is_real FROM v FULL JOIN k ON v.file IS NOT DISTINCT FROM k.file AND v.line IS NOT DISTINCT FROM k.line AND v.rule_id IS NOT DISTINCT FROM k.rule_id)
+SELECT count(is_real) AS labelled, round(count(*) FILTER (is_real AND yes) / nullif(count(*) FILTER (is_real), 0)::DOUBLE, 9) AS confirm_recall,
+round(count(*) FILTER (NOT is_real AND NOT yes) / nullif(count(*) FILTER (NOT is_real), 0)::DOUBLE, 9) AS dismiss_rate, round(count(*) FILTER (is_real = yes) / nullif(count(is_real), 0)::DOUBLE, 9) AS accuracy,
+count(*) FILTER (is_real <> yes) AS wrong, count(*) FILTER (is_real IS NULL) AS unlabelled, count(*) FILTER (yes IS NULL) AS silent FROM b""")
+def triage_scores(spark, sf: str) -> DataFrame:
+    """Verdicts on places of line items against labels of others: rates, wrong ones, places without a label and labels without a verdict."""
+    li = table(spark, sf, "lineitem")
+    place = [F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line"), F.concat(F.lit("CG-"), F.col("l_partkey") % 7).alias("rule_id")]
+    found = text_rules.triage(li.where("l_partkey % 5 > 0").select(*place, (F.col("l_suppkey") % 3 == 0).alias("confirmed")), li.where("l_suppkey % 4 > 0").select(*place, (F.col("l_returnflag") == "R").alias("is_real")))
+    return found.withColumns({c: F.round(c, 9) for c in ("confirm_recall", "dismiss_rate", "accuracy")})
+
+
 def queries() -> dict:
     return dict(_Q)
 

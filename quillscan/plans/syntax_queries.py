@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillscan.operators import syntax
+from quillscan.operators import syntax, taint
 from quillscan.sources.shared import saved
 from quillscan.sources.tables import table
 
@@ -87,6 +87,22 @@ def call_enclosures(spark, sf: str) -> DataFrame:
 
 
 
+@_query("""WITH b AS (SELECT c_custkey, c_custkey % 4 AS n, c_nationkey % 3 + 1 AS m FROM customer WHERE c_custkey IS NOT NULL AND c_nationkey IS NOT NULL),
+e AS (SELECT c_custkey, 'a' || c_custkey AS caller, unnest(['b', 'a', 'b']) || c_custkey AS callee, unnest([2, 2, 3]) AS line, n, unnest([1, 2, 3]) AS k FROM b
+UNION ALL SELECT c_custkey, 'b' || c_custkey, 'a' || c_custkey, unnest(range(m)) + CASE WHEN n = 0 THEN 3 WHEN n < 3 THEN 4 ELSE 5 END, n, 0 FROM b)
+SELECT c_custkey, caller, callee, CAST(line AS BIGINT) AS line, row_number() OVER (PARTITION BY c_custkey ORDER BY line, caller, callee) - 1 AS ord FROM e WHERE k <= n""")
+def call_edge_order(spark, sf: str) -> DataFrame:
+    """A program for each customer, of two functions that call each other some times: edges with their places."""
+    key = lambda name: F.concat(F.lit(name), F.col("c_custkey").cast("string"))
+    c = table(spark, sf, "customer").where("c_custkey is not null and c_nationkey is not null")
+    n = F.col("c_custkey") % 4
+    first = F.when(n == 1, F.concat(key("    b"), F.lit("(x)\n"))).when(n >= 2, F.concat(key("    b"), F.lit("("), key("a"), F.lit("(x))\n"))).otherwise("")
+    text = F.concat(key("def a"), F.lit("(x):\n"), first, F.when(n == 3, F.concat(key("    b"), F.lit("(x)\n"))).otherwise(""), key("def b"), F.lit("(x):\n"), F.repeat(F.concat(key("    a"), F.lit("(x)\n")), (F.col("c_nationkey") % 3 + 1).cast("int")))
+    files = c.select(F.col("c_custkey").cast("string").alias("path"), F.lit("python").alias("lang"), text.alias("content"))
+    found = taint.call_edges(files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path"))
+    return found.select(F.col("path").cast("long").alias("c_custkey"), "caller", "callee", "line", "ord")
+
+
 def queries() -> dict:
     return dict(_Q)
 

@@ -103,3 +103,21 @@ def test_a_file_of_very_many_lines_is_swept_in_one_pass(spark):
     spans = spark.range(0, n, 2).select(F.lit("f").alias("file"), F.col("id").cast("string").alias("name"), F.col("id").alias("s"), F.greatest(F.col("id") + 1, F.when(F.col("id") % 1000 == 0, F.col("id") + 999)).alias("e"), F.col("id").alias("ord"))
     got = relations.innermost(points, spans)
     assert got.where("name is null").count() == 1 and got.where(F.col("name") == (F.col("line") - F.col("line") % 2).cast("string")).count() == n - 1
+
+
+def test_triage_counts_wrong_unlabelled_and_silent(spark):
+    from quillscan.operators import text_rules
+
+    keys = "file string, line long, rule_id string"
+    verdicts = spark.createDataFrame([("a", 1, "R", True), ("a", 1, "R", False), ("a", 2, "R", False), ("b", 1, "R", True), (None, 3, "R", True), ("c", 9, "R", None), ("d", 1, "R", True)], f"{keys}, confirmed boolean")
+    labels = spark.createDataFrame([("a", 1, "R", True), ("a", 2, "R", False), ("b", 1, "R", False), (None, 3, "R", True), ("c", 9, "R", True), ("e", 1, "R", None)], f"{keys}, is_real boolean")
+    assert text_rules.triage(verdicts, labels).first().asDict() == {"labelled": 5, "confirm_recall": 2 / 3, "dismiss_rate": 0.5, "accuracy": 0.6, "wrong": 1, "unlabelled": 1, "silent": 1}
+    assert text_rules.triage(verdicts.limit(0), labels.limit(0)).first().asDict() == {"labelled": 0, "confirm_recall": None, "dismiss_rate": None, "accuracy": None, "wrong": 0, "unlabelled": 0, "silent": 0}
+
+
+def test_edges_tell_their_order(spark):
+    from quillscan.operators import taint
+
+    text = "def z(x):\n    b(a(x))\ndef a(x):\n    z(x)\n    b(x)\ndef b(x):\n    pass\n"
+    rows = taint.call_edges(spark.createDataFrame([("f", "python", text)], "path string, lang string, content string")).orderBy("path", "ord").collect()
+    assert [(r["line"], r["caller"], r["callee"], r["ord"]) for r in rows] == [(2, "z", "a", 0), (2, "z", "b", 1), (4, "a", "z", 2), (5, "a", "b", 3)]
