@@ -123,30 +123,59 @@ def latest_before(df: DataFrame, key: str, order: list, is_source: Column, value
     return F.last(F.when(is_source, value), ignorenulls=True).over(w)
 
 
+def _peeled(edges: DataFrame) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame]]]:
+    """Edges (src, dst) by how soon they end: those left of all peels, and each peel, outermost first.
+
+    A peel is the edges to nodes that nothing leads on from, as long as it takes a quarter of the edges; such a node is
+    only ever the end of a path, so it needs no fixpoint. Each is in two parts: nodes with one edge to them, and others.
+    """
+    left, peels = saved(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges"), []
+    n = left.count()
+    while n:
+        sources = left.select(F.col("src").alias("dst")).distinct()
+        inner = saved(left.join(sources, "dst", "left_semi").select("src", "dst"), "edges")
+        rest = inner.count()
+        if n - rest < max(1, n // 4):
+            break
+        ends = left.join(sources, "dst", "left_anti").select("src", "dst")
+        to = saved(ends.groupBy("dst").agg(F.min("src").alias("src"), F.count("*").alias("_n")), "ends")
+        one, more = to.where("_n = 1").select("src", "dst"), saved(ends.join(to.where("_n > 1"), "dst", "left_semi").select("src", "dst"), "ends")
+        left, n, peels = inner, rest, [*peels, (one, more)]
+    return left, peels
+
+
 def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """node and hops (least number of edges, 0 for a start) of every node that a given start (column node) leads to.
 
-    A frontier that is written at each step: the result has one row a node, where `closure` has one a pair.
+    A frontier that is written at each step: the result has one row a node, where `closure` has one a pair. Nodes that
+    only end paths are left to one join after it.
     """
-    edges = saved(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
-    seen = front = saved(starts.select("node").where("node is not null").distinct().withColumn("hops", F.lit(0).cast("long")), "reached")
+    inner, peels = _peeled(edges)
+    first = seen = front = saved(starts.select("node").where("node is not null").distinct().withColumn("hops", F.lit(0).cast("long")), "reached")
     k = 0
     while not front.isEmpty():
         k += 1
-        step = front.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct()
+        step = front.select(F.col("node").alias("src")).join(inner, "src").select(F.col("dst").alias("node")).distinct()
         front = saved(step.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(k).cast("long")), "reached")
         seen = seen.unionByName(front)
         if not k % 8:  # a plan of few inputs
             seen = saved(seen, "reached")
+    for k, (one, more) in enumerate(reversed(peels), 1):
+        seen = seen if k == 1 else saved(seen, "reached")
+        at = seen.select(F.col("node").alias("src"), (F.col("hops") + 1).alias("hops"))
+        ends = at.join(one, "src").select(F.col("dst").alias("node"), "hops").unionByName(at.join(more, "src").groupBy(F.col("dst").alias("node")).agg(F.min("hops").alias("hops")))
+        seen = seen.unionByName(ends.join(first.select("node"), "node", "left_anti"))
     return seen
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """Pairs (src, dst, hops) with dst reached from src over any number of edges, by the least number; edges without an end are none.
 
-    The reach doubles at each step: who is 2k edges away at most is k away, or reached from a node exactly k away.
+    The reach doubles at each step: who is 2k edges away at most is k away, or reached from a node exactly k away. That
+    is done for edges left of all peels. A node that only ends paths is then one edge beyond what leads to its source:
+    with one source nothing is compared, and the pairs of the outermost peel, mostly the bulk, are neither dealt nor written.
     """
-    whole = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    whole, peels = _peeled(edges)
     seen = front = saved(whole.withColumn("hops", F.lit(1).cast("long")), "edges")
     k = 1
     while not front.isEmpty():
@@ -155,6 +184,11 @@ def closure(edges: DataFrame) -> DataFrame:
         new = saved(step.join(seen.select("src", "dst"), ["src", "dst"], "left_anti"), "closure")
         seen, k = seen.unionByName(new), 2 * k
         front = new.where(F.col("hops") == k)
+    for n, (one, more) in enumerate(reversed(peels)):
+        seen = saved(seen, "closure") if n else seen
+        lead = seen.select("src", F.col("dst").alias("_m"), (F.col("hops") + 1).alias("hops")).where("src <> _m")  # around a cycle is no shorter
+        next_ = lambda e: lead.join(e.withColumnRenamed("src", "_m"), "_m").select("src", "dst", "hops").unionByName(e.withColumn("hops", F.lit(1).cast("long")))  # noqa: B023, E731
+        seen = seen.unionByName(next_(one)).unionByName(next_(more).groupBy("src", "dst").agg(F.min("hops").alias("hops")))
     return seen
 
 

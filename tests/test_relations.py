@@ -121,3 +121,35 @@ def test_edges_tell_their_order(spark):
     text = "def z(x):\n    b(a(x))\ndef a(x):\n    z(x)\n    b(x)\ndef b(x):\n    pass\n"
     rows = taint.call_edges(spark.createDataFrame([("f", "python", text)], "path string, lang string, content string")).orderBy("path", "ord").collect()
     assert [(r["line"], r["caller"], r["callee"], r["ord"]) for r in rows] == [(2, "z", "a", 0), (2, "z", "b", 1), (4, "a", "z", 2), (5, "a", "b", 3)]
+
+
+def test_closure_deals_only_what_the_last_peel_leaves(spark, monkeypatch):
+    """A cycle with tails, fans of ends and ends of two sources: pairs and hops by search, and no pair of an outermost end is written."""
+    edges = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4)] + [(k, 100 + 50 * k + j) for k in range(5) for j in range(50)] + [(k, 900) for k in (1, 4)] + [(7, 8), (8, 9)]
+    after = defaultdict(set)
+    for a, b in edges:
+        after[a].add(b)
+
+    written = {}
+    saved = relations.saved
+
+    def spy(df, name):
+        out = saved(df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(relations, "saved", spy)
+    df = spark.createDataFrame([*edges, edges[0]], "src long, dst long")
+    rows = [tuple(r) for r in relations.closure(df).collect()]
+    want = {}
+    for a in list(after):
+        seen, front, n = {}, after[a], 0
+        while front:
+            n += 1
+            seen |= dict.fromkeys(front, n)
+            front = {y for x in front for y in after.get(x, ()) if y not in seen}
+        want |= {(a, b): k for b, k in seen.items()}
+    assert len(rows) == len(want) and {(a, b): n for a, b, n in rows} == want
+    assert written["closure"] < len(want) / 4
+    got = {r["node"]: r["hops"] for r in relations.reached(df, spark.createDataFrame([(4,), (7,), (900,), (55,)], "node long")).collect()}
+    assert got == {4: 0, 7: 0, 900: 0, 55: 0, 8: 1, 9: 2} | {300 + j: 1 for j in range(50)}
