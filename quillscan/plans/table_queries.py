@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillscan.operators import relations as R
 from quillscan.operators import text_rules as X
 from quillscan.operators.review import PRICES, cost_of
+from quillscan.sources.shared import dealt
 from quillscan.sources.tables import lines, table
 
 _SQL_SECRET = X.SECRET.replace("'", "''")
@@ -113,9 +114,10 @@ def diff_semi_join(spark, sf: str) -> DataFrame:
 SELECT file, line FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.file = p.file) OR EXISTS (SELECT 1 FROM c WHERE c.file = p.file AND p.line BETWEEN c.s AND c.e)""")
 def diff_range_nullable(spark, sf: str) -> DataFrame:
     """Orders that are under way have no ranges, and so no filter."""
-    points = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line")).distinct()
+    points = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line"))
     ranges = _changed(spark, sf).where("o_orderstatus <> 'P'").select("file", F.col("line").alias("s"), (F.col("line") + 1).alias("e"))
-    return R.in_ranges(points, ranges)
+    rows = points.count()
+    return R.in_ranges(dealt(points, "file", rows=rows).distinct(), dealt(ranges, "file", rows=rows))
 
 
 @_query("""SELECT e.event_id, e.user_id, (SELECT max(c.ts) FROM events c WHERE c.user_id = e.user_id AND c.event_type = 'click' AND c.ts <= e.ts) AS source_ts FROM events e WHERE e.event_type = 'error'""")

@@ -50,3 +50,17 @@ def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows that a task sorts, groups or joins at once, as a rule.
+ROWS_A_TASK = 500_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """spark.sql.shuffle.partitions, or as many tasks as so many rows need."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK))
+
+
+def dealt(df: DataFrame, *keys: str, rows: int) -> DataFrame:
+    """df dealt by keys over as many tasks as so many rows need: what a task holds doesn't grow with the input."""
+    return df.repartition(tasks_for(df.sparkSession, rows), *keys)
