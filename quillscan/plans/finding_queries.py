@@ -108,7 +108,7 @@ def review_costs(spark, sf: str) -> DataFrame:
         return review.Reply(text, 1000 + 10 * n, 100, "claude-sonnet-x")
 
     found = _found(spark, sf).select("path", "rule_id", "line").withColumn("prompt", F.concat("path", "rule_id", F.col("line").cast("string")))
-    found = found.withColumn("key_hash", F.sha2("prompt", 256))
+    found = saved(found.withColumn("key_hash", F.sha2("prompt", 256)), "found")  # the cache is made of it too: files are scanned once
     known = found.where("conv(substring(key_hash, 1, 1), 16, 10) < 4").select("key_hash")
     store = known.withColumns({"confirmed": F.lit(True), "verdict_confidence": F.lit(0.9), "reasoning": F.lit("known"), "fix_description": F.lit(None).cast("string"), "fix_code": F.lit(None).cast("string"), "tokens_in": F.lit(1).cast("long"), "tokens_out": F.lit(1).cast("long"), "cached_at": F.lit(1000).cast("long"), "schema_version": F.lit(review.VERSION)})
     rows = saved(review.run(found, ask, ["path", "line", "rule_id"], model="claude-sonnet-x", store=store, now_ms=2000), "reviewed")

@@ -26,3 +26,14 @@ def test_tasks_of_ranges_follow_rows(spark, small, tmp_path):
     assert "hashpartitioning(file" in _plan(out) and ", 20)" in _plan(out)
     points = {(k % 300, k % 7 + 1) for k in range(1000)}
     assert {tuple(r) for r in out.collect()} == {(f, n) for f, n in points if f >= 200 or f % 2 == 0 or f % 7 + 1 <= n <= f % 7 + 2}
+
+
+def test_a_review_scans_files_once(spark, monkeypatch, tmp_path):
+    from quillscan.plans import finding_queries
+
+    spark.range(60).select(F.col("id").alias("p_partkey"), F.lit(1).alias("p_size")).write.parquet(str(tmp_path / "part.parquet"))
+    seen = []
+    run = finding_queries.review.run
+    monkeypatch.setattr(finding_queries.review, "run", lambda found, *a, store, **k: seen.extend([_plan(found), _plan(store)]) or run(found, *a, store=store, **k))
+    assert finding_queries.review_costs(spark, str(tmp_path)).count() == 1
+    assert len(seen) == 2 and not any("MapInArrow" in x for x in seen)
