@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillscan.sources.shared import dealt
+
 #: Fixed values (one look-ahead for a hole is folded into the value's first character, as the oracle's engine has none): a secret's name, its assignment and a value that isn't a hole to fill in; words that mark a dummy.
 SECRET = r"(?i)(?:password|passwd|secret|api[_-]?key|token|credential|auth[_-]?token|private[_-]?key)\s*(?::=|[:=])\s*['\"`][^'\"`\s${}][^'\"`]{2,}['\"`]"
 DUMMY = ["process.env", "os.environ", "placeholder", "example", "xxx", "changeme"]
@@ -81,17 +83,17 @@ def context_frame(lined: DataFrame, key: str, radius: int) -> DataFrame:
     return lined.withColumn("context", F.array_join(F.collect_list("line").over(w), "\n"))
 
 
-def expectations(lined: DataFrame, word: str = "scan-expect") -> DataFrame:
-    """file, line and rule_id that comments of the form `word RULE, RULE` expect; of lines (file, line_no, line)."""
+def expectations(lined: DataFrame, word: str = "scan-expect", rows: int = 0) -> DataFrame:
+    """file, line and rule_id that comments of the form `word RULE, RULE` expect; of lines (file, line_no, line). rows: how many there are about, if known; tasks follow."""
     listed = F.regexp_extract("line", word + r"[:\s]+([A-Za-z]+-\d+(?:[\s,]+[A-Za-z]+-\d+)*)", 1)
     rules = lined.where(F.col("line").contains(word)).select("file", F.col("line_no").alias("line"), F.explode(F.split(F.upper(listed), r"[\s,]+")).alias("rule_id"))
-    return rules.where("rule_id <> ''").distinct()
+    return dealt(rules.where("rule_id <> ''"), "file", "line", "rule_id", rows=rows).distinct()
 
 
-def scores(found: DataFrame, expected: DataFrame) -> DataFrame:
-    """One row: hits, false alarms, misses, precision and recall of findings against expectations, by file, line and rule."""
+def scores(found: DataFrame, expected: DataFrame, rows: int = 0) -> DataFrame:
+    """One row: hits, false alarms, misses, precision and recall of findings against expectations, by file, line and rule. rows: as of `expectations`."""
     keys = ["file", "line", "rule_id"]
-    a = found.select(*keys).distinct().withColumn("_f", F.lit(1))
+    a = dealt(found.select(*keys), *keys, rows=rows).distinct().withColumn("_f", F.lit(1))
     both = a.join(expected.select(*keys).distinct().withColumn("_e", F.lit(1)), keys, "full")
     n = both.agg(F.count_if(F.col("_f").isNotNull() & F.col("_e").isNotNull()).alias("tp"), F.count_if(F.col("_e").isNull()).alias("fp"), F.count_if(F.col("_f").isNull()).alias("fn"))
     share = lambda rest: F.col("tp") / F.nullif(F.col("tp") + F.col(rest), F.lit(0))

@@ -119,7 +119,7 @@ def _labelled(spark, sf: str) -> DataFrame:
 @_query(_LABELLED)
 def expected_labels(spark, sf: str) -> DataFrame:
     """What comments of lines expect, a line for each line item."""
-    return text_rules.expectations(_labelled(spark, sf))
+    return text_rules.expectations(_labelled(spark, sf), rows=table(spark, sf, "lineitem").count())
 
 
 @_query(f"""WITH e AS ({_LABELLED}), f AS (SELECT DISTINCT l_orderkey AS file, CAST(l_linenumber AS BIGINT) AS line, 'CG-' || l_partkey % 7 AS rule_id FROM lineitem WHERE l_suppkey % 4 > 0),
@@ -130,7 +130,8 @@ def label_scores(spark, sf: str) -> DataFrame:
     """Findings of line items held against what comments expect, by file, line and rule."""
     li = table(spark, sf, "lineitem").where("l_suppkey % 4 > 0")
     found = li.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").cast("long").alias("line"), F.concat(F.lit("CG-"), F.col("l_partkey") % 7).alias("rule_id"))
-    n = text_rules.scores(found, text_rules.expectations(_labelled(spark, sf)))
+    rows = table(spark, sf, "lineitem").count()
+    n = text_rules.scores(found, text_rules.expectations(_labelled(spark, sf), rows=rows), rows)
     return n.withColumns({c: F.round(c, 9) for c in ("precision", "recall")})
 
 

@@ -37,3 +37,13 @@ def test_a_review_scans_files_once(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(finding_queries.review, "run", lambda found, *a, store, **k: seen.extend([_plan(found), _plan(store)]) or run(found, *a, store=store, **k))
     assert finding_queries.review_costs(spark, str(tmp_path)).count() == 1
     assert len(seen) == 2 and not any("MapInArrow" in x for x in seen)
+
+
+def test_tasks_of_scores_follow_rows(spark, small):
+    from quillscan.operators import text_rules
+
+    lined = spark.range(1000).select(F.col("id").alias("file"), F.lit(1).alias("line_no"), F.lit("x  # scan-expect: CG-1").alias("line"))
+    found = spark.range(500, 1500).select(F.col("id").alias("file"), F.lit(1).alias("line"), F.lit("CG-1").alias("rule_id"))
+    out = text_rules.scores(found, text_rules.expectations(lined, rows=1000), 1000)
+    assert _plan(out).count(", 20), ") == 2  # each side is dealt once
+    assert out.first().asDict() == {"tp": 500, "fp": 500, "fn": 500, "precision": 0.5, "recall": 0.5}
