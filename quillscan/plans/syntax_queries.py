@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillscan.operators import syntax, taint
-from quillscan.sources.shared import saved
+from quillscan.sources.shared import dealt, saved
 from quillscan.sources.tables import table
 
 _Q, _O = {}, {}
@@ -27,6 +27,13 @@ _TIGHT = {"javascript": [8, 9, 7, 3, 1, 2, 5, 6, 0, -1], "php": [8, 9, 7, 3, 1,
 _TIGHT |= {"typescript": _TIGHT["javascript"], "java": _TIGHT["javascript"]}
 
 
+def _trees(files: DataFrame) -> DataFrame:
+    """The written trees of files, dealt by path over as many tasks as their nodes need."""
+    spread = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+    nodes = saved(syntax.trees(spread), "trees")
+    return dealt(nodes, "path", rows=nodes.count())
+
+
 def _spelt(lang: str) -> list[str]:
     return [{"&&": "and", "||": "or"}.get(x, x) if lang == "python" else x for x in _OPS]
 
@@ -50,7 +57,7 @@ def operator_structure(spark, sf: str) -> DataFrame:
     text = F.concat(F.lit("x = v1 "), op(1), F.lit(" v2 "), op(10), F.lit(" v3 "), op(100), F.lit(" v4\n"))
     lang = F.element_at(F.array(*map(F.lit, _LANGS)), (F.col("p_size") % 6 + 1).cast("int"))
     files = table(spark, sf, "part").select(F.col("p_partkey").alias("path"), lang.alias("lang"), F.when(F.col("p_size") % 6 == 3, F.concat(F.lit("<?php\n"), text)).otherwise(text).alias("content"))
-    nodes = saved(syntax.trees(files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").withColumn("path", F.col("path").cast("string"))), "trees")
+    nodes = _trees(files.withColumn("path", F.col("path").cast("string")))
     each = F.when((F.col("kind") == "name") & F.col("word").startswith("v"), F.pow(F.lit(10), F.substring("word", 2, 1).cast("int") - 1).cast("long"))
     sides = syntax.with_parent(syntax.subtree_sums(nodes, each, "operands")).where("parent_kind = 'binary'")
     side = lambda n, out: F.sum(F.when(F.col("nth") == n, F.col("operands"))).alias(out)
@@ -78,7 +85,7 @@ def call_enclosures(spark, sf: str) -> DataFrame:
     )
     even = F.col("o_custkey") % 2 == 0
     files = o.select(key("o_orderkey").alias("path"), F.when(even, "python").otherwise("javascript").alias("lang"), F.when(even, python).otherwise(script).alias("content"))
-    nodes = saved(syntax.trees(files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")), "trees")
+    nodes = _trees(files)
     calls, fun = F.when(F.col("kind") == "call", 1), F.col("kind") == "function"
     rows = syntax.subtree_sums(nodes, calls, "calls")
     rows = syntax.above(syntax.above(rows, (F.col("kind") == "statement") & F.col("word").eqNullSafe("if"), "ifs"), fun, "functions")

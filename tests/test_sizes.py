@@ -47,3 +47,16 @@ def test_tasks_of_scores_follow_rows(spark, small):
     out = text_rules.scores(found, text_rules.expectations(lined, rows=1000), 1000)
     assert _plan(out).count(", 20), ") == 2  # each side is dealt once
     assert out.first().asDict() == {"tp": 500, "fp": 500, "fn": 500, "precision": 0.5, "recall": 0.5}
+
+
+def test_tasks_of_trees_follow_nodes(spark, small):
+    from quillscan.operators import syntax
+    from quillscan.plans import syntax_queries
+
+    files = spark.range(100).select(F.col("id").cast("string").alias("path"), F.lit("python").alias("lang"), F.lit("f(x)\n").alias("content"))
+    nodes = syntax_queries._trees(files)
+    n = nodes.count()
+    assert n > 300 and nodes.rdd.getNumPartitions() == -(-n // 50)
+    sums = syntax.subtree_sums(nodes, F.lit(1), "all")
+    assert _plan(sums).count("Exchange") == 1  # the windows need no dealing of their own
+    assert sums.where("pre = 0 and all <> last + 1").count() == 0
