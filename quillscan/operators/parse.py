@@ -82,20 +82,32 @@ def _source(content: str | None, lang: str, adapters: dict[str, Adapter] | None)
     return adapters[lang](content or "") if adapters and lang in adapters else lexer.Source(content or "", lang)
 
 
+#: Files whose contents and rows that Python holds at once; a file's own rows stay together.
+FILES_AT_ONCE, ROWS_AT_ONCE = 256, 2000
+
+
 def tabled(files: DataFrame, schema: str, read: Callable[[str, str, str], Iterator[tuple]], failed: Callable[[str, str, str], tuple]) -> DataFrame:
     """Rows of `read` for each file with a language; a file that can't be read gives the row of `failed`, and never stops the scan."""
     struct = T.StructType.fromDDL(schema)
     arrow = to_arrow_schema(struct)
 
+    def given(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for file in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                try:
-                    rows += list(read(*file))
-                except Exception as e:
-                    rows.append(failed(file[0], file[1], f"{type(e).__name__}: {e}"[:200]))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * len(arrow), arrow, strict=True)], schema=arrow)
+            for k in range(0, batch.num_rows, FILES_AT_ONCE):
+                for file in zip(*(c.to_pylist() for c in batch.slice(k, FILES_AT_ONCE).columns), strict=True):
+                    try:
+                        rows += list(read(*file))
+                    except Exception as e:
+                        rows.append(failed(file[0], file[1], f"{type(e).__name__}: {e}"[:200]))
+                    if len(rows) >= ROWS_AT_ONCE:
+                        yield given(rows)
+                        rows = []
+            if rows:
+                yield given(rows)
 
     some = files.where("lang is not null") if "unreadable" not in files.columns else files.where("lang is not null and unreadable is null")
     return some.select("path", "lang", "content").mapInArrow(work, struct)

@@ -60,3 +60,35 @@ def test_tasks_of_trees_follow_nodes(spark, small):
     sums = syntax.subtree_sums(nodes, F.lit(1), "all")
     assert _plan(sums).count("Exchange") == 1  # the windows need no dealing of their own
     assert sums.where("pre = 0 and all <> last + 1").count() == 0
+
+
+def test_rows_of_files_are_given_in_bounded_batches():
+    from quillscan.operators import parse
+
+    class Files:
+        columns = ("path", "lang", "content")
+
+        def where(self, *_):
+            return self
+
+        select = where
+
+        def mapInArrow(self, work, _):
+            return work
+
+    taken = []
+
+    def read(path, lang, content):
+        taken.append(path)
+        if path == "p7":
+            raise ValueError("odd")
+        for k in range(3):
+            yield path, k
+
+    work = parse.tabled(Files(), "path string, n long", read, lambda path, lang, error: (path, -1))
+    files = pa.RecordBatch.from_pydict({"path": [f"p{k}" for k in range(10_000)], "lang": ["x"] * 10_000, "content": [""] * 10_000})
+    batches = work(iter([files]))
+    first = next(batches)
+    assert len(taken) < 1000  # the first rows are given long before the last file is read
+    sizes = [first.num_rows, *(b.num_rows for b in batches)]
+    assert max(sizes) < parse.ROWS_AT_ONCE + 3 and sum(sizes) == 3 * 9_999 + 1 and len(taken) == 10_000
