@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quillscan.operators.relations import sums_before
-from quillscan.sources.shared import saved
+from quillscan.sources.shared import dealt, saved, tasks_for
 
 _HUNK = re.compile(r"@@ -\d+(?:,(?P<old>\d+))? \+(?P<at>\d+)(?:,(?P<new>\d+))? @@")
 
@@ -60,48 +59,123 @@ def changed_lines(diffs: DataFrame, key: str, text: str = "diff") -> DataFrame:
     return diffs.select(key, text).mapInPandas(read, f"{key} {schema.dataType.simpleString()}, file string, line long")
 
 
-#: A head in a diff's lines: what it is, and the hunk's numbers; old and new are the counts of lines before the hunk's body.
-_HEADS = "key string, line_no long, part int, file string, at long, old long, new long, old_end long, new_end long"
+#: A head in a diff's lines: what it is, and the hunk's numbers; old and new are the counts of lines before the hunk's body. named: a new file was named before it in its range.
+_HEADS = "key string, line_no long, part int, file string, named boolean, at long, old long, new long, old_end long, new_end long"
 
 
-def added_lines(lined: DataFrame, key: str) -> DataFrame:
-    """key, file and line (long) of each added line of diffs given by lines (key, line_no, line), however long one is; read as by `parse`.
+def _heads(rows: DataFrame, kind: str, n: int) -> DataFrame:
+    """Heads of lines (key, line_no, part, line, _old, _new) that stand in no body: _HEADS, in some order.
 
-    Lines are dealt by ranges, with running counts of each diff's old and new lines across them. Heads alone, in order,
-    tell which of them stand within a body: a body lasts until both counts have grown by what its head says. A line
-    belongs to the last head before it, which a range gets from those before it as one row a diff. A diff that isn't
-    blank and names no new file is an error.
+    Ranges are read at once, each as if no body reached into it. Where the last hunk of those before ends beyond a
+    range's first head, that range is read again from there, until no range's beginning changes; a body that lasts over
+    ranges whose lines look like heads takes a round for each.
     """
-    kind = lined.schema[key].dataType.simpleString()
-    sign = F.substring("line", 1, 1)
-    counts = {"_old": (~sign.isin("+", "\\")).cast("long"), "_new": (~sign.isin("-", "\\")).cast("long")}
-    rows = lined.select(F.col(key).alias("key"), F.col("line_no").cast("long").alias("line_no"), F.coalesce("line", F.lit("")).alias("line"))
-    rows = saved(sums_before(rows, ["key"], ["line_no"], counts, part="part"), "diff")
-    heads = rows.where(F.col("line").startswith("+++ ") | F.col("line").startswith("@@ ")).repartition("key").sortWithinPartitions("key", "line_no")
     schema = T.StructType.fromDDL(_HEADS.replace("key string", f"key {kind}"))
     arrow = to_arrow_schema(schema)
+    names = ["key", "line_no", "line", "_old", "_new", "part", "_from_old", "_from_new"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, file, old_end, new_end = object(), None, 0, 0
+        last, file, named, old_end, new_end = object(), None, False, 0, 0
         for b in batches:
             out: list[tuple] = []
-            for k, n, line, old, new, part in zip(*(c.to_pylist() for c in b.select(["key", "line_no", "line", "_old", "_new", "part"]).columns), strict=True):
-                if k != last:
-                    last, file, old_end, new_end = k, None, 0, 0
+            for k, n, line, old, new, part, from_old, from_new in zip(*(c.to_pylist() for c in b.select(names).columns), strict=True):
+                if (k, part) != last:
+                    last, file, named, old_end, new_end = (k, part), None, False, from_old, from_new
                 if old < old_end or new < new_end:  # within a body
                     continue
                 if line.startswith("+++ "):
                     name = line[4:].split("\t")[0].strip()
-                    file = None if name == "/dev/null" else name.removeprefix("b/")
-                    out.append((k, n, part, file, None, None, None, None, None))
+                    file, named = None if name == "/dev/null" else name.removeprefix("b/"), True
+                    out.append((k, n, part, file, named, None, None, None, None, None))
                 elif m := _HUNK.match(line):
                     # the head's own line is counted as well: its body begins behind it
                     old, new = old + 1, new + 1
                     old_end, new_end = old + int(m["old"] or 1), new + int(m["new"] or 1)
-                    out.append((k, n, part, file, int(m["at"]), old, new, old_end, new_end))
+                    out.append((k, n, part, file, named, int(m["at"]), old, new, old_end, new_end))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * len(arrow), arrow, strict=True)], schema=arrow)
 
-    found = saved(heads.mapInArrow(read, schema), "heads")
+    lines = rows.where(F.col("line").startswith("+++ ") | F.col("line").startswith("@@ "))
+    same = lambda l, r: l["key"].eqNullSafe(r["_k"]) & (l["part"] == r["_p"])  # noqa: E731, E741
+    as_other = {"key": "_k", "part": "_p"}
+
+    def scanned(given: DataFrame) -> DataFrame:
+        return saved(dealt(given, "key", "part", rows=n).sortWithinPartitions("key", "part", "line_no").mapInArrow(read, schema), "heads")
+
+    found = scanned(lines.withColumns({"_from_old": F.lit(0).cast("long"), "_from_new": F.lit(0).cast("long")}))
+    first = saved(lines.groupBy("key", "part").agg(F.min(F.struct("line_no", "_old", "_new")).alias("first")), "firsts")
+    used = first.select("key", "part", F.lit(0).cast("long").alias("old"), F.lit(0).cast("long").alias("new"))
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        ends = found.where("at is not null").groupBy("key", "part").agg(F.max(F.struct("line_no", "old_end", "new_end")).alias("end")).withColumnsRenamed(as_other)
+        begun = first.join(ends, same(first, ends), "left").select("key", "part", "first", F.last("end", ignorenulls=True).over(before).alias("from"))
+        within = F.coalesce((F.col("from.old_end") > F.col("first._old")) | (F.col("from.new_end") > F.col("first._new")), F.lit(False))
+        wanted = begun.select("key", "part", *[F.when(within, F.col(f"from.{x}_end")).otherwise(F.lit(0)).cast("long").alias(x) for x in ("old", "new")])
+        wanted = saved(wanted, "begins")
+        was = used.select(F.col("key").alias("_k"), F.col("part").alias("_p"), F.col("old").alias("_o"), F.col("new").alias("_n"))
+        again = wanted.join(was, same(wanted, was)).where("old <> _o or new <> _n").select("_k", "_p", F.col("old").alias("_from_old"), F.col("new").alias("_from_new"))
+        again = saved(again, "again")
+        if again.isEmpty():
+            return found
+        redone = scanned(lines.join(again, same(lines, again)).drop("_k", "_p"))
+        found, used = saved(found.join(again, same(found, again), "left_anti").unionByName(redone), "heads"), wanted
+
+
+def _counted(rows: DataFrame, parts: int) -> DataFrame:
+    """rows (key, line_no, line, _old, _new) dealt once by ranges (part) and written; _old and _new become their sums over the lines of the key before."""
+    ranged = rows.repartitionByRange(parts, "key", "line_no").sortWithinPartitions("key", "line_no").withColumn("part", F.spark_partition_id())
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = object(), {"_old": 0, "_new": 0}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column("key")
+            codes = keys.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            sizes, goes_on = np.diff(np.append(starts, b.num_rows)), keys[0].as_py() == last
+            for name in held:
+                value = b.column(name).to_numpy(zero_copy_only=False)
+                sums = np.cumsum(value)
+                base = (sums - value)[starts]  # what other keys have before
+                base[0] -= held[name] if goes_on else 0
+                b = b.set_column(b.schema.get_field_index(name), name, pa.array(sums - value - np.repeat(base, sizes), pa.int64()))
+                held[name] = int(sums[-1] - base[-1])
+            last = keys[b.num_rows - 1].as_py()
+            yield b
+
+    ones = ranged.withColumns({"own_old": F.col("_old"), "own_new": F.col("_new")})
+    kept = saved(ones.mapInArrow(add, ones.schema), "diff")
+    totals = kept.groupBy("key", "part").agg(F.sum("own_old").alias("o"), F.sum("own_new").alias("n"))
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(F.col("key").alias("_k"), F.col("part").alias("_p"), F.sum("o").over(before).alias("_o"), F.sum("n").over(before).alias("_n")).where("_o is not null")
+    bases = F.broadcast(saved(bases, "bases"))  # at most one a range
+    met = kept.join(bases, kept["key"].eqNullSafe(bases["_k"]) & (kept["part"] == bases["_p"]), "left")
+    return met.select("key", "line_no", "line", *[(F.col(a) + F.coalesce(b, F.lit(0))).alias(a) for a, b in (("_old", "_o"), ("_new", "_n"))], "part")
+
+
+def added_lines(lined: DataFrame, key: str, n: int | None = None) -> DataFrame:
+    """key, file and line (long) of each added line of diffs given by lines (key, line_no, line), however long one is; read as by `parse`.
+
+    Lines are dealt by ranges, with running counts of each diff's old and new lines across them. Heads alone, in order,
+    tell which of them stand within a body: a body lasts until both counts have grown by what its head says. A line
+    belongs to the last head before it, which a range gets from those before it as one row a diff. A diff that isn't
+    blank and names no new file is an error. No task has all lines, or all heads, of a diff. n: about how many lines there
+    are, which ranges follow; counted otherwise.
+    """
+    kind = lined.schema[key].dataType.simpleString()
+    sign = F.substring("line", 1, 1)
+    counts = {"_old": (~sign.isin("+", "\\")).cast("long"), "_new": (~sign.isin("-", "\\")).cast("long")}
+    text = F.coalesce("line", F.lit(""))
+    # of a line that is no head its sign is enough, and whether it says anything
+    short = F.when(text.startswith("+++ ") | text.startswith("@@ "), text).otherwise(F.concat(F.substring(text, 1, 1), F.when(F.trim(text) != "", ".").otherwise("")))
+    rows = lined.select(F.col(key).alias("key"), F.col("line_no").cast("long").alias("line_no"), short.alias("line"))
+    n = rows.count() if n is None else n
+    rows = _counted(rows.withColumns(counts), tasks_for(rows.sparkSession, n))
+    found = _heads(rows, kind, n)
+    # a range goes on with the file that those before it named last
+    told = found.groupBy("key", "part").agg(F.max(F.when(F.col("at").isNull(), F.struct("line_no", "file"))).alias("told"))
+    told = told.select(F.col("key").alias("_k"), F.col("part").alias("_p"), F.last("told", ignorenulls=True).over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("told"))
+    found = found.join(told, found["key"].eqNullSafe(told["_k"]) & (found["part"] == told["_p"]), "left").withColumn("file", F.when(F.col("named"), F.col("file")).otherwise(F.col("told.file"))).drop("_k", "_p", "told", "named")
     blank = rows.groupBy("key").agg(F.max(F.trim("line") != "").alias("said")).where("said")
     names = found.where("at is null").select(F.col("key").alias("_key")).distinct()
     if odd := blank.join(names, F.col("key").eqNullSafe(F.col("_key")), "left_anti").first():
@@ -117,6 +191,7 @@ def added_lines(lined: DataFrame, key: str) -> DataFrame:
     events = rows.where(sign == "+").select("key", "part", "line_no", "_old", "_new", F.lit(None).cast(hunks.select(hunk.alias("h")).schema["h"].dataType).alias("hunk"))
     events = events.unionByName(hunks.select("key", "part", "line_no", F.lit(0).cast("long").alias("_old"), F.lit(0).cast("long").alias("_new"), hunk.alias("hunk")))
     own = Window.partitionBy("part", "key").orderBy("line_no", F.col("hunk").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    events = dealt(events, "part", "key", rows=n)
     placed = events.withColumn("of", F.last("hunk", ignorenulls=True).over(own)).where("hunk is null")
     placed = placed.join(carried, placed["key"].eqNullSafe(carried["_k"]) & (placed["part"] == carried["_p"]), "left").withColumn("of", F.coalesce("of", "carry"))
     inside = (F.col("_old") < F.col("of.old_end")) | (F.col("_new") < F.col("of.new_end"))

@@ -92,3 +92,38 @@ def test_rows_of_files_are_given_in_bounded_batches():
     assert len(taken) < 1000  # the first rows are given long before the last file is read
     sizes = [first.num_rows, *(b.num_rows for b in batches)]
     assert max(sizes) < parse.ROWS_AT_ONCE + 3 and sum(sizes) == 3 * 9_999 + 1 and len(taken) == 10_000
+
+
+def test_heads_of_one_long_diff_are_read_by_many_tasks(spark, small, monkeypatch):
+    """A diff over many ranges, with bodies that last over ranges and hold lines like heads, is read as by parse; no task has half of its heads."""
+    import random
+
+    from quillscan.sources import diffs
+
+    r, text = random.Random(5), []
+    for k in range(120):
+        if r.random() < 0.6:
+            text.append("+++ " + r.choice([f"b/f{k}.py", f"b/f{k}.py\t2024", "/dev/null"]))
+        old, new = r.choice([(0, 3), (2, 2), (5, 9), (80, 130)] if k % 9 == 0 else [(0, 3), (2, 2), (5, 9)])
+        text.append(f"@@ -1,{old} +{10 * k},{new} @@")
+        while old or new:
+            if old and (not new or r.random() < 0.5):
+                x = r.choice([" a", "@@ -1,2 +5,60 @@"]) if new else "-x"
+                old, new = old - 1, new - (x[0] != "-")
+            else:
+                x, new = r.choice(["+x", "+++ b/not.py", "+++ c"]), new - 1
+            text.append(x)
+    assert len(text) > 1000
+    tasks, saved = [], diffs.saved
+
+    def spy(df, name):
+        out = saved(df, name)
+        if name == "heads" and not tasks:
+            tasks.extend(x["count"] for x in out.groupBy(F.input_file_name()).count().collect())
+        return out
+
+    monkeypatch.setattr(diffs, "saved", spy)
+    lined = spark.createDataFrame([("d", k, x) for k, x in enumerate(text)], "id string, line_no long, line string")
+    got = sorted((x["file"], x["line"]) for x in diffs.added_lines(lined, "id").collect())
+    assert got == sorted(diffs.parse("\n".join(text)))
+    assert max(tasks) < sum(tasks) / 2
