@@ -7,7 +7,7 @@ Rows without a number (files that failed) may stand among the nodes and get null
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,19 +18,23 @@ from quillscan.operators.parse import tabled
 TREES = "path string, lang string, pre int, post int, last int, parent int, depth int, nth int, kind string, word string, sl int, sc int, el int, ec int, error string"
 
 
-def trees(files: DataFrame) -> DataFrame:
+def trees(files: DataFrame, keep: Callable[[str, str | None], bool] | None = None) -> DataFrame:
     """All syntax nodes of files (path, lang, content), in pre-order (pre, from 0).
 
     post is a node's post-order number, last the greatest pre below it (its own, for a leaf), parent its parent's pre (-1
     for the file), nth its place among its siblings. word is an operator, the name that a node calls or defines, or a
     leaf's text; texts of inner nodes are not repeated, so rows grow with tokens, not with depth. Lines count from 1,
     columns from 0. Null and empty contents have the file's node alone; a file that can't be read gives a row with its error.
+    keep(kind, word): only such nodes, with their numbers in the whole tree. What encloses a node, and sums over subtrees,
+    are right over any nodes that hold all that count for them.
     """
 
     def read(path: str, lang: str, content: str | None) -> Iterator[tuple]:
         src = lexer.Source(content or "", lang)
         t = src.toks
         for x, pre, post, last, parent, depth, nth in tree.numbered(tree.parse(src)):
+            if keep is not None and not keep(x.kind, x.word):
+                continue
             (sl, sc), (el, ec) = (src.place(t[x.a].start), src.place(t[x.b].end)) if t else ((1, 0), (1, 0))
             yield path, lang, pre, post, last, parent, depth, nth, x.kind, x.word, sl, sc, el, ec, None
 
@@ -83,7 +87,7 @@ def nearest(nodes: DataFrame, which: Column, out: str, value: Column | None = No
 def subtree_sums(nodes: DataFrame, value: Column, out: str) -> DataFrame:
     """nodes with `out`: the sum of value over each node and all below it.
 
-    Numbers are consecutive, so a subtree is a range of them: its sum is the running sum at its end less that before it.
+    A subtree is a range of numbers: its sum is the running sum at its end less that before it.
     """
     rows = _dealt(nodes.withColumn("_v", F.coalesce(value, F.lit(0))), (F.lit(True), F.lit(0), F.col("pre")), (F.lit(True), F.lit(1), F.col("last")))
     here = F.when(F.col("_role") == 0, F.col("_v")).otherwise(0)

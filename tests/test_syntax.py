@@ -180,3 +180,17 @@ def test_a_file_that_fails_gives_its_error(spark):
 def test_without_files(spark):
     none = syntax.trees(spark.createDataFrame([], "path string, lang string, content string"))
     assert syntax.nearest(syntax.above(none, F.col("kind") == "function", "n"), F.lit(True), "up").count() == 0
+
+
+def test_relations_hold_over_the_nodes_that_are_kept(spark):
+    text = "function f(x) {\nif (c) {\nconst k = function () { g(h(x), [h(1)]); };\n}\ng(1);\n}\n"
+    files = spark.createDataFrame([("a.js", "javascript", text), ("b.js", "javascript", None)], "path string, lang string, content string")
+
+    def told(nodes):
+        rows = syntax.subtree_sums(nodes, F.when(F.col("kind") == "call", 1), "calls")
+        rows = syntax.nearest(syntax.above(rows, F.col("kind") == "function", "functions"), F.col("kind") == "function", "inside")
+        return sorted(map(tuple, rows.where("kind = 'call'").select("path", "pre", "last", "calls", "functions", "inside", "sl").collect()))
+
+    kept = syntax.trees(files, lambda kind, word: kind in ("call", "function"))
+    assert {r["kind"] for r in kept.collect()} == {"call", "function"}
+    assert told(kept) == told(syntax.trees(files)) and len(told(kept)) == 5  # the head of f too
