@@ -113,8 +113,10 @@ def in_order(files: DataFrame, path: str = "path") -> DataFrame:
 
 #: Rows of the listing: kind is folder or file; error tells of a folder that can't be listed.
 _LISTED = "root string, path string, kind string, size long, error string"
-#: Bytes of files that one task reads about, and those of an Arrow batch.
-PART_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
+#: Bytes of files that one task reads about, those of an Arrow batch, and empty files that count as much as such a part.
+PART_BYTES, BATCH_BYTES, PART_FILES = 64 << 20, 8 << 20, 2048
+#: Rows of the listing, and files that are read, that Python holds at once.
+ROWS_AT_ONCE = 10_000
 
 
 def filesystem(place: str) -> tuple[fs.FileSystem, str]:
@@ -162,6 +164,9 @@ def listing(spark: SparkSession, roots: list[str], exclude: list[str] | None = N
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = to_arrow_schema(T.StructType.fromDDL(_LISTED))
 
+    def given(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, schema, strict=True)], schema=schema)
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for root, folder in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -172,9 +177,12 @@ def listing(spark: SparkSession, roots: list[str], exclude: list[str] | None = N
                         hidden = name.startswith(".") and not dotted
                         if not hidden and not (kind == "folder" and shut and shut.match(path)):
                             rows.append((root, path, kind, size, None))
+                        if len(rows) >= ROWS_AT_ONCE:
+                            yield given(rows)
+                            rows = []
                 except (OSError, DiscoveryError) as e:
                     rows.append((root, folder, "error", 0, f"{type(e).__name__}: {e}"[:200]))
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, schema, strict=True)], schema=schema)
+                yield given(rows)
 
     level = spark.createDataFrame([(r, "") for r in dict.fromkeys(roots)], "root string, path string")
     found, out = 1, None
@@ -190,9 +198,10 @@ def listing(spark: SparkSession, roots: list[str], exclude: list[str] | None = N
 def contents(files: DataFrame) -> DataFrame:
     """files (root, path, size and others) with content, read as UTF-8 (odd bytes become marks), and unreadable, its error.
 
-    Files are dealt to tasks by their bytes: of the sizes in order of paths, each PART_BYTES make a part.
+    Files are dealt to tasks by their bytes, and a PART_FILES-th of a part for opening each: of these in order of paths,
+    each PART_BYTES make a part, so that many small files are read by many tasks.
     """
-    before = running(files, ["root", "path"], F.col("size"), "_before").withColumn("_part", F.floor(F.col("_before") / PART_BYTES))
+    before = running(files, ["root", "path"], F.col("size") + PART_BYTES // PART_FILES, "_before").withColumn("_part", F.floor(F.col("_before") / PART_BYTES))
     total = before.agg(F.max("_part")).first()[0]
     dealt = before.repartitionByRange(total + 1 if total is not None else 1, "_part").drop("_before", "_part")
     schema = T.StructType([*dealt.schema.fields, T.StructField("content", T.StringType()), T.StructField("unreadable", T.StringType())])
@@ -203,18 +212,21 @@ def contents(files: DataFrame) -> DataFrame:
         def out(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * len(arrow), arrow, strict=True)], schema=arrow)
 
+        roots: dict[str, tuple[fs.FileSystem, str]] = {}
         for b in batches:
             rows, held = [], 0
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 try:
-                    system, place = filesystem(f"{row[root].rstrip('/')}/{row[path]}")
-                    with system.open_input_stream(place) as f:
+                    if row[root] not in roots:
+                        roots[row[root]] = filesystem(row[root])
+                    system, place = roots[row[root]]
+                    with system.open_input_stream(f"{place.rstrip('/')}/{row[path]}") as f:
                         data = f.read()
                     rows.append((*row, data.decode("utf-8", "replace"), None))
                     held += len(data)
                 except (OSError, DiscoveryError) as e:
                     rows.append((*row, None, f"{type(e).__name__}: {e}"[:200]))
-                if held > BATCH_BYTES:
+                if held > BATCH_BYTES or len(rows) >= ROWS_AT_ONCE:
                     yield out(rows)
                     rows, held = [], 0
             yield out(rows)

@@ -69,3 +69,15 @@ def test_roots_of_every_kind(spark, tree):
         discovery.read(spark, [str(tree / "none")])
     with pytest.raises(discovery.DiscoveryError):
         discovery.read(spark, ["nosuch://host/x"])
+
+
+def test_many_small_files_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(discovery, "PART_FILES", 8)
+    monkeypatch.setattr(discovery, "ROWS_AT_ONCE", 3)
+    for k in range(64):
+        (tmp_path / f"f{k:02}.py").write_text("x")
+    df = discovery.read(spark, [str(tmp_path)])
+    from pyspark.sql import functions as F
+
+    counts = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(counts) == 64 and len(counts) >= 5 and max(counts) <= 24
