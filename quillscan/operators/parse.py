@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Callable, Iterator
 
@@ -31,48 +32,65 @@ HINTS = {
 }
 
 _HINTS = {k: re.compile(v) for k, v in HINTS.items()}
+#: What each hint needs, in lower case: a text of ASCII without any of it has no such hint.
+_NEEDS = {
+    "secret": ("token", "session", "passw", "secret", "otp", "api", "reset", "nonce", "csrf"),
+    "resolve": ("path.resolve",), "starts": ("startswith",), "clean": ("filepath.clean",), "prefix": ("hasprefix",), "normal": ("normalize", "getcanonicalpath"),
+}
 _NAMED = re.compile(r"\$?[A-Za-z_][A-Za-z0-9_]*")
 _ASSIGNED = re.compile(r"([\w$]+)\s*:?=")
+_WORD, _VALUE = re.compile(r"[\w$]+"), re.compile(r"[^;\n]*")
 
 
 class Surroundings:
-    """What stands in the whole lines around nodes. Each range of lines is searched once, however many nodes it has."""
+    """What stands in the whole lines around nodes; offsets are those of lines' beginnings and ends. A range of lines is searched for hints once, however many nodes it has, and the text once for assignments."""
 
     def __init__(self, text: str):
         self.text = text
-        self.some = {k: p for k, p in _HINTS.items() if p.search(text)}  # what the text has nowhere, no range has
+        low = text.lower() if text.isascii() else None
+        self.some = {k: p for k, p in _HINTS.items() if (p.search(text) if low is None else any([x in low for x in _NEEDS[k]]))}  # what the text has nowhere, no range has
         self.hints: dict[tuple[int, int], list[str]] = {}
-        self.names: dict[tuple[int, int], dict[str, int]] = {}
+        self.names: dict[str, tuple[list[int], list[int]]] | None = None if "=" in text else {}
         self.other: dict[tuple[int, int, str], int] = {}
 
     def near(self, low: int, high: int) -> list[str]:
         """The hints within two offsets."""
+        if not self.some:
+            return []
         if (low, high) not in self.hints:
             self.hints[low, high] = [k for k, p in self.some.items() if p.search(self.text, low, high)]
         return self.hints[low, high]
 
+    def _assignments(self) -> dict[str, tuple[list[int], list[int]]]:
+        """Where each name is assigned to: its beginnings, and the ends of the signs behind it."""
+        found: dict[str, tuple[list[int], list[int]]] = {}
+        for m in _ASSIGNED.finditer(self.text):
+            token = m[1]
+            for k in (0, *(k + 1 for k, x in enumerate(token[:-1]) if x == "$")) if "$" in token else (0,):  # a name may begin behind a sigil
+                starts, ends = found.setdefault(token[k:], ([], []))
+                starts.append(m.start())
+                ends.append(m.end())
+        return found
+
     def assigned(self, low: int, high: int, name: str | None) -> str | None:
         """The right-hand side, to a semicolon or the line's end, of the first assignment to name."""
         if not name:
             return None
-        if re.fullmatch(r"[\w$]+", name):
-            if (low, high) not in self.names:
-                first: dict[str, int] = {}
-                for m in _ASSIGNED.finditer(self.text, low, high):
-                    token = m[1]
-                    first.setdefault(token, m.end())
-                    for k, x in enumerate(token[:-1]):  # a name may begin behind a sigil
-                        if x == "$":
-                            first.setdefault(token[k + 1 :], m.end())
-                self.names[low, high] = first
-            at = self.names[low, high].get(name, -1)
+        if _WORD.fullmatch(name):
+            if self.names is None:
+                self.names = self._assignments()
+            if name not in self.names:
+                return None
+            starts, ends = self.names[name]
+            k = bisect.bisect_left(starts, low)
+            at = ends[k] if k < len(ends) and ends[k] <= high else -1
         else:
             key = low, high, name
             if key not in self.other:
                 m = re.compile((r"\b" if re.match(r"\w", name) else "") + re.escape(name) + r"\s*:?=").search(self.text, low, high)
                 self.other[key] = m.end() if m else -1
             at = self.other[key]
-        return re.compile(r"[^;\n]*").match(self.text, at, high)[0] if at >= 0 else None
+        return _VALUE.match(self.text, at, high)[0] if at >= 0 else None
 
 
 #: What reads a language: a function from a text to an object like lexer.Source (text, nodes, functions, classes, place).

@@ -34,13 +34,18 @@ def words_of(receiver: Column) -> tuple[Column, Column]:
 
 
 def names_any(receiver: Column, names: list[str], suffixes: list[str] | None = None) -> Column:
-    """Whether a receiver names one of `names` as a segment or word, or has a word that ends with, and isn't, a suffix."""
+    """Whether a receiver names one of `names` as a segment or word, or has a word that ends with, and isn't, a suffix.
+
+    Segments and words are pieces of the receiver, but where an index is cut out of one: a receiver that has none of the
+    names anywhere, and no index, isn't taken apart.
+    """
     parts, words = words_of(receiver)
     wanted = F.lit([n.lower() for n in names])
     got = F.arrays_overlap(parts, wanted) | F.arrays_overlap(words, wanted)
     for end in suffixes or []:
         got = got | F.exists(words, lambda w: w.endswith(end) & (F.length(w) > F.lit(len(end))))  # noqa: B023
-    return F.coalesce(got, F.lit(False))
+    some = X.any_in(F.lower(receiver), [n.lower() for n in names] + list(suffixes or [])) | receiver.contains("[")
+    return F.coalesce(F.when(some, got), F.lit(False))
 
 
 def lang(*names: str) -> Column:
@@ -158,7 +163,7 @@ def _shell() -> Column:
     py = lang("python") & N.name.isin(SHELL_PY) & (N.bare | names_any(N.object, SHELL_ON_PY))
     go = lang("go") & N.name.isin("Command", "CommandContext") & names_any(N.object, ["exec"])
     java = lang("java") & ((N.name == "exec") & names_any(N.object, ["runtime"]) | (N.name == "ProcessBuilder"))
-    return (js | py | go | java | lang("php") & N.bare & N.name.isin(SHELL_PHP)) & N.dynamic
+    return N.dynamic & (js | py | go | java | lang("php") & N.bare & N.name.isin(SHELL_PHP))
 
 
 def _where_value() -> Column:
@@ -337,12 +342,17 @@ def load(preset: str = "all", custom: list[Rule] | None = None, disable: list[st
 
 
 def match(nodes: DataFrame, rules: list[Rule]) -> DataFrame:
-    """One row per node and rule that it meets: the node's place and text, rule_id, rule_ord, severity, cwe, confidence."""
+    """One row per node and rule that it meets: the node's place and text, rule_id, rule_ord, severity, cwe, confidence.
+
+    Conditions are a projection, which Spark compiles; within the generator, or in a filter inferred from it, they would
+    be interpreted or evaluated twice, so it gets a column, and gives nodes without a rule a null that is left out after it.
+    """
     each = [
         F.when(c("lang").isin(*r.languages) & F.coalesce(r.test, F.lit(False)), F.struct(F.lit(r.id).alias("rule_id"), F.lit(k).alias("rule_ord"), F.lit(r.name).alias("rule_name"), F.lit(r.severity).alias("severity"), F.lit(r.cwe).alias("cwe"), (r.confidence if isinstance(r.confidence, Column) else F.lit(r.confidence)).cast("double").alias("confidence")))
         for k, r in enumerate(rules)
     ]
     hit = "struct<rule_id:string,rule_ord:int,rule_name:string,severity:string,cwe:int,confidence:double>"
-    hits = nodes.where("error is null").withColumn("_hit", F.explode(F.array_compact(F.array(*each, F.lit(None).cast(hit)))))
     place = ["path", "lang", "ord", "kind", "text", "sl", "sc", "el", "ec", "name", "object", "context2", "context3"]
+    met = nodes.where("error is null").select(*place, F.array(*each, F.lit(None).cast(hit)).alias("_met"))
+    hits = met.select(*place, F.explode_outer(F.array_compact("_met")).alias("_hit")).where("_hit is not null")
     return hits.select(*place, "_hit.*")

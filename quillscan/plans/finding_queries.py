@@ -31,7 +31,7 @@ _SHUT = f"2 * (SELECT count(*) FROM part WHERE p_partkey % {_N} = 19)"
 def scan_counters(spark, sf: str) -> DataFrame:
     """What each filter leaves, with a baseline that knows the findings of every second file."""
     files, options = snippets.files(spark, sf), scan.Options(directive=snippets.DIRECTIVE)
-    found = saved(scan.candidates(files, options), "candidates")
+    found = saved(scan.candidates(files, options, counted=True), "candidates")
     known = scan.stages(files, options, found)["findings"].where("cast(regexp_extract(path, '/f([0-9]+)', 1) as long) % 2 = 0")
     options.baseline = report.baseline(known)
     counts = scan.Counts()

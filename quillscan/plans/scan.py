@@ -32,21 +32,30 @@ def place(line: str, column: str):
     return F.struct(F.col(line), F.col(column))
 
 
-def candidates(files: DataFrame, options: Options, parsed: DataFrame | None = None) -> DataFrame:
+#: What the filters after `candidates` and `counters` ask of a match, besides its fingerprint.
+COUNTED = ["path", "ord", "sl", "el", "rule_id", "rule_ord", "severity"]
+
+
+def candidates(files: DataFrame, options: Options, parsed: DataFrame | None = None, counted: bool = False) -> DataFrame:
     """Matches of all rules, first seen at each start, without those inside another match of their rule.
 
-    Matches are dealt by file once; both steps run within that. parsed: the written rows of `parse.parsed`, so that
-    files are read once for this and for what else is asked of them.
+    Matches are dealt by file once; both steps run within that, by one sort. parsed: the written rows of `parse.parsed`,
+    so that files are read once for this and for what else is asked of them. counted: matches are told apart and counted,
+    but not shown, so that nothing but COUNTED and their fingerprints is dealt, sorted and given.
     """
     nodes = parse.nodes(files, options.adapters) if parsed is None else parse.nodes_of(parsed)
     loaded = rules.load(options.preset, options.custom, options.disable)
     hits = rules.match(nodes, loaded)
     if docs := [d for d in options.documents if d["id"] not in set(options.disable)]:
         hits = hits.unionByName(rule_index.match(nodes, rule_index.table_of(files.sparkSession, docs, len(loaded))))
+    if counted:
+        hits = hits.select(*COUNTED, "sc", "ec", text_rules.fingerprint(F.col("rule_id"), F.col("path"), F.col("text")).alias("fingerprint"))
     hits = hits.repartition("path")
-    hits = hits.withColumn("_s", place("sl", "sc")).withColumn("_e", place("el", "ec"))
-    first = relations.first_seen(hits, ["path", "rule_id", "_s"], ["ord"])
-    return relations.drop_contained(first, ["path", "rule_id"], ["_s"], F.col("_e")).drop("_s", "_e")
+    rest = [F.col(c) for c in hits.columns if c not in ("path", "rule_id", "sl", "sc", "ord")]
+    nth = F.row_number().over(Window.partitionBy("path", "rule_id", "sl", "sc").orderBy("ord", *rest))
+    first = hits.withColumn("_n", nth).where("_n = 1").drop("_n")
+    found = relations.drop_contained(first, ["path", "rule_id"], ["sl", "sc"], place("el", "ec"))
+    return found.drop("sc", "ec") if counted else found
 
 
 #: What a scan leaves after each of its filters, in order.
@@ -71,8 +80,8 @@ class Counts:
 def stages(files: DataFrame, options: Options | None = None, found: DataFrame | None = None, counts: Counts | None = None) -> dict[str, DataFrame]:
     """The scan after each filter: candidates; suspicious (without suppressed ones); unknown (beyond the baseline); changed (on changed lines); findings (of at least the severity).
 
-    found: candidates that were made before, such as a written table, so that files are parsed once. counts: writes what
-    each filter leaves and notes its numbers, for `counters`.
+    found: candidates that were made before, such as a written table, so that files are parsed once; they may have their
+    fingerprints already. counts: writes what each filter leaves and notes its numbers, for `counters`.
     """
     kept = counts or (lambda df, name: df)
     options = options or Options()
@@ -80,7 +89,8 @@ def stages(files: DataFrame, options: Options | None = None, found: DataFrame |
         raise ValueError(f"unknown severity {options.severity!r}")
     found = candidates(files, options) if found is None else found
     found = found.withColumn("file", F.col("path")).withColumn("line", F.col("sl").cast("long"))
-    found = found.withColumn("fingerprint", text_rules.fingerprint(F.col("rule_id"), F.col("file"), F.col("text")))
+    if "fingerprint" not in found.columns:
+        found = found.withColumn("fingerprint", text_rules.fingerprint(F.col("rule_id"), F.col("file"), F.col("text")))
     out = {"candidates": (found := kept(found, "candidates"))}
     if options.directive:
         lined = files.where(F.col("content").contains(options.directive)).select(F.col("path").alias("file"), F.posexplode(F.split("content", "\n")).alias("_n", "line")).select("file", (F.col("_n") + 1).cast("long").alias("line_no"), "line")

@@ -4,6 +4,7 @@ import hashlib
 import io
 import json
 import random
+import re
 import sys
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillscan import cli
 from quillscan.functions import lexer
-from quillscan.operators import enrich, parse, plugins, relations, review, taint
+from quillscan.operators import enrich, parse, plugins, relations, review, rules, taint
 from quillscan.plans import ci, payload, report, scan
 from quillscan.sources import diffs, discovery
 
@@ -341,6 +342,39 @@ def test_counts_noted_while_stages_are_written(spark, text):
         assert steps["findings"].count() == plain["findings"]
 
 
+def test_rules_are_compiled_and_evaluated_once(spark):
+    files = _files(spark, ("a.py", "python", "eval(x)\nos.system('a' + b)\nprint(1)\n"))
+    plan = rules.match(parse.nodes(files), rules.load())._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert [x for x in plan if "Generate explode" in x and "CASE WHEN" not in x]
+    assert len([x for x in plan if "CASE WHEN" in x]) == 1  # in no generator and no filter inferred from one
+
+
+def test_counted_candidates_are_narrow_and_give_the_same_numbers(spark):
+    text = "eval(x)  # scan-ignore\neval(y)\neval(y)\nos.system('a' + b)\nos.system('a' + os.popen('b' + c))\nrandom.randint(token)\n"
+    files = _files(spark, ("a.py", "python", text), ("c.py", "python", text), ("b.rb", None, ""))
+    base = report.baseline(scan.findings(_files(spark, ("a.py", "python", "eval(y)\n"))))
+    options = scan.Options(baseline=base, changed=spark.createDataFrame([("a.py", 3), ("a.py", 4)], "file string, line long"))
+    narrow, wide = scan.candidates(files, options, counted=True), scan.candidates(files, options)
+    assert narrow.columns == [*scan.COUNTED, "fingerprint"]
+    assert sorted(narrow.select(*scan.COUNTED).collect()) == sorted(wide.select(*scan.COUNTED).collect())
+    steps = [scan.stages(files, options, x) for x in (narrow, wide)]
+    assert scan.counters(files, steps[0]).first() == scan.counters(files, steps[1]).first()
+    assert {r["fingerprint"] for r in steps[0]["findings"].collect()} == {r["fingerprint"] for r in steps[1]["findings"].collect()}
+    plan = narrow._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SortAggregate" not in plan and "context3" not in plan.split("Exchange")[0]
+
+
+@pytest.mark.parametrize("text", ["$a = 1;\nb\n = $a;\nc := d\n$$b=2\n", "\n\nx\n=\n1\n", "PATH.RESOLVE path.resolve startsWith\nTo\u212aen = 1\nAPI-key HasPrefix\n", "none\n"], ids=["sigils", "blank", "hints", "none"])
+def test_surroundings_are_those_of_a_plain_search(text):
+    found, starts = parse.Surroundings(text), [0, *(m.end() for m in re.finditer("\n", text))]
+    for low in starts:
+        for high in (x - 1 for x in starts if x > low):
+            assert found.near(low, high) == [k for k, p in parse.HINTS.items() if re.compile(p).search(text, low, high)]
+            for name in ("$a", "a", "b", "$b", "$$b", "c", "x", "d"):
+                m = next((m for m in re.compile(r"([\w$]+)\s*:?=").finditer(text, low, high) if m[1] == name or m[1].endswith("$" + name)), None)
+                assert found.assigned(low, high, name) == (re.compile(r"[^;\n]*").match(text, m.end(), high)[0] if m else None), (low, high, name)
+
+
 def _length(path, lang, content):
     yield {"severity": "low", "title": f"{len(content)} characters", "tags": ["b", "a", "b"]}
 
