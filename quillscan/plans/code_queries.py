@@ -82,7 +82,7 @@ count(*) + 2 * (SELECT count(*) FROM part WHERE p_partkey % {len(snippets.SNIPPE
 FROM ({_LABELS}) JOIN {_META} USING (rule_id)""")
 def counters_summary(spark, sf: str) -> DataFrame:
     files, options = snippets.files(spark, sf), scan.Options(directive=snippets.DIRECTIVE)
-    n = scan.counters(files, scan.stages(files, options, saved(scan.candidates(files, options), "candidates")))
+    n = scan.counters(files, scan.stages(files, options, saved(scan.candidates(files, options, counted=True), "candidates")))
     return n.withColumn("filtered", F.col("candidates") - F.col("findings")).select("files", "scanned", "skipped", "findings", *rules.RANK, "candidates", "filtered")
 
 
