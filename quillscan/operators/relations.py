@@ -123,23 +123,28 @@ def latest_before(df: DataFrame, key: str, order: list, is_source: Column, value
     return F.last(F.when(is_source, value), ignorenulls=True).over(w)
 
 
-def _peeled(edges: DataFrame) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame]]]:
+def _peeled(edges: DataFrame, starts: DataFrame | None = None) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame]]]:
     """Edges (src, dst) by how soon they end: those left of all peels, and each peel, outermost first.
 
     A peel is the edges to nodes that nothing leads on from, as long as it takes a quarter of the edges; such a node is
     only ever the end of a path, so it needs no fixpoint. Each is in two parts: nodes with one edge to them, and others.
+    A peel deals its edges by dst once, for all of this, and writes them once, by what they are. starts (column node):
+    edges to these are left out.
     """
-    left, peels = saved(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges"), []
-    n = left.count()
-    while n:
-        sources = left.select(F.col("src").alias("dst")).distinct()
-        inner = saved(left.join(sources, "dst", "left_semi").select("src", "dst"), "edges")
+    left = edges.select("src", "dst").where("src is not null and dst is not null").repartition("dst")
+    if starts is not None:
+        left = left.join(starts.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+    left, n, peels = left.distinct(), None, []
+    while n != 0:
+        on = left.select(F.col("src").alias("dst")).distinct().withColumn("_on", F.lit(True))
+        alone = F.count(F.lit(1)).over(Window.partitionBy("dst")) == 1
+        kind = F.when(F.col("_on"), "inner").when(alone, "one").otherwise("more")
+        told = saved(left.join(on, "dst", "left").select("src", "dst", kind.alias("kind")), "edges")
+        n = told.count() if n is None else n
+        inner, one, more = (told.where(F.col("kind") == k).select("src", "dst") for k in ("inner", "one", "more"))
         rest = inner.count()
         if n - rest < max(1, n // 4):
-            break
-        ends = left.join(sources, "dst", "left_anti").select("src", "dst")
-        to = saved(ends.groupBy("dst").agg(F.min("src").alias("src"), F.count("*").alias("_n")), "ends")
-        one, more = to.where("_n = 1").select("src", "dst"), saved(ends.join(to.where("_n > 1"), "dst", "left_semi").select("src", "dst"), "ends")
+            return told.select("src", "dst"), peels
         left, n, peels = inner, rest, [*peels, (one, more)]
     return left, peels
 
@@ -148,10 +153,10 @@ def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """node and hops (least number of edges, 0 for a start) of every node that a given start (column node) leads to.
 
     A frontier that is written at each step: the result has one row a node, where `closure` has one a pair. Nodes that
-    only end paths are left to one join after it.
+    only end paths are left to one join after it. Edges to starts are no way to anything nearer, and are left out first.
     """
-    inner, peels = _peeled(edges)
-    first = seen = front = saved(starts.select("node").where("node is not null").distinct().withColumn("hops", F.lit(0).cast("long")), "reached")
+    seen = front = saved(starts.select("node").where("node is not null").distinct().withColumn("hops", F.lit(0).cast("long")), "reached")
+    inner, peels = _peeled(edges, front)
     k = 0
     while not front.isEmpty():
         k += 1
@@ -164,7 +169,7 @@ def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
         seen = seen if k == 1 else saved(seen, "reached")
         at = seen.select(F.col("node").alias("src"), (F.col("hops") + 1).alias("hops"))
         ends = at.join(one, "src").select(F.col("dst").alias("node"), "hops").unionByName(at.join(more, "src").groupBy(F.col("dst").alias("node")).agg(F.min("hops").alias("hops")))
-        seen = seen.unionByName(ends.join(first.select("node"), "node", "left_anti"))
+        seen = seen.unionByName(ends)
     return seen
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillscan.operators import relations
+from quillscan.sources.shared import saved
 
 
 @pytest.fixture(scope="module")
@@ -153,3 +154,23 @@ def test_closure_deals_only_what_the_last_peel_leaves(spark, monkeypatch):
     assert written["closure"] < len(want) / 4
     got = {r["node"]: r["hops"] for r in relations.reached(df, spark.createDataFrame([(4,), (7,), (900,), (55,)], "node long")).collect()}
     assert got == {4: 0, 7: 0, 900: 0, 55: 0, 8: 1, 9: 2} | {300 + j: 1 for j in range(50)}
+
+
+def test_a_peel_writes_its_edges_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(relations, "saved", lambda df, name: written.append(name) or saved(df, name))
+    pairs = [(0, k) for k in range(1, 40)] + [(1, k) for k in range(30, 50)] + [(2, 0), (2, 3), (2, 3), (60, 2), (3, 60), (None, 4), (4, None), (70, 71)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    for starts in ([0], [2, 60], [70], [5], []):
+        hops, front, k = {s: 0 for s in starts}, set(starts), 0
+        while front:
+            k, front = k + 1, {b for a, b in pairs if a in front and b is not None} - set(hops)
+            hops |= dict.fromkeys(front, k)
+        got = relations.reached(edges, spark.createDataFrame([(s,) for s in [*starts, *starts, None]], "node long"))
+        assert sorted(map(tuple, got.collect())) == sorted(hops.items()), starts
+    written.clear()
+    whole, peels = relations._peeled(edges)
+    assert len(peels) == 2 and written == ["edges"] * 3  # one for each peel tried
+    assert {tuple(r) for r in whole.collect()} == {(0, 2), (0, 3), (2, 0), (2, 3), (60, 2), (3, 60)}
+    assert {tuple(r) for r in peels[0][1].collect()} >= {(0, 30), (1, 30)} and (70, 71) in {tuple(r) for r in peels[0][0].collect()}
+    assert [tuple(r) for r in peels[1][0].collect()] == [(0, 1)]
