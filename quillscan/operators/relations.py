@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quillscan.operators.chains import Chains
 from quillscan.sources.shared import saved
 
 
@@ -173,8 +174,8 @@ def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return seen
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """Pairs (src, dst, hops) with dst reached from src over any number of edges, by the least number; edges without an end are none.
+def _doubled(edges: DataFrame) -> DataFrame:
+    """Pairs (src, dst, hops) with dst reached from src over any number of edges, by the least number.
 
     The reach doubles at each step: who is 2k edges away at most is k away, or reached from a node exactly k away. That
     is done for edges left of all peels. A node that only ends paths is then one edge beyond what leads to its source:
@@ -197,6 +198,28 @@ def closure(edges: DataFrame) -> DataFrame:
     return seen
 
 
+def closure(edges: DataFrame) -> DataFrame:
+    """Pairs (src, dst, hops) with dst reached from src over any number of edges, by the least number; edges without an end are none.
+
+    What leads to a node over nodes of one source each is a chain: its pairs are never dealt, written or compared. Nodes
+    of more sources, and all that they lead to, have their pairs by doubling; these are led on along the chains before them.
+    """
+    alone = F.count(F.lit(1)).over(Window.partitionBy("dst")) == 1
+    known = edges.select("src", "dst").where("src is not null and dst is not null").repartition("dst").distinct()
+    told = saved(known.withColumn("alone", alone), "edges")
+    whole, more = told.select("src", "dst"), told.where("not alone").select(F.col("dst").alias("node")).distinct()
+    if more.isEmpty():
+        return Chains(whole).pairs(whole)
+    mixed = saved(reached(whole, more).select("node"), "mixed")
+    to = mixed.select(F.col("node").alias("dst"))
+    plain, last = saved(whole.join(to, "dst", "left_anti").select("src", "dst"), "plain"), whole.join(to, "dst", "left_semi").select("src", "dst")
+    chains, near = Chains(plain), saved(_doubled(last), "closure")
+    before = last.select(F.col("src").alias("dst")).distinct()  # where chains end
+    lead = chains.pairs(plain.join(before, "dst", "left_semi").select("src", "dst")).select(F.col("src").alias("_from"), F.col("dst").alias("src"), F.col("hops").alias("_more"))
+    led = lead.join(near, "src").select(F.col("_from").alias("src"), "dst", (F.col("hops") + F.col("_more")).alias("hops"))
+    return chains.pairs(plain).unionByName(near.unionByName(led).groupBy("src", "dst").agg(F.min("hops").alias("hops")))
+
+
 def hash_sample(df: DataFrame, key: str, rate: float, seed: str) -> DataFrame:
     """The ceil(n * rate) rows, one at least, whose SHA-256 of seed and lower-case key ranks first; rate 0: none.
 
