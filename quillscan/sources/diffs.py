@@ -8,12 +8,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quillscan.sources.shared import dealt, saved, tasks_for
+from quillscan.sources.shared import saved, tasks_for
 
 _HUNK = re.compile(r"@@ -\d+(?:,(?P<old>\d+))? \+(?P<at>\d+)(?:,(?P<new>\d+))? @@")
 
@@ -59,143 +60,183 @@ def changed_lines(diffs: DataFrame, key: str, text: str = "diff") -> DataFrame:
     return diffs.select(key, text).mapInPandas(read, f"{key} {schema.dataType.simpleString()}, file string, line long")
 
 
-#: A head in a diff's lines: what it is, and the hunk's numbers; old and new are the counts of lines before the hunk's body. named: a new file was named before it in its range.
-_HEADS = "key string, line_no long, part int, file string, named boolean, at long, old long, new long, old_end long, new_end long"
+#: Lines of a diff that are kept in one row.
+LINES_A_ROW = 1000
+#: Rows that are broadcast at most.
+MOST_SENT = 100_000
+#: A hunk: its file (null: none, or that of the rows before if not `named`), its new number, the counts of new lines before its body, and of both where it ends.
+_HUNK_DDL = "struct<file string, named boolean, at long, new long, old_end long, new_end long>"
+#: What heads of a row say, with counts from its beginning: counts before the first and the last line like a head, the last hunk, the last file named; read as if a body before ended at used_old and used_new.
+_SUMMARY = f"first struct<old long, new long>, last struct<old long, new long>, hunk {_HUNK_DDL}, told struct<file string>, used_old long, used_new long"
+#: What a row begins with, in counts of its diff: lines before, the last hunk, the current file. again: its heads must be read under that.
+_STATE = f"key string, part long, base_old long, base_new long, carry {_HUNK_DDL}, file string, said boolean, named boolean, again boolean"
 
 
-def _heads(rows: DataFrame, kind: str, n: int) -> DataFrame:
-    """Heads of lines (key, line_no, part, line, _old, _new) that stand in no body: _HEADS, in some order.
+def _packed(rows: DataFrame, parts: int) -> DataFrame:
+    """rows (key, line_no, line) dealt once by ranges, in order, and written as rows of up to LINES_A_ROW: key, part (the first line_no), lines, old and new (their counts), said."""
+    ranged = rows.repartitionByRange(parts, "key", "line_no").sortWithinPartitions("key", "line_no")
+    sign = F.substring("line", 1, 1)
+    told = ranged.withColumns({"old": (~sign.isin("+", "\\")).cast("int"), "new": (~sign.isin("-", "\\")).cast("int"), "said": (F.trim("line") != "").cast("int")})
+    kind = rows.schema["key"].dataType.simpleString()
+    schema = T.StructType.fromDDL(f"key {kind}, part long, lines array<string>, old long, new long, said boolean")
+    arrow = to_arrow_schema(schema)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes = b.column("key").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            at = np.arange(b.num_rows)
+            begins = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            own = at - np.repeat(begins, np.diff(np.append(begins, b.num_rows)))
+            starts = np.flatnonzero(own % LINES_A_ROW == 0)
+            lines = pa.ListArray.from_arrays(pa.array(np.append(starts, b.num_rows), pa.int32()), b.column("line"))
+            sums = [np.add.reduceat(b.column(c).to_numpy(zero_copy_only=False).astype("int64"), starts) for c in ("old", "new", "said")]
+            columns = [b.column("key").take(pa.array(starts)), b.column("line_no").take(pa.array(starts)), lines, sums[0], sums[1], sums[2] > 0]
+            yield pa.RecordBatch.from_arrays([(x if isinstance(x, pa.Array) else pa.array(x)).cast(f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return saved(told.mapInArrow(pack, schema), "diff")
+
+
+def _read(lines: pa.Array, old_end: int, new_end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]], list[tuple[int, tuple]]]:
+    """Of one row's lines, where a body lasts until both counts: which lines are added, counts of old and of new lines before each line, lines like heads (place, counts before it), and heads that stand in no body."""
+    sign = pc.utf8_slice_codeunits(lines, 0, 1)
+    signs = {x: pc.equal(sign, x).to_numpy(zero_copy_only=False) for x in "+-\\"}
+    old, new = (np.concatenate([[0], np.cumsum(~(signs[x] | signs["\\"]))]) for x in ("+", "-"))
+    like = np.flatnonzero(pc.or_(pc.starts_with(lines, "+++ "), pc.starts_with(lines, "@@ ")).to_numpy(zero_copy_only=False))
+    heads, file, named = [], None, False
+    for k, o, n, line in zip(like.tolist(), old[like].tolist(), new[like].tolist(), lines.take(pa.array(like)).to_pylist(), strict=True):
+        if o < old_end or n < new_end:  # within a body
+            continue
+        if line.startswith("+++ "):
+            name = line[4:].split("\t")[0].strip()
+            file, named = None if name == "/dev/null" else name.removeprefix("b/"), True
+            heads.append((k, (file,)))
+        elif m := _HUNK.match(line):
+            # the head's own line is counted as well: its body begins behind it
+            old_end, new_end = o + 1 + int(m["old"] or 1), n + 1 + int(m["new"] or 1)
+            heads.append((k, (file, named, int(m["at"]), n + 1, old_end, new_end)))
+    return signs["+"], old, new, [(k, int(old[k]), int(new[k])) for k in (like[[0, -1]].tolist() if len(like) else [])], heads
+
+
+def _summarised(given: DataFrame) -> DataFrame:
+    """key, part, old, new, said and _SUMMARY of packed rows with _from_old and _from_new: where the body before them ends, in their own counts."""
+    kind = given.schema["key"].dataType.simpleString()
+    schema = T.StructType.fromDDL(f"key {kind}, part long, old long, new long, said boolean, {_SUMMARY}")
+    arrow, same = to_arrow_schema(schema), ["key", "part", "old", "new", "said"]
+    hunk = [f.name for f in T.StructType.fromDDL(f"hunk {_HUNK_DDL}")["hunk"].dataType]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for lines, old, new in zip(b.column("lines"), b.column("_from_old").to_pylist(), b.column("_from_new").to_pylist(), strict=True):
+                *_, like, heads = _read(lines.values, old, new)
+                hunks, names = [h for _, h in heads if len(h) > 1], [h for _, h in heads if len(h) == 1]
+                ends = [{"old": o, "new": n} for _, o, n in like] or [None, None]
+                out.append((ends[0], ends[1], dict(zip(hunk, hunks[-1], strict=True)) if hunks else None, {"file": names[-1][0]} if names else None, old, new))
+            told = [pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * 6, list(arrow)[5:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).cast(arrow.field(c).type) for c in same), *told], schema=arrow)
+
+    return saved(given.mapInArrow(read, schema), "heads")
+
 
-    Ranges are read at once, each as if no body reached into it. Where the last hunk of those before ends beyond a
-    range's first head, that range is read again from there, until no range's beginning changes; a body that lasts over
-    ranges whose lines look like heads takes a round for each.
+def _begun(summaries: DataFrame) -> DataFrame:
+    """_STATE of each packed row, by its diff's rows in order; one row of summary stands for up to LINES_A_ROW lines.
+
+    A row's heads count as they were read unless the body before reaches beyond the first one. Where it reaches beyond the
+    last one there are none; else the row is to be read again.
     """
-    schema = T.StructType.fromDDL(_HEADS.replace("key string", f"key {kind}"))
+    kind = summaries.schema["key"].dataType.simpleString()
+    schema = T.StructType.fromDDL(_STATE.replace("key string", f"key {kind}"))
     arrow = to_arrow_schema(schema)
-    names = ["key", "line_no", "line", "_old", "_new", "part", "_from_old", "_from_new"]
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, file, named, old_end, new_end = object(), None, False, 0, 0
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, old, new, carry, file, named = object(), 0, 0, None, None, False
         for b in batches:
-            out: list[tuple] = []
-            for k, n, line, old, new, part, from_old, from_new in zip(*(c.to_pylist() for c in b.select(names).columns), strict=True):
-                if (k, part) != last:
-                    last, file, named, old_end, new_end = (k, part), None, False, from_old, from_new
-                if old < old_end or new < new_end:  # within a body
-                    continue
-                if line.startswith("+++ "):
-                    name = line[4:].split("\t")[0].strip()
-                    file, named = None if name == "/dev/null" else name.removeprefix("b/"), True
-                    out.append((k, n, part, file, named, None, None, None, None, None))
-                elif m := _HUNK.match(line):
-                    # the head's own line is counted as well: its body begins behind it
-                    old, new = old + 1, new + 1
-                    old_end, new_end = old + int(m["old"] or 1), new + int(m["new"] or 1)
-                    out.append((k, n, part, file, named, int(m["at"]), old, new, old_end, new_end))
+            out = []
+            for r in b.to_pylist():
+                if r["key"] != key:
+                    key, old, new, carry, file, named = r["key"], 0, 0, None, None, False
+                first, last, again, counts = r["first"], r["last"], False, True
+                state = (r["key"], r["part"], old, new, carry, file, r["said"])
+                if first is not None:
+                    ends = (carry["old_end"] - old, carry["new_end"] - new) if carry else (0, 0)
+                    used = (r["used_old"], r["used_new"])
+                    inside = lambda x, to: x["old"] < to[0] or x["new"] < to[1]
+                    counts = not inside(last, ends)
+                    again = counts and (used != ends if inside(first, ends) else inside(first, used))
+                if counts and (h := r["hunk"]):
+                    whose = h["file"] if h["named"] else file
+                    carry = {"file": whose, "named": True, "at": h["at"], "new": h["new"] + new, "old_end": h["old_end"] + old, "new_end": h["new_end"] + new}
+                if counts and r["told"]:
+                    file, named = r["told"]["file"], True
+                old, new = old + r["old"], new + r["new"]
+                out.append((*state, named, again))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * len(arrow), arrow, strict=True)], schema=arrow)
 
-    lines = rows.where(F.col("line").startswith("+++ ") | F.col("line").startswith("@@ "))
-    same = lambda l, r: l["key"].eqNullSafe(r["_k"]) & (l["part"] == r["_p"])  # noqa: E731, E741
-    as_other = {"key": "_k", "part": "_p"}
+    return saved(summaries.repartition("key").sortWithinPartitions("key", "part").mapInArrow(sweep, schema), "begins")
 
-    def scanned(given: DataFrame) -> DataFrame:
-        return saved(dealt(given, "key", "part", rows=n).sortWithinPartitions("key", "part", "line_no").mapInArrow(read, schema), "heads")
 
-    found = scanned(lines.withColumns({"_from_old": F.lit(0).cast("long"), "_from_new": F.lit(0).cast("long")}))
-    first = saved(lines.groupBy("key", "part").agg(F.min(F.struct("line_no", "_old", "_new")).alias("first")), "firsts")
-    used = first.select("key", "part", F.lit(0).cast("long").alias("old"), F.lit(0).cast("long").alias("new"))
-    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    while True:
-        ends = found.where("at is not null").groupBy("key", "part").agg(F.max(F.struct("line_no", "old_end", "new_end")).alias("end")).withColumnsRenamed(as_other)
-        begun = first.join(ends, same(first, ends), "left").select("key", "part", "first", F.last("end", ignorenulls=True).over(before).alias("from"))
-        within = F.coalesce((F.col("from.old_end") > F.col("first._old")) | (F.col("from.new_end") > F.col("first._new")), F.lit(False))
-        wanted = begun.select("key", "part", *[F.when(within, F.col(f"from.{x}_end")).otherwise(F.lit(0)).cast("long").alias(x) for x in ("old", "new")])
-        wanted = saved(wanted, "begins")
-        was = used.select(F.col("key").alias("_k"), F.col("part").alias("_p"), F.col("old").alias("_o"), F.col("new").alias("_n"))
-        again = wanted.join(was, same(wanted, was)).where("old <> _o or new <> _n").select("_k", "_p", F.col("old").alias("_from_old"), F.col("new").alias("_from_new"))
-        again = saved(again, "again")
-        if again.isEmpty():
-            return found
-        redone = scanned(lines.join(again, same(lines, again)).drop("_k", "_p"))
-        found, used = saved(found.join(again, same(found, again), "left_anti").unionByName(redone), "heads"), wanted
+def _met(packed: DataFrame, state: DataFrame) -> DataFrame:
+    """Packed rows with their state (one row for each key and part); without nulls in what they are joined by, few are broadcast."""
+    state = state.withColumnsRenamed({"key": "_k", "part": "_p"})
+    state = F.broadcast(state) if state.count() <= MOST_SENT else state
+    return packed.join(state, packed["key"].eqNullSafe(state["_k"]) & (packed["part"] == state["_p"])).drop("_k", "_p")
 
 
-def _counted(rows: DataFrame, parts: int) -> DataFrame:
-    """rows (key, line_no, line, _old, _new) dealt once by ranges (part) and written; _old and _new become their sums over the lines of the key before."""
-    ranged = rows.repartitionByRange(parts, "key", "line_no").sortWithinPartitions("key", "line_no").withColumn("part", F.spark_partition_id())
+def _placed(rows: DataFrame, key: str) -> DataFrame:
+    """key, file and line of the added lines of packed rows with their state."""
+    schema = T.StructType([T.StructField(key, rows.schema["key"].dataType), *T.StructType.fromDDL("file string, line long")])
+    arrow = to_arrow_schema(schema)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = object(), {"_old": 0, "_new": 0}
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            keys = b.column("key")
-            codes = keys.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-            sizes, goes_on = np.diff(np.append(starts, b.num_rows)), keys[0].as_py() == last
-            for name in held:
-                value = b.column(name).to_numpy(zero_copy_only=False)
-                sums = np.cumsum(value)
-                base = (sums - value)[starts]  # what other keys have before
-                base[0] -= held[name] if goes_on else 0
-                b = b.set_column(b.schema.get_field_index(name), name, pa.array(sums - value - np.repeat(base, sizes), pa.int64()))
-                held[name] = int(sums[-1] - base[-1])
-            last = keys[b.num_rows - 1].as_py()
-            yield b
-
-    ones = ranged.withColumns({"own_old": F.col("_old"), "own_new": F.col("_new")})
-    kept = saved(ones.mapInArrow(add, ones.schema), "diff")
-    totals = kept.groupBy("key", "part").agg(F.sum("own_old").alias("o"), F.sum("own_new").alias("n"))
-    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(F.col("key").alias("_k"), F.col("part").alias("_p"), F.sum("o").over(before).alias("_o"), F.sum("n").over(before).alias("_n")).where("_o is not null")
-    bases = F.broadcast(saved(bases, "bases"))  # at most one a range
-    met = kept.join(bases, kept["key"].eqNullSafe(bases["_k"]) & (kept["part"] == bases["_p"]), "left")
-    return met.select("key", "line_no", "line", *[(F.col(a) + F.coalesce(b, F.lit(0))).alias(a) for a, b in (("_old", "_o"), ("_new", "_n"))], "part")
+            for one, lines, base_old, base_new, carry, file in zip(b.column("key"), b.column("lines"), *(b.column(c).to_pylist() for c in ("base_old", "base_new", "carry", "file")), strict=True):
+                begun = (carry["file"], carry["at"], carry["new"] - base_new, carry["old_end"] - base_old, carry["new_end"] - base_new) if carry else (None, 0, 0, 0, 0)
+                added, old, new, _, heads = _read(lines.values, begun[3], begun[4])
+                hunks = [(-1, begun), *((k, (h[0] if h[1] else file, *h[2:])) for k, h in heads if len(h) > 1)]
+                files = pa.array([h[0] for _, h in hunks], pa.string())
+                at, first, old_end, new_end = (np.array([h[x] for _, h in hunks], "int64") for x in range(1, 5))
+                of = np.searchsorted(np.array([k for k, _ in hunks]), np.arange(len(added)), "right") - 1
+                has = files.is_valid().to_numpy(zero_copy_only=False)[of]
+                got = np.flatnonzero(added & has & ((old[:-1] < old_end[of]) | (new[:-1] < new_end[of])))
+                if len(got):
+                    of = of[got]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(one, len(got)).cast(arrow[0].type), files.take(pa.array(of)), pa.array(at[of] + new[got] - first[of])], schema=arrow)
+
+    return rows.select("key", "lines", "base_old", "base_new", "carry", "file").mapInArrow(place, schema)
 
 
 def added_lines(lined: DataFrame, key: str, n: int | None = None) -> DataFrame:
     """key, file and line (long) of each added line of diffs given by lines (key, line_no, line), however long one is; read as by `parse`.
 
-    Lines are dealt by ranges, with running counts of each diff's old and new lines across them. Heads alone, in order,
-    tell which of them stand within a body: a body lasts until both counts have grown by what its head says. A line
-    belongs to the last head before it, which a range gets from those before it as one row a diff. A diff that isn't
-    blank and names no new file is an error. No task has all lines, or all heads, of a diff. n: about how many lines there
-    are, which ranges follow; counted otherwise.
+    Lines are dealt once by ranges and written once, many in a row. A row's heads are read as if no body reached into it.
+    A sweep over the rows' summaries, not their lines, tells what each begins with: the counts of old and new lines before
+    it, the current file, and the last hunk, whose body lasts until both counts have grown by what its head says. Where that
+    ends among lines like heads a row is read again, until no beginning changes. Then each row gives its lines, which are
+    never dealt again. A diff that isn't blank and names no new file is an error. No task has all lines, or all heads, of a
+    diff. n: about how many lines there are, which ranges follow; counted otherwise.
     """
-    kind = lined.schema[key].dataType.simpleString()
-    sign = F.substring("line", 1, 1)
-    counts = {"_old": (~sign.isin("+", "\\")).cast("long"), "_new": (~sign.isin("-", "\\")).cast("long")}
     text = F.coalesce("line", F.lit(""))
     # of a line that is no head its sign is enough, and whether it says anything
     short = F.when(text.startswith("+++ ") | text.startswith("@@ "), text).otherwise(F.concat(F.substring(text, 1, 1), F.when(F.trim(text) != "", ".").otherwise("")))
     rows = lined.select(F.col(key).alias("key"), F.col("line_no").cast("long").alias("line_no"), short.alias("line"))
     n = rows.count() if n is None else n
-    rows = _counted(rows.withColumns(counts), tasks_for(rows.sparkSession, n))
-    found = _heads(rows, kind, n)
-    # a range goes on with the file that those before it named last
-    told = found.groupBy("key", "part").agg(F.max(F.when(F.col("at").isNull(), F.struct("line_no", "file"))).alias("told"))
-    told = told.select(F.col("key").alias("_k"), F.col("part").alias("_p"), F.last("told", ignorenulls=True).over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("told"))
-    found = found.join(told, found["key"].eqNullSafe(told["_k"]) & (found["part"] == told["_p"]), "left").withColumn("file", F.when(F.col("named"), F.col("file")).otherwise(F.col("told.file"))).drop("_k", "_p", "told", "named")
-    blank = rows.groupBy("key").agg(F.max(F.trim("line") != "").alias("said")).where("said")
-    names = found.where("at is null").select(F.col("key").alias("_key")).distinct()
-    if odd := blank.join(names, F.col("key").eqNullSafe(F.col("_key")), "left_anti").first():
+    packed = _packed(rows, tasks_for(rows.sparkSession, n))
+    none = F.lit(0).cast("long")
+    found = _summarised(packed.withColumns({"_from_old": none, "_from_new": none}))
+    while True:
+        state = _begun(found)
+        again = state.where("again").select("key", "part", *[F.coalesce(F.col(f"carry.{x}_end") - F.col(f"base_{x}"), none).alias(f"_{x}") for x in ("old", "new")])
+        if again.isEmpty():
+            break
+        again = saved(again, "again")
+        redone = _summarised(_met(packed, again.withColumnsRenamed({"_old": "_from_old", "_new": "_from_new"})))
+        was = again.select(F.col("key").alias("_k"), F.col("part").alias("_p"))
+        found = saved(found.join(was, found["key"].eqNullSafe(was["_k"]) & (found["part"] == was["_p"]), "left_anti").unionByName(redone), "heads")
+    if odd := state.groupBy("key").agg(F.max("said").alias("said"), F.max("named").alias("named")).where("said and not named").first():
         raise ValueError(f"not a unified diff: no new file is named ({odd['key']})")
-    hunk = F.struct("line_no", "file", "at", "new", "old_end", "new_end")
-    hunks = found.where("at is not null")
-    # what each range begins with: of the diffs that it goes on with, the last head before it
-    parts = rows.groupBy("key", "part").agg(F.min("line_no").alias("first")).where("first is not null")
-    ends = hunks.groupBy("key", "part").agg(F.max(hunk).alias("hunk"))
-    both = parts.join(ends.withColumnsRenamed({"key": "_k", "part": "_p"}), F.col("key").eqNullSafe(F.col("_k")) & (F.col("part") == F.col("_p")), "left")
-    carried = both.withColumn("carry", F.last("hunk", ignorenulls=True).over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    carried = carried.where("carry is not null").select(F.col("key").alias("_k"), F.col("part").alias("_p"), "carry")
-    events = rows.where(sign == "+").select("key", "part", "line_no", "_old", "_new", F.lit(None).cast(hunks.select(hunk.alias("h")).schema["h"].dataType).alias("hunk"))
-    events = events.unionByName(hunks.select("key", "part", "line_no", F.lit(0).cast("long").alias("_old"), F.lit(0).cast("long").alias("_new"), hunk.alias("hunk")))
-    own = Window.partitionBy("part", "key").orderBy("line_no", F.col("hunk").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    events = dealt(events, "part", "key", rows=n)
-    placed = events.withColumn("of", F.last("hunk", ignorenulls=True).over(own)).where("hunk is null")
-    placed = placed.join(carried, placed["key"].eqNullSafe(carried["_k"]) & (placed["part"] == carried["_p"]), "left").withColumn("of", F.coalesce("of", "carry"))
-    inside = (F.col("_old") < F.col("of.old_end")) | (F.col("_new") < F.col("of.new_end"))
-    return placed.where(inside & F.col("of.file").isNotNull()).select(F.col("key").alias(key), "of.file", (F.col("of.at") + F.col("_new") - F.col("of.new")).alias("line"))
+    return _placed(_met(packed, state.drop("said", "named", "again")), key)
 
 
 def changed_ranges(lined: DataFrame, key: str) -> DataFrame:

@@ -127,3 +127,27 @@ def test_heads_of_one_long_diff_are_read_by_many_tasks(spark, small, monkeypatch
     got = sorted((x["file"], x["line"]) for x in diffs.added_lines(lined, "id").collect())
     assert got == sorted(diffs.parse("\n".join(text)))
     assert max(tasks) < sum(tasks) / 2
+
+
+def test_lines_of_a_long_diff_are_dealt_and_written_once(spark, small, monkeypatch):
+    """Tables hold a row for many lines, the result deals none, and rows whose heads stand in bodies from rows before are read as by parse."""
+    import random
+
+    from quillscan.sources import diffs
+
+    r, text = random.Random(11), []
+    for k in range(150):
+        text += ["+++ b/f.py", "@@ -1,%d +%d,%d @@" % (n := r.choice([0, 0, 3, 70]), k, n + 30), *r.choices([" a", "+b", "@@ -1,90 +4,90 @@", "+++ b/g.py", "-c"], k=r.choice([5, 40, 80]))]
+    written = []
+
+    def counted(df, name, _saved=diffs.saved):
+        out = _saved(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(diffs, "saved", counted)
+    monkeypatch.setattr(diffs, "LINES_A_ROW", 25)
+    lined = spark.createDataFrame([("d", k, x) for k, x in enumerate(text)], "id string, line_no long, line string").repartition(3)
+    found = diffs.added_lines(lined, "id")
+    assert "Exchange hashpartitioning" not in _plan(found) and max(n for _, n in written) < len(text) / 10
+    assert sorted((x["file"], x["line"]) for x in found.collect()) == sorted(diffs.parse("\n".join(text)))
